@@ -50,14 +50,18 @@ def compare(df, con, sql):
 
 
 def main(prefixes):
+    only = os.environ.get("TIDEMARK_MODULE")
     sys.path.insert(0, os.getcwd())
     import __spark_entry__ as e
+    from tidemark.catalog import base
     from tidemark.session import local_session
 
     spark, con = local_session(8), connect()
     queries, oracles = e.queries(), e.oracle_sql()
     bad = 0
     for key, fn in queries.items():
+        if only and base.QUERIES[key].__module__.rsplit(".", 1)[-1] != only:
+            continue
         if prefixes and not any(key.startswith(p) for p in prefixes):
             continue
         t = time.time()

@@ -7,7 +7,7 @@ import importlib
 from tidemark.catalog import base
 from tidemark.session import configure
 
-MODULES = ("features",)
+MODULES = ("features", "datasets", "outcomes")
 
 
 def _load():

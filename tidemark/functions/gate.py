@@ -63,12 +63,13 @@ def reliability(action: Column) -> Column:
 
 
 def _pct(c: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", c)
+    """Fixed decimals of the exact binary value, ties to even."""
+    return F.call_function("format_number", c, F.lit("0." + "0" * digits))
 
 
 def _plain(c: Column) -> Column:
     """A number without trailing zeros, as ``70`` or ``70.5``."""
-    return F.regexp_replace(_pct(c, 2), r"\.?0+$", "")
+    return F.call_function("format_number", c, F.lit("0.####"))
 
 
 def evaluate_gate(decisions, config: GateConfig = GateConfig()):

@@ -23,8 +23,6 @@ def _side(up: Column, down: Column) -> Column:
     return F.when(down, "SELL").when(up, "BUY").otherwise("HOLD")
 
 
-def always_hold(names: dict | None = None) -> Column:
-    return F.lit("HOLD")
 
 
 def momentum(ret: Column, threshold: float = 0.30) -> Column:

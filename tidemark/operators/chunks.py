@@ -165,3 +165,62 @@ def exact_order_values(df: DataFrame, keys: Sequence[str], value: str, fractions
     hi = F.max(F.when(holds(F.ceil(spot)), F.col("_v")))
     share = F.max(spot - F.floor(spot))
     return picked.groupBy(*keys, "fraction").agg((lo + (hi - lo) * share).alias("quantile"))
+
+
+def previous_row(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str], width: int) -> DataFrame:
+    """Add ``prev_<col>`` of the row before, however far back it lies."""
+    rows = with_chunk(df, ts, width)
+    entry = F.struct(*[F.col(c).alias(c) for c in cols])
+    lasts = rows.groupBy(*keys, CHUNK).agg(F.max_by(entry, F.col(ts)).alias("_last"))
+    before = carry(lasts, keys, {"_open": ("_last", "last")})
+    near = rows.withColumn("_near", F.lag(entry).over(chunk_window(keys, [ts])))
+    out = near.join(before, [*keys, CHUNK], "left").withColumn("_prev", F.coalesce("_near", "_open"))
+    return out.withColumns({f"prev_{c}": F.col(f"_prev.{c}") for c in cols}).drop("_near", "_open", "_prev", CHUNK)
+
+
+def last_seen(df: DataFrame, keys: Sequence[str], ts: str, value: Column, width: int, out: str) -> DataFrame:
+    """Newest non-null ``value`` at or before each row, however far back."""
+    rows = with_chunk(df, ts, width).withColumn("_value", value)
+    lasts = rows.groupBy(*keys, CHUNK).agg(
+        F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(ts))).alias("_last"))
+    before = carry(lasts, keys, {"_open": ("_last", "last")})
+    run = chunk_window(keys, [ts]).rowsBetween(Window.unboundedPreceding, 0)
+    near = rows.withColumn("_near", F.last("_value", ignorenulls=True).over(run))
+    return (near.join(before, [*keys, CHUNK], "left").withColumn(out, F.coalesce("_near", "_open"))
+            .drop("_near", "_open", "_value", CHUNK))
+
+
+def at_offsets(df: DataFrame, keys: Sequence[str], ts: str, cols: Sequence[str], offsets: Sequence[int],
+               width: int) -> DataFrame:
+    """Columns ``<col>@<offset>`` read at exactly ``ts + offset``; one shuffle, no join.
+
+    Needs one row per (keys, ts). A range frame of a single instant inside the
+    halo partition is an exact-time lookup.
+    """
+    back, ahead = max(0, -min(offsets)), max(0, max(offsets))
+    rows = with_halo(df, ts, width, back, ahead + 1)
+    base = Window.partitionBy(*keys, CHUNK).orderBy(ts)
+    extra = {f"{c}@{o}": F.max(c).over(base.rangeBetween(o, o)) for c in cols for o in offsets}
+    return rows.withColumns(extra).filter(F.col(OWN)).drop(CHUNK, OWN)
+
+
+def rows_at_positions(df: DataFrame, keys: Sequence[str], ts: str, positions: Column, width: int) -> DataFrame:
+    """Timestamps at 0-based positions of the ordered series.
+
+    ``positions`` is an array column over the total ``n`` (column ``_n_total``).
+    Only the chunks that hold a wanted position are ranked; finding them takes
+    counts per chunk.
+    """
+    rows = with_chunk(df.select(*keys, ts), ts, width)
+    counts = rows.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.select(*keys, CHUNK, "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+                           F.sum("_n").over(whole).alias("_n_total"))
+    wanted = placed.withColumn("position", F.explode(positions)).filter(
+        (F.col("position") >= F.col("_before")) & (F.col("position") < F.col("_before") + F.col("_n")))
+    inside = rows.join(wanted.groupBy(*keys, CHUNK).agg(F.collect_set(
+        F.struct(F.col("position"), (F.col("position") - F.col("_before")).alias("at"))).alias("_wanted")), [*keys, CHUNK])
+    ranked = inside.withColumn("_at", F.row_number().over(chunk_window(keys, [ts])) - 1)
+    return (ranked.select(*keys, ts, "_at", F.inline("_wanted")).filter(F.col("_at") == F.col("at"))
+            .select(*keys, "position", ts))

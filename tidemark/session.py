@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -30,6 +31,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         SparkSession.builder.master(f"local[{cores}]")
         .appName("tidemark")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
@@ -48,3 +50,14 @@ def shared_folder(spark: SparkSession) -> str:
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     return named if named else tempfile.mkdtemp(prefix="tidemark-")
+
+
+def materialize(df, name: str = "stage"):
+    """Write a result to the shared folder and read it back.
+
+    Cuts lineage in a way that survives lost executors, and keeps column
+    pruning for the plans that read it several times.
+    """
+    folder = f"{shared_folder(df.sparkSession).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
