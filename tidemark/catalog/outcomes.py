@@ -58,15 +58,15 @@ def j04(spark, sf):
                       costs.stale_score(F.col("proposed_action"), move, 2.0).alias("score"))
 
 
-@query("J02_trailing_bars", W(f"{BARS}, {DECISIONS}", f"""SELECT decision_id, count(ts) AS n, min(ts) AS first_ts, max(ts) AS last_ts, {R('avg(close)', 'mean_close', 4)}
-    FROM (SELECT d.decision_id, b.ts, b.close, row_number() OVER (PARTITION BY d.decision_id ORDER BY b.ts DESC) AS rn
-      FROM decisions d LEFT JOIN bars b ON b.asset = d.asset AND b.ts <= d.ts) WHERE rn <= 50 GROUP BY 1"""))
+@query("J02_trailing_bars", W(f"""{BARS}, {DECISIONS}, br AS (SELECT asset, ts, row_number() OVER w AS r, first_value(ts) OVER v AS first_ts, sum(close) OVER v AS total
+      FROM bars WINDOW w AS (PARTITION BY asset ORDER BY ts), v AS (PARTITION BY asset ORDER BY ts ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))""",
+    f"""SELECT decision_id, coalesce(least(r, 50), 0) AS n, first_ts, b.ts AS last_ts, {R('coalesce(total, 0)', 'close_sum', 4)}
+    FROM decisions d ASOF LEFT JOIN br b ON b.asset = d.asset AND d.ts >= b.ts"""))
 def j02(spark, sf):
     out = asof.trailing_context(decisions(spark, sf), bars(spark, sf), 50, ["close"], WIDTH // 4)
     total = F.aggregate("tail", F.lit(0.0), lambda a, x: a + x["close"])
     return out.select("decision_id", F.size("tail").cast("bigint").alias("n"), F.get("tail", F.lit(0))["ts"].alias("first_ts"),
-                      F.try_element_at("tail", F.lit(-1))["ts"].alias("last_ts"),
-                      rnd(F.try_divide(total, F.nullif(F.size("tail"), F.lit(0))), 4).alias("mean_close"))
+                      F.try_element_at("tail", F.lit(-1))["ts"].alias("last_ts"), rnd(total, 4).alias("close_sum"))
 
 
 @query("P04_as_of_scan", W(BARS, f"""SELECT asset, ts, {R('close')} FROM (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY ts DESC) AS rn

@@ -224,3 +224,12 @@ def rows_at_positions(df: DataFrame, keys: Sequence[str], ts: str, positions: Co
     ranked = inside.withColumn("_at", F.row_number().over(chunk_window(keys, [ts])) - 1)
     return (ranked.select(*keys, ts, "_at", F.inline("_wanted")).filter(F.col("_at") == F.col("at"))
             .select(*keys, "position", ts))
+
+
+def pin(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """Add a costly column that later steps read several times.
+
+    Plain projections are merged, and filters on them pushed down, which would
+    evaluate a long fold once per use; a one-element explode is left alone.
+    """
+    return df.select("*", F.explode(F.array(column)).alias(name))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.operators import asof
+from tidemark.operators import chunks as C
 
 BARS = 50
 LEAST_BARS = 30
@@ -102,7 +103,7 @@ def technical(tail: DataFrame, bars: str = "tail") -> DataFrame:
         values = (step(s["e9"], x, 9), step(s["e21"], x, 21), e12, e26, sig, e12 - e26 - sig, s["hist"], s["e9"], s["e21"])
         return F.struct(*[v.alias(k) for k, v in zip(names, values)])
 
-    rows = rows.withColumn("_m", F.aggregate(F.slice("_close", 2, F.greatest(n, F.lit(1))), seed, fold))
+    rows = C.pin(rows, "_m", F.aggregate(F.slice("_close", 2, F.greatest(n, F.lit(1))), seed, fold))
     last14 = _last(F.col("_delta"), 14)
     k = F.size(last14)
     gain = _mean(F.transform(last14, lambda d: F.greatest(d, F.lit(0.0))), k)
@@ -127,7 +128,7 @@ def technical(tail: DataFrame, bars: str = "tail") -> DataFrame:
     bin_of = lambda x: F.least(F.lit(9), F.greatest(F.lit(0), F.floor(F.try_divide(x - c("_lo"), c("_w"))))).cast("int")
     weights = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.aggregate(
         bars, F.lit(0.0), lambda a, b: a + F.when(bin_of(b["close"]) == i, b["volume"]).otherwise(0.0)))
-    rows = rows.withColumn("_bins", F.when(c("_w") > 0, weights))
+    rows = C.pin(rows, "_bins", F.when(c("_w") > 0, weights))
     peak = F.array_position("_bins", F.array_max("_bins")) - 1
     rows = rows.withColumns({
         "rsi_status": F.when(c("_flat"), "NEUTRAL").when(c("rsi") >= 70, "OVERBOUGHT").when(c("rsi") <= 30, "OVERSOLD").otherwise("NEUTRAL"),
@@ -194,7 +195,7 @@ def technical_context(tail: DataFrame, bars: str = "tail", n: int = 32) -> DataF
     field = lambda name: F.transform("_t", lambda b: b[name])
     rows = rows.withColumns({"_c": field("close"), "_v": field("volume")})
     last, first = F.try_element_at("_c", F.lit(-1)), F.get("_c", F.lit(0))
-    back = lambda k: F.round((last / F.try_element_at("_c", F.lit(-1 - k)) - 1) * 100, 6)
+    back = lambda k: (last / F.try_element_at("_c", F.lit(-1 - k)) - 1) * 100
     rets = F.zip_with(F.slice("_c", 2, n), F.slice("_c", 1, n - 1), lambda b, a: b / a - 1)
     rows = rows.withColumn("_r", rets)
     m = float(n - 1)
@@ -212,10 +213,10 @@ def technical_context(tail: DataFrame, bars: str = "tail", n: int = 32) -> DataF
         now = (x / top - 1) * 100
         return F.struct(top.alias("top"), F.least(s["worst"], now).alias("worst"), now.alias("now"))
 
-    rows = rows.withColumn("_d", F.aggregate("_c", start, draw)).withColumn("_mv", mean_v)
+    rows = C.pin(rows, "_d", F.aggregate("_c", start, draw)).withColumn("_mv", mean_v)
     ok = F.size("_t") >= n
     out = {
-        "return_4_pct": back(4), "return_16_pct": back(16), f"return_{n - 1}_pct": F.round((last / first - 1) * 100, 6),
+        "return_4_pct": back(4), "return_16_pct": back(16), f"return_{n - 1}_pct": (last / first - 1) * 100,
         "slope_pct_per_hour": sxy / sxx * 4 / last * 100, "realized_volatility_pct": std * (m ** 0.5) * 100,
         "volume_ratio": F.coalesce(F.try_divide(F.try_element_at("_v", F.lit(-1)), F.nullif("_mv", F.lit(0.0))), F.lit(0.0)),
         "maximum_drawdown_pct": F.col("_d.worst"), "current_drawdown_pct": F.col("_d.now"),

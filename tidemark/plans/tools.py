@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.operators import asof
+from tidemark.operators import chunks as C
 
 TREND_WINDOWS = (5, 15, 30, 60, 240)
 LOOKBACKS = {"donchian_breakout": (20, 55), "drawdown_profile": (60, 240, 1440), "volume_confirmation": (20, 60, 240)}
@@ -100,7 +101,8 @@ def donchian(rows: Column, n: Column) -> dict[str, Column]:
     }
 
 
-def drawdown(rows: Column, n: Column) -> dict[str, Column]:
+def drawdown_fold(rows: Column, n: Column) -> Column:
+    """One pass over the sample: running top, deepest fall with its peak, squared losses."""
     sample = F.slice(rows, F.greatest(F.size(rows) - n + 1, F.lit(1)), n)
     head = F.get(sample, F.lit(0))
     mark = lambda b, name: F.struct(b["ts"].alias("ts"), b["close"].alias("close")).alias(name)
@@ -108,40 +110,53 @@ def drawdown(rows: Column, n: Column) -> dict[str, Column]:
                     head["close"].alias("last"), F.lit(0.0).alias("down"))
 
     def step(s, b):
-        higher = b["close"] > s["top"]["close"]
-        top = F.when(higher, F.struct(b["ts"].alias("ts"), b["close"].alias("close"))).otherwise(s["top"])
-        fall = (b["close"] / top["close"] - 1) * 100
-        deeper = fall < s["worst"]
         here = F.struct(b["ts"].alias("ts"), b["close"].alias("close"))
+        top = F.when(b["close"] > s["top"]["close"], here).otherwise(s["top"])
+        fall = (b["close"] / F.greatest(b["close"], s["top"]["close"]) - 1) * 100
+        deeper = fall < s["worst"]
         down = F.least(b["close"] / s["last"] - 1, F.lit(0.0))
-        return F.struct(top.alias("top"), F.when(deeper, fall).otherwise(s["worst"]).alias("worst"),
+        return F.struct(top.alias("top"), F.least(fall, s["worst"]).alias("worst"),
                         F.when(deeper, top).otherwise(s["peak"]).alias("peak"),
                         F.when(deeper, here).otherwise(s["trough"]).alias("trough"),
                         b["close"].alias("last"), (s["down"] + down * down).alias("down"))
 
-    s = F.aggregate(sample, seed, step)
+    return F.aggregate(sample, seed, step)
+
+
+def drawdown(s: Column, n: Column) -> dict[str, Column]:
     worst = s["worst"]
     return {
         "current_drawdown_pct": (s["last"] / s["top"]["close"] - 1) * 100, "max_drawdown_pct": worst,
-        "downside_semideviation_pct": F.sqrt(s["down"] / F.greatest(F.size(sample) - 1, F.lit(1))) * 100,
+        "downside_semideviation_pct": F.sqrt(s["down"] / F.greatest(n - 1, F.lit(1))) * 100,
         "peak_ts": s["peak"]["ts"], "trough_ts": s["trough"]["ts"],
         "peak_price": s["peak"]["close"], "trough_price": s["trough"]["close"],
         "state": F.when(worst <= -7, "SEVERE").when(worst <= -3, "ELEVATED").when(worst <= -1, "WATCH").otherwise("NORMAL"),
     }
 
 
-def volume(rows: Column, n: Column) -> dict[str, Column]:
+def volume_fold(rows: Column, n: Column) -> Column:
+    """Sum, sum of squares around the first value, and signed flow of the prior window."""
     prior = F.slice(rows, F.size(rows) - n, n)
-    now = F.try_element_at(rows, F.lit(-1))["volume"]
-    sums = F.aggregate(prior, F.struct(F.lit(0.0).alias("s")), lambda a, b: F.struct((a["s"] + b["volume"]).alias("s")))
-    mean = sums["s"] / n
-    spread = F.sqrt(F.aggregate(prior, F.lit(0.0), lambda a, b: a + F.pow(b["volume"] - mean, 2)) / n)
-    flow = F.aggregate(prior, F.struct(F.lit(None).cast("double").alias("c"), F.lit(0.0).alias("v")), lambda a, b: F.struct(
-        b["close"].alias("c"), (a["v"] + F.coalesce(F.signum(b["close"] - a["c"]) * b["volume"], F.lit(0.0))).alias("v")))
-    z = F.when(spread > 0, F.try_divide(now - mean, spread)).otherwise(0.0)
+    base = F.get(prior, F.lit(0))["volume"]
+    seed = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"), F.lit(None).cast("double").alias("c"), F.lit(0.0).alias("flow"))
+
+    def step(a, b):
+        d = b["volume"] - base
+        move = F.coalesce(F.signum(b["close"] - a["c"]) * b["volume"], F.lit(0.0))
+        return F.struct((a["s"] + d).alias("s"), (a["q"] + d * d).alias("q"), b["close"].alias("c"), (a["flow"] + move).alias("flow"))
+
+    done = F.aggregate(prior, seed, step)
+    return F.struct(done.alias("a"), base.alias("base"), F.try_element_at(rows, F.lit(-1))["volume"].alias("now"))
+
+
+def volume(f: Column, n: Column) -> dict[str, Column]:
+    mean = f["base"] + f["a"]["s"] / n
+    spread = F.sqrt(F.greatest(f["a"]["q"] / n - F.pow(f["a"]["s"] / n, 2), F.lit(0.0)))
+    # A flat window has no spread beyond rounding.
+    z = F.when(spread > 1e-9 * F.greatest(F.abs(mean), F.lit(1e-9)), F.try_divide(f["now"] - mean, spread)).otherwise(0.0)
     return {
-        "current_volume": now, "mean_volume": mean, "volume_z_score": z,
-        "obv_slope_per_bar": flow["v"] / F.greatest(n - 1, F.lit(1)),
+        "current_volume": f["now"], "mean_volume": mean, "volume_z_score": z,
+        "obv_slope_per_bar": f["a"]["flow"] / F.greatest(n - 1, F.lit(1)),
         "state": F.when(z >= 2, "HIGH_VOLUME").when(z <= -1, "LOW_VOLUME").otherwise("NEUTRAL"),
     }
 
@@ -164,13 +179,17 @@ def run_tools(requests: DataFrame, bars: DataFrame, width: int) -> DataFrame:
         low = size
     enough = F.size("tail") >= F.col("_need")
     rows = results.withColumn("status", F.when(enough, "OK").otherwise("INSUFFICIENT_DATA"))
-    n = F.col("lookback")
+    n, tail = F.col("lookback"), F.col("tail")
+    is_trend = enough & (F.col("tool") == "multi_timeframe_trend")
+    rows = C.pin(rows, "windows_detail", F.when(is_trend, trend(tail, F.col("windows"))))
+    rows = C.pin(rows, "_draw", F.when(enough & (F.col("tool") == "drawdown_profile"), drawdown_fold(tail, n)))
+    rows = C.pin(rows, "_flow", F.when(enough & (F.col("tool") == "volume_confirmation"), volume_fold(tail, n)))
+    made = {"donchian_breakout": donchian(tail, n), "drawdown_profile": drawdown(F.col("_draw"), n),
+            "volume_confirmation": volume(F.col("_flow"), n)}
     facts: dict[str, list] = {}
-    for tool, make in (("donchian_breakout", donchian), ("drawdown_profile", drawdown), ("volume_confirmation", volume)):
-        for name, value in make(F.col("tail"), n).items():
+    for tool, values in made.items():
+        for name, value in values.items():
             facts.setdefault(name, []).append((tool, value))
-    is_trend = enough & (F.col("tool") == "multi_timeframe_trend")
-    rows = rows.withColumn("windows_detail", F.when(is_trend, trend(F.col("tail"), F.col("windows"))))
     out = {}
     for name in (*RESULT, "state"):
         column = F.when(is_trend, alignment(F.col("windows_detail"))) if name == "state" else None
@@ -178,7 +197,8 @@ def run_tools(requests: DataFrame, bars: DataFrame, width: int) -> DataFrame:
             test = enough & (F.col("tool") == tool)
             column = F.when(test, value) if column is None else column.when(test, value)
         out[name] = column
-    done = rows.withColumns(out).drop("tail", "_need")
+    done = C.pin(rows, "_facts", F.struct(*[v.alias(k) for k, v in out.items()]))
+    done = done.select("*", "_facts.*").drop("tail", "_need", "_draw", "_flow", "_facts")
     failed = marked.filter(F.col("error_code").isNotNull()).withColumn("status", F.lit("ERROR"))
     return done.unionByName(failed, allowMissingColumns=True)
 
