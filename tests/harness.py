@@ -43,8 +43,8 @@ def compare(df, con, sql):
     if got_cols != want_cols:
         return f"columns {got_cols} != {want_cols}", len(got)
     if got != want:
-        extra = [r for r in got if r not in set(want)][:3]
-        missing = [r for r in want if r not in set(got)][:3]
+        have, need = set(got), set(want)
+        extra, missing = sorted(have - need)[:3], sorted(need - have)[:3]
         return f"rows {len(got)} vs {len(want)}; only spark {extra}; only sql {missing}", len(got)
     return None, len(got)
 

@@ -500,11 +500,11 @@ def f04(spark, sf):
 
 # --- Ledgers --------------------------------------------------------------------------
 
-@query("W33_running_balances", f"""SELECT l_orderkey, l_linenumber, {R("10000 + sum(CASE l_returnflag WHEN 'R' THEN -l_extendedprice ELSE l_extendedprice END) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber)", 'balance', 2)} FROM lineitem""")
+@query("W33_running_balances", f"""SELECT l_orderkey, l_linenumber, {R("10000 + sum(CASE l_returnflag WHEN 'R' THEN -l_extendedprice ELSE l_extendedprice END) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice ROWS UNBOUNDED PRECEDING)", 'balance', 2)} FROM lineitem""")
 def w33(spark, sf):
-    l = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
+    l = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
                                             F.when(F.col("l_returnflag") == "R", -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice")).alias("delta"))
-    out = L.running_balances(l, 10000.0, ["l_suppkey"], width=20000)
+    out = L.running_balances(l, 10000.0, ["l_suppkey"], width=20000, tie=("l_partkey", "l_extendedprice"))
     return rounded(out, ["l_orderkey", "l_linenumber"], ["balance"], 2)
 
 
@@ -614,10 +614,10 @@ def p18(spark, sf):
     return rounded(reports.execution_rows(exec_rows(spark, sf)), ["id", "action"], ["slippage_pct", "immediate_equity_delta"], 4)
 
 
-@query("A04_execution_summary", W(EXEC, f"SELECT account, count(*) AS executed_orders, {R('coalesce(sum(fee), 0)', 'total_fees', 4)}, {R('coalesce(sum(realized_pnl), 0)', 'realized_pnl', 4)}, {R('coalesce(avg(slippage_rate) * 100, 0)', 'avg_slippage_pct')} FROM xl WHERE action IN ('BUY', 'SELL') GROUP BY 1"))
+@query("A04_execution_summary", W(EXEC, f"SELECT account, count(*) AS executed_orders, {R('coalesce(sum(fee), 0)', 'total_fees', 5)}, {R('coalesce(sum(realized_pnl), 0)', 'realized_pnl', 4)}, {R('coalesce(avg(slippage_rate) * 100, 0)', 'avg_slippage_pct')} FROM xl WHERE action IN ('BUY', 'SELL') GROUP BY 1"))
 def a04(spark, sf):
     s = reports.execution_summary(exec_rows(spark, sf), ["account"])
-    return s.select("account", "executed_orders", rnd("total_fees", 4).alias("total_fees"), rnd("realized_pnl", 4).alias("realized_pnl"), rnd("avg_slippage_pct").alias("avg_slippage_pct"))
+    return s.select("account", "executed_orders", rnd("total_fees", 5).alias("total_fees"), rnd("realized_pnl", 4).alias("realized_pnl"), rnd("avg_slippage_pct").alias("avg_slippage_pct"))
 
 
 @query("A22_performance_report", W(DECISIONS, f"""SELECT account, count(*) AS cycles, count(*) FILTER (risk_action <> 'HOLD') AS executed, count(*) FILTER (risk_action = 'HOLD' AND conviction >= 70) AS blocked, {R('greatest((max(ts) - min(ts)) / 3600.0, 0.01)', 'hours', 4)},

@@ -18,9 +18,10 @@ REPLAY = ("account bigint, id bigint, action string, equity_before double, gross
 
 
 def running_balances(deltas: DataFrame, opening: float = 0.0, keys: Sequence[str] = ("account", "currency"),
-                     order: str = "id", delta: str = "delta", width: int = 1_000_000) -> DataFrame:
+                     order: str = "id", delta: str = "delta", width: int = 1_000_000,
+                     tie: Sequence[str] = ()) -> DataFrame:
     """Balance after every recorded delta."""
-    out = C.running_sum(deltas, keys, order, delta, width, "balance")
+    out = C.running_sum(deltas, keys, order, delta, width, "balance", tie)
     return out.withColumn("balance", F.col("balance") + F.lit(opening))
 
 
