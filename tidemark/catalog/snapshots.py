@@ -58,8 +58,8 @@ tech AS (
 
 
 def _technical(spark, sf):
-    tail = asof.trailing_context(decisions(spark, sf), bars(spark, sf), snapshot.BARS, ["open", "high", "low", "close", "volume"], WIDTH // 4)
-    return snapshot.technical(tail).filter(F.col("n_bars") >= snapshot.LEAST_BARS)
+    states = snapshot.technical_states(decisions(spark, sf), bars(spark, sf), WIDTH // 4)
+    return states.filter(F.col("n_bars") >= snapshot.LEAST_BARS)
 
 
 def _tech(key, doubles, plain=()):

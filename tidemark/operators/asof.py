@@ -89,6 +89,11 @@ def cap_per_instant(right: DataFrame, keys: Sequence[str], ts: str, order: Seque
     return right.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= n).drop("_rk")
 
 
+def last_items(arr: Column, n) -> Column:
+    """Last ``n`` elements in order; names ``arr`` once, so a costly one runs once."""
+    return F.reverse(F.slice(F.reverse(arr), F.lit(1), n if isinstance(n, Column) else F.lit(n)))
+
+
 def trailing_context(left: DataFrame, right: DataFrame, n: int, cols: Sequence[str], width: int,
                      keys: Sequence[str] = ("asset",), at: str = "ts", ts: str = "ts",
                      order: Sequence[str] = (), out: str = "tail") -> DataFrame:
@@ -103,7 +108,7 @@ def trailing_context(left: DataFrame, right: DataFrame, n: int, cols: Sequence[s
     rows = cap_per_instant(right, keys, ts, order, n) if order else right
     own = (C.with_chunk(rows, ts, width).groupBy(*keys, C.CHUNK)
            .agg(F.array_sort(F.collect_list(F.struct(*lead))).alias("_own_rows")))
-    last_n = lambda arr: F.slice(arr, F.greatest(F.size(arr) - F.lit(n) + 1, F.lit(1)), n)
+    last_n = lambda arr: last_items(arr, n)
     chain = Window.partitionBy(*keys).orderBy(C.CHUNK)
     tails = F.collect_list(last_n(F.col("_own_rows"))).over(chain.rowsBetween(-n, 0))
     with_tail = own.withColumn("_tail", last_n(F.flatten(tails)))
@@ -117,7 +122,13 @@ def trailing_context(left: DataFrame, right: DataFrame, n: int, cols: Sequence[s
                                                   F.coalesce("_own_rows", blank)).alias("_rows"))
     joined = C.with_chunk(left, at, width).join(table, [*keys, C.CHUNK], "left")
     upto = F.filter("_rows", lambda r: r["ts"] <= F.col(at))
-    return joined.withColumn(out, last_n(upto)).drop("_rows", C.CHUNK)
+    return C.pin(joined, out, last_n(upto)).drop("_rows", C.CHUNK)
+
+
+def at_last_bar(left: DataFrame, bars: DataFrame, width: int, keys: Sequence[str] = ("asset",), out: str = "bar_ts") -> DataFrame:
+    """Timestamp of the newest bar at or before each left row (null when none)."""
+    found = trailing_context(left, bars.select(*keys, "ts"), 1, [], width, keys, out="_one")
+    return found.withColumn(out, F.get("_one", F.lit(0))["ts"]).drop("_one")
 
 
 def as_of(bars: DataFrame, at: int, limit: int, keys: Sequence[str] = ("asset",), start: int | None = None) -> DataFrame:

@@ -90,21 +90,16 @@ def decision_memory(points: DataFrame, logs: DataFrame, *, keys: Sequence[str] =
     rows = episodes(logs).select(*keys, "ts", id_col, "signature")
     found = asof.trailing_context(points, rows, SOURCE_ROWS + 1, ["signature"], width, keys, order=(id_col,))
     prior = F.filter("tail", lambda r: (r["ts"] >= F.col("ts") - window) & (r[id_col] != F.col(id_col)))
-    found = found.withColumn("tail", prior)
-    source = F.slice("tail", F.greatest(F.size("tail") - SOURCE_ROWS + 1, F.lit(1)), SOURCE_ROWS)
-    entry = lambda sig, n, ts: F.struct(sig.alias("signature"), n.cast("int").alias("repeat_count"), ts.alias("newest_ts"))
-    blank = F.array().cast("array<struct<signature:string,repeat_count:int,newest_ts:bigint>>")
-
-    def merge(acc, r):
-        last = F.try_element_at(acc, F.lit(-1))
-        same = F.coalesce(last["signature"] == r["signature"], F.lit(False))
-        grown = F.array_append(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-                               entry(r["signature"], F.least(F.lit(MAX_REPEAT), last["repeat_count"] + 1), r["ts"]))
-        return F.when(same, grown).otherwise(F.array_append(acc, entry(r["signature"], F.lit(1), r["ts"])))
-
-    runs = F.aggregate(source, blank, merge)
-    found = C.pin(found, "_runs", runs)
-    return found.withColumn("episodes", F.slice("_runs", F.greatest(F.size("_runs") - limit + 1, F.lit(1)), limit)).drop("tail", "_runs")
+    found = C.pin(found, "_src", asof.last_items(prior, SOURCE_ROWS))
+    n = F.size("_src")
+    sig = lambda i: F.get("_src", i - 1)["signature"]
+    # A run starts at the first row and wherever the signature changes.
+    starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (sig(i) != F.get("_src", i - 2)["signature"]))
+    found = C.pin(found, "_at", F.when(n > 0, asof.last_items(starts, limit)).otherwise(F.array().cast("array<int>")))
+    ends = F.transform("_at", lambda s, k: F.coalesce(F.get("_at", k + 1) - 1, n))
+    runs = F.zip_with("_at", ends, lambda s, e: F.struct(
+        sig(s).alias("signature"), F.least(F.lit(MAX_REPEAT), e - s + 1).alias("repeat_count"), F.get("_src", e - 1)["ts"].alias("newest_ts")))
+    return found.withColumn("episodes", runs).drop("tail", "_src", "_at")
 
 
 def compact_runs(rows: DataFrame, keys: Sequence[str], order: str, signature: str, width: int = 100_000,

@@ -75,8 +75,7 @@ def _mean(values: Column, n: Column | int) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n
 
 
-def _last(values: Column, n: int) -> Column:
-    return F.slice(values, F.greatest(F.size(values) - n + 1, F.lit(1)), n)
+_last = asof.last_items
 
 
 def technical(tail: DataFrame, bars: str = "tail") -> DataFrame:
@@ -126,9 +125,10 @@ def technical(tail: DataFrame, bars: str = "tail") -> DataFrame:
     rows = rows.withColumn("_sd", F.sqrt(var))
     c = F.col
     bin_of = lambda x: F.least(F.lit(9), F.greatest(F.lit(0), F.floor(F.try_divide(x - c("_lo"), c("_w"))))).cast("int")
+    rows = C.pin(rows, "_slots", F.transform(bars, lambda b: F.struct(bin_of(b["close"]).alias("i"), b["volume"].alias("v"))))
     weights = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.aggregate(
-        bars, F.lit(0.0), lambda a, b: a + F.when(bin_of(b["close"]) == i, b["volume"]).otherwise(0.0)))
-    rows = rows.withColumn("_bins", F.when(c("_w") > 0, weights))
+        "_slots", F.lit(0.0), lambda a, b: a + F.when(b["i"] == i, b["v"]).otherwise(0.0)))
+    rows = C.pin(rows, "_bins", F.when(c("_w") > 0, weights))
     peak = F.array_position("_bins", F.array_max("_bins")) - 1
     rows = rows.withColumns({
         "rsi_status": F.when(c("_flat"), "NEUTRAL").when(c("rsi") >= 70, "OVERBOUGHT").when(c("rsi") <= 30, "OVERSOLD").otherwise("NEUTRAL"),
@@ -147,6 +147,20 @@ def technical(tail: DataFrame, bars: str = "tail") -> DataFrame:
     return rows.drop(*[x for x in rows.columns if x.startswith("_")], bars)
 
 
+def technical_states(decisions: DataFrame, bars: DataFrame, width: int) -> DataFrame:
+    """Decisions with the technical columns of their newest bar.
+
+    The state belongs to the bar, so it is computed once per bar that some
+    decision falls on, however many decisions share it.
+    """
+    placed = asof.at_last_bar(decisions, bars, width, out="latest_bar_ts")
+    anchors = placed.select("asset", F.col("latest_bar_ts").alias("ts")).filter("ts IS NOT NULL").distinct()
+    tail = asof.trailing_context(anchors, bars, BARS, ["open", "high", "low", "close", "volume"], width)
+    states = technical(tail).drop("latest_bar_ts").withColumnRenamed("ts", "latest_bar_ts")
+    out = placed.join(states, ["asset", "latest_bar_ts"], "left")
+    return out.withColumn("n_bars", F.coalesce("n_bars", F.lit(0)))
+
+
 def build_snapshots(decisions: DataFrame, bars: DataFrame, news: DataFrame, *, width: int, initial_equity: float = 10000.0,
                     lexicon: Sequence[str] = text.NEGATIVE_TERMS, market_stale: int = MARKET_STALE,
                     news_stale: int = NEWS_STALE, news_width: int = 3600) -> DataFrame:
@@ -154,8 +168,7 @@ def build_snapshots(decisions: DataFrame, bars: DataFrame, news: DataFrame, *, w
 
     ``decisions`` needs asset, ts and the balances ``cash`` and ``holding``.
     """
-    tail = asof.trailing_context(decisions, bars, BARS, ["open", "high", "low", "close", "volume"], width)
-    state = technical(tail)
+    state = technical_states(decisions, bars, width)
     with_news = recent_news(state, scanned_news(news, lexicon), width=news_width)
     latest = F.array_max(F.transform("news", lambda x: x["ts"]))
     rows = with_news.withColumns(data_health(F.col("latest_bar_ts"), latest, F.col("ts"), market_stale, news_stale))

@@ -52,8 +52,7 @@ def required_bars() -> Column:
 
 
 def _closes(rows: Column, n: Column | int) -> Column:
-    picked = F.slice(rows, F.greatest(F.size(rows) - n + 1, F.lit(1)), n)
-    return F.transform(picked, lambda b: b["close"])
+    return F.transform(asof.last_items(rows, n), lambda b: b["close"])
 
 
 def _ema(values: Column, span: Column) -> Column:
@@ -103,7 +102,7 @@ def donchian(rows: Column, n: Column) -> dict[str, Column]:
 
 def drawdown_fold(rows: Column, n: Column) -> Column:
     """One pass over the sample: running top, deepest fall with its peak, squared losses."""
-    sample = F.slice(rows, F.greatest(F.size(rows) - n + 1, F.lit(1)), n)
+    sample = asof.last_items(rows, n)
     head = F.get(sample, F.lit(0))
     mark = lambda b, name: F.struct(b["ts"].alias("ts"), b["close"].alias("close")).alias(name)
     seed = F.struct(mark(head, "top"), F.lit(0.0).alias("worst"), mark(head, "peak"), mark(head, "trough"),
@@ -167,9 +166,28 @@ RESULT = ("prior_upper", "prior_lower", "channel_position", "distance_to_upper_p
 
 
 def run_tools(requests: DataFrame, bars: DataFrame, width: int) -> DataFrame:
-    """One result row per request: status, error code, state and facts per tool."""
+    """One result row per request: status, error code, state and facts per tool.
+
+    Equal questions about the same newest bar are answered once and joined back.
+    """
     marked = requests.withColumn("error_code", request_error())
-    good = marked.filter(F.col("error_code").isNull()).withColumn("_need", required_bars())
+    good = marked.filter(F.col("error_code").isNull())
+    placed = asof.at_last_bar(good, bars, width).withColumn("_windows", F.when(
+        F.col("tool") == "multi_timeframe_trend", F.array_join(F.col("windows").cast("array<string>"), ",")).otherwise(""))
+    placed = placed.withColumn("_lookback", F.when(F.col("tool") == "multi_timeframe_trend", F.lit(0)).otherwise(F.col("lookback")))
+    ask = ["asset", "bar_ts", "tool", "_windows", "_lookback"]
+    distinct = placed.groupBy(*ask).agg(F.first("windows").alias("windows")).select(
+        "asset", F.col("bar_ts").alias("ts"), "tool", "_windows", "_lookback", "windows", F.col("_lookback").alias("lookback"))
+    facts = answers(distinct.filter("ts IS NOT NULL"), bars, width).drop("windows", "lookback").withColumnRenamed("ts", "bar_ts")
+    done = placed.join(facts, ask, "left").drop("_windows", "_lookback", "bar_ts")
+    done = done.withColumn("status", F.coalesce("status", F.lit("INSUFFICIENT_DATA")))
+    failed = marked.filter(F.col("error_code").isNotNull()).withColumn("status", F.lit("ERROR"))
+    return done.unionByName(failed, allowMissingColumns=True)
+
+
+def answers(questions: DataFrame, bars: DataFrame, width: int) -> DataFrame:
+    """Facts per distinct question (asset, ts, tool, windows, lookback)."""
+    good = questions.withColumn("_need", required_bars())
     results = None
     low = 0
     for size in SIZES:
@@ -198,9 +216,7 @@ def run_tools(requests: DataFrame, bars: DataFrame, width: int) -> DataFrame:
             column = F.when(test, value) if column is None else column.when(test, value)
         out[name] = column
     done = C.pin(rows, "_facts", F.struct(*[v.alias(k) for k, v in out.items()]))
-    done = done.select("*", "_facts.*").drop("tail", "_need", "_draw", "_flow", "_facts")
-    failed = marked.filter(F.col("error_code").isNotNull()).withColumn("status", F.lit("ERROR"))
-    return done.unionByName(failed, allowMissingColumns=True)
+    return done.select("*", "_facts.*").drop("tail", "_need", "_draw", "_flow", "_facts")
 
 
 def drawdown_events(results: DataFrame) -> DataFrame:
