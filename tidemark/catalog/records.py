@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidemark.catalog.base import R, RS, query, rnd, rounded, table
@@ -32,10 +34,8 @@ def s04(spark, sf):
 
 
 def _stored_bars(spark, sf):
-    folder = f"{shared_folder(spark).rstrip('/')}/tidemark-bars-{abs(hash((sf, id(spark))))}"
-    if sinks._read(spark, folder) is None:
-        b = bars(spark, sf).withColumn("day", clock.day_index(F.col("ts")))
-        sinks.write_table(b, folder, partition_by=["day"])
+    folder = f"{shared_folder(spark).rstrip('/')}/tidemark-bars-{uuid.uuid4().hex}"
+    sinks.write_table(bars(spark, sf).withColumn("day", clock.day_index(F.col("ts"))), folder, partition_by=["day"])
     return spark.read.parquet(folder)
 
 
@@ -99,10 +99,10 @@ def s12(spark, sf):
     return reports.run_state(run_events(spark, sf)).select("run_id", "status", "started_at", "completed_at", "events")
 
 
-@query("M30_run_audit", W(RUNS, f"SELECT status, count(*) AS n, CAST(sum(duration) AS BIGINT) AS duration, {R('sum(fee)', 'fee', 2)} FROM (SELECT run_id, arg_max(status, seq) AS status, max(completed_at) - max(started_at) AS duration, max(fee) AS fee FROM ev GROUP BY 1) GROUP BY 1"))
+@query("M30_run_audit", W(RUNS, f"SELECT status, count(*) AS n, CAST(sum(duration) AS BIGINT) AS duration, {R('sum(fee)', 'fee', 4)} FROM (SELECT run_id, arg_max(status, seq) AS status, max(completed_at) - max(started_at) AS duration, max(fee) AS fee FROM ev GROUP BY 1) GROUP BY 1"))
 def m30(spark, sf):
     a = reports.run_audit(run_events(spark, sf))
-    return a.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("duration").alias("duration"), rnd(F.sum("fee"), 2).alias("fee"))
+    return a.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("duration").alias("duration"), rnd(F.sum("fee"), 4).alias("fee"))
 
 
 GAP = W(BARS, """SELECT asset, CASE WHEN s <= 1 THEN '1m' WHEN s <= 5 THEN '2_5m' WHEN s <= 15 THEN '6_15m' ELSE 'gt_15m' END AS bucket, count(*) AS n
