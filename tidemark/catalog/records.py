@@ -79,7 +79,7 @@ def s11(spark, sf):
 
 RUNS = """ev AS (SELECT o_orderkey AS run_id, 1 AS seq, CAST(epoch(o_orderdate) AS BIGINT) AS started_at, NULL::BIGINT AS completed_at, 'STARTED' AS status, NULL::DOUBLE AS fee FROM orders
   UNION ALL SELECT o_orderkey, 2, NULL, CAST(epoch(o_orderdate) AS BIGINT) + o_orderkey % 100, CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'O' THEN 'ABORTED' ELSE 'FAILED' END,
-    CASE WHEN o_orderstatus = 'F' THEN round(o_totalprice * 0.003, 4) END FROM orders WHERE o_orderkey % 5 <> 0)"""
+    CASE WHEN o_orderstatus = 'F' THEN round(o_totalprice * 0.003, 5) END FROM orders WHERE o_orderkey % 5 <> 0)"""
 
 
 def run_events(spark, sf):
@@ -88,7 +88,7 @@ def run_events(spark, sf):
     start = o.select(F.col("o_orderkey").alias("run_id"), F.lit(1).alias("seq"), F.col("t").alias("started_at"), null("bigint").alias("completed_at"),
                      F.lit("STARTED").alias("status"), null("string").alias("execution_json"))
     state = F.when(F.col("o_orderstatus") == "F", "COMPLETED").when(F.col("o_orderstatus") == "O", "ABORTED").otherwise("FAILED")
-    audit = F.when(F.col("o_orderstatus") == "F", F.to_json(F.struct(F.round(F.col("o_totalprice") * 0.003, 4).alias("fee"))))
+    audit = F.when(F.col("o_orderstatus") == "F", F.to_json(F.struct(F.round(F.col("o_totalprice") * 0.003, 5).alias("fee"))))
     end = o.filter("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("run_id"), F.lit(2).alias("seq"), null("bigint").alias("started_at"),
                                                  (F.col("t") + F.col("o_orderkey") % 100).alias("completed_at"), state.alias("status"), audit.alias("execution_json"))
     return start.unionByName(end)
@@ -99,10 +99,10 @@ def s12(spark, sf):
     return reports.run_state(run_events(spark, sf)).select("run_id", "status", "started_at", "completed_at", "events")
 
 
-@query("M30_run_audit", W(RUNS, f"SELECT status, count(*) AS n, CAST(sum(duration) AS BIGINT) AS duration, {R('sum(fee)', 'fee', 4)} FROM (SELECT run_id, arg_max(status, seq) AS status, max(completed_at) - max(started_at) AS duration, max(fee) AS fee FROM ev GROUP BY 1) GROUP BY 1"))
+@query("M30_run_audit", W(RUNS, f"SELECT status, count(*) AS n, CAST(sum(duration) AS BIGINT) AS duration, {R('sum(fee)', 'fee', 5)} FROM (SELECT run_id, arg_max(status, seq) AS status, max(completed_at) - max(started_at) AS duration, max(fee) AS fee FROM ev GROUP BY 1) GROUP BY 1"))
 def m30(spark, sf):
     a = reports.run_audit(run_events(spark, sf))
-    return a.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("duration").alias("duration"), rnd(F.sum("fee"), 4).alias("fee"))
+    return a.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum("duration").alias("duration"), rnd(F.sum("fee"), 5).alias("fee"))
 
 
 GAP = W(BARS, """SELECT asset, CASE WHEN s <= 1 THEN '1m' WHEN s <= 5 THEN '2_5m' WHEN s <= 15 THEN '6_15m' ELSE 'gt_15m' END AS bucket, count(*) AS n
