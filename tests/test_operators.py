@@ -160,3 +160,14 @@ def test_copy_counts(spark):
     diff = sinks.count_differences({"x": a, "y": a}, {"x": a, "y": b, "z": b}).collect()
     assert sorted((r.table, r.left_rows, r.right_rows) for r in diff) == [("y", 3, 4), ("z", None, 4)]
     assert sinks.copy_columns(a.withColumn("q", F.lit(1)), ["q", "zz"]).columns == ["q"]
+
+
+def test_label_tables_are_published_whole(spark, tmp_path):
+    labels = spark.createDataFrame([("A", T0, 15, 2), ("A", T0, 60, -1)], "asset string, ts bigint, horizon int, label int")
+    for _ in range(2):
+        sinks.write_labels(labels, str(tmp_path / "l"), "abc")
+    got = spark.read.parquet(str(tmp_path / "l")).filter("horizon = 60").collect()
+    assert [(r.label, r.source_fingerprint) for r in got] == [(-1, "abc")]
+    sinks.write_table(labels.withColumn("asset", F.lit('x,"y"')), str(tmp_path / "c"), "csv")
+    back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "c")).collect()
+    assert {r.asset for r in back} == {'x,"y"'}
