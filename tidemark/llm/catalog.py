@@ -143,7 +143,7 @@ def _line_sql() -> str:
     line_words, chars = f"len(regexp_extract_all(x, '{WORD}'))", f"length(translate(x, {BLANKS}, ''))"
     symbols = f"(length(x) - length(translate(x, {_lit(L.SYMBOLS)}, '')))"
     upper, lower = r"len(regexp_extract_all(x, '\p{Lu}'))", r"len(regexp_extract_all(x, '\p{Ll}'))"
-    unended = f"({line_words} >= {L.SENTENCE_WORDS} AND NOT regexp_matches(rtrim(translate(x, {BLANKS}, repeat(' ', 6))), {_lit(L.ENDS)}))"
+    unended = f"({line_words} >= {L.SENTENCE_WORDS} AND NOT regexp_matches(rtrim(translate(x, {BLANKS}, repeat(' ', 6))), {_lit(L.ENDS)}) AND NOT regexp_matches(x, {_lit(L.ENDED)}))"
     fails = (f"({line_words} > 0 AND ({unended} OR len(regexp_extract_all(x, {_lit(L.SEPARATORS)})) > {L.MOST_SEPARATORS}"
              f" OR (regexp_matches(x, {_lit(L.BOILERPLATE)}) AND {line_words} < {L.BOILERPLATE_WORDS}) OR 100 * {symbols} > {L.MOST_SYMBOLS} * {chars}"
              f" OR (100 * {upper} > {L.MOST_CAPITALS} * ({upper} + {lower}) AND {line_words} >= {L.SENTENCE_WORDS})))")

@@ -9,7 +9,7 @@ from tidemark.llm.common import SPACE, words
 
 #: Fixed limits of the base verdict: least words, and most percent of words in repeated windows of three.
 LEAST_WORDS, WINDOW_WORDS, MOST_REPEATED = 50, 3, 50
-#: A line of at least this many words must end as a sentence does; shorter ones may be headings.
+#: A line of at least this many words must end as a sentence does, or hold a sentence that has ended; shorter ones may be headings.
 SENTENCE_WORDS = 5
 #: Percent of a line's characters that symbols may make, percent of its letters that may be capitals, and separators a line of text may hold.
 MOST_SYMBOLS, MOST_CAPITALS, MOST_SEPARATORS = 10, 60, 2
@@ -20,6 +20,7 @@ MOST_LOST = 50
 
 SYMBOLS = "#*$%&|<>"
 ENDS = r"[.!?…:;。！？][\"'”’»)\]]*$"
+ENDED = r"[.!?…。！？][\x20\x09-\x0D]"
 SEPARATORS = r"\||»|›|•|::|>>"
 BOILERPLATE = (r"(?i)\b(lorem ipsum|javascript|cookie policy|use cookies|privacy policy|terms of (use|service)|all rights reserved"
                r"|sign (in|up)|log ?in|subscribe|read more|click here|share (this|on)|back to top|next page|previous page)\b")
@@ -32,7 +33,7 @@ def line_fails(line: Column) -> Column:
     letters = F.length(F.translate(line, SPACE, ""))
     symbols = F.length(line) - F.length(F.translate(line, SYMBOLS, ""))
     upper, lower = F.regexp_count(line, F.lit(r"\p{Lu}")), F.regexp_count(line, F.lit(r"\p{Ll}"))
-    unended = (count >= SENTENCE_WORDS) & ~F.rtrim(F.translate(line, SPACE, " ")).rlike(ENDS)
+    unended = (count >= SENTENCE_WORDS) & ~F.rtrim(F.translate(line, SPACE, " ")).rlike(ENDS) & ~line.rlike(ENDED)
     navigation = F.regexp_count(line, F.lit(SEPARATORS)) > MOST_SEPARATORS
     boilerplate = line.rlike(BOILERPLATE) & (count < BOILERPLATE_WORDS)
     return (count > 0) & (unended | navigation | boilerplate | (100 * symbols > MOST_SYMBOLS * letters) | ((100 * upper > MOST_CAPITALS * (upper + lower)) & (count >= SENTENCE_WORDS)))
