@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import HANDLE, handles, rows_of
@@ -16,11 +16,9 @@ FREQUENT, SHARE = 1000, 1000
 
 def frequent_hashes(rows: DataFrame, hash_col: str) -> list[int]:
     """Hashes that at least ``FREQUENT`` rows and a thousandth of all rows share; so never more than a thousand."""
-    seen = Observation()
-    counts = (rows.select(hash_col).observe(seen, F.count(F.lit(1)).alias("n")).groupBy(hash_col)
-              .agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= FREQUENT))
-    counts = materialize(counts, "frequent")
-    least = max(FREQUENT, seen.get["n"] // SHARE)
+    counts = materialize(rows.groupBy(hash_col).agg(F.count(F.lit(1)).alias("_n")), "frequent")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    least = max(FREQUENT, total // SHARE)
     return [r[0] for r in counts.filter(F.col("_n") >= least).select(hash_col).collect()]
 
 
