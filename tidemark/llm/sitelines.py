@@ -49,6 +49,8 @@ def drop_site_lines(pages: DataFrame, ratio: float = RATIO, least_pages: int = L
     rows = materialize(pages.select(F.col(id_col).alias("page_id"), F.coalesce(host, F.lit("")).alias("host"), lines.alias("_lines")), "lines")
     totals = rows.groupBy("host").agg(F.count(F.lit(1)).alias("_pages"))
     seen = rows.select("host", F.explode(F.array_distinct("_lines")).alias("_line")).groupBy("host", "_line").agg(F.count(F.lit(1)).alias("_n"))
+    # A line of fewer pages cannot be common on any host of enough pages; most lines go here, before hosts meet.
+    seen, totals = materialize(seen.filter(F.col("_n") > ratio * least_pages), "seen"), materialize(totals, "totals")
     common = seen.join(totals, "host").filter((F.col("_pages") >= least_pages) & (F.col("_n") > ratio * F.col("_pages")))
     lists = materialize(common.groupBy("host").agg(F.collect_list("_line").alias("_common")), "common")
     judged = rows.join(lists, "host", "left").withColumn("_kept", F.when(F.col("_common").isNull(), F.col("_lines")).otherwise(
