@@ -141,12 +141,11 @@ FROM g LEFT JOIN f ON g.source IS NOT DISTINCT FROM f.source
 def _line_sql() -> str:
     L = linerules
     line_words, chars = f"len(regexp_extract_all(x, '{WORD}'))", f"length(translate(x, {BLANKS}, ''))"
-    symbols = f"(length(x) - length(translate(x, {_lit(L.SYMBOLS)}, '')))"
-    upper, lower = r"len(regexp_extract_all(x, '\p{Lu}'))", r"len(regexp_extract_all(x, '\p{Ll}'))"
-    unended = f"({line_words} >= {L.SENTENCE_WORDS} AND NOT regexp_matches(rtrim(translate(x, {BLANKS}, repeat(' ', 6))), {_lit(L.ENDS)}) AND NOT regexp_matches(x, {_lit(L.ENDED)}))"
-    fails = (f"({line_words} > 0 AND ({unended} OR len(regexp_extract_all(x, {_lit(L.SEPARATORS)})) > {L.MOST_SEPARATORS}"
-             f" OR (regexp_matches(x, {_lit(L.BOILERPLATE)}) AND {line_words} < {L.BOILERPLATE_WORDS}) OR 100 * {symbols} > {L.MOST_SYMBOLS} * {chars}"
-             f" OR (100 * {upper} > {L.MOST_CAPITALS} * ({upper} + {lower}) AND {line_words} >= {L.SENTENCE_WORDS})))")
+    symbols, upper = f"len(regexp_extract_all(x, {_lit(L.SYMBOLS)}))", r"len(regexp_extract_all(x, '\p{Lu}'))"
+    unended = f"({line_words} >= {L.SENTENCE_WORDS} AND NOT regexp_matches(x, {_lit(L.ENDS)}) AND NOT regexp_matches(x, {_lit(L.ENDED)}))"
+    fails = (f"({unended} OR len(regexp_extract_all(x, {_lit(L.SEPARATORS)})) > {L.MOST_SEPARATORS}"
+             f" OR (regexp_matches(x, {_lit(L.BOILERPLATE)}) AND length(x) < {L.BOILERPLATE_CHARS}) OR 100 * {symbols} > {L.MOST_SYMBOLS} * {chars}"
+             f" OR (100 * {upper} > {L.MOST_CAPITALS} * {chars} AND {line_words} >= {L.SENTENCE_WORDS}))")
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, unnest(regexp_extract_all(t, '{WORD}')) AS word, generate_subscripts(regexp_extract_all(t, '{WORD}'), 1) AS i FROM d),
@@ -156,7 +155,7 @@ rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (VALUES (0), (1), (2))
 x AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d),
 y AS (SELECT doc_id, count(*) - count(DISTINCT x) AS dups, sum(CASE WHEN {fails} THEN {chars} ELSE 0 END) AS lost FROM x WHERE {chars} > 0 GROUP BY doc_id),
 m AS (SELECT d.doc_id, CAST(len(regexp_extract_all(t, '{WORD}')) AS BIGINT) AS n_words, CAST(length(translate(t, {BLANKS}, '')) AS BIGINT) AS word_chars,
-             CAST(length(t) - length(translate(t, {_lit(L.SYMBOLS)}, '')) AS BIGINT) AS n_symbols, CAST(coalesce(y.dups, 0) AS BIGINT) AS n_dup_lines,
+             CAST(len(regexp_extract_all(t, {_lit(L.SYMBOLS)})) AS BIGINT) AS n_symbols, CAST(coalesce(y.dups, 0) AS BIGINT) AS n_dup_lines,
              CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(y.lost, 0) AS BIGINT) AS lost_chars
       FROM d LEFT JOIN y USING (doc_id) LEFT JOIN rep USING (doc_id))
 SELECT *, n_words < {L.LEAST_WORDS} OR 100 * n_repeat_words > {L.MOST_REPEATED} * n_words AS base_failed,
