@@ -251,19 +251,19 @@ def f12(spark, sf):
     return b.select("item_id", F.array_join(F.array_sort(text.query_tokens(F.col("text"))), " ").alias("tokens"), text.token_estimate(F.col("text")).alias("token_estimate"))
 
 
-QUERIES = f"q0 AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS query FROM benchmark), q AS (SELECT *, {TOKENS('query')} AS toks FROM q0)"
+QUERIES = f"q0 AS (SELECT item_id AS query_id, text AS query FROM benchmark), q AS (SELECT *, {TOKENS('query')} AS toks FROM q0)"
 
 
 def query_rows(spark, sf):
     b = table(spark, sf, "benchmark")
-    return b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("query"))
+    return b.select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-@query("F13_containment_score", W(f"{QUERIES}, dd AS (SELECT doc_id, lower(text) AS lt FROM documents)", f"SELECT doc_id, query_id, {R('len(list_filter(toks, lambda t: contains(lt, t))) / len(toks)::DOUBLE', 'score', 4)} FROM dd JOIN q ON q.query_id = dd.doc_id WHERE len(toks) > 0"))
+@query("F13_containment_score", W(f"{QUERIES}, dd AS (SELECT doc_id, lower(text) AS lt FROM documents), sc AS (SELECT doc_id, query_id, len(list_filter(toks, lambda t: contains(lt, t))) AS h, len(toks) AS n FROM dd, q)", f"SELECT doc_id, query_id, {R('h / n::DOUBLE', 'score', 4)} FROM sc WHERE h > 0"))
 def f13(spark, sf):
-    q = query_rows(spark, sf).withColumn("toks", text.query_tokens(F.col("query")))
-    d = table(spark, sf, "documents").join(q, F.col("doc_id") == F.col("query_id")).filter(F.size("toks") > 0)
-    return d.select("doc_id", "query_id", rnd(text.containment(F.col("text"), F.col("toks")), 4).alias("score"))
+    """Share of a query's tokens that a document holds, for every document and query that share one."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "text")
+    return documents.query_chunk_hits(query_rows(spark, sf), d).select(F.col("chunk_id").alias("doc_id"), "query_id", rnd("score", 4).alias("score"))
 
 
 @query("J07_query_chunk_scoring", W(f"{QUERIES}, hits AS (SELECT q.query_id, d.doc_id, len(list_filter(toks, lambda t: contains(lower(d.text), t))) AS h, len(toks) AS n FROM q, documents d)",
@@ -274,7 +274,7 @@ def j07(spark, sf):
     return h.groupBy("query_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum("hits").alias("hits"), rnd(F.max("score"), 4).alias("best"))
 
 
-SEARCH = f"{CHUNKS}, {QUERIES}, ca AS (SELECT * FROM ch WHERE source_type IN ('risk_rule', 'study_note') ORDER BY coalesce(published_at, created_at) DESC, chunk_id DESC LIMIT 250), sc AS (SELECT q.query_id, c.*, round(len(list_filter(toks, lambda t: contains(lower(c.text), t))) / len(toks)::DOUBLE, 4) + 0.0 AS score FROM q, ca c), rs AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, coalesce(published_at, 0) DESC, chunk_id DESC) AS rank FROM sc WHERE score > 0)"
+SEARCH = f"{CHUNKS}, {QUERIES}, ca AS (SELECT * FROM ch WHERE source_type IN ('risk_rule', 'study_note')), sc AS (SELECT q.query_id, c.*, round(len(list_filter(toks, lambda t: contains(lower(c.text), t))) / len(toks)::DOUBLE, 4) + 0.0 AS score FROM q, ca c), rs AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, coalesce(published_at, 0) DESC, chunk_id DESC) AS rank FROM sc WHERE score > 0)"
 
 
 def _search(spark, sf):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -16,8 +17,6 @@ from tidemark.operators import select
 CHUNK_CHARS = 1400
 OVERLAP = 160
 SCAN = 80
-CANDIDATES = 250
-_BREAK = re.compile(r"[ \n\t]")
 
 
 def split_text(body: str, size: int = CHUNK_CHARS, overlap: int = OVERLAP, scan: int = SCAN) -> list[str]:
@@ -26,25 +25,36 @@ def split_text(body: str, size: int = CHUNK_CHARS, overlap: int = OVERLAP, scan:
     A piece starts ``overlap`` characters before the end of the last one, moved
     to a nearby word start. Where that would not move forward (a break right at
     the start of a long unbroken line), the next piece starts at the cut.
+
+    The places of breaks are listed once; each end and start is then a binary
+    search in them, whatever the size of the pieces.
     """
-    lines = "\n".join(line.rstrip() for line in body.strip().splitlines())
-    total, start, pieces = len(lines), 0, []
-    while start < total:
-        stop = min(total, start + size)
-        if stop < total:
-            cuts = (lines.rfind(mark, start, stop) for mark in "\n ")
-            stop = next((cut for cut in cuts if cut > start), stop)
-        piece = lines[start:stop].strip()
-        if piece:
-            pieces.append(piece)
-        if stop == total:
-            break
-        after = max(0, stop - overlap)
-        found = _BREAK.search(lines, after, min(total, after + scan)) if after else None
-        if found and found.end() < stop:
-            after = found.end()
-        start = after if after > start else stop
-    return pieces
+    clean = "\n".join(map(str.rstrip, body.strip().splitlines()))
+    ends = {mark: [m.start() for m in re.finditer(mark, clean)] for mark in "\n "}
+    blanks = [m.start() for m in re.finditer(r"[ \n\t]", clean)]
+
+    def last(places: list[int], low: int, high: int) -> int | None:
+        k = bisect_left(places, high)
+        return places[k - 1] if k and places[k - 1] > low else None
+
+    def end_of(start: int) -> int:
+        limit = start + size
+        if limit >= len(clean):
+            return len(clean)
+        return last(ends["\n"], start, limit) or last(ends[" "], start, limit) or limit
+
+    def start_after(start: int, end: int) -> int:
+        back = max(0, end - overlap)
+        k = bisect_left(blanks, back)
+        if back and k < len(blanks) and blanks[k] < min(back + scan, end - 1):
+            back = blanks[k] + 1
+        return max(back, end) if back <= start else back
+
+    spans, at = [], 0
+    while at < len(clean):
+        spans.append((at, end_of(at)))
+        at = len(clean) if spans[-1][1] == len(clean) else start_after(*spans[-1])
+    return [piece for a, b in spans if (piece := clean[a:b].strip())]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -100,15 +110,15 @@ def query_chunk_hits(queries: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def candidates(chunks: DataFrame, source_types: Sequence[str] | None = None, max_age: int | None = None,
-               now: int | None = None, cap: int = CANDIDATES) -> DataFrame:
-    """Newest chunks that pass the filters; an empty type list filters nothing."""
+               now: int | None = None, cap: int | None = None) -> DataFrame:
+    """Chunks that pass the filters, with ``cap`` the newest of them; an empty type list filters nothing."""
     when = F.coalesce("published_at", "created_at")
     rows = chunks
     if source_types:
         rows = rows.filter(F.col("source_type").isin(*source_types))
     if max_age is not None:
         rows = rows.filter(when >= F.lit(now - max_age))
-    return rows.orderBy(when.desc(), F.desc("chunk_id")).limit(cap)
+    return rows if cap is None else rows.orderBy(when.desc(), F.desc("chunk_id")).limit(cap)
 
 
 def search(queries: DataFrame, chunks: DataFrame, limit: int = 5) -> DataFrame:

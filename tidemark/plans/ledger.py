@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,13 +26,34 @@ def running_balances(deltas: DataFrame, opening: float = 0.0, keys: Sequence[str
     return out.withColumn("balance", F.col("balance") + F.lit(opening))
 
 
+def order_maps(buys: np.ndarray, price: np.ndarray, share: np.ndarray, fee_rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each order as two linear maps of (cash, holding): as sized, and as large as cash or holding allow.
+
+    An order trades ``share`` of the equity cash + holding x price, so what it
+    does to the two balances is linear in them; so is spending all cash or
+    selling all of the holding. The second map holds where the first would
+    leave a balance below zero.
+    """
+    n, keep = len(price), 1.0 - fee_rate
+    sized, full = np.tile(np.eye(2), (n, 1, 1)), np.zeros((n, 2, 2))
+    sign = np.where(buys, 1.0, -1.0)
+    paid, got = np.where(buys, 1.0, keep), np.where(buys, keep, 1.0)
+    equity = np.stack([np.ones(n), price], axis=1)
+    sized[:, 0] -= (sign * share * paid)[:, None] * equity
+    sized[:, 1] += (sign * share * got / price)[:, None] * equity
+    full[:, 0, 0], full[:, 0, 1] = ~buys, np.where(buys, 0.0, keep * price)
+    full[:, 1, 1], full[:, 1, 0] = buys, np.where(buys, keep / price, 0.0)
+    return sized, full
+
+
 def replay_orders(orders: DataFrame, initial_cash: float = 10000.0, initial_asset: float = 0.0,
                   fee_rate: float = 0.003) -> DataFrame:
     """Replay sized orders per account: clamps, fee, average cost, realised result.
 
-    The clamps to cash and holding make the steps non-associative, so an account
-    is replayed in order. Rows stream through the task sorted by account and
-    order; state is five numbers, and no account is ever held as a whole.
+    Every order is one of two linear maps of the balances; which one depends on
+    the balances before it, so an account is followed in order. Fees, deltas and
+    equity are then column arithmetic, and the cost basis a running sum. Rows
+    stream through the task sorted by account and order, a batch at a time.
     ``orders``: account, id, action, price, size_pct; optional recorded deltas
     (cash_delta, asset_delta, fee) must be null.
     """
@@ -49,31 +71,35 @@ def replay_orders(orders: DataFrame, initial_cash: float = 10000.0, initial_asse
     names = [part.split()[0] for part in REPLAY.split(", ")]
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        account, cash, held, cost, pnl = None, 0.0, 0.0, 0.0, 0.0
+        account, state, basis, earned = None, None, 0.0, 0.0
         for batch in batches:
-            out = []
-            for acc, oid, action, price, pct in zip(*(batch[c] for c in ("account", "id", "action", "price", "size_pct"))):
-                if acc != account:
-                    account, cash, held, cost, pnl = acc, initial_cash, initial_asset, 0.0, 0.0
-                equity = cash + held * price
-                wanted = equity * pct / 100.0
-                if action == "BUY":
-                    gross = min(wanted, cash)
-                    fee = gross * fee_rate
-                    d_cash, d_held = -gross, (gross - fee) / price
-                    after = held + d_held
-                    cost = (held * cost + gross) / after if after > 0 else 0.0
-                else:
-                    sold = min(wanted / price, held)
-                    gross = sold * price
-                    fee = gross * fee_rate
-                    d_cash, d_held = gross - fee, -sold
-                    pnl += d_cash - sold * cost
-                    if held + d_held <= 0:
-                        cost = 0.0
-                cash, held = cash + d_cash, max(0.0, held + d_held)
-                out.append((acc, oid, action, equity, gross, fee, d_cash, d_held, cash, held, cost, pnl))
-            yield pd.DataFrame(out, columns=names)
+            buys = (batch["action"] == "BUY").to_numpy()
+            price, share = batch["price"].to_numpy(float), batch["size_pct"].to_numpy(float) / 100.0
+            wanted, whole = order_maps(buys, price, share, fee_rate)
+            before, after = np.empty((len(batch), 2)), np.empty((len(batch), 2))
+            owners = batch["account"].to_numpy()
+            fresh = np.empty(len(batch), bool)
+            for k, owner in enumerate(owners):
+                fresh[k] = owner != account
+                if fresh[k]:
+                    account, state = owner, np.array([initial_cash, initial_asset])
+                before[k] = state
+                step = wanted[k] @ state
+                state = after[k] = whole[k] @ state if step[0 if buys[k] else 1] < 0 else step
+            change = after - before
+            gross = np.where(buys, -change[:, 0], -change[:, 1] * price)
+            left = np.divide(after[:, 1], before[:, 1], out=np.zeros(len(batch)), where=before[:, 1] > 0)
+            keeps, adds = np.where(buys, 1.0, left), np.where(buys, gross, 0.0)
+            cost, pnl = np.empty(len(batch)), np.empty(len(batch))
+            for k in range(len(batch)):
+                if fresh[k]:
+                    basis, earned = 0.0, 0.0
+                kept = basis * keeps[k]
+                earned += 0.0 if buys[k] else change[k, 0] - (basis - kept)
+                basis = kept + adds[k] if after[k, 1] > 0 else 0.0
+                cost[k], pnl[k] = basis / after[k, 1] if after[k, 1] > 0 else 0.0, earned
+            yield pd.DataFrame(dict(zip(names, (owners, batch["id"], batch["action"], before[:, 0] + before[:, 1] * price, gross, gross * fee_rate,
+                                                change[:, 0], change[:, 1], after[:, 0], after[:, 1], cost, pnl))))
 
     return ordered.mapInPandas(replay, REPLAY)
 

@@ -47,11 +47,22 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, for checkpoints and written tables.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests on one machine) is a temporary folder used.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a
+    temporary folder serves a local session; a cluster without it is refused,
+    since each of its machines would write to a disk of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return named if named else tempfile.mkdtemp(prefix="tidemark-")
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if spark not in _FOLDERS:
+        _FOLDERS[spark] = tempfile.mkdtemp(prefix="tidemark-")
+    return _FOLDERS[spark]
+
+
+#: One temporary folder for each local session.
+_FOLDERS: dict[SparkSession, str] = {}
 
 
 def materialize(df, name: str = "stage"):
