@@ -553,12 +553,11 @@ def _emb(spark, sf):
 
 
 @query("A19_robust_scaler", W(f"""e AS (SELECT vec_id, {EMB} FROM embeddings),
-    s AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS r, count(*) OVER () AS n FROM e) WHERE r % greatest(CAST(ceil(n / 200.0) AS BIGINT), 1) = 0),
-    l AS (UNPIVOT (SELECT {', '.join(SCALED)} FROM s) ON {', '.join(SCALED)} INTO NAME feature VALUE v),
+    l AS (UNPIVOT (SELECT {', '.join(SCALED)} FROM e) ON {', '.join(SCALED)} INTO NAME feature VALUE v),
     f AS (SELECT feature, quantile_cont(v, 0.5) AS median, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) AS iqr FROM l GROUP BY 1)""",
     f"SELECT feature, {R('median')}, {R('CASE WHEN iqr > 1e-8 THEN iqr ELSE 1 END', 'scale')} FROM f"))
 def a19(spark, sf):
-    return rounded(metrics.fit_robust_scaler(_emb(spark, sf), SCALED, "vec_id", 200, width=100), ["feature"], ["median", "scale"])
+    return rounded(metrics.fit_robust_scaler(_emb(spark, sf), SCALED, "vec_id", width=100), ["feature"], ["median", "scale"])
 
 
 @query("A19_robust_scaler_applied", W(f"e AS (SELECT vec_id, {EMB} FROM embeddings), f AS (SELECT "

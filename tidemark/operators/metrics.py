@@ -174,10 +174,10 @@ def apply_temperatures(scores: DataFrame, fitted: DataFrame, keys: Sequence[str]
     return joined.drop("temperature")
 
 
-def fit_robust_scaler(train: DataFrame, features: Sequence[str], order: str, maximum: int = 1_000_000,
+def fit_robust_scaler(train: DataFrame, features: Sequence[str], order: str, maximum: int | None = None,
                       width: int = 86400, tie: Sequence[str] = ()) -> DataFrame:
-    """Median and interquartile range per feature (1 where the range vanishes)."""
-    sample = select.stride_sample(train, [], order, maximum, width, tie)
+    """Median and interquartile range per feature (1 where the range vanishes), of all rows unless the caller names a ``maximum``."""
+    sample = train if maximum is None else select.stride_sample(train, [], order, maximum, width, tie)
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])
     long = sample.select(F.inline(pairs))
     q = C.exact_order_values(long, ["feature"], "value", (0.25, 0.5, 0.75))

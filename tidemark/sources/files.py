@@ -60,8 +60,8 @@ def context_window(start: int, end: int, history: int, gap_minutes: int, horizon
 PAYLOAD = "t ARRAY<BIGINT>, o ARRAY<DOUBLE>, h ARRAY<DOUBLE>, l ARRAY<DOUBLE>, c ARRAY<DOUBLE>, v ARRAY<DOUBLE>"
 
 
-def payload_candles(payloads: DataFrame, payload: str = "payload", strict: bool = False) -> DataFrame:
-    """Column-array payloads to rows; arrays of different length are an error or dropped."""
+def payload_candles(payloads: DataFrame, payload: str = "payload", strict: bool = True) -> DataFrame:
+    """Column-array payloads to rows; arrays of different length are an error, or dropped where the caller says so."""
     body = F.from_json(F.col(payload), PAYLOAD)
     rows = payloads.withColumn("_p", body)
     sizes = [F.size(F.col(f"_p.{k}")) for k in "tohlcv"]
@@ -118,8 +118,8 @@ def checksum_text(text: Column) -> tuple[Column, Column]:
     return F.lower(F.regexp_extract(text, pattern, 1)), F.regexp_extract(text, pattern, 2)
 
 
-def rss_items(spark: SparkSession, path: str, source: str, limit: int = 10) -> DataFrame:
-    """Items of RSS feed files: ts, headline, source; at most ``limit`` per file, in order."""
+def rss_items(spark: SparkSession, path: str, source: str, limit: int | None = None) -> DataFrame:
+    """Items of RSS feed files: ts, headline, source; with ``limit`` the first ones of each file."""
     rows = (spark.read.format("xml").option("rowTag", "item").option("ignoreNamespace", True)
             .schema("title STRING, pubDate STRING, date STRING").load(path)
             .select("title", F.coalesce("pubDate", "date").alias("published"), F.col("_metadata.file_name").alias("file"),
@@ -127,16 +127,17 @@ def rss_items(spark: SparkSession, path: str, source: str, limit: int = 10) -> D
     return feed_rows(rows, source, limit)
 
 
-def feed_rows(rows: DataFrame, source: str, limit: int) -> DataFrame:
+def feed_rows(rows: DataFrame, source: str, limit: int | None = None) -> DataFrame:
     """``rows``: title, published, file, _seq."""
     headline = F.trim(F.regexp_replace("title", r"\s+", " "))
     stamp = F.regexp_replace("published", r"^\w{3},\s*", "")
     ts = F.coalesce(F.try_to_timestamp(stamp, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(stamp, F.lit("d MMM yyyy HH:mm:ss z")),
                     F.try_to_timestamp("published"))
     w = Window.partitionBy("file").orderBy("_seq")
-    return (rows.filter(F.col("title").isNotNull() & (headline != "")).withColumn("_n", F.row_number().over(w))
-            .filter(F.col("_n") <= limit)
-            .select(F.coalesce(F.unix_timestamp(ts), F.unix_timestamp(F.current_timestamp())).alias("ts"), headline.alias("headline"),
+    named = rows.filter(F.col("title").isNotNull() & (headline != ""))
+    if limit is not None:
+        named = named.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit)
+    return (named.select(F.coalesce(F.unix_timestamp(ts), F.unix_timestamp(F.current_timestamp())).alias("ts"), headline.alias("headline"),
                     F.lit(source).alias("source")))
 
 
