@@ -350,7 +350,7 @@ def test_quality_lines(spark, odd, none):
         lines = [x for x in (r["text"] or "").split("\n") if x.strip()]
         assert got["n_dup_lines"] == len(lines) - len(set(lines)) and got["kept"] <= (not got["base_failed"])
     assert linerules.judge(none).count() == 0
-    good = "\n".join(f"Sentence number {i} of this text says something new about item {i * 7}." for i in range(12))
+    good = "\n".join(f"Sentence{i} tells of item{i} and place{i} before noon{i} on day{i}." for i in range(12))
     junk = "\n".join(f"home{i} | news{i} | shop{i} | about{i} | contact{i} | more words{i} in here" for i in range(12))
     pair = spark.createDataFrame([(1, good), (2, junk), (3, good + "\nSign in\nMENU OF THE WHOLE SITE HERE")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in rows(linerules.judge(pair))}
