@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import schemas
-from tidemark.operators import chunks, select
+from tidemark.operators import asof, chunks, select
 from tidemark.plans import documents, ledger
 from tidemark.sources import files, sinks
 
@@ -171,3 +171,17 @@ def test_label_tables_are_published_whole(spark, tmp_path):
     sinks.write_table(labels.withColumn("asset", F.lit('x,"y"')), str(tmp_path / "c"), "csv")
     back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "c")).collect()
     assert {r.asset for r in back} == {'x,"y"'}
+
+
+@pytest.mark.parametrize("keys", [("asset",), ()])
+@pytest.mark.parametrize("n", [1, 3, 700])
+def test_trailing_context_is_the_newest_rows_so_far(spark, keys, n):
+    rnd = random.Random(3)
+    right = [(a, rnd.randrange(-500, 5000), i, float(i)) for a in "AB" for i in range(150)] + [("A", 100, 1000 + i, 0.0) for i in range(20)]
+    left = [(a, rnd.randrange(-900, 9000), i) for a in "ABC" for i in range(60)]
+    bars = spark.createDataFrame(right, "asset string, ts long, k int, v double")
+    found = asof.trailing_context(spark.createDataFrame(left, "asset string, ts long, id int"), bars, n, ["k", "v"], 100, keys, order=("k",))
+    got = {(r.asset, r.id): [tuple(x) for x in r.tail] for r in found.collect()}
+    for asset, at, i in left:
+        seen = sorted(r[1:] for r in right if (not keys or r[0] == asset) and r[1] <= at)
+        assert got[asset, i] == seen[-n:]

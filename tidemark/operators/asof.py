@@ -99,30 +99,41 @@ def trailing_context(left: DataFrame, right: DataFrame, n: int, cols: Sequence[s
                      order: Sequence[str] = (), out: str = "tail") -> DataFrame:
     """The last ``n`` right rows at or before each left row, oldest first.
 
-    Every chunk also carries the last ``n`` rows of all earlier chunks: a chunk
-    row holds at least one entry, so the ``n`` previous chunk rows always
-    suffice. ``order`` breaks ties between equal timestamps.
+    Right rows get their position in the series: a rank inside their chunk plus
+    the rows of all earlier chunks, a sum over the table of counts. They are
+    packed by position, ``n`` to a block, next to the block before. A left row
+    counts the rows up to its time the same way; the block of the last one holds
+    all it asks for. So only counts are ordered along a series, a packed row has
+    at most ``2 n`` entries, and no key or gap passes one task. ``order`` breaks
+    ties between equal timestamps.
     """
     cols = [c for c in cols if c != ts]
     lead = [F.col(ts).alias("ts"), *order, *[c for c in cols if c not in order]]
-    rows = cap_per_instant(right, keys, ts, order, n) if order else right
-    own = (C.with_chunk(rows, ts, width).groupBy(*keys, C.CHUNK)
-           .agg(F.array_sort(F.collect_list(F.struct(*lead))).alias("_own_rows")))
-    last_n = lambda arr: last_items(arr, n)
-    chain = Window.partitionBy(*keys).orderBy(C.CHUNK)
-    tails = F.collect_list(last_n(F.col("_own_rows"))).over(chain.rowsBetween(-n, 0))
-    with_tail = own.withColumn("_tail", last_n(F.flatten(tails)))
-    # Chunks that only the left side has see the tail of the newest earlier chunk.
-    wanted = C.with_chunk(left.select(*keys, at), at, width).select(*keys, C.CHUNK).distinct()
-    table = wanted.join(with_tail, [*keys, C.CHUNK], "full_outer")
-    earlier = F.last("_tail", ignorenulls=True).over(chain.rowsBetween(Window.unboundedPreceding, -1))
-    kind = "array<" + own.schema["_own_rows"].dataType.elementType.simpleString() + ">"
-    blank = F.array().cast(kind)
-    table = table.select(*keys, C.CHUNK, F.concat(F.coalesce(earlier, blank),
-                                                  F.coalesce("_own_rows", blank)).alias("_rows"))
-    joined = C.with_chunk(left, at, width).join(table, [*keys, C.CHUNK], "left")
-    upto = F.filter("_rows", lambda r: r["ts"] <= F.col(at))
-    return C.pin(joined, out, last_n(upto)).drop("_rows", C.CHUNK)
+    rows = C.with_chunk(cap_per_instant(right, keys, ts, order, n) if order else right, ts, width)
+    times = rows.groupBy(*keys, C.CHUNK).agg(F.sort_array(F.collect_list(ts)).alias("_times"))
+    asked = C.with_chunk(left.select(*keys, at), at, width)
+    # Chunks that only the left side has take part with no rows of their own.
+    counts = (times.select(*keys, C.CHUNK, F.size("_times").alias("_n"))
+              .unionByName(asked.select(*keys, C.CHUNK).distinct().withColumn("_n", F.lit(0)))
+              .groupBy(*keys, C.CHUNK).agg(F.sum("_n").alias("_n")))
+    before = C.carry(counts, keys, {"_before": ("_n", "sum")})
+
+    rank = F.row_number().over(C.chunk_window(keys, [ts, *order, *[c for c in cols if c not in order]])) - 1
+    block = F.floor((F.col("_before") + F.col("_rank")) / n)
+    placed = rows.withColumn("_rank", rank).join(before, [*keys, C.CHUNK])
+    packed = (placed.withColumn("_block", F.explode(F.array(block, block + 1)))
+              .groupBy(*keys, "_block").agg(F.array_sort(F.collect_list(F.struct(*lead))).alias("_rows")))
+
+    upto = F.coalesce(F.size(F.filter("_times", lambda t: t <= F.col(at))), F.lit(0))
+    seen = (C.with_chunk(left, at, width).join(before, [*keys, C.CHUNK], "left").join(times, [*keys, C.CHUNK], "left")
+            .withColumn("_upto", F.coalesce("_before", F.lit(0)) + upto).drop("_times", "_before", C.CHUNK)
+            .withColumn("_block", F.floor((F.col("_upto") - 1) / n)))
+    base = F.greatest(F.col("_block") - 1, F.lit(0)) * n
+    first = F.greatest(F.col("_upto") - n, F.lit(0))
+    tail = F.slice("_rows", (first - base + 1).cast("int"), (F.col("_upto") - first).cast("int"))
+    kind = "array<" + packed.schema["_rows"].dataType.elementType.simpleString() + ">"
+    joined = seen.join(packed, [*keys, "_block"], "left")
+    return C.pin(joined, out, F.coalesce(tail, F.array().cast(kind))).drop("_rows", "_block", "_upto")
 
 
 def at_last_bar(left: DataFrame, bars: DataFrame, width: int, keys: Sequence[str] = ("asset",), out: str = "bar_ts") -> DataFrame:
