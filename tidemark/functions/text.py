@@ -27,6 +27,7 @@ CHUNK_PATTERNS = (
     r"(?s)\b(recomende|recommend)\b.{0,40}\b(buy|sell|hold|comprar|vender)\b",
 )
 REDACTED = "[REMOVED: instruction-like untrusted headline]"
+#: Fixed values.
 BLOCKED_FLAGS = ("prompt_injection_suspected", "secret_suspected")
 BLOCKED_PREFIXES = (
     ".agents/", ".git/", "backend/backups/", "backend/logs/", "backend/reports/",
@@ -34,30 +35,43 @@ BLOCKED_PREFIXES = (
 )
 BLOCKED_NAMES = (".env", ".env.local", ".env.production")
 BLOCKED_SUFFIXES = (".key", ".pem", ".p12", ".pfx")
+#: Fixed values.
 STOPWORDS = ("para", "com", "uma", "das", "dos", "the", "and", "from", "que", "por", "btc")
+#: Fixed values.
 GENERIC_HOLD = (
     "noticias confusas", "notícias confusas", "indicadores neutros", "mercado confuso",
     "rsi neutro", "sem direcao clara", "sem direção clara",
 )
 
-_ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿ"
-_PLAIN = "aaaaaaeeeeiiiiooooouuuucnyy"
-
-
-def fold_latin(text: Column) -> Column:
-    """Lower case without Latin accents, inside the JVM."""
-    return F.translate(F.lower(text), _ACCENTED, _PLAIN)
+def _unmarked(value: str) -> str:
+    return "".join(ch for ch in unicodedata.normalize("NFKD", value) if not unicodedata.combining(ch))
 
 
 @F.pandas_udf(T.StringType())
 def fold_unicode(text: pd.Series) -> pd.Series:
     """Case folding plus full compatibility decomposition without marks."""
-    def fold(value):
-        if value is None:
-            return None
-        spread = unicodedata.normalize("NFKD", value.casefold())
-        return "".join(ch for ch in spread if not unicodedata.combining(ch))
-    return text.map(fold)
+    return text.map(lambda v: None if v is None else _unmarked(v.casefold()))
+
+
+@F.pandas_udf(T.StringType())
+def ascii_unicode(text: pd.Series) -> pd.Series:
+    """The ASCII characters of the full compatibility decomposition, in lower case."""
+    return text.map(lambda v: None if v is None else unicodedata.normalize("NFKD", v).encode("ascii", "ignore").decode().lower())
+
+
+def _beyond_ascii(text: Column) -> Column:
+    return F.when(text.rlike(r"[^\x00-\x7F]"), text)
+
+
+def fold_text(text: Column) -> Column:
+    """Folded text of headlines; only texts with a character beyond ASCII leave the JVM."""
+    return F.coalesce(fold_unicode(_beyond_ascii(text)), F.lower(text))
+
+
+def fold_ascii(text: Column) -> Column:
+    """Folded text of search hits: what has no ASCII form is dropped, blanks are single."""
+    plain = F.coalesce(ascii_unicode(_beyond_ascii(text)), F.lower(text))
+    return F.trim(F.regexp_replace(plain, r"[\s\x1C-\x1F]+", " "))
 
 
 def matched_patterns(folded: Column, patterns=NEWS_PATTERNS) -> Column:

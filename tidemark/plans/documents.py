@@ -152,7 +152,7 @@ def screen_hits(hits: DataFrame, corpus: str, chars: int = 1600) -> DataFrame:
 
     Adds ``rejected`` and the cut text.
     """
-    folded = F.trim(F.regexp_replace(text.fold_latin(F.col("text")), r"\s+", " "))
+    folded = text.fold_ascii(F.col("text"))
     foreign = (F.trim(F.coalesce("corpus", F.lit(""))) != "") & (F.trim("corpus") != corpus)
     flags = F.arrays_overlap(F.coalesce("flags", F.array().cast("array<string>")), F.array(*[F.lit(x) for x in text.BLOCKED_FLAGS]))
     bad = foreign | flags | text.blocked_path(F.col("path")) | text.looks_like_instruction(folded, text.CHUNK_PATTERNS)

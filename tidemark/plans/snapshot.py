@@ -28,7 +28,7 @@ NEWS_STALE = 21600
 
 def scanned_news(news: DataFrame, lexicon: Sequence[str] = text.NEGATIVE_TERMS) -> DataFrame:
     """Headlines with matched terms, instruction flag and redacted text."""
-    folded = text.fold_latin(F.col("headline"))
+    folded = text.fold_text(F.col("headline"))
     return news.select("news_id", "ts", "source", text.redact(F.col("headline"), folded).alias("headline"),
                        text.negative_terms(folded, lexicon).alias("terms"),
                        text.looks_like_instruction(folded).alias("flagged"))
