@@ -60,7 +60,7 @@ def main(prefixes):
     queries, oracles = e.queries(), e.oracle_sql()
     bad = 0
     for key, fn in queries.items():
-        if only and base.QUERIES[key].__module__.rsplit(".", 1)[-1] != only:
+        if only and getattr(base.QUERIES.get(key), "__module__", "").rsplit(".", 1)[-1] != only:
             continue
         if prefixes and not any(key.startswith(p) for p in prefixes):
             continue

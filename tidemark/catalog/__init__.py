@@ -7,7 +7,7 @@ import importlib
 from tidemark.catalog import base
 from tidemark.session import configure
 
-MODULES = ("features", "datasets", "outcomes", "snapshots", "records")
+MODULES = ("features", "datasets", "outcomes", "snapshots", "records", "stored")
 
 
 def _load():
