@@ -318,10 +318,28 @@ def j06(spark, sf):
     return c.join(d.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("line")).alias("chars"))
 
 
-@query("M24_document_chunks")
+#: The splitting rule by positions: a piece ends at its last line break, else blank; the next one starts 160 characters before, at a word.
+BLANKS = "chr(32) || chr(9) || chr(10) || chr(13)"
+SPLIT = f"""b AS (SELECT doc_id, regexp_replace(trim(text, {BLANKS}), '[ \\t\\r]+\\n', chr(10), 'g') AS t FROM documents),
+sp AS (
+  SELECT doc_id, t, 0 AS a, CAST(NULL AS INT) AS z, 0 AS step FROM b WHERE length(t) > 0
+  UNION ALL
+  SELECT doc_id, t, CASE WHEN step % 2 = 0 THEN a WHEN nxt <= a THEN greatest(nxt, z) ELSE nxt END, CASE WHEN step % 2 = 0 THEN fin END, step + 1
+  FROM (SELECT *, CASE WHEN a + 1400 >= length(t) THEN length(t) WHEN line BETWEEN 1 AND 1399 THEN a + line WHEN gap BETWEEN 1 AND 1399 THEN a + gap ELSE a + 1400 END AS fin,
+               CASE WHEN back > 0 AND word < length(near) THEN back + word + 1 ELSE back END AS nxt
+        FROM (SELECT *, 1400 - instr(reverse(substring(t, a + 1, 1400)), chr(10)) AS line, 1400 - instr(reverse(substring(t, a + 1, 1400)), ' ') AS gap,
+                     substring(t, back + 1, greatest(0, least(80, z - 1 - back))) AS near,
+                     length(regexp_extract(substring(t, back + 1, greatest(0, least(80, z - 1 - back))), '^[^ \\n\\t]*')) AS word
+              FROM (SELECT *, greatest(0, z - 160) AS back FROM sp)))
+  WHERE step % 2 = 0 OR z < length(t)),
+pc AS (SELECT doc_id, a, trim(substring(t, a + 1, z - a), {BLANKS}) AS piece FROM sp WHERE step % 2 = 1),
+ck AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1 AS INT) AS chunk_index, piece FROM pc WHERE piece <> '')"""
+
+
+@query("M24_document_chunks", W(SPLIT, "SELECT doc_id, chunk_index, length(piece) AS chars, greatest(1, length(piece) // 4) AS token_estimate, md5(piece) AS piece FROM ck", True))
 def m24(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
-    return documents.chunk_documents(d).select("doc_id", "chunk_index", F.length("text").alias("chars"), "token_estimate")
+    return documents.chunk_documents(d).select("doc_id", "chunk_index", F.length("text").alias("chars"), "token_estimate", F.md5("text").alias("piece"))
 
 
 @query("M24_new_documents", W("x AS (SELECT doc_id, sha256('doc' || chr(10) || 's' || chr(10) || 't' || chr(10) || text) AS h FROM documents)",
