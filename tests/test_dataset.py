@@ -9,11 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import features, quality
-from tidemark.operators.features import DatasetConfig
+from tidemark.operators.features import DatasetSpec, Eligibility, FeatureWindows, LabelRule, TimeGrid
 from tidemark.plans import dataset
 
 T0 = 1_800_000_000
-CFG = DatasetConfig(minimum_net_edge_pct=0.0, round_trip_cost_pct=0.1)
+CFG = DatasetSpec(labels=LabelRule(edge_pct=0.0, cost_pct=0.1))
 COLS = ["asset", "ts", "open", "high", "low", "close", "volume"]
 
 
@@ -109,9 +109,25 @@ def test_barriers_mark_ambiguous_and_gaps_invalid(spark):
     assert labels == [1, 2, 2, 1, 1, -1, -1, 1, -1, -1, -1, -1]
 
 
-def test_config_rules():
-    for wrong in ({"horizons_minutes": ()}, {"primary_horizon_minutes": 7}, {"minimum_history_candles": 10}, {"timeframe_seconds": 0},
-                  {"minimum_observed_coverage": 0.0}, {"round_trip_cost_pct": -1.0}, {"chunk_rows": 9000}):
+def test_spec_rules():
+    for wrong in ({"labels": LabelRule(minutes=())}, {"labels": LabelRule(main=7)}, {"eligible": Eligibility(history=10)},
+                  {"grid": TimeGrid(step_seconds=0)}, {"eligible": Eligibility(coverage=0.0)}, {"labels": LabelRule(cost_pct=-1.0)},
+                  {"grid": TimeGrid(fill_minutes=0)}, {"chunk_rows": 9000}):
         with pytest.raises(ValueError):
-            DatasetConfig(**wrong)
-    assert math.isclose(DatasetConfig().actionable_move_pct, 0.2)
+            DatasetSpec(**wrong)
+    assert math.isclose(DatasetSpec().labels.move_pct, 0.2)
+
+
+def test_slow_averages_reach_back_far_enough(spark):
+    """The halo follows the longest span, so chunks change nothing for slow averages either."""
+    pdf = candles(2600)
+    slow = replace(CFG, windows=FeatureWindows(macd=(50, 120, 30), cross=(40, 100)), chunk_rows=400)
+    got = build(spark, pdf, slow, dataset.build_sequence_dataset)
+    ema = lambda s, n: s.ewm(span=n, adjust=False).mean()
+    c = pdf["close"]
+    macd = ema(c, 50) - ema(c, 120)
+    want = pd.DataFrame({"ts": pdf["ts"], "macd": (macd - ema(macd, 30)) / c * 100, "cross": (ema(c, 40) - ema(c, 100)) / c * 100})
+    both = got.merge(want, on="ts")
+    assert len(both) == len(got) > 2000
+    np.testing.assert_allclose(both["macd_hist_pct"], both["macd"], rtol=0, atol=1e-11)
+    np.testing.assert_allclose(both["ema_40_100_spread_pct"], both["cross"], rtol=0, atol=1e-11)

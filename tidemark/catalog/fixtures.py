@@ -10,15 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.catalog.base import table
-from tidemark.operators.features import DatasetConfig, FeatureWindows
+from tidemark.operators.features import DatasetSpec, Eligibility, FeatureWindows, LabelRule, TimeGrid
 
 TF = 3600
-CFG = DatasetConfig(
-    timeframe_seconds=TF, horizons_minutes=(240, 1440), primary_horizon_minutes=240,
-    round_trip_cost_pct=4.0, minimum_net_edge_pct=1.0, minimum_history_candles=24,
-    max_fill_gap_minutes=120, minimum_observed_coverage=0.8,
-    windows=FeatureWindows(returns=(1, 5, 15), volatility=(5, 15), drawdown=(12, 48), coverage=(12, 24)),
-    chunk_rows=168, warmup_rows=480,
+CFG = DatasetSpec(
+    TimeGrid(step_seconds=TF, fill_minutes=120), LabelRule(minutes=(240, 1440), main=240, cost_pct=4.0, edge_pct=1.0),
+    Eligibility(history=24, coverage=0.8),
+    FeatureWindows(returns=(1, 5, 15), volatility=(5, 15), drawdown=(12, 48), coverage=(12, 24)), chunk_rows=168,
 )
 EVENT_COLUMNS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
 

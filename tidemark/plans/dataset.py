@@ -11,7 +11,7 @@ from tidemark.functions import clock, signals
 from tidemark.functions.text import strict_bool
 from tidemark.operators import chunks as C
 from tidemark.operators import features, quality
-from tidemark.operators.features import DatasetConfig
+from tidemark.operators.features import DatasetSpec
 
 
 def prepared(bars: DataFrame, order: str | None = None, strict: bool = True) -> DataFrame:
@@ -20,21 +20,21 @@ def prepared(bars: DataFrame, order: str | None = None, strict: bool = True) ->
     return quality.dedupe(valid, order)
 
 
-def _eligible(rows: DataFrame, cfg: DatasetConfig) -> DataFrame:
-    keep = (F.col("history_candles") >= cfg.minimum_history_candles) & (
-        F.col(f"observed_coverage_{max(cfg.windows.coverage)}") >= cfg.minimum_observed_coverage)
-    return rows.filter(keep).dropna(subset=list(cfg.windows.columns))
+def _eligible(rows: DataFrame, spec: DatasetSpec) -> DataFrame:
+    keep = (F.col("history_candles") >= spec.eligible.history) & (
+        F.col(f"observed_coverage_{max(spec.windows.coverage)}") >= spec.eligible.coverage)
+    return rows.filter(keep).dropna(subset=list(spec.windows.columns))
 
 
-def build_dataset(bars: DataFrame, cfg: DatasetConfig = DatasetConfig()) -> DataFrame:
+def build_dataset(bars: DataFrame, spec: DatasetSpec = DatasetSpec()) -> DataFrame:
     """Decision rows: full history, observed, covered, all features and a label."""
-    rows = _eligible(features.featured_bars(bars, cfg), cfg)
+    rows = _eligible(features.featured_bars(bars, spec), spec)
     return rows.filter("is_observed").filter(F.col("label").isNotNull())
 
 
-def build_sequence_dataset(bars: DataFrame, cfg: DatasetConfig = DatasetConfig()) -> DataFrame:
+def build_sequence_dataset(bars: DataFrame, spec: DatasetSpec = DatasetSpec()) -> DataFrame:
     """Context rows for sequences: filled bars stay, marked; labels may be missing."""
-    return _eligible(features.featured_bars(bars, cfg), cfg)
+    return _eligible(features.featured_bars(bars, spec), spec)
 
 
 def labelled_horizon(dataset: DataFrame, horizon: int) -> DataFrame:
@@ -46,19 +46,20 @@ def labelled_horizon(dataset: DataFrame, horizon: int) -> DataFrame:
     return rows.filter(F.coalesce(strict_bool(F.col(seen)), F.lit(False)))
 
 
-def export_columns(horizons: Sequence[int], cfg: DatasetConfig) -> list[str]:
+def export_columns(horizons: Sequence[int], spec: DatasetSpec) -> list[str]:
+    # Names and order of the export format.
     names = ["asset", "ts", "open", "high", "low", "close", "volume", "segment_id", "is_observed",
-             "history_candles", *cfg.windows.columns]
+             "history_candles", *spec.windows.columns]
     for h in horizons:
         names += [f"future_close_{h}m", f"future_observed_{h}m", f"future_return_{h}m_pct", f"label_{h}m"]
     return [*names, "label"]
 
 
-def select_for_export(dataset: DataFrame, horizons: Sequence[int], cfg: DatasetConfig = DatasetConfig()) -> DataFrame:
-    return dataset.select(*export_columns(horizons, cfg))
+def select_for_export(dataset: DataFrame, horizons: Sequence[int], spec: DatasetSpec = DatasetSpec()) -> DataFrame:
+    return dataset.select(*export_columns(horizons, spec))
 
 
-def compile_domains(bars: DataFrame, domains: Sequence[Mapping], cfg: DatasetConfig = DatasetConfig()) -> DataFrame:
+def compile_domains(bars: DataFrame, domains: Sequence[Mapping], spec: DatasetSpec = DatasetSpec()) -> DataFrame:
     """Datasets of several markets in one plan, each labelled with its own cost.
 
     ``domains``: mappings with domain_id, exchange, market_symbol, quote_asset,
@@ -77,14 +78,14 @@ def compile_domains(bars: DataFrame, domains: Sequence[Mapping], cfg: DatasetCon
     lookup = F.create_map(*[x for d in domains for x in (F.lit(d["asset"]), F.struct(
         *[F.lit(d[k]).alias(k) for k in ("domain_id", "exchange", "market_symbol", "quote_asset")],
         F.lit(float(d["round_trip_cost_pct"])).alias("round_trip_cost_pct")))])
-    rows = features.featured_bars(bars.filter(F.col("asset").isin(*[d["asset"] for d in domains])), cfg)
+    rows = features.featured_bars(bars.filter(F.col("asset").isin(*[d["asset"] for d in domains])), spec)
     rows = rows.withColumn("_d", lookup[F.col("asset")]).select("*", "_d.*").drop("_d")
-    edge = F.col("round_trip_cost_pct") + F.lit(cfg.minimum_net_edge_pct)
-    for h in cfg.horizons_minutes:
+    edge = F.col("round_trip_cost_pct") + F.lit(spec.labels.edge_pct)
+    for h in spec.labels.minutes:
         rows = rows.withColumn(f"label_{h}m", signals.direction_label(
-            F.col(f"future_return_{h}m_pct"), F.col(f"future_observed_{h}m"), edge, cfg.require_observed_future))
-    rows = rows.withColumn("label", F.col(f"label_{cfg.primary_horizon_minutes}m"))
-    return _eligible(rows, cfg).filter("is_observed").filter(F.col("label").isNotNull())
+            F.col(f"future_return_{h}m_pct"), F.col(f"future_observed_{h}m"), edge, spec.labels.only_observed))
+    rows = rows.withColumn("label", F.col(f"label_{spec.labels.main}m"))
+    return _eligible(rows, spec).filter("is_observed").filter(F.col("label").isNotNull())
 
 
 def price_age(rows: DataFrame, width: int, keys: Sequence[str] = ("asset",), out: str = "price_age_minutes") -> DataFrame:
