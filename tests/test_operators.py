@@ -15,11 +15,11 @@ from tidemark.sources import files, sinks
 T0 = 1_800_000_000
 
 
-@pytest.mark.parametrize("density,spacing", [(0.05, 600), (0.5, 900), (1.0, 420)])
-def test_greedy_spacing_equals_a_scan(spark, density, spacing):
+@pytest.mark.parametrize("density,spacing,fan", [(0.05, 600, 256), (0.5, 900, 3), (1.0, 420, 2), (0.02, 420, 2), (0.3, 660, 5)])
+def test_greedy_spacing_equals_a_scan(spark, density, spacing, fan):
     rng = random.Random(int(density * 100))
     rows = [(k, T0 + 60 * i) for k in ("a", "b") for i in range(1500) if rng.random() < density]
-    got = select.greedy_spacing(spark.createDataFrame(rows, "k string, ts bigint"), ["k"], spacing, width=4 * spacing)
+    got = select.greedy_spacing(spark.createDataFrame(rows, "k string, ts bigint"), ["k"], spacing, width=spacing * (1 + fan % 4), fan=fan)
     want = []
     for k in ("a", "b"):
         allowed = 0

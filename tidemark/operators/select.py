@@ -4,11 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.operators import chunks as C
 
@@ -16,66 +13,62 @@ FREE = -(2**62)
 
 
 def greedy_spacing(signals: DataFrame, keys: Sequence[str], spacing: int, ts: str = "ts",
-                   width: int | None = None) -> DataFrame:
+                   width: int | None = None, fan: int = 256) -> DataFrame:
     """Timestamps taken greedily: the first, then each at least ``spacing`` later.
 
-    Which rows a chunk takes depends on earlier chunks only through the time
-    from which taking is allowed again, and that lies within the first
-    ``spacing`` seconds of the chunk. So every chunk is evaluated for all of its
-    possible first picks in parallel; then the picks are chained over the chunk
-    table, and each chunk replays from its own. Chunks whose predecessor always
-    ends the same way need no chain at all, which leaves only densely signalled
-    stretches for the grouped fold (one small row per chunk).
+    What a chunk takes depends on earlier chunks only through the time from
+    which taking is allowed again, and that lies within the first ``spacing``
+    seconds of the chunk. So a chunk is a small map from its possible first
+    picks to the time it leaves behind, made in parallel. Maps of ``fan`` chunks
+    are composed into one, again in parallel; only these (one a series for
+    ``fan * width`` seconds) are followed in order. Then the times go back down:
+    to each chunk, which replays its rows from its own. Rows never leave their
+    chunk, and only maps move.
     """
     width = width or 64 * spacing
-    t, gap = F.col(ts), F.lit(int(spacing))
-    packed = (C.with_chunk(signals.select(*keys, ts), ts, width).groupBy(*keys, C.CHUNK)
+    if spacing <= 0 or width < spacing:
+        raise ValueError("a chunk must be as long as the spacing, which must be positive")
+    names, t, gap = list(keys), F.col(ts), F.lit(int(spacing))
+    packed = (C.with_chunk(signals.select(*names, ts), ts, width).groupBy(*names, C.CHUNK)
               .agg(F.array_sort(F.collect_set(t)).alias("_ts")))
     limit = F.col(C.CHUNK) * F.lit(width) + gap
     later = F.filter("_ts", lambda x: x >= limit)
     entries = F.concat(F.filter("_ts", lambda x: x < limit), F.slice(later, 1, 1))
-    step = lambda allowed, x: F.when(x >= allowed, x + gap).otherwise(allowed)
-    packed = packed.withColumn("_in", entries).withColumn(
-        "_outs", F.transform("_in", lambda e: F.aggregate("_ts", e, step)))
-    chain = Window.partitionBy(*keys).orderBy(C.CHUNK)
-    previous = F.lag("_outs").over(chain)
-    known = (F.when(previous.isNull() | (F.array_max(previous) <= F.get("_ts", F.lit(0))), F.lit(FREE))
-             .when(F.array_min(previous) == F.array_max(previous), F.array_max(previous)))
-    run = chain.rowsBetween(Window.unboundedPreceding, 0)
-    table = (packed.withColumn("_allowed", known.cast("bigint"))
-             .withColumn("_island", F.count("_allowed").over(run))
-             .withColumn("_hard", F.max(F.col("_allowed").isNull()).over(Window.partitionBy(*keys, "_island"))))
-    first = F.get(F.filter("_in", lambda e: e >= F.col("_allowed")), F.lit(0))
-    easy = table.filter(~F.col("_hard")).select(*keys, "_ts", first.alias("_pick"))
-
-    schema = T.StructType([table.schema[k] for k in keys]
-                          + [T.StructField("_ts", T.ArrayType(T.LongType())), T.StructField("_pick", T.LongType())])
-    names = list(keys)
-
-    def chain_picks(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(C.CHUNK)
-        allowed, picks = FREE, []
-        for known_from, ins, outs in zip(pdf["_allowed"], pdf["_in"], pdf["_outs"]):
-            allowed = allowed if pd.isna(known_from) else int(known_from)
-            at = int(np.searchsorted(ins, allowed))
-            if at < len(ins):
-                picks.append(int(ins[at]))
-                allowed = int(outs[at])
-            else:
-                picks.append(None)
-        out = pdf[[*names, "_ts"]].copy()
-        out["_pick"] = pd.array(picks, dtype="Int64")
-        return out
-
-    hard = (table.filter("_hard").select(*keys, C.CHUNK, "_ts", "_island", "_allowed", "_in", "_outs")
-            .groupBy(*keys, "_island").applyInPandas(chain_picks, schema))
-    state = F.struct(F.col("_pick").alias("allowed"), F.array().cast("array<bigint>").alias("taken"))
+    leave = lambda e: F.aggregate("_ts", e, lambda allowed, x: F.when(x >= allowed, x + gap).otherwise(allowed))
+    moves = lambda at, out: F.transform(at, lambda e: F.struct(e.alias("at"), out(e).alias("out")))
+    maps = packed.select(*names, C.CHUNK, moves(entries, leave).alias("_moves"))
+
+    # A chunk without a row to take passes the time on; a composed map ends with the move for that case.
+    hit = lambda node, allowed: F.get(F.filter(node["moves"], lambda m: m["at"] >= allowed), F.lit(0))["out"]
+    through_chunk = lambda allowed, node: F.coalesce(hit(node, allowed), allowed)
+    through_many = lambda allowed, node: F.coalesce(hit(node, allowed), F.element_at(node["moves"], -1)["out"])
+    in_order = lambda node: F.array_sort(F.collect_list(F.struct(F.col(node).alias("node"), F.col("_moves").alias("moves"))))
+
+    def times(start, through):
+        """Array of (node, time from which it may take) over ``_nodes`` in order."""
+        empty = F.array().cast("array<struct<node:bigint,allowed:bigint>>")
+        seed = F.struct(start.alias("allowed"), empty.alias("seen"))
+        step = lambda s, n: F.struct(
+            through(s["allowed"], n).alias("allowed"),
+            F.array_append(s["seen"], F.struct(n["node"].alias("node"), s["allowed"].alias("allowed"))).alias("seen"))
+        return F.inline(F.aggregate("_nodes", seed, step, lambda s: s["seen"]))
+
+    many = (maps.withColumn("_many", C.bucket(F.col(C.CHUNK), fan)).groupBy(*names, "_many")
+            .agg(in_order(C.CHUNK).alias("_nodes")))
+    first = F.transform(F.get("_nodes", F.lit(0))["moves"], lambda m: m["at"])
+    starts = F.array_append(first, F.array_max(first) + F.lit(1))
+    composed = many.select(*names, "_many", moves(starts, lambda e: F.aggregate("_nodes", e, through_chunk)).alias("_moves"))
+    top = (composed.groupBy(*names).agg(in_order("_many").alias("_nodes"))
+           .select(*names, times(F.lit(FREE).cast("bigint"), through_many)).withColumnRenamed("node", "_many"))
+    down = (many.join(top, [*names, "_many"])
+            .select(*names, times(F.col("allowed"), through_chunk)).withColumnRenamed("node", C.CHUNK))
+    state = F.struct(F.col("allowed"), F.array().cast("array<bigint>").alias("taken"))
     replay = F.aggregate(
         "_ts", state,
         lambda s, x: F.when(x >= s["allowed"], F.struct(
             (x + gap).alias("allowed"), F.array_append(s["taken"], x).alias("taken"))).otherwise(s),
         lambda s: s["taken"])
-    return easy.unionByName(hard).filter(F.col("_pick").isNotNull()).select(*keys, F.explode(replay).alias(ts))
+    return packed.join(down, [*names, C.CHUNK]).select(*names, F.explode(replay).alias(ts))
 
 
 def spaced_timestamps(points: DataFrame, windows: DataFrame, cycles: int, spacing: int,
