@@ -11,6 +11,7 @@ from tidemark.catalog.outcomes import GATE_IN, gate_inputs
 from tidemark.functions import text
 from tidemark.operators import asof
 from tidemark.plans import campaign, documents, memory, reports, snapshot, tools
+from tidemark.registry import Registry
 
 #: Characters beyond Latin accents that the tables and fixtures hold; DuckDB does not decompose them itself.
 WIDE = lambda c: f"translate(replace({c}, 'ﬁ', 'fi'), 'ｅｇｉｎｏｒ', 'eginor')"
@@ -197,6 +198,24 @@ def d02(spark, sf):
     return tools.plan_errors(requests(spark, sf).withColumn("plan_id", F.floor(F.col("request_id") / 5)))
 
 
+def _bar_range(tail, n):
+    sample = asof.last_items(tail, n)
+    spread = F.array_max(F.transform(sample, lambda b: b["high"])) - F.array_min(F.transform(sample, lambda b: b["low"]))
+    return {"bar_range": spread, "state": F.when(spread > 500, "WIDE").otherwise("NARROW")}
+
+
+@query("D02_registered_tool", W(REQ, f"""SELECT q.request_id, CASE WHEN max(b.high) - min(b.low) > 500 THEN 'WIDE' ELSE 'NARROW' END AS state, {R('max(b.high) - min(b.low)', 'bar_range', 4)}
+    FROM rb q JOIN br b ON b.asset = q.asset AND b.r > q.r - (10 + q.request_id % 2 * 290) AND b.r <= q.r
+    WHERE q.r >= 10 + q.request_id % 2 * 290 GROUP BY 1"""))
+def d02_own(spark, sf):
+    """A caller's own tool beside the given ones."""
+    own = Registry(**tools.TOOLS)
+    own.register("bar_range", tools.Tool((10, 300), _bar_range))
+    r = requests(spark, sf).withColumns({"tool": F.lit("bar_range"), "lookback": 10 + F.col("request_id") % 2 * 290})
+    out = tools.run_tools(r, bars(spark, sf), WIDTH // 4, own).filter("status = 'OK'")
+    return rounded(out, ["request_id", "state"], ["bar_range"], 4)
+
+
 @query("W26_donchian_breakout", W(REQ, f"""SELECT request_id, CASE WHEN c > u THEN 'BREAKOUT_UP' WHEN c < l THEN 'BREAKOUT_DOWN' ELSE 'INSIDE' END AS state,
     {R('u', 'prior_upper', 4)}, {R('l', 'prior_lower', 4)}, {R('CASE WHEN u > l THEN (c - l) / (u - l) ELSE 0.5 END', 'channel_position', 4)},
     {R('(u / c - 1) * 100', 'distance_to_upper_pct', 4)}, {R('(c / l - 1) * 100', 'distance_to_lower_pct', 4)}

@@ -1,24 +1,73 @@
 """Analysis tools over a table of requests.
 
+Tools are entries of a registry (``TOOLS``); a caller adds its own with
+``TOOLS.register(name, Tool(...))`` or passes a registry of its own.
+
 ``requests``: request_id, asset, ts, tool, windows (array), lookback. Invalid
 requests come back as ERROR rows, short history as INSUFFICIENT_DATA.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
 from tidemark.operators import asof
 from tidemark.operators import chunks as C
+from tidemark.registry import Registry
 
-TREND_WINDOWS = (5, 15, 30, 60, 240)
-LOOKBACKS = {"donchian_breakout": (20, 55), "drawdown_profile": (60, 240, 1440), "volume_confirmation": (20, 60, 240)}
 RETURN_BAND = 0.15
 SPREAD_BAND = 0.02
-# Tails are built per size class, so short requests do not carry long arrays.
-SIZES = (61, 241, 1440)
+# Tails are built per size class, so short requests do not carry long arrays; the last class is the longest tool's.
+SIZES = (61, 241)
+MOST_WINDOWS = 4
+
+
+@dataclass(frozen=True)
+class Tool:
+    """A bounded question about the newest bars of a request.
+
+    ``choices`` lists the allowed values of ``parameter``: ``lookback``, one of
+    them, or ``windows``, up to four different ones. The tool reads that many
+    bars and ``before`` more. ``facts`` gives its columns from the bars (oldest
+    first) and the parameter, among them ``state``; where ``fold`` is set, it is
+    computed once and ``facts`` gets its result instead of the bars.
+    """
+
+    choices: tuple[int, ...]
+    facts: Callable[[Column, Column], Mapping[str, Column]]
+    fold: Callable[[Column, Column], Column] | None = None
+    parameter: str = "lookback"
+    before: int = 0
+
+    def __post_init__(self):
+        if not self.choices or min(self.choices) <= 0 or self.before < 0:
+            raise ValueError("a tool reads a positive number of bars")
+        if self.parameter not in ("lookback", "windows"):
+            raise ValueError("a tool's parameter is lookback or windows")
+
+    @property
+    def longest(self) -> int:
+        return max(self.choices) + self.before
+
+    @property
+    def error(self) -> str:
+        return f"INVALID_{self.parameter.upper()}"
+
+    def allows(self) -> Column:
+        if self.parameter == "lookback":
+            return F.coalesce(F.col("lookback").isin(*self.choices), F.lit(False))
+        size = F.size("windows")
+        fine = size.between(1, MOST_WINDOWS) & (F.size(F.array_distinct("windows")) == size)
+        return F.coalesce(fine & F.forall("windows", lambda w: F.coalesce(w.isin(*self.choices), F.lit(False))), F.lit(False))
+
+    def needs(self) -> Column:
+        asked = F.array_max("windows") if self.parameter == "windows" else F.col("lookback")
+        return asked + F.lit(self.before)
 
 
 def _unrounded_zero(value: Column) -> Column:
@@ -26,17 +75,17 @@ def _unrounded_zero(value: Column) -> Column:
     return F.when(bad, F.lit(0.0)).otherwise(value)
 
 
-def request_error() -> Column:
+def _per_tool(tools: Mapping[str, Tool], value: Callable[[Tool], Column]) -> Column:
+    """``value`` of the tool a row names; null where it names none."""
+    pairs = [((F.col("tool") == name), value(tool)) for name, tool in tools.items()]
+    return F.coalesce(*[F.when(test, v) for test, v in pairs]) if pairs else F.lit(None)
+
+
+def request_error(tools: Mapping[str, Tool] | None = None) -> Column:
     """Code of the rule a request breaks, null when it is fine."""
-    c = F.col
-    trend = c("tool") == "multi_timeframe_trend"
-    size = F.size("windows")
-    bad_windows = (size < 1) | (size > 4) | (F.size(F.array_distinct("windows")) != size) | F.exists(
-        "windows", lambda w: ~w.isin(*TREND_WINDOWS))
-    error = F.when(trend & F.coalesce(bad_windows, F.lit(True)), "INVALID_WINDOWS")
-    for tool, allowed in LOOKBACKS.items():
-        error = error.when((c("tool") == tool) & ~F.coalesce(c("lookback").isin(*allowed), F.lit(False)), "INVALID_LOOKBACK")
-    return error.when(~c("tool").isin("multi_timeframe_trend", *LOOKBACKS), "UNKNOWN_TOOL")
+    known = TOOLS if tools is None else tools
+    broken = _per_tool(known, lambda t: F.when(~t.allows(), t.error))
+    return F.when(F.coalesce(F.col("tool").isin(*known), F.lit(False)), broken).otherwise("UNKNOWN_TOOL")
 
 
 def plan_errors(requests: DataFrame, plan: str = "plan_id") -> DataFrame:
@@ -45,12 +94,6 @@ def plan_errors(requests: DataFrame, plan: str = "plan_id") -> DataFrame:
     return per_plan.filter((F.col("requests") > 3) | (F.col("tools") < F.col("requests")))
 
 
-def required_bars() -> Column:
-    c = F.col
-    return (F.when(c("tool") == "multi_timeframe_trend", F.array_max("windows"))
-            .when(c("tool") == "drawdown_profile", c("lookback")).otherwise(c("lookback") + 1))
-
-
 def _closes(rows: Column, n: Column | int) -> Column:
     return F.transform(asof.last_items(rows, n), lambda b: b["close"])
 
@@ -160,63 +203,62 @@ def volume(f: Column, n: Column) -> dict[str, Column]:
     }
 
 
-RESULT = ("prior_upper", "prior_lower", "channel_position", "distance_to_upper_pct", "distance_to_lower_pct",
-          "current_drawdown_pct", "max_drawdown_pct", "downside_semideviation_pct", "peak_ts", "trough_ts",
-          "peak_price", "trough_price", "current_volume", "mean_volume", "volume_z_score", "obv_slope_per_bar")
+#: The tools every plan may ask for. Choices are fixed values.
+TOOLS = Registry(
+    multi_timeframe_trend=Tool((5, 15, 30, 60, 240), lambda found, _: {"windows_detail": found, "state": alignment(found)},
+                               fold=trend, parameter="windows"),
+    donchian_breakout=Tool((20, 55), donchian, before=1),
+    drawdown_profile=Tool((60, 240, 1440), drawdown, fold=drawdown_fold),
+    volume_confirmation=Tool((20, 60, 240), volume, fold=volume_fold, before=1),
+)
 
 
-def run_tools(requests: DataFrame, bars: DataFrame, width: int) -> DataFrame:
-    """One result row per request: status, error code, state and facts per tool.
+def run_tools(requests: DataFrame, bars: DataFrame, width: int, tools: Mapping[str, Tool] | None = None) -> DataFrame:
+    """One result row per request: status, error code, state and facts per tool (``TOOLS`` by default).
 
     Equal questions about the same newest bar are answered once and joined back.
     """
-    marked = requests.withColumn("error_code", request_error())
+    known = TOOLS if tools is None else tools
+    marked = requests.withColumn("error_code", request_error(known))
     good = marked.filter(F.col("error_code").isNull())
-    placed = asof.at_last_bar(good, bars, width).withColumn("_windows", F.when(
-        F.col("tool") == "multi_timeframe_trend", F.array_join(F.col("windows").cast("array<string>"), ",")).otherwise(""))
-    placed = placed.withColumn("_lookback", F.when(F.col("tool") == "multi_timeframe_trend", F.lit(0)).otherwise(F.col("lookback")))
+    # Only a tool's own parameter is part of its question.
+    by_windows = F.col("tool").isin(*[n for n, t in known.items() if t.parameter == "windows"])
+    placed = asof.at_last_bar(good, bars, width).withColumns({
+        "_windows": F.when(by_windows, F.array_join(F.col("windows").cast("array<string>"), ",")).otherwise(""),
+        "_lookback": F.when(by_windows, F.lit(0)).otherwise(F.col("lookback"))})
     ask = ["asset", "bar_ts", "tool", "_windows", "_lookback"]
     distinct = placed.groupBy(*ask).agg(F.first("windows").alias("windows")).select(
         "asset", F.col("bar_ts").alias("ts"), "tool", "_windows", "_lookback", "windows", F.col("_lookback").alias("lookback"))
-    facts = answers(distinct.filter("ts IS NOT NULL"), bars, width).drop("windows", "lookback").withColumnRenamed("ts", "bar_ts")
+    facts = answers(distinct.filter("ts IS NOT NULL"), bars, width, known).drop("windows", "lookback").withColumnRenamed("ts", "bar_ts")
     done = placed.join(facts, ask, "left").drop("_windows", "_lookback", "bar_ts")
     done = done.withColumn("status", F.coalesce("status", F.lit("INSUFFICIENT_DATA")))
     failed = marked.filter(F.col("error_code").isNotNull()).withColumn("status", F.lit("ERROR"))
     return done.unionByName(failed, allowMissingColumns=True)
 
 
-def answers(questions: DataFrame, bars: DataFrame, width: int) -> DataFrame:
+def answers(questions: DataFrame, bars: DataFrame, width: int, tools: Mapping[str, Tool] | None = None) -> DataFrame:
     """Facts per distinct question (asset, ts, tool, windows, lookback)."""
-    good = questions.withColumn("_need", required_bars())
-    results = None
-    low = 0
-    for size in SIZES:
+    known = TOOLS if tools is None else tools
+    good = questions.withColumn("_need", _per_tool(known, Tool.needs))
+    longest = max(t.longest for t in known.values())
+    rows, low = None, 0
+    for size in [*[n for n in SIZES if n < longest], longest]:
         part = good.filter((F.col("_need") > low) & (F.col("_need") <= size))
         tail = asof.trailing_context(part, bars, size, ["high", "low", "close", "volume"], width)
-        results = tail if results is None else results.unionByName(tail)
+        rows = tail if rows is None else rows.unionByName(tail)
         low = size
     enough = F.size("tail") >= F.col("_need")
-    rows = results.withColumn("status", F.when(enough, "OK").otherwise("INSUFFICIENT_DATA"))
-    n, tail = F.col("lookback"), F.col("tail")
-    is_trend = enough & (F.col("tool") == "multi_timeframe_trend")
-    rows = C.pin(rows, "windows_detail", F.when(is_trend, trend(tail, F.col("windows"))))
-    rows = C.pin(rows, "_draw", F.when(enough & (F.col("tool") == "drawdown_profile"), drawdown_fold(tail, n)))
-    rows = C.pin(rows, "_flow", F.when(enough & (F.col("tool") == "volume_confirmation"), volume_fold(tail, n)))
-    made = {"donchian_breakout": donchian(tail, n), "drawdown_profile": drawdown(F.col("_draw"), n),
-            "volume_confirmation": volume(F.col("_flow"), n)}
-    facts: dict[str, list] = {}
-    for tool, values in made.items():
-        for name, value in values.items():
-            facts.setdefault(name, []).append((tool, value))
-    out = {}
-    for name in (*RESULT, "state"):
-        column = F.when(is_trend, alignment(F.col("windows_detail"))) if name == "state" else None
-        for tool, value in facts[name]:
-            test = enough & (F.col("tool") == tool)
-            column = F.when(test, value) if column is None else column.when(test, value)
-        out[name] = column
-    done = C.pin(rows, "_facts", F.struct(*[v.alias(k) for k, v in out.items()]))
-    return done.select("*", "_facts.*").drop("tail", "_need", "_draw", "_flow", "_facts")
+    rows = rows.withColumn("status", F.when(enough, "OK").otherwise("INSUFFICIENT_DATA"))
+    columns: dict[str, list[Column]] = {}
+    for place, (name, tool) in enumerate(known.items()):
+        asked, source = enough & (F.col("tool") == name), F.col("tail")
+        if tool.fold is not None:
+            rows = C.pin(rows, f"_fold{place}", F.when(asked, tool.fold(source, F.col(tool.parameter))))
+            source = F.col(f"_fold{place}")
+        for fact, value in tool.facts(source, F.col(tool.parameter)).items():
+            columns.setdefault(fact, []).append(F.when(asked, value))
+    done = C.pin(rows, "_facts", F.struct(*[F.coalesce(*values).alias(fact) for fact, values in columns.items()]))
+    return done.select("*", "_facts.*").drop("tail", "_need", "_facts", *[f"_fold{k}" for k in range(len(known))])
 
 
 def drawdown_events(results: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from tidemark.functions import signals
 
 
 class Registry(Mapping):
-    """Names bound to column factories; a name is taken once."""
+    """Names bound to column factories or other entries; a name is taken once."""
 
     def __init__(self, **items: Callable[[], Column]):
         self._items = dict(items)
