@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tidemark import schemas
-from tidemark.catalog.base import RS, query, rounded, table
-from tidemark.catalog.fixtures import BARS, NEWS, W, bars, events, news
+from tidemark.catalog.base import R, RS, query, rounded, table
+from tidemark.catalog.datasets import greedy_sql
+from tidemark.catalog.fixtures import BARS, DECISIONS, NEWS, W, bars, decisions, events, news
 from tidemark.session import materialize, shared_folder
 from tidemark.sources import files, sinks
-from tidemark.streaming import feeds
+from tidemark.streaming import bars as windows
+from tidemark.streaming import feeds, maturity, state
 
 PRICES = ["open", "high", "low", "close", "volume"]
 BAR_ROWS = f"SELECT asset, ts, {RS(PRICES)} FROM bars"
@@ -37,6 +39,13 @@ def finish(writer: DataStreamWriter) -> None:
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
+def streamed(df: DataFrame, name: str) -> DataFrame:
+    """What a streaming plan has written once it has read all its files."""
+    at = folder(df.sparkSession, name)
+    finish(df.writeStream.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/checkpoint"))
+    return df.sparkSession.read.schema(df.schema).parquet(f"{at}/rows")
+
+
 @query("S01_candle_csv_scan", W(BARS, BAR_ROWS))
 def s01(spark, sf):
     path = folder(spark, "candles")
@@ -152,3 +161,45 @@ def r05(spark, sf):
     for _ in range(2):
         finish(feeds.decision_tail(feed, f"{at}/rows", f"{at}/checkpoint"))
     return rounded(spark.read.parquet(f"{at}/rows"), ["asset", "ts"], PRICES)
+
+
+# Windows behind the watermark (the newest bar less the delay) are final and written; later ones wait for more bars.
+@query("R06_streaming_bars", W(BARS, f"""SELECT asset, bin_end, max(ts) AS ts, {R('arg_min(open, ts)', 'open')}, {R('max(high)', 'high')}, {R('min(low)', 'low')}, {R('arg_max(close, ts)', 'close')}, {R('sum(volume)', 'volume')},
+    count(*) AS observations FROM (SELECT *, (ts - 1) // 14400 * 14400 + 14400 AS bin_end FROM bars) WHERE bin_end <= (SELECT max(ts) - 1 - 1200 FROM bars) GROUP BY 1, 2"""))
+def r06(spark, sf):
+    return rounded(streamed(windows.tumbling_bars(stream(bars(spark, sf), "bars"), 240), "tumbling"), ["asset", "bin_end", "ts", "observations"], PRICES)
+
+
+@query("R07_streaming_regimes", W(BARS, f"""SELECT asset, start_ts, end_ts, candles, label, {R('move', 'move_pct', 3)}, {R('vol', 'volatility_pct', 3)} FROM (
+    SELECT *, CASE WHEN move >= 10 THEN 'UPTREND' WHEN move <= -10 THEN 'DOWNTREND' WHEN abs(move) <= 2 THEN 'SIDEWAYS' ELSE 'MIXED' END AS label FROM (
+      SELECT asset, s AS start_ts, s + 43200 AS end_ts, count(*) AS candles, round((arg_max(close, ts) / arg_min(close, ts) - 1) * 100, 4) AS move, round(coalesce(stddev_pop(ret), 0), 4) AS vol
+      FROM (SELECT *, (close / lag(close) OVER (PARTITION BY asset, s ORDER BY ts) - 1) * 100 AS ret FROM (SELECT *, ts // 14400 * 14400 - unnest([0, 14400, 28800]) AS s FROM bars))
+      WHERE s + 43200 <= (SELECT max(ts) - 1200 FROM bars) GROUP BY 1, 2))"""))
+def r07(spark, sf):
+    made = windows.sliding_regimes(stream(bars(spark, sf), "bars"), 10.0, 2.0, "12 hours", "4 hours")
+    return rounded(streamed(made, "regimes"), ["asset", "start_ts", "end_ts", "candles", "label"], ["move_pct", "volatility_pct"], 3)
+
+
+@query("R08_maturity_join", W(f"{BARS}, {DECISIONS}", f"""SELECT decision_id, CASE WHEN f IS NULL THEN 'data_gap' ELSE 'matured' END AS maturity, f AS future_ts, {R('p', 'future_price')} FROM (
+    SELECT d.decision_id, any_value(d.ts) + 14400 AS target, min(b.ts) AS f, arg_min(b.close, b.ts) AS p FROM decisions d
+    LEFT JOIN bars b ON b.asset = d.asset AND b.ts BETWEEN d.ts + 14400 AND d.ts + 14400 + 1800 GROUP BY 1)
+    WHERE f IS NOT NULL OR target + 1800 < (SELECT least(max(d.ts) + 14400, (SELECT max(ts) FROM bars)) - 600 FROM decisions d)"""))
+def r08(spark, sf):
+    d = stream(decisions(spark, sf).select("decision_id", "asset", "ts"), "decisions")
+    out = maturity.first_matches(streamed(maturity.maturity_join(d, stream(bars(spark, sf), "bars"), 240, 1800), "maturity"))
+    return rounded(out, ["decision_id", "maturity", "future_ts"], ["future_price"])
+
+
+@query("R09_cooldown_state", W(f"{DECISIONS}, {greedy_sql('decisions', ['account', 'proposed_action'], 86401)}",
+    """SELECT c.account, c.proposed_action AS action, c.decision_id, t.ts IS NULL OR c.decision_id <> min(c.decision_id) OVER (PARTITION BY c.account, c.proposed_action, c.ts) AS in_cooldown
+    FROM decisions c LEFT JOIN taken t USING (account, proposed_action, ts)""", True))
+def r09(spark, sf):
+    d = decisions(spark, sf).select("account", F.col("proposed_action").alias("action"), "decision_id", "ts")
+    return streamed(state.cooldown(stream(d, "proposals"), 86400), "cooldown").select("account", "action", "decision_id", "in_cooldown")
+
+
+@query("R10_daily_equity_state", W(BARS, f"""SELECT asset, ts, day_start, {R('ref', 'reference_equity', 4)}, {R('greatest(0, (ref - close) / ref * 100)', 'daily_drawdown_pct', 4)} FROM (
+    SELECT *, (ts - 10800) // 86400 * 86400 + 10800 AS day_start, first_value(close) OVER (PARTITION BY asset, (ts - 10800) // 86400 ORDER BY ts) AS ref FROM bars)"""))
+def r10(spark, sf):
+    b = bars(spark, sf).select("asset", F.col("ts").alias("id"), "ts", F.col("close").alias("equity"))
+    return rounded(streamed(state.daily_drawdown(stream(b, "equity")), "equity-state"), ["asset", "ts", "day_start"], ["reference_equity", "daily_drawdown_pct"], 4)

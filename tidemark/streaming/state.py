@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,15 +26,17 @@ def cooldown(proposals: DataFrame, seconds: int = 900, delay: str = "10 minutes"
             state.remove()
             return
         rows = pd.concat(list(batches)).sort_values(["ts", "decision_id"])
+        times = rows["ts"].to_numpy()
         last = state.get[0] if state.exists else None
-        flags = []
-        for ts in rows["ts"]:
-            blocked = last is not None and ts - last <= seconds
-            flags.append(blocked)
-            last = last if blocked else int(ts)
+        blocked = np.ones(len(times), bool)
+        # From one executed proposal to the next one past its cooldown.
+        at = 0 if last is None else int(np.searchsorted(times, last + seconds, "right"))
+        while at < len(times):
+            blocked[at], last = False, int(times[at])
+            at = int(np.searchsorted(times, last + seconds, "right"))
         state.update((last,))
         state.setTimeoutTimestamp(max((last + seconds) * 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"account": key[0], "action": key[1], "decision_id": rows["decision_id"], "ts": rows["ts"], "in_cooldown": flags})
+        yield pd.DataFrame({"account": key[0], "action": key[1], "decision_id": rows["decision_id"], "ts": rows["ts"], "in_cooldown": blocked})
 
     timed = proposals.withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", delay)
     return timed.groupBy("account", "action").applyInPandasWithState(
