@@ -104,6 +104,13 @@ def test_candle_files_check_header_and_prune_by_name(spark, tmp_path):
     _csv(tmp_path / "bad", "1_2.csv", names.replace("close", "last"), [row(T0)])
     with pytest.raises(Exception):
         files.candle_csv(spark, str(tmp_path / "bad")).collect()
+    _csv(tmp_path / "mixed", "3_4.csv", names, [row(T0), row(T0).replace("3.0", "many"), f"{T0},2027,1.0"])
+    good, broken = files.candle_csv_quarantine(spark, str(tmp_path / "mixed"))
+    assert good.count() == 1 and broken.count() == 2
+    assert sorted(r.wrong[0] for r in broken.collect()) == ["high", "volume"]
+    _csv(tmp_path / "named", "today.csv", names, [row(T0)])
+    with pytest.raises(Exception, match="start_end"):
+        files.candle_chunks(spark, str(tmp_path / "named")).collect()
     known = files.file_hashes(spark, str(tmp_path / "in"), "*.csv")
     kept = spark.createDataFrame(known.toPandas())
     with (tmp_path / "in" / f"{T0}_{T0 + 60}.csv").open("a") as f:

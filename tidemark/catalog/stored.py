@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from tidemark import schemas
-from tidemark.catalog.base import R, RS, query, rounded, table
+from tidemark.catalog.base import ORACLES, QUERIES, R, RS, query, rounded, table
 from tidemark.catalog.datasets import greedy_sql
 from tidemark.catalog.fixtures import BARS, DECISIONS, NEWS, W, bars, decisions, events, news
 from tidemark.session import materialize, shared_folder
@@ -56,6 +56,70 @@ def s01(spark, sf):
     return rounded(files.candle_csv(spark, path), ["asset", "ts"], PRICES)
 
 
+@query("S01_candle_csv_quarantine", W(BARS, "SELECT asset, count(*) FILTER (WHERE ts % 18000 <> 0) AS kept, count(*) FILTER (WHERE ts % 18000 = 0) AS refused FROM bars GROUP BY 1"))
+def s01_quarantine(spark, sf):
+    path = folder(spark, "candles")
+    # The volume of every fifth hour is no number.
+    volume = F.when(F.col("ts") % 18000 == 0, "many").otherwise(F.col("volume").cast("string"))
+    made = bars(spark, sf).select(
+        F.col("ts").alias("timestamp"), F.timestamp_seconds("ts").cast("string").alias("datetime_utc"), *PRICES[:4], volume.alias("volume"),
+        F.col("asset").alias("symbol"), F.lit("1h").alias("resolution"), F.lit("events").alias("source"))
+    sinks.write_table(made.select(*schemas.CANDLE_CSV.names), path, "csv")
+    good, broken = files.candle_csv_quarantine(spark, path)
+    refused = broken.filter(F.array_contains("wrong", "volume")).groupBy(F.col("symbol").alias("asset")).agg(F.count(F.lit(1)).alias("refused"))
+    return good.groupBy("asset").agg(F.count(F.lit(1)).alias("kept")).join(refused, "asset")
+
+
+#: One text file a nation, with its customers.
+NATIONS = """nt AS (SELECT n.n_name AS nation, '# ' || n.n_name || chr(10) || string_agg(c.c_name, chr(10) ORDER BY c.c_custkey) || chr(10) AS body
+  FROM nation n JOIN customer c ON c.c_nationkey = n.n_nationkey GROUP BY 1)"""
+
+
+def _nation_files(spark, sf):
+    path = folder(spark, "nations")
+    names = table(spark, sf, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(F.struct("c_custkey", "c_name"))).alias("_c"))
+    body = F.concat(F.lit("# "), "n_name", F.lit("\n"), F.array_join(F.transform("_c", lambda c: c["c_name"]), "\n"))
+    made = table(spark, sf, "nation").join(names, F.col("n_nationkey") == F.col("c_nationkey")).select(F.col("n_name").alias("nation"), body.alias("body"))
+    made.write.partitionBy("nation").text(path)
+    return path
+
+
+@query("S06_file_integrity", W(NATIONS, "SELECT sha256(body) AS sha256, CAST(strlen(body) AS BIGINT) AS bytes FROM nt"))
+def s06(spark, sf):
+    return files.file_hashes(spark, f"{_nation_files(spark, sf)}/*", "*.txt").select("sha256", "bytes")
+
+
+@query("S09_text_documents", W(NATIONS, "SELECT nation AS title, 'study_note' AS source_type, md5(body) AS text FROM nt"))
+def s09(spark, sf):
+    return files.text_documents(spark, f"{_nation_files(spark, sf)}/*", "study_note").select("title", "source_type", F.md5("text").alias("text"))
+
+
+@query("S08_campaign_reports", W(DECISIONS, """SELECT variant || '-' || account % 16 AS campaign_id, 'live' AS mode, asset, ts AS "timestamp", risk_action, h.horizon_min, h.maturity,
+    CASE h.maturity WHEN 'matured' THEN 'PROFIT' ELSE 'NONE' END AS risk_status, round(conviction, 3) + 0.0 AS edge_pct
+    FROM decisions, (VALUES (15, 'matured'), (60, 'data_gap')) h(horizon_min, maturity) WHERE account % 16 <> 3"""))
+def s08(spark, sf):
+    path, lit = folder(spark, "reports"), F.lit
+    seen = lambda maturity, status: F.struct(lit(maturity).alias("maturity"), lit(1.0).alias("raw_move_pct"), F.struct(
+        lit(status).alias("status"), F.col("conviction").alias("directional_edge_after_cost_pct")).alias("risk"))
+    row = F.struct("variant", F.col("ts").alias("timestamp"), lit("ok").alias("status"), F.col("execution_price").alias("price"), "risk_action",
+                   F.create_map(lit("15"), seen("matured", "PROFIT"), lit("60"), seen("data_gap", "NONE")).alias("horizons"))
+    # Reports that are still running count for nothing.
+    state = F.when(F.col("account") % 16 == 3, "RUNNING").otherwise("COMPLETED")
+    made = decisions(spark, sf).groupBy(F.concat_ws("-", "variant", F.col("account") % 16).alias("campaign_id"), state.alias("status"), "asset").agg(
+        F.collect_list(row).alias("results")).withColumn("config", F.struct("asset", lit("live").alias("news_mode")))
+    made.select(F.to_json(F.struct("campaign_id", "status", "config", "results")).alias("value"), F.col("campaign_id").alias("campaign"), F.col("asset").alias("market")) \
+        .write.partitionBy("campaign", "market").text(path)
+    out = files.report_horizons(files.campaign_reports(spark, [f"{path}/*/*", f"{path}/*/*"]))
+    return rounded(out, ["campaign_id", "mode", "asset", "timestamp", "risk_action", "horizon_min", "maturity", "risk_status"], ["edge_pct"], 3)
+
+
+@query("S17_barrier_export", f"SELECT *, 'events-1h' AS source_fingerprint FROM ({ORACLES['M06_first_touch_barriers']})")
+def s17(spark, sf):
+    path = folder(spark, "barriers")
+    sinks.write_labels(QUERIES["M06_first_touch_barriers"](spark, sf), path, "events-1h")
+    return spark.read.parquet(path)
+
+
 @query("S05_archive_scan", W(BARS, f"SELECT asset, ts, {RS(PRICES)} FROM bars WHERE asset = 'purchase'"))
 def s05(spark, sf):
     path = folder(spark, "archive")

@@ -6,26 +6,42 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark import schemas
 from tidemark.functions import clock
 from tidemark.operators import quality
 
 
+def _candles(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("symbol").alias("asset"), F.col("timestamp").alias("ts"), "open", "high", "low", "close", "volume")
+
 
-def candle_csv(spark: SparkSession, path: str | Sequence[str], strict: bool = True) -> DataFrame:
+def candle_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Canonical candle files; a header that differs or a broken row fails the job."""
-    reader = (spark.read.schema(schemas.CANDLE_CSV).option("header", True).option("enforceSchema", False)
-              .option("mode", "FAILFAST" if strict else "DROPMALFORMED"))
-    rows = reader.csv(path)
-    return rows.select(F.col("symbol").alias("asset"), F.col("timestamp").alias("ts"), "open", "high", "low", "close", "volume")
+    return _candles(spark.read.schema(schemas.CANDLE_CSV).option("header", True).option("enforceSchema", False)
+                    .option("mode", "FAILFAST").csv(path))
+
+
+def candle_csv_quarantine(spark: SparkSession, path: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Candles of the rows that can be read, and all others as text with their file and the fields that are missing or wrong."""
+    as_text = T.StructType([T.StructField(f.name, T.StringType()) for f in schemas.CANDLE_CSV])
+    rows = (spark.read.schema(as_text).option("header", True).option("enforceSchema", False).csv(path)
+            .withColumn("file", F.col("_metadata.file_name")))
+    typed = {f.name: F.col(f.name).try_cast(f.dataType) for f in schemas.CANDLE_CSV}
+    wrong = F.filter(F.array(*[F.when(v.isNull(), F.lit(n)) for n, v in typed.items()]), lambda n: n.isNotNull())
+    marked = rows.withColumn("wrong", wrong)
+    good = marked.filter(F.size("wrong") == 0).withColumns(typed)
+    return _candles(good), marked.filter(F.size("wrong") > 0).select("file", "wrong", *schemas.CANDLE_CSV.names)
 
 
 def file_window() -> tuple[Column, Column]:
-    """Start and end a chunk file declares in its name (``start_end.csv``)."""
+    """Start and end a chunk file declares in its name (``start_end.csv``); another name is refused."""
     name = F.col("_metadata.file_name")
     pattern = r"^(-?\d+)_(-?\d+)\."
-    return F.regexp_extract(name, pattern, 1).cast("bigint"), F.regexp_extract(name, pattern, 2).cast("bigint")
+    refused = F.raise_error(F.concat(F.lit("a chunk file is named start_end.csv, not "), name)).cast("bigint")
+    part = lambda k: F.when(name.rlike(pattern), F.regexp_extract(name, pattern, k).cast("bigint")).otherwise(refused)
+    return part(1), part(2)
 
 
 def candle_chunks(spark: SparkSession, path: str, start: int | None = None, end: int | None = None) -> DataFrame:
