@@ -12,6 +12,15 @@ from tidemark.operators import chunks as C
 FREE = -(2**62)
 
 
+def _with(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner join on equal columns, null keys included."""
+    other = right.withColumnsRenamed({n: f"_right_{n}" for n in on})
+    test = F.lit(True)
+    for n in on:
+        test = test & F.col(n).eqNullSafe(F.col(f"_right_{n}"))
+    return left.join(other, test).drop(*[f"_right_{n}" for n in on])
+
+
 def greedy_spacing(signals: DataFrame, keys: Sequence[str], spacing: int, ts: str = "ts",
                    width: int | None = None, fan: int = 256) -> DataFrame:
     """Timestamps taken greedily: the first, then each at least ``spacing`` later.
@@ -60,7 +69,7 @@ def greedy_spacing(signals: DataFrame, keys: Sequence[str], spacing: int, ts: st
     composed = many.select(*names, "_many", moves(starts, lambda e: F.aggregate("_nodes", e, through_chunk)).alias("_moves"))
     top = (composed.groupBy(*names).agg(in_order("_many").alias("_nodes"))
            .select(*names, times(F.lit(FREE).cast("bigint"), through_many)).withColumnRenamed("node", "_many"))
-    down = (many.join(top, [*names, "_many"])
+    down = (_with(many, top, [*names, "_many"])
             .select(*names, times(F.col("allowed"), through_chunk)).withColumnRenamed("node", C.CHUNK))
     state = F.struct(F.col("allowed"), F.array().cast("array<bigint>").alias("taken"))
     replay = F.aggregate(
@@ -68,7 +77,7 @@ def greedy_spacing(signals: DataFrame, keys: Sequence[str], spacing: int, ts: st
         lambda s, x: F.when(x >= s["allowed"], F.struct(
             (x + gap).alias("allowed"), F.array_append(s["taken"], x).alias("taken"))).otherwise(s),
         lambda s: s["taken"])
-    return packed.join(down, [*names, C.CHUNK]).select(*names, F.explode(replay).alias(ts))
+    return _with(packed, down, [*names, C.CHUNK]).select(*names, F.explode(replay).alias(ts))
 
 
 def spaced_timestamps(points: DataFrame, windows: DataFrame, cycles: int, spacing: int,
