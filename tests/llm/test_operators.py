@@ -368,6 +368,15 @@ def test_site_lines(spark):
     assert [r["text"] for r in out[11]] == ["Only", "Only"] and sitelines.drop_site_lines(pages.limit(0)).count() == 0
 
 
+def test_site_lines_that_rotate(spark):
+    """A line on a tenth of a large host goes under the loose pair; copies on a host of few pages stay."""
+    data = [(i, f"http://a.org/{i}", f"<nav>Turn {i % 10}</nav><p>Own {i}</p>") for i in range(40)] + [(100 + i, f"http://b.org/{i}", f"<p>Copy {i // 2}</p>") for i in range(6)]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string")
+    loose = {r["page_id"]: r for r in rows(sitelines.drop_site_lines(pages, sitelines.LOOSE_RATIO, least_seen=sitelines.LOOSE_SEEN))}
+    assert all(loose[i]["text"] == f"Own {i}" for i in range(40)) and all(loose[100 + i]["dropped_lines"] == 0 for i in range(6))
+    assert all(r["dropped_lines"] == 0 for r in rows(sitelines.drop_site_lines(pages)) if r["page_id"] < 100)
+
+
 def test_pipeline_stages_on_odd_rows(spark, odd, none):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd, SF).columns == odd.columns, name

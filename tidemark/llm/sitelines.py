@@ -11,6 +11,8 @@ from tidemark.session import materialize
 
 #: A line on more than this share of a host's pages is boilerplate; hosts of fewer pages have none.
 RATIO, LEAST_PAGES = 0.3, 4
+#: Looser pair for lines that a host repeats on some of its pages only: a share, and pages that hold the line at least.
+LOOSE_RATIO, LOOSE_SEEN = 0.05, 4
 
 
 #: Parts of a page that hold no text, tags that end a line, and entities with their signs.
@@ -30,7 +32,7 @@ def html_lines(html: Column) -> Column:
 
 
 def drop_site_lines(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, id_col: str = "page_id",
-                    host: Column | None = None, lines: Column | None = None) -> DataFrame:
+                    host: Column | None = None, lines: Column | None = None, least_seen: int = 1) -> DataFrame:
     """page_id, host, lines, dropped_lines, text (lines that stay) of every page.
 
     For each host the pages that hold a line, counted once a page, are divided
@@ -41,6 +43,11 @@ def drop_site_lines(pages: DataFrame, ratio: float = RATIO, least_pages: int = L
     host's list is small; pages and lists are joined as plain scans, which
     adaptive execution splits on a large host.
 
+    The default ratio is strict: it finds what a site shows on most pages and
+    leaves lines that rotate. A low ratio (``LOOSE_RATIO``) finds those too, with
+    ``least_seen`` pages that must hold a line (``LOOSE_SEEN``), since on a host of
+    few pages every line is above a low ratio.
+
     Lines are compared without outer and doubled white space. Pages without a
     host (null url) count as one host; repeated rows count as pages of their own.
     """
@@ -50,7 +57,8 @@ def drop_site_lines(pages: DataFrame, ratio: float = RATIO, least_pages: int = L
     totals = rows.groupBy("host").agg(F.count(F.lit(1)).alias("_pages"))
     seen = rows.select("host", F.explode(F.array_distinct("_lines")).alias("_line")).groupBy("host", "_line").agg(F.count(F.lit(1)).alias("_n"))
     # A line of fewer pages cannot be common on any host of enough pages; most lines go here, before hosts meet.
-    seen, totals = materialize(seen.filter(F.col("_n") > ratio * least_pages), "seen"), materialize(totals, "totals")
+    seen = seen.filter((F.col("_n") > ratio * least_pages) & (F.col("_n") >= least_seen))
+    seen, totals = materialize(seen, "seen"), materialize(totals, "totals")
     common = seen.join(totals, "host").filter((F.col("_pages") >= least_pages) & (F.col("_n") > ratio * F.col("_pages")))
     lists = materialize(common.groupBy("host").agg(F.collect_list("_line").alias("_common")), "common")
     judged = rows.join(lists, "host", "left").withColumn("_kept", F.when(F.col("_common").isNull(), F.col("_lines")).otherwise(
