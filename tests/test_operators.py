@@ -2,11 +2,14 @@
 
 import random
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_point
+from tests.harness import compare
 from tidemark import schemas
 from tidemark.operators import asof, chunks, select
 from tidemark.plans import documents, ledger
@@ -137,6 +140,21 @@ def test_feed_items(spark, tmp_path):
     assert sorted((r.headline, r.ts) for r in got) == [("One two", T0), ("Three", T0)]
 
 
+def test_feeds_of_many_sources(spark, tmp_path):
+    """No source is left out, whatever its name; the registered query matches its SQL on a table of 1100 of them."""
+    names = [f"s{i}" for i in range(1100)] + ["007", "2027-01-15", "a/b c=d%", None]
+    docs = spark.createDataFrame([(i, f"head  {i}", n) for i, n in enumerate(names)], "doc_id bigint, text string, source string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    problem, n = compare(entry_point.queries()["S07_feed_items"](spark, str(tmp_path)), con, entry_point.oracle_sql()["S07_feed_items"])
+    assert problem is None and n == len(names)
+    for name in ("a", "b"):
+        (tmp_path / "feeds" / f"source={name}").mkdir(parents=True)
+        (tmp_path / "feeds" / f"source={name}" / "f.xml").write_text("<channel><item><title>One</title></item><item><title>Two</title></item></channel>")
+    assert sorted((r.source, r.headline) for r in files.rss_items(spark, str(tmp_path / "feeds"), None, 1).collect()) == [("a", "One"), ("b", "One")]
+
+
 def test_upsert_is_idempotent_and_insert_counts(spark, tmp_path):
     schema = "asset string, ts bigint, open double, high double, low double, close double, volume double, ingest_seq bigint"
     rows = [("A", T0 + 60 * i, 1.0, 2.0, 0.5, float(i), 1.0, i) for i in range(5)]

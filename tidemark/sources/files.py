@@ -134,17 +134,23 @@ def checksum_text(text: Column) -> tuple[Column, Column]:
     return F.lower(F.regexp_extract(text, pattern, 1)), F.regexp_extract(text, pattern, 2)
 
 
-def rss_items(spark: SparkSession, path: str, source: str, limit: int | None = None) -> DataFrame:
-    """Items of RSS feed files: ts, headline, source; with ``limit`` the first ones of each file."""
+def rss_items(spark: SparkSession, path: str, source: str | None, limit: int | None = None) -> DataFrame:
+    """Items of RSS feed files: ts, headline, source; with ``limit`` the first ones of each file.
+
+    Without a ``source`` the path holds one ``source=`` folder a feed, and all are read in one scan.
+    """
+    named = ", source STRING" if source is None else ""
     rows = (spark.read.format("xml").option("rowTag", "item").option("ignoreNamespace", True)
-            .schema("title STRING, pubDate STRING, date STRING").load(path)
-            .select("title", F.coalesce("pubDate", "date").alias("published"), F.col("_metadata.file_name").alias("file"),
-                    F.monotonically_increasing_id().alias("_seq")))
-    return feed_rows(rows, source, limit)
+            .schema(f"title STRING, pubDate STRING, date STRING{named}").load(path)
+            # Feed folders may hold files of one name: a file is known by its whole path.
+            .select("title", F.coalesce("pubDate", "date").alias("published"), F.col("_metadata.file_path").alias("file"),
+                    F.monotonically_increasing_id().alias("_seq"), (F.col("source") if source is None else F.lit(source)).alias("source")))
+    return feed_rows(rows, F.col("source"), limit)
 
 
-def feed_rows(rows: DataFrame, source: str, limit: int | None = None) -> DataFrame:
-    """``rows``: title, published, file, _seq."""
+def feed_rows(rows: DataFrame, source: str | Column, limit: int | None = None) -> DataFrame:
+    """``rows``: title, published, file, _seq; ``source`` names all of them or is a column."""
+    source = source if isinstance(source, Column) else F.lit(source)
     headline = F.trim(F.regexp_replace("title", r"\s+", " "))
     stamp = F.regexp_replace("published", r"^\w{3},\s*", "")
     ts = F.coalesce(F.try_to_timestamp(stamp, F.lit("d MMM yyyy HH:mm:ss Z")), F.try_to_timestamp(stamp, F.lit("d MMM yyyy HH:mm:ss z")),
@@ -154,7 +160,7 @@ def feed_rows(rows: DataFrame, source: str, limit: int | None = None) -> DataFra
     if limit is not None:
         named = named.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= limit)
     return (named.select(F.coalesce(F.unix_timestamp(ts), F.unix_timestamp(F.current_timestamp())).alias("ts"), headline.alias("headline"),
-                    F.lit(source).alias("source")))
+                    source.alias("source")))
 
 
 RESULT = ("variant STRING, window_id STRING, regime STRING, timestamp BIGINT, status STRING, price DOUBLE, llm_action STRING, "
