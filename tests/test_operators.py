@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
-from tests.harness import compare
+from tests.harness import SF_DIR, compare, connect
 from tidemark import schemas
 from tidemark.operators import asof, chunks, select
 from tidemark.plans import documents, ledger
@@ -130,6 +130,18 @@ def test_archive_rows_are_realigned(spark, tmp_path):
     assert stats.first().realigned_rows == 1 and stats.first().maximum_realign_seconds == 39
 
 
+def test_archives_of_all_assets(spark, tmp_path):
+    tail = "1.0,2.0,0.5,1.5,3.0,0,0,1,0,0,x"
+    for name, late in (("007", 0), ("B", 9)):
+        (tmp_path / f"asset={name}").mkdir()
+        (tmp_path / f"asset={name}" / "a.csv").write_text(f"{T0 - late}000,{tail}\n")
+    rows, stats = files.archive_csv(spark, str(tmp_path), None)
+    assert sorted((r.asset, r.ts) for r in rows.collect()) == [("007", T0), ("B", T0)]
+    assert sorted((r.asset, r.realigned_rows, r.maximum_realign_seconds) for r in stats.collect()) == [("007", 0, 0), ("B", 1, 9)]
+    problem, n = compare(entry_point.queries()["S05_archive_scan_all"](spark, SF_DIR), connect(), entry_point.oracle_sql()["S05_archive_scan_all"])
+    assert problem is None and n > 3000
+
+
 def test_feed_items(spark, tmp_path):
     (tmp_path / "f.xml").write_text(
         '<rss xmlns:dc="http://purl.org/dc/elements/1.1/"><channel>'

@@ -120,18 +120,30 @@ def s17(spark, sf):
     return spark.read.parquet(path)
 
 
+def _archives(made, path, by=()):
+    """Vendor archives of bars: every third row opens some seconds before its minute and is moved up to it."""
+    opened = (F.col("ts") + F.when(F.col("ts") / 3600 % 3 == 0, -7).otherwise(0)) * 1000
+    made = made.withColumn("open_time", opened)
+    blank = {c: F.lit(0) for c in schemas.ARCHIVE_CSV.names if c not in made.columns}
+    made.withColumns(blank).select(*schemas.ARCHIVE_CSV.names, *by).write.partitionBy(*by).csv(path)
+
+
 @query("S05_archive_scan", W(BARS, f"SELECT asset, ts, {RS(PRICES)} FROM bars WHERE asset = 'purchase'"))
 def s05(spark, sf):
     path = folder(spark, "archive")
-    # Every third row opens some seconds before its minute and is moved up to it.
-    opened = (F.col("ts") + F.when(F.col("ts") / 3600 % 3 == 0, -7).otherwise(0)) * 1000
-    made = bars(spark, sf).filter("asset = 'purchase'").withColumn("open_time", opened)
-    blank = {c: F.lit(0) for c in schemas.ARCHIVE_CSV.names if c not in made.columns}
-    made.withColumns(blank).select(*schemas.ARCHIVE_CSV.names).write.csv(path)
+    _archives(bars(spark, sf).filter("asset = 'purchase'"), path)
     rows, _ = files.archive_csv(spark, path, "purchase")
     return rounded(rows, ["asset", "ts"], PRICES)
 
 
+@query("S05_archive_scan_all", W(BARS, BAR_ROWS))
+def s05_all(spark, sf):
+    path = folder(spark, "archives")
+    _archives(bars(spark, sf), path, ["asset"])
+    rows, _ = files.archive_csv(spark, path, None)
+    return rounded(rows, ["asset", "ts"], PRICES)
+
+
 @query("S07_feed_items", W(NEWS, "SELECT ts, source, md5(trim(regexp_replace(headline, '\\s+', ' ', 'g'))) AS headline FROM news WHERE trim(headline) <> ''"))
 def s07(spark, sf):
     path = folder(spark, "feed")

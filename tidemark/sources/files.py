@@ -94,15 +94,20 @@ def payload_candles(payloads: DataFrame, payload: str = "payload", strict: bool
             .withColumnsRenamed({"t": "ts", "o": "open", "h": "high", "l": "low", "c": "close", "v": "volume"}))
 
 
-def archive_csv(spark: SparkSession, path: str | Sequence[str], asset: str, max_offset: int = 30) -> tuple[DataFrame, DataFrame]:
-    """Unzipped vendor archives: canonical candles, and counts of realigned timestamps."""
-    raw = spark.read.schema(schemas.ARCHIVE_CSV).option("header", False).option("mode", "FAILFAST").csv(path)
+def archive_csv(spark: SparkSession, path: str | Sequence[str], asset: str | None, max_offset: int = 30) -> tuple[DataFrame, DataFrame]:
+    """Unzipped vendor archives: canonical candles, and counts of realigned timestamps.
+
+    Without an ``asset`` the path holds one ``asset=`` folder an archive; all are read, and counts are given for each.
+    """
+    schema = T.StructType([*schemas.ARCHIVE_CSV, *([T.StructField("asset", T.StringType())] if asset is None else [])])
+    raw = spark.read.schema(schema).option("header", False).option("mode", "FAILFAST").csv(path)
     source = clock.epoch_from_raw(F.col("open_time"))
     moved = clock.realign(source, 60, max_offset)
     guard = F.when(moved.isNotNull(), moved).otherwise(
         F.raise_error(F.lit("archive timestamp outside the grid")).cast("bigint"))
-    rows = raw.select(F.lit(asset).alias("asset"), guard.alias("ts"), "open", "high", "low", "close", "volume", source.alias("_source"))
-    stats = realign_stats(rows, "_source", "ts")
+    named = F.col("asset") if asset is None else F.lit(asset).alias("asset")
+    rows = raw.select(named, guard.alias("ts"), "open", "high", "low", "close", "volume", source.alias("_source"))
+    stats = realign_stats(rows, "_source", "ts", ["asset"] if asset is None else [])
     return quality.require_valid(rows.drop("_source")), stats
 
 
