@@ -243,6 +243,22 @@ def test_resampling_weights_are_those_of_the_counts(spark):
     assert mean(1) > 0.9 and mean(0) < 0.5
 
 
+def test_corpus_counts_are_sums_in_any_layout(spark, monkeypatch):
+    """Counts equal the sum over documents, however rows are dealt to tasks and batches and wherever joined parts are cut."""
+    texts = ["", " ", "a", "ab", "abc", "abc abc", "abc", "abc", " abc", "abc ", "12 34", "ü", "", "x y z " * 40] + [f"wort{i} und satz{i % 7} hier" for i in range(300)]
+    frame = spark.createDataFrame([(t.encode(), i % 3 == 0) for i, t in enumerate(texts)], "text binary, is_target boolean")
+    each = [resampling.gram_counts(t.encode()) for t in texts]
+    for parts, batch in ((1, 10_000), (5, 7)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            raw_, target = resampling.corpus_counts(frame.repartition(parts))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert (raw_ == sum(each)).all() and (target == sum(each[::3])).all()
+    monkeypatch.setattr(resampling, "CHUNK", 256)
+    assert (resampling.summed_counts(t.encode() for t in texts) == sum(resampling.gram_counts(t.encode()) for t in texts)).all()
+
+
 def test_hashes_of_words_do_not_depend_on_their_place():
     a, b = resampling.ngram_buckets(np.frombuffer(b"x abc def", np.uint8)), resampling.ngram_buckets(np.frombuffer(b"abc def long word x", np.uint8))
     assert Counter(a[1:3].tolist()) == Counter(b[:2].tolist()) and a[4] == b[5]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,17 +31,23 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def ngram_buckets(raw: np.ndarray) -> np.ndarray:
+def ngram_buckets(raw: np.ndarray, ends_at: np.ndarray | None = None) -> np.ndarray:
     """Buckets of the 3-byte grams, words and pairs of words of some bytes.
 
     A word's hash is a difference of running sums, so no word is looped over.
-    Words keep their case and signs; digits count alike.
+    Words keep their case and signs; digits count alike. Texts that lie side by
+    side end at ``ends_at`` (the last one too): no n-gram crosses an end.
     """
     codes = raw.astype(np.uint64)
     codes[(raw >= 48) & (raw <= 57)] = 48
     space = (raw == 32) | (raw >= 9) & (raw <= 13)
     edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
     starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    if ends_at is not None:
+        # A word that runs on into the next text is cut there.
+        inner = np.unique(ends_at[(ends_at > 0) & (ends_at < len(raw))])
+        inner = inner[~space[inner - 1] & ~space[inner]]
+        starts, ends = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
     up, down = _powers(len(raw))
     sums = np.concatenate([[np.uint64(0)], np.cumsum((codes + np.uint64(1)) * up[:-1], dtype=np.uint64)])
     hashes = (sums[ends] - sums[starts]) * down[starts]
@@ -49,6 +55,14 @@ def ngram_buckets(raw: np.ndarray) -> np.ndarray:
     # A word said twice running is one event, whatever the word.
     pairs = np.where(hashes[:-1] == hashes[1:], MIX, (hashes[:-1] * BASE + hashes[1:]) * MIX)
     grams = (codes[:-2] * np.uint64(65536) + codes[1:-1] * np.uint64(256) + codes[2:]) * BASE + np.uint64(1)
+    if ends_at is not None:
+        text_of = np.searchsorted(ends_at, starts, "right")
+        pairs = pairs[text_of[:-1] == text_of[1:]]
+        whole = np.ones(len(grams), bool)
+        for back in (1, 2):
+            first = ends_at - back
+            whole[first[(first >= 0) & (first < len(grams))]] = False
+        grams = grams[whole]
     every = np.concatenate([hashes, pairs, grams * MIX])
     return (every >> np.uint64(40)).astype(np.int64) % BUCKETS
 
@@ -61,15 +75,34 @@ def gram_counts(text: bytes) -> np.ndarray:
     return out
 
 
+def summed_counts(texts: Iterable[bytes]) -> np.ndarray:
+    """Sum of the counts of every text, in any order and grouping: short texts are hashed side by side, parted only between texts."""
+    out, held, size = np.zeros(BUCKETS, np.int64), [], 0
+
+    def add() -> None:
+        nonlocal out
+        if held:
+            out += np.bincount(ngram_buckets(np.frombuffer(b"".join(held), np.uint8), np.cumsum([len(x) for x in held])), minlength=BUCKETS)
+    for text in texts:
+        if len(text) >= CHUNK:
+            out += gram_counts(text)
+            continue
+        if size + len(text) > CHUNK:
+            add()
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    add()
+    return out
+
+
 def corpus_counts(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """n-gram counts of all texts and of the target's. Every text is counted; each task sends one row a bucket at most."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for good in (True, False):
-                # Texts side by side, a blank between: one pass over a batch, and no n-gram of two texts but around the blank.
-                part = b" \n ".join(batch["text"][batch["is_target"] == good])
-                grams = gram_counts(part)
+                grams = summed_counts(batch["text"][batch["is_target"] == good])
                 raw += grams
                 if good:
                     target += grams
