@@ -142,6 +142,17 @@ def test_archives_of_all_assets(spark, tmp_path):
     assert problem is None and n > 3000
 
 
+def test_reports_stay_bounded(spark, monkeypatch):
+    """No report holds more than one account: their number grows with the accounts."""
+    read = []
+    monkeypatch.setattr(files, "campaign_reports", lambda s, paths, f=files.campaign_reports: read.append(paths[0]) or f(s, paths))
+    sf = SF_DIR
+    problem, n = compare(entry_point.queries()["S08_campaign_reports"](spark, sf), connect(sf), entry_point.oracle_sql()["S08_campaign_reports"])
+    sizes = [r[0] for r in spark.read.schema(files.REPORT).option("multiLine", True).json(read[0]).select(F.size("results")).collect()]
+    e = spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id", (F.col("event_id") % 3).alias("v")).count().agg(F.max("count")).first()[0]
+    assert problem is None and n > 0 and max(sizes) <= e
+
+
 def test_feed_items(spark, tmp_path):
     (tmp_path / "f.xml").write_text(
         '<rss xmlns:dc="http://purl.org/dc/elements/1.1/"><channel>'

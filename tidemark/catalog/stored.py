@@ -105,11 +105,13 @@ def s08(spark, sf):
                    F.create_map(lit("15"), seen("matured", "PROFIT"), lit("60"), seen("data_gap", "NONE")).alias("horizons"))
     # Reports that are still running count for nothing.
     state = F.when(F.col("account") % 16 == 3, "RUNNING").otherwise("COMPLETED")
-    made = decisions(spark, sf).groupBy(F.concat_ws("-", "variant", F.col("account") % 16).alias("campaign_id"), state.alias("status"), "asset").agg(
+    # A report holds one account over 30 days: more accounts or a longer time make more reports, not larger ones.
+    page = F.concat_ws("-", "account", F.floor(F.col("ts") / (30 * 86400)))
+    made = decisions(spark, sf).groupBy(F.concat_ws("-", "variant", F.col("account") % 16).alias("campaign_id"), state.alias("status"), "asset", page.alias("page")).agg(
         F.collect_list(row).alias("results")).withColumn("config", F.struct("asset", lit("live").alias("news_mode")))
-    made.select(F.to_json(F.struct("campaign_id", "status", "config", "results")).alias("value"), F.col("campaign_id").alias("campaign"), F.col("asset").alias("market")) \
-        .write.partitionBy("campaign", "market").text(path)
-    out = files.report_horizons(files.campaign_reports(spark, [f"{path}/*/*", f"{path}/*/*"]))
+    made.select(F.to_json(F.struct("campaign_id", "status", "config", "results")).alias("value"), F.col("campaign_id").alias("campaign"), F.col("asset").alias("market"), "page") \
+        .write.partitionBy("campaign", "market", "page").text(path)
+    out = files.report_horizons(files.campaign_reports(spark, [path, path]))
     return rounded(out, ["campaign_id", "mode", "asset", "timestamp", "risk_action", "horizon_min", "maturity", "risk_status"], ["edge_pct"], 3)
 
 
