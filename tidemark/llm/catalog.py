@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.llm import exactdedup, langid, linerules, mixing, packing, resampling, sharding, simhash, sitelines, urlfilter
+from tidemark.llm import exactdedup, langid, linerules, mixing, packing, periodicruns, resampling, sharding, simhash, sitelines, urlfilter, vectorcodes
+from tidemark.llm.common import words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -70,6 +72,37 @@ def op10_site_line_dedup(spark, sf_dir):
     return sitelines.drop_site_lines(_table(spark, sf_dir, "pages"))
 
 
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text, in which every tenth document (by the checksum of its id) repeats a stretch of its words to its end."""
+    mark = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", F.when(mark % 10 == 0, words(F.col("text"))).alias("_words"), F.floor(mark / 10).cast("int").alias("_g"))
+    rows = rows.withColumn("_n", F.size("_words"))
+    rows = rows.withColumn("_a", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")))
+    rows = rows.withColumn("_p", 1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8)).cast("int"))
+    left = F.col("_n") - F.col("_a")
+    stretch = F.flatten(F.array_repeat(F.slice("_words", F.col("_a") + 1, F.col("_p")), F.ceil(left / F.col("_p")).cast("int")))
+    planted = F.concat_ws(" ", F.concat(F.slice("_words", F.lit(1), F.col("_a")), F.slice(stretch, F.lit(1), left)))
+    return rows.select("doc_id", F.when(F.col("_n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_kruskal_periodic_runs(spark, sf_dir):
+    found = periodicruns.find_runs(with_repeats(_table(spark, sf_dir, "documents")))
+    larger = lambda best, r: F.when(best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"]), r).otherwise(best)
+    none = F.lit(None).cast(found.schema["runs"].dataType.elementType)
+    best = found.withColumn("_best", F.aggregate("runs", none, larger))
+    line = lambda r: F.concat_ws(",", *[r[n].cast("string") for n in periodicruns.RUN.names])
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    return best.select("doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col(f"_best.{n}").alias(n) for n in periodicruns.RUN.names],
+                       F.floor(1000 * F.col("_best.length") / F.col("_best.period")).cast("long").alias("exponent_milli"),
+                       F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@query
+def op12_gnat_vector_codes(spark, sf_dir):
+    return vectorcodes.compress(_table(spark, sf_dir, "embeddings"))
+
+
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
