@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exactdedup, langid, linerules, mixing, packing, periodicruns, resampling, sharding, simhash, sitelines, urlfilter, vectorcodes
+from tidemark.llm import exactdedup, langid, linerules, mixing, ngramjoin, packing, periodicruns, resampling, sharding, simhash, sitelines, urlfilter, vectorcodes
 from tidemark.llm.common import words
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,6 +103,11 @@ def op12_gnat_vector_codes(spark, sf_dir):
     return vectorcodes.compress(_table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op13_divideskip_shingle_join(spark, sf_dir):
+    return ngramjoin.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
