@@ -219,7 +219,81 @@ SELECT page_id, host, CAST(len(lines) AS BIGINT) AS lines, CAST(len(lines) - len
 """
 
 
+def _words_sql(text: str) -> str:
+    """CTEs ``d`` (doc_id, n) and ``w`` (doc_id, i from 0, word)."""
+    return f"""d AS (SELECT doc_id, regexp_extract_all({text}, '{WORD}') AS ws, CAST(len(regexp_extract_all({text}, '{WORD}')) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, unnest(range(n)) AS i FROM d)"""
+
+
+def _runs_sql() -> str:
+    steps = "list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)))"
+    words_, periods = periodicruns.LEAST_WORDS, periodicruns.LEAST_PERIODS
+    window = periodicruns.least_prefix(words_, periods)
+    return f"""
+WITH {_words_sql("coalesce(text, '')")},
+h AS (SELECT doc_id, n, xor({steps}, 4294967295) AS h FROM d),
+m AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a, 3 + (h // 10) % 8 AS k FROM h),
+x AS (SELECT m.doc_id, m.n, r.i, CASE WHEN a IS NULL OR r.i < a THEN r.i ELSE a + (r.i - a) % (1 + (n - a) // k) END AS j FROM m JOIN w r USING (doc_id)),
+t AS (SELECT x.doc_id, x.n, x.i, w.word FROM x JOIN w ON w.doc_id = x.doc_id AND w.i = x.j),
+g AS (SELECT doc_id, n, i, string_agg(word, ' ') OVER s AS win, count(*) OVER s AS c FROM t WINDOW s AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {window - 1} FOLLOWING)),
+q AS (SELECT DISTINCT l.doc_id, r.i - l.i AS q FROM g l JOIN g r ON l.doc_id = r.doc_id AND l.win = r.win AND r.i > l.i WHERE l.c = {window} AND r.c = {window} AND {periods} * (r.i - l.i) <= l.n),
+e AS (SELECT q.doc_id, q.q, l.i, l.i - row_number() OVER (PARTITION BY q.doc_id, q.q ORDER BY l.i) AS grp
+      FROM q JOIN t l ON l.doc_id = q.doc_id JOIN t r ON r.doc_id = q.doc_id AND r.i = l.i + q.q AND r.word = l.word),
+z AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS l FROM e GROUP BY doc_id, q, grp HAVING count(*) + q >= greatest({words_}, {periods} * q)),
+r AS (SELECT * FROM z WHERE NOT EXISTS (SELECT 1 FROM z y WHERE y.doc_id = z.doc_id AND y.q < z.q AND z.q % y.q = 0 AND y.s <= z.s AND y.s + y.l >= z.s + z.l)),
+best AS (SELECT doc_id, s, l, q FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY l::DOUBLE / q DESC, s, q) = 1),
+list AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM r GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM t WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = t.doc_id AND t.i >= r.s + r.q AND t.i < r.s + r.l) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, l::BIGINT AS length, q::BIGINT AS period, (1000 * l // q)::BIGINT AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (doc_id) LEFT JOIN list USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+def _codes_sql(dimension: int = 64) -> str:
+    V = vectorcodes
+    width = dimension // V.PARTS
+
+    def nearest_sql(k):
+        away = "CAST(list_inner_product(y, y) + list_inner_product(c, c) - 2 * list_inner_product(y, c) AS BIGINT)"
+        return f"a{k} AS MATERIALIZED (SELECT vec_id, part, any_value(y) AS y, min({{'d': {away}, 'e': e}}) AS best FROM p JOIN b{k} USING (part) GROUP BY vec_id, part)"
+
+    rounds = "".join(f"""{nearest_sql(k)},
+m{k} AS (SELECT part, e, list(mean ORDER BY i) AS c FROM (SELECT part, best.e AS e, i, floor(sum(y[i]) / count(*)) AS mean FROM a{k}, range(1, {width + 1}) t(i) GROUP BY ALL) GROUP BY part, e),
+b{k + 1} AS MATERIALIZED (SELECT b.part, b.e, coalesce(m.c, b.c) AS c FROM b{k} b LEFT JOIN m{k} m USING (part, e)),
+""" for k in range(V.ROUNDS))
+    return f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor({V.SCALE} * x::DOUBLE)) AS x FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, part, x[part * {width} + 1 : part * {width} + {width}] AS y FROM v, range({V.PARTS}) t(part)),
+b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, y AS c FROM p QUALIFY e < {V.ENTRIES}),
+{rounds}{nearest_sql(V.ROUNDS)},
+code AS (SELECT vec_id, string_agg(lpad(lower(hex(best.e)), 2, '0'), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a{V.ROUNDS} GROUP BY vec_id),
+book AS (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: CAST(x AS BIGINT)::VARCHAR), ','), ',' ORDER BY part, e)) AS codebooks_sha256 FROM b{V.ROUNDS})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM code JOIN v USING (vec_id), book
+"""
+
+
+def _sets_sql() -> str:
+    size, percent = ngramjoin.SHINGLE_WORDS, ngramjoin.PERCENT
+    lowered = f"translate(coalesce(text, ''), '{urlfilter.UPPER}', '{urlfilter.LOWER}')"
+    return f"""
+WITH RECURSIVE {_words_sql(lowered)},
+g AS (SELECT doc_id, i, string_agg(word, ' ') OVER s AS win, count(*) OVER s AS c FROM w WINDOW s AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {size - 1} FOLLOWING)),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, win FROM g JOIN d USING (doc_id) WHERE c = least({size}, n)),
+z AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT l.doc_id AS a, r.doc_id AS b, count(*) AS both_ FROM s l JOIN s r ON l.win = r.win AND l.doc_id <> r.doc_id GROUP BY l.doc_id, r.doc_id),
+e AS MATERIALIZED (SELECT a, b FROM o JOIN z x ON x.doc_id = a JOIN z y ON y.doc_id = b WHERE 100 * both_ >= {percent} * (x.n + y.n - both_)),
+reach AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b),
+low AS (SELECT a AS doc_id, min(b) AS least_ FROM reach GROUP BY a)
+SELECT doc_id, coalesce(z.n, 0)::BIGINT AS n_shingles, least(doc_id, coalesce(least_, doc_id)) AS component_id FROM d LEFT JOIN z USING (doc_id) LEFT JOIN low USING (doc_id)
+"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_kruskal_periodic_runs": _runs_sql(),
+    "op12_gnat_vector_codes": _codes_sql(),
+    "op13_divideskip_shingle_join": _sets_sql(),
     "op3_redirect_url_filter": _url_sql(),
     "op4_pareto_mixing": _mix_sql(),
     "op6_block_naming_dedup": """
