@@ -288,11 +288,13 @@ def m25(spark, sf):
     return _search(spark, sf)[1].select("query_id", "rank", "chunk_id", rnd("score", 4).alias("score"))
 
 
-@query("T10_retrieval_top_k", W(SEARCH, "SELECT query_id, count(*) AS n, min(chunk_id) AS low_id, max(chunk_id) AS high_id FROM rs WHERE rank <= 3 GROUP BY 1"))
+@query("T10_retrieval_top_k", W(SEARCH, "SELECT query_id, md5(string_agg(rank || ':' || chunk_id, ',' ORDER BY rank)) AS top FROM rs WHERE rank <= 3 GROUP BY 1"))
 def t10(spark, sf):
     ca = documents.candidates(chunk_rows(spark, sf), ["risk_rule", "study_note"])
     top = documents.search(query_rows(spark, sf), ca, 3)
-    return top.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("chunk_id").alias("low_id"), F.max("chunk_id").alias("high_id"))
+    entry = F.concat_ws(":", F.col("rank").cast("string"), F.col("chunk_id").cast("string"))
+    listed = top.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", entry.alias("entry")))).alias("_l"))
+    return listed.select("query_id", F.md5(F.array_join(F.transform("_l", lambda x: x["entry"]), ",")).alias("top"))
 
 
 @query("M25_retrieval_log", W(SEARCH, "SELECT q.query_id, '[' || coalesce(string_agg(CAST(chunk_id AS VARCHAR), ',' ORDER BY rank), '') || ']' AS selected_chunk_ids FROM q LEFT JOIN rs ON rs.query_id = q.query_id AND rank <= 5 GROUP BY 1"))
@@ -301,23 +303,20 @@ def m25b(spark, sf):
     return documents.retrieval_log(query_rows(spark, sf), found, 1706659200, "review").select("query_id", "selected_chunk_ids")
 
 
-@query("F29_context_block", W(SEARCH, """SELECT query_id, md5('[RAG CONTEXT]' || chr(10) || string_agg(rank || '. source_type=' || source_type || ' source=' || source || ' published_at=' || coalesce(CAST(published_at AS VARCHAR), 'unknown') || chr(10) || '   title=' || 'T' || chunk_id || chr(10)
-      || '   text=' || substring(text, 1, 900), chr(10) ORDER BY rank) || chr(10)) AS block FROM rs WHERE rank <= 5 GROUP BY 1"""))
+@query("F29_context_block", W(SEARCH, f"""SELECT q.query_id, md5('[RAG CONTEXT]' || chr(10) || coalesce('{documents.NOTICE}' || chr(10) || string_agg(rank || '. source_type=' || source_type || ' source=' || source || ' published_at=' || coalesce(CAST(published_at AS VARCHAR), 'unknown') || chr(10) || '   title=' || 'T' || chunk_id || chr(10)
+      || '   text=' || substring(text, 1, 900), chr(10) ORDER BY rank), '{documents.NOTHING_FOUND}') || chr(10)) AS block FROM (SELECT query_id FROM q UNION ALL SELECT -1 - query_id FROM q) q LEFT JOIN rs ON rs.query_id = q.query_id AND rank <= 5 GROUP BY 1"""))
 def f29(spark, sf):
-    ca, found = _search(spark, sf)
+    """For each query also one that no text answers: a hash of its words."""
+    q = query_rows(spark, sf)
+    asked = q.unionByName(q.select((-1 - F.col("query_id")).alias("query_id"), F.md5("query").alias("query")))
+    ca = documents.candidates(chunk_rows(spark, sf), ["risk_rule", "study_note"])
+    found = documents.search(asked, ca)
     rich = found.drop("published_at").join(ca, "chunk_id").withColumn("title", F.concat(F.lit("T"), F.col("chunk_id").cast("string")))
-    block = documents.context_blocks(rich)
+    block = documents.context_blocks(asked, rich)
     # Number formats differ between engines, so the score is left out of the comparison.
     return block.select("query_id", F.md5(F.regexp_replace("block", r" score=[0-9.]+", "")).alias("block"))
 
 
-@query("J06_chunk_document_join", W("c AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)", "SELECT d.source, count(*) AS chunks, CAST(sum(length(line)) AS BIGINT) AS chars FROM c JOIN documents d USING (doc_id) GROUP BY 1"))
-def j06(spark, sf):
-    d = table(spark, sf, "documents")
-    c = d.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return c.join(d.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("line")).alias("chars"))
-
-
 #: The splitting rule by positions: a piece ends at its last line break, else blank; the next one starts 160 characters before, at a word.
 BLANKS = "chr(32) || chr(9) || chr(10) || chr(13)"
 SPLIT = f"""b AS (SELECT doc_id, regexp_replace(trim(text, {BLANKS}), '[ \\t\\r]+\\n', chr(10), 'g') AS t FROM documents),
@@ -342,6 +341,16 @@ def m24(spark, sf):
     return documents.chunk_documents(d).select("doc_id", "chunk_index", F.length("text").alias("chars"), "token_estimate", F.md5("text").alias("piece"))
 
 
+@query("J06_chunk_document_join", W(SPLIT, """SELECT d.doc_id, d.source, d.lang, count(*) AS chunks, CAST(sum(length(piece)) AS BIGINT) AS chars,
+    CAST(sum(greatest(1, length(piece) // 4)) AS BIGINT) AS tokens FROM ck JOIN documents d USING (doc_id) GROUP BY 1, 2, 3""", True))
+def j06(spark, sf):
+    """Chunks as the chunker cuts them, with the columns of their document."""
+    d = table(spark, sf, "documents")
+    c = documents.chunk_documents(d.select("doc_id", "text"))
+    return documents.with_document(c, d.select("doc_id", "source", "lang")).groupBy("doc_id", "source", "lang").agg(
+        F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).cast("bigint").alias("chars"), F.sum("token_estimate").alias("tokens"))
+
+
 @query("M24_new_documents", W("x AS (SELECT doc_id, sha256('doc' || chr(10) || 's' || chr(10) || 't' || chr(10) || text) AS h FROM documents)",
     "SELECT min(doc_id) AS doc_id, h AS content_hash FROM x WHERE doc_id % 2 = 1 AND h NOT IN (SELECT h FROM x WHERE doc_id % 2 = 0) GROUP BY 2"))
 def m24b(spark, sf):

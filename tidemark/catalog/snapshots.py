@@ -187,11 +187,6 @@ def _tools(spark, sf, tool=None):
     return tools.run_tools(r if tool is None else r.filter(F.col("tool") == tool), bars(spark, sf), WIDTH // 4)
 
 
-@query("M22_analysis_tool_batch", W(REQ, "SELECT tool, status, error_code, count(*) AS n FROM ro GROUP BY 1, 2, 3"))
-def m22(spark, sf):
-    return _tools(spark, sf).groupBy("tool", "status", "error_code").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("D02_tool_plan_validation", W(REQ, """SELECT request_id // 5 AS plan_id, count(*) AS requests, count(DISTINCT tool) AS tools FROM rq GROUP BY 1
     HAVING count(*) > 3 OR count(DISTINCT tool) < count(*)"""))
 def d02(spark, sf):
@@ -216,17 +211,21 @@ def d02_own(spark, sf):
     return rounded(out, ["request_id", "state"], ["bar_range"], 4)
 
 
-@query("W26_donchian_breakout", W(REQ, f"""SELECT request_id, CASE WHEN c > u THEN 'BREAKOUT_UP' WHEN c < l THEN 'BREAKOUT_DOWN' ELSE 'INSIDE' END AS state,
+DONCHIAN = f"""SELECT request_id, CASE WHEN c > u THEN 'BREAKOUT_UP' WHEN c < l THEN 'BREAKOUT_DOWN' ELSE 'INSIDE' END AS state,
     {R('u', 'prior_upper', 4)}, {R('l', 'prior_lower', 4)}, {R('CASE WHEN u > l THEN (c - l) / (u - l) ELSE 0.5 END', 'channel_position', 4)},
     {R('(u / c - 1) * 100', 'distance_to_upper_pct', 4)}, {R('(c / l - 1) * 100', 'distance_to_lower_pct', 4)}
     FROM (SELECT o.request_id, max(b.high) FILTER (b.r < o.r) AS u, min(b.low) FILTER (b.r < o.r) AS l, max(b.close) FILTER (b.r = o.r) AS c
-      FROM ro o JOIN br b ON b.asset = o.asset AND b.r BETWEEN o.r - o.lookback AND o.r WHERE tool = 'donchian_breakout' AND status = 'OK' GROUP BY 1)"""))
+      FROM ro o JOIN br b ON b.asset = o.asset AND b.r BETWEEN o.r - o.lookback AND o.r WHERE tool = 'donchian_breakout' AND status = 'OK' GROUP BY 1)"""
+DONCHIAN_FACTS = ["prior_upper", "prior_lower", "channel_position", "distance_to_upper_pct", "distance_to_lower_pct"]
+
+
+@query("W26_donchian_breakout", W(REQ, DONCHIAN))
 def w26(spark, sf):
     out = _tools(spark, sf, "donchian_breakout").filter("status = 'OK'")
-    return rounded(out, ["request_id", "state"], ["prior_upper", "prior_lower", "channel_position", "distance_to_upper_pct", "distance_to_lower_pct"], 4)
+    return rounded(out, ["request_id", "state"], DONCHIAN_FACTS, 4)
 
 
-DRAW = REQ + """, dr AS (SELECT o.request_id, o.asset, o.ts AS as_of, b.r, b.ts, b.close, b.close / lag(b.close) OVER w - 1 AS ret, max(b.close) OVER w AS pk, max(b.close) OVER (PARTITION BY o.request_id) AS top
+DRAW_CTES = """dr AS (SELECT o.request_id, o.asset, o.ts AS as_of, b.r, b.ts, b.close, b.close / lag(b.close) OVER w - 1 AS ret, max(b.close) OVER w AS pk, max(b.close) OVER (PARTITION BY o.request_id) AS top
   FROM ro o JOIN br b ON b.asset = o.asset AND b.r > o.r - o.lookback AND b.r <= o.r WHERE tool = 'drawdown_profile' AND status = 'OK'
   WINDOW w AS (PARTITION BY o.request_id ORDER BY b.r)),
 dt AS (SELECT request_id, asset, as_of, min((close / pk - 1) * 100) AS worst, arg_min(r, ((close / pk - 1) * 100, r)) AS tr, arg_min(ts, ((close / pk - 1) * 100, r)) AS trough_ts,
@@ -234,12 +233,15 @@ dt AS (SELECT request_id, asset, as_of, min((close / pk - 1) * 100) AS worst, ar
 dp AS (SELECT d.request_id, d.asset, d.as_of, worst, cur, down, trough_ts, arg_max(r.ts, (r.close, -r.r)) AS peak_ts,
   CASE WHEN worst <= -7 THEN 'SEVERE' WHEN worst <= -3 THEN 'ELEVATED' WHEN worst <= -1 THEN 'WATCH' ELSE 'NORMAL' END AS state
   FROM dt d JOIN dr r ON r.request_id = d.request_id AND r.r <= d.tr GROUP BY 1, 2, 3, 4, 5, 6, 7)"""
+DRAW = f"{REQ}, {DRAW_CTES}"
+DRAWDOWN = f"SELECT request_id, state, peak_ts, trough_ts, {R('cur', 'current_drawdown_pct', 4)}, {R('worst', 'max_drawdown_pct', 4)}, {R('down', 'downside_semideviation_pct', 4)} FROM dp"
+DRAWDOWN_FACTS = ["current_drawdown_pct", "max_drawdown_pct", "downside_semideviation_pct"]
 
 
-@query("W27_drawdown_profile", W(DRAW, f"SELECT request_id, state, peak_ts, trough_ts, {R('cur', 'current_drawdown_pct', 4)}, {R('worst', 'max_drawdown_pct', 4)}, {R('down', 'downside_semideviation_pct', 4)} FROM dp"))
+@query("W27_drawdown_profile", W(DRAW, DRAWDOWN))
 def w27(spark, sf):
     out = _tools(spark, sf, "drawdown_profile").filter("status = 'OK'")
-    return rounded(out, ["request_id", "state", "peak_ts", "trough_ts"], ["current_drawdown_pct", "max_drawdown_pct", "downside_semideviation_pct"], 4)
+    return rounded(out, ["request_id", "state", "peak_ts", "trough_ts"], DRAWDOWN_FACTS, 4)
 
 
 @query("W29_drawdown_events", W(DRAW, """SELECT sha256(asset || '|DRAWDOWN|' || peak_ts || '|' || trough_ts || '|' || state) AS dedupe_key, asset, state AS severity,
@@ -248,30 +250,51 @@ def w29(spark, sf):
     return tools.drawdown_events(_tools(spark, sf, "drawdown_profile")).select("dedupe_key", "asset", "severity", "event_ts", "detected_ts")
 
 
-@query("W28_volume_confirmation", W(REQ + """, vr AS (SELECT o.request_id, o.r AS last_r, o.lookback, b.r, b.volume, sign(b.close - lag(b.close) OVER (PARTITION BY o.request_id ORDER BY b.r)) * b.volume AS flow
+VOLUME_CTES = """vr AS (SELECT o.request_id, o.r AS last_r, o.lookback, b.r, b.volume, sign(b.close - lag(b.close) OVER (PARTITION BY o.request_id ORDER BY b.r)) * b.volume AS flow
       FROM ro o JOIN br b ON b.asset = o.asset AND b.r BETWEEN o.r - o.lookback AND o.r WHERE tool = 'volume_confirmation' AND status = 'OK'),
     vz AS (SELECT request_id, max(volume) FILTER (r = last_r) AS cur, avg(volume) FILTER (r < last_r) AS mean, stddev_pop(volume) FILTER (r < last_r) AS sd,
-      coalesce(sum(flow) FILTER (r < last_r), 0) / greatest(max(lookback) - 1, 1) AS obv FROM vr GROUP BY 1)""",
-    f"""SELECT request_id, CASE WHEN z >= 2 THEN 'HIGH_VOLUME' WHEN z <= -1 THEN 'LOW_VOLUME' ELSE 'NEUTRAL' END AS state, {R('mean', 'mean_volume', 5)}, {R('z', 'volume_z_score', 5)}, {R('obv', 'obv_slope_per_bar', 5)}
-    FROM (SELECT *, CASE WHEN sd > 0 THEN (cur - mean) / sd ELSE 0 END AS z FROM vz)"""))
+      coalesce(sum(flow) FILTER (r < last_r), 0) / greatest(max(lookback) - 1, 1) AS obv FROM vr GROUP BY 1)"""
+VOLUME = f"""SELECT request_id, CASE WHEN z >= 2 THEN 'HIGH_VOLUME' WHEN z <= -1 THEN 'LOW_VOLUME' ELSE 'NEUTRAL' END AS state, {R('mean', 'mean_volume', 5)}, {R('z', 'volume_z_score', 5)}, {R('obv', 'obv_slope_per_bar', 5)}
+    FROM (SELECT *, CASE WHEN sd > 0 THEN (cur - mean) / sd ELSE 0 END AS z FROM vz)"""
+VOLUME_FACTS = ["mean_volume", "volume_z_score", "obv_slope_per_bar"]
+
+
+@query("W28_volume_confirmation", W(f"{REQ}, {VOLUME_CTES}", VOLUME))
 def w28(spark, sf):
     out = _tools(spark, sf, "volume_confirmation").filter("status = 'OK'")
-    return rounded(out, ["request_id", "state"], ["mean_volume", "volume_z_score", "obv_slope_per_bar"], 5)
+    return rounded(out, ["request_id", "state"], VOLUME_FACTS, 5)
 
 
-@query("W25_multi_timeframe_trend", W(REQ + """, tw AS (SELECT request_id, asset, r, unnest(windows) AS w FROM ro WHERE tool = 'multi_timeframe_trend' AND status = 'OK'),
+TREND_CTES = """tw AS (SELECT request_id, asset, r, unnest(windows) AS w FROM ro WHERE tool = 'multi_timeframe_trend' AND status = 'OK'),
     tl AS (SELECT t.request_id, t.w, list(b.close ORDER BY b.r) AS c FROM tw t JOIN br b ON b.asset = t.asset AND b.r > t.r - t.w AND b.r <= t.r GROUP BY 1, 2),
     tf AS (SELECT *, (c[-1] / c[1] - 1) * 100 AS ret, list_reduce(c, lambda a, x: a + (x - a) * 2 / (least(9, w) + 1)) AS f, list_reduce(c, lambda a, x: a + (x - a) * 2 / (least(21, w) + 1)) AS s,
       list_reduce(c[1:len(c) - least(5, len(c) - 1)], lambda a, x: a + (x - a) * 2 / (least(21, w) + 1)) AS s0 FROM tl),
     tt AS (SELECT *, (f / s - 1) * 100 AS sp, (s - s0) / c[-1] * 100 / least(5, len(c) - 1) AS slope, CASE WHEN ret >= 0.15 AND (f / s - 1) * 100 >= 0.02 THEN 'BULLISH'
-      WHEN ret <= -0.15 AND (f / s - 1) * 100 <= -0.02 THEN 'BEARISH' ELSE 'MIXED' END AS t FROM tf)""",
-    f"""SELECT request_id, CASE WHEN count(*) FILTER (t = 'BULLISH') > count(*) / 2.0 THEN 'BULLISH' WHEN count(*) FILTER (t = 'BEARISH') > count(*) / 2.0 THEN 'BEARISH' ELSE 'MIXED' END AS state,
-    string_agg(t, ',' ORDER BY w) AS trends, {R('sum(ret)', 'return_sum', 4)}, {R('sum(sp)', 'spread_sum', 4)}, {R('sum(slope)', 'slope_sum', 4)} FROM tt GROUP BY 1"""))
+      WHEN ret <= -0.15 AND (f / s - 1) * 100 <= -0.02 THEN 'BEARISH' ELSE 'MIXED' END AS t FROM tf)"""
+TREND = f"""SELECT request_id, CASE WHEN count(*) FILTER (t = 'BULLISH') > count(*) / 2.0 THEN 'BULLISH' WHEN count(*) FILTER (t = 'BEARISH') > count(*) / 2.0 THEN 'BEARISH' ELSE 'MIXED' END AS state,
+    string_agg(t, ',' ORDER BY w) AS trends, {R('sum(ret)', 'return_sum', 4)}, {R('sum(sp)', 'spread_sum', 4)}, {R('sum(slope)', 'slope_sum', 4)} FROM tt GROUP BY 1"""
+
+
+def _trend_facts():
+    total = lambda name: F.aggregate("windows_detail", F.lit(0.0), lambda a, d: a + d[name])
+    return [F.array_join(F.transform("windows_detail", lambda d: d["trend"]), ",").alias("trends"),
+            rnd(total("return_pct"), 4).alias("return_sum"), rnd(total("ema_spread_pct"), 4).alias("spread_sum"), rnd(total("slope_pct_per_bar"), 4).alias("slope_sum")]
+
+
+@query("W25_multi_timeframe_trend", W(f"{REQ}, {TREND_CTES}", TREND))
 def w25(spark, sf):
     out = _tools(spark, sf, "multi_timeframe_trend").filter("status = 'OK'")
-    total = lambda name: F.aggregate("windows_detail", F.lit(0.0), lambda a, d: a + d[name])
-    return out.select("request_id", "state", F.array_join(F.transform("windows_detail", lambda d: d["trend"]), ",").alias("trends"),
-                      rnd(total("return_pct"), 4).alias("return_sum"), rnd(total("ema_spread_pct"), 4).alias("spread_sum"), rnd(total("slope_pct_per_bar"), 4).alias("slope_sum"))
+    return out.select("request_id", "state", *_trend_facts())
+
+
+@query("M22_analysis_tool_batch", W(f"{DRAW}, {VOLUME_CTES}, {TREND_CTES}, xd AS ({DONCHIAN}), xw AS ({DRAWDOWN}), xv AS ({VOLUME}), xt AS ({TREND})", f"""
+    SELECT request_id, tool, status, error_code, coalesce(xd.state, xw.state, xv.state, xt.state) AS state, peak_ts, trough_ts, trends, return_sum, spread_sum, slope_sum,
+      {', '.join([*DONCHIAN_FACTS, *DRAWDOWN_FACTS, *VOLUME_FACTS])}
+    FROM ro LEFT JOIN xd USING (request_id) LEFT JOIN xw USING (request_id) LEFT JOIN xv USING (request_id) LEFT JOIN xt USING (request_id)"""))
+def m22(spark, sf):
+    """Every request with all facts of its tool."""
+    return _tools(spark, sf).select("request_id", "tool", "status", "error_code", "state", "peak_ts", "trough_ts", *_trend_facts(),
+                                    *[rnd(c, 4).alias(c) for c in DONCHIAN_FACTS + DRAWDOWN_FACTS], *[rnd(c, 5).alias(c) for c in VOLUME_FACTS])
 
 
 # Audit rows with JSON snapshots of both shapes, some unreadable.
@@ -330,20 +353,44 @@ def f23(spark, sf):
     return memory.episodes(logs(spark, sf)).select("decision_id", F.array_join("tags", ",").alias("tags"))
 
 
-@query("M23_decision_memory", W(f"""{LOGS}, {TAGS}, sg AS (SELECT decision_id, account, ts, concat_ws('|', proposed_action, conviction, risk_action, bad, rsi_status, macd_status, CASE WHEN bad THEN 'x' ELSE ns END, tags) AS s FROM te),
+#: What an episode is known by, as the twin writes it; unreadable snapshots leave most of it out.
+EPISODE_SQL = """concat_ws('|', proposed_action, conviction, risk_action, rsi_status, macd_status, CASE WHEN bad THEN 'true' ELSE ns END, CASE WHEN bad THEN '' ELSE '1000.5' END, '["' || replace(tags, ',', '","') || '"]')"""
+
+
+def memory_sql(source_rows: int | None) -> str:
+    return W(f"""{LOGS}, {TAGS}, sg AS (SELECT decision_id, account, ts, {EPISODE_SQL} AS s FROM te),
     pr AS (SELECT a.decision_id AS d, b.ts, b.decision_id AS i, b.s, row_number() OVER (PARTITION BY a.decision_id ORDER BY b.ts DESC, b.decision_id DESC) AS rk
       FROM sg a JOIN sg b ON b.account = a.account AND b.ts BETWEEN a.ts - 7200 AND a.ts AND b.decision_id <> a.decision_id),
-    fl AS (SELECT *, CASE WHEN s IS DISTINCT FROM lag(s) OVER w THEN 1 ELSE 0 END AS f FROM pr WHERE rk <= 64 WINDOW w AS (PARTITION BY d ORDER BY ts, i)),
+    fl AS (SELECT *, CASE WHEN s IS DISTINCT FROM lag(s) OVER w THEN 1 ELSE 0 END AS f FROM pr {f'WHERE rk <= {source_rows}' if source_rows else ''} WINDOW w AS (PARTITION BY d ORDER BY ts, i)),
     gr AS (SELECT *, sum(f) OVER (PARTITION BY d ORDER BY ts, i) AS g FROM fl),
-    ep AS (SELECT d, g, count(*) AS n, max(ts) AS newest, row_number() OVER (PARTITION BY d ORDER BY g DESC) AS back FROM gr GROUP BY 1, 2)""",
-    """SELECT decision_id, count(g) AS episodes, coalesce(CAST(sum(n) AS BIGINT), 0) AS source_rows, coalesce(string_agg(CAST(n AS VARCHAR), ',' ORDER BY g), '') AS repeats, max(newest) AS newest_ts
-    FROM decisions LEFT JOIN ep ON d = decision_id AND back <= 8 GROUP BY 1"""))
-def m23(spark, sf):
+    ep AS (SELECT d, g, any_value(s) AS s, count(*) AS n, max(ts) AS newest, row_number() OVER (PARTITION BY d ORDER BY g DESC) AS back FROM gr GROUP BY 1, 2)""",
+    """SELECT decision_id, count(g) AS episodes, coalesce(CAST(sum(n) AS BIGINT), 0) AS source_rows, coalesce(string_agg(CAST(n AS VARCHAR), ',' ORDER BY g), '') AS repeats, max(newest) AS newest_ts,
+      md5(coalesce(string_agg(s || '@' || newest, ',' ORDER BY g), '')) AS signatures
+    FROM decisions LEFT JOIN ep ON d = decision_id AND back <= 8 GROUP BY 1""")
+
+
+def _memory(spark, sf, **bounds):
     l = logs(spark, sf)
-    out = memory.decision_memory(l.select("decision_id", "account", "ts"), l)
+    out = memory.decision_memory(l.select("decision_id", "account", "ts"), l, **bounds)
     reps = F.transform("episodes", lambda e: e["repeat_count"])
+    field = lambda e, name: F.coalesce(F.get_json_object(e["signature"], f"$.{name}"), F.lit(""))
+    sign = F.transform("episodes", lambda e: F.concat(F.concat_ws("|", *[field(e, n) for n in (
+        "proposed_action", "conviction", "risk_action", "rsi_status", "macd_status", "news_stale", "price", "tags")]), F.lit("@"), e["newest_ts"].cast("string")))
     return out.select("decision_id", F.size("episodes").cast("bigint").alias("episodes"), F.aggregate(reps, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("source_rows"),
-                      F.array_join(reps.cast("array<string>"), ",").alias("repeats"), F.array_max(F.transform("episodes", lambda e: e["newest_ts"])).alias("newest_ts"))
+                      F.array_join(reps.cast("array<string>"), ",").alias("repeats"), F.array_max(F.transform("episodes", lambda e: e["newest_ts"])).alias("newest_ts"),
+                      F.md5(F.array_join(sign, ",")).alias("signatures"))
+
+
+@query("M23_decision_memory", memory_sql(None))
+def m23(spark, sf):
+    """All rows of each window, whatever their number."""
+    return _memory(spark, sf)
+
+
+@query("M23_bounded_memory", memory_sql(5))
+def m23b(spark, sf):
+    """A caller that wants the newest five rows only."""
+    return _memory(spark, sf, source_rows=5)
 
 
 @query("W24_compact_runs", W("""c AS (SELECT conv_id, turn, CASE WHEN length(text) > 400 THEN 'long' ELSE 'short' END AS s FROM conversations),

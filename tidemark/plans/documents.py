@@ -6,6 +6,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,10 +14,18 @@ from pyspark.sql import types as T
 
 from tidemark.functions import text
 from tidemark.operators import select
+from tidemark.session import materialize
 
 CHUNK_CHARS = 1400
 OVERLAP = 160
 SCAN = 80
+#: Chunks of a block, queries scored at once in it, and blocks a query looks at before its bound is known.
+BLOCK_CHUNKS = 256
+QUERY_SLAB = 512
+FIRST_BLOCKS = 4
+#: What a context block says before its hits, and without any.
+NOTICE = "Contexto recuperado por Python. Use apenas como memoria auxiliar; dados frescos do payload e Risk Manager prevalecem."
+NOTHING_FOUND = "Nenhum contexto recuperado."
 
 
 def split_text(body: str, size: int = CHUNK_CHARS, overlap: int = OVERLAP, scan: int = SCAN) -> list[str]:
@@ -57,15 +66,18 @@ def split_text(body: str, size: int = CHUNK_CHARS, overlap: int = OVERLAP, scan:
     return [piece for a, b in spans if (piece := clean[a:b].strip())]
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def text_pieces(bodies: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in bodies:
-        yield batch.map(lambda b: split_text(b or ""))
+@F.udtf(returnType="chunk_index int, text string", useArrow=True)
+class TextPieces:
+    """Table function: the pieces of one text, one by one."""
+
+    def eval(self, body: str) -> Iterator[tuple[int, str]]:
+        yield from enumerate(split_text(body or ""))
 
 
 def chunk_documents(documents: DataFrame, id_col: str = "doc_id", body: str = "text") -> DataFrame:
-    """One row per chunk: id, chunk_index, text, token_estimate. Parallel over documents."""
-    pieces = documents.select(id_col, F.posexplode(text_pieces(F.col(body))).alias("chunk_index", "text"))
+    """One row per chunk: id, chunk_index, text, token_estimate. Parallel over documents; no row holds all pieces of one."""
+    rows = documents.select(F.col(id_col).alias("_id"), F.col(body).alias("_body"))
+    pieces = rows.lateralJoin(TextPieces(F.col("_body").outer())).select(F.col("_id").alias(id_col), "chunk_index", "text")
     return pieces.withColumn("token_estimate", text.token_estimate(F.col("text")))
 
 
@@ -79,6 +91,11 @@ def new_documents(incoming: DataFrame, existing: DataFrame | None = None, id_col
     return rows if existing is None else rows.join(existing.select("content_hash").distinct(), "content_hash", "left_anti")
 
 
+def with_document(chunks: DataFrame, documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Chunks next to the columns of the document they were cut from; chunks without one are left out."""
+    return chunks.join(documents, id_col)
+
+
 def words_holding(words: DataFrame, tokens: DataFrame) -> DataFrame:
     """(word, token) pairs where the token occurs inside the word.
 
@@ -93,20 +110,86 @@ def words_holding(words: DataFrame, tokens: DataFrame) -> DataFrame:
     return long.join(keyed, "_gram").filter(F.contains(F.col("word"), F.col("token"))).select("word", "token")
 
 
+class Postings:
+    """Chunks in blocks of similar impact, with the asked tokens each of them holds.
+
+    A chunk's impact is the number of asked tokens it holds, which bounds the
+    hits any query has in it. ``held`` (block, chunk_id, published, tid) and
+    ``asked`` (query_id, tokens, tids) are written tables. A block has a bounded
+    number of chunks, so a token that all chunks hold is spread over all blocks.
+    """
+
+    def __init__(self, queries: DataFrame, chunks: DataFrame):
+        asked = queries.select("query_id", text.query_tokens(F.col("query")).alias("_t"))
+        tokens = materialize(asked.select("query_id", F.size("_t").alias("tokens"), F.explode("_t").alias("token")), "tokens")
+        vocabulary = materialize(tokens.select("token").distinct().withColumn("tid", F.monotonically_increasing_id()), "vocabulary")
+        published = F.col("published_at") if "published_at" in chunks.columns else F.lit(None)
+        words = chunks.select("chunk_id", F.coalesce(published.cast("bigint"), F.lit(0).cast("bigint")).alias("published"), F.explode(text.words_of(F.col("text"))).alias("word"))
+        table = words_holding(words.select("word").distinct(), vocabulary.select("token")).join(vocabulary, "token")
+        found = words.join(table, "word").groupBy("chunk_id", "published").agg(F.collect_set("tid").alias("tids"))
+        found = materialize(found.withColumn("impact", F.floor(F.log2(F.size("tids"))).cast("int")), "found")
+        sizes = found.groupBy("impact").agg(F.ceil(F.count(F.lit(1)) / BLOCK_CHUNKS).alias("_parts"))
+        part = F.pmod(F.xxhash64("chunk_id"), F.col("_parts"))
+        self.held = materialize(found.join(sizes, "impact").select(
+            (part * 64 + F.col("impact")).alias("block"), "chunk_id", "published", "tids"), "held")
+        self.asked = materialize(tokens.join(vocabulary, "token").groupBy("query_id", "tokens").agg(F.collect_list("tid").alias("tids")), "asked")
+
+    def bounds(self) -> DataFrame:
+        """(block, query_id, bound, newest): no chunk of the block has more hits of the query, or is newer."""
+        blocks = self.held.groupBy("block").agg(F.max(F.size("tids")).alias("_most"), F.max("published").alias("newest"))
+        present = self.held.select("block", F.explode("tids").alias("tid")).distinct()
+        held = present.join(self.asked.select("query_id", F.explode("tids").alias("tid")), "tid").groupBy("block", "query_id").agg(F.count(F.lit(1)).alias("_held"))
+        return held.join(blocks, "block").select("block", "query_id", F.least(F.col("_held"), F.col("_most").cast("bigint")).alias("bound"), "newest")
+
+    def score(self, pairs: DataFrame, limit: int | None = None) -> DataFrame:
+        """(query_id, chunk_id, published, hits, tokens) of all chunks with a hit in the asked (block, query_id) pairs, or of each pair's best."""
+        asks = pairs.select("block", "query_id").join(self.asked, "query_id")
+        kind = {f.name: f.dataType.simpleString() for f in [*self.held.schema, *self.asked.schema]}
+        schema = f"query_id {kind['query_id']}, chunk_id {kind['chunk_id']}, published bigint, hits bigint, tokens int"
+        return self.held.groupBy("block").cogroup(asks.groupBy("block")).applyInPandas(_scorer(limit), schema)
+
+
+def _scorer(limit: int | None):
+    def run(held: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
+        held = held.sort_values(["published", "chunk_id"], ascending=False, ignore_index=True)
+        known, columns = np.unique(np.concatenate([*held["tids"], np.zeros(0, np.int64)]), return_inverse=True)
+        has = np.zeros((len(known), len(held)), np.float32)
+        has[columns, np.repeat(np.arange(len(held)), held["tids"].map(len))] = 1
+        rows, places, hits = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for start in range(0, len(asks) if len(held) else 0, QUERY_SLAB):
+            part = asks["tids"].iloc[start:start + QUERY_SLAB]
+            wanted = np.concatenate([*part])
+            at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+            inside = known[at] == wanted
+            ask = np.zeros((len(part), len(known)), np.float32)
+            ask[np.repeat(np.arange(len(part)), part.map(len))[inside], at[inside]] = 1
+            counts = (ask @ has).astype(np.int64)  # whole numbers well below 2^24, so exact
+            if limit is not None and counts.shape[1] > limit:
+                # Chunks stand in the order that breaks ties, the first one wins.
+                keys = counts * counts.shape[1] + np.arange(counts.shape[1])[::-1]
+                best = np.argpartition(-keys, limit - 1, axis=1)[:, :limit]
+                kept = np.zeros_like(counts)
+                np.put_along_axis(kept, best, np.take_along_axis(counts, best, axis=1), axis=1)
+                counts = kept
+            q, c = np.nonzero(counts)
+            rows.append(q + start)
+            places.append(c)
+            hits.append(counts[q, c])
+        q, c = np.concatenate(rows), np.concatenate(places)
+        return pd.DataFrame({"query_id": asks["query_id"].to_numpy()[q], "chunk_id": held["chunk_id"].to_numpy()[c], "published": held["published"].to_numpy()[c],
+                             "hits": np.concatenate(hits), "tokens": asks["tokens"].to_numpy()[q]})
+    return run
+
+
 def query_chunk_hits(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """(query_id, chunk_id, hits, tokens, score) for every pair with a hit.
 
-    ``queries``: query_id, query; ``chunks``: chunk_id, text. No pair of query and
-    chunk is formed unless a token of the one occurs in the other.
+    ``queries``: query_id, query; ``chunks``: chunk_id, text. Pairs come out of
+    the blocks they meet in; tokens of pairs are never shuffled.
     """
-    asked = queries.select("query_id", text.query_tokens(F.col("query")).alias("_t"))
-    tokens = asked.select("query_id", F.size("_t").alias("tokens"), F.explode("_t").alias("token"))
-    words = chunks.select("chunk_id", F.explode(text.words_of(F.col("text"))).alias("word"))
-    table = words_holding(words.select("word").distinct(), tokens.select("token").distinct())
-    found = words.join(table, "word").select("chunk_id", "token").distinct()
-    pairs = found.join(tokens, "token").groupBy("query_id", "chunk_id").agg(
-        F.count(F.lit(1)).alias("hits"), F.first("tokens").alias("tokens"))
-    return pairs.withColumn("score", F.round(F.col("hits") / F.col("tokens"), 4))
+    postings = Postings(queries, chunks)
+    pairs = postings.score(materialize(postings.bounds().select("block", "query_id"), "bounds"))
+    return pairs.select("query_id", "chunk_id", "hits", "tokens", F.round(F.col("hits") / F.col("tokens"), 4).alias("score"))
 
 
 def candidates(chunks: DataFrame, source_types: Sequence[str] | None = None, max_age: int | None = None,
@@ -122,11 +205,25 @@ def candidates(chunks: DataFrame, source_types: Sequence[str] | None = None, max
 
 
 def search(queries: DataFrame, chunks: DataFrame, limit: int = 5) -> DataFrame:
-    """Best chunks per query by (score, published, id)."""
-    meta = chunks.select("chunk_id", "published_at")
-    scored = query_chunk_hits(queries, chunks).join(meta, "chunk_id")
-    order = [F.desc("score"), F.coalesce("published_at", F.lit(0)).desc(), F.desc("chunk_id")]
-    return select.top_per_key(scored, ["query_id"], order, limit)
+    """Best chunks per query by (score, published, id): query_id, chunk_id, hits, tokens, score, published_at, rank.
+
+    Each query first looks at the few blocks that promise most. Its last place
+    there is a bound that all better chunks must pass, so only blocks whose own
+    bound reaches it (with a newer chunk where they are equal) are looked at
+    next. A block gives at most ``limit`` rows for a query. Exact for any data; hits
+    are compared before they are divided, which orders as the rounded score does
+    for queries of up to 5,000 different tokens.
+    """
+    postings = Postings(queries, chunks)
+    order = [F.desc("hits"), F.desc("published"), F.desc("chunk_id")]
+    bounds = materialize(select.top_per_key(postings.bounds(), ["query_id"], [F.desc("bound"), F.desc("newest"), "block"], 1 << 30, "_place"), "bounds")
+    first = materialize(select.top_per_key(postings.score(bounds.filter(F.col("_place") <= FIRST_BLOCKS), limit), ["query_id"], order, limit), "first")
+    last = first.filter(F.col("rank") == limit).select("query_id", F.col("hits").alias("_hits"), F.col("published").alias("_published"))
+    open_ = F.col("_hits").isNull() | (F.col("bound") > F.col("_hits")) | (F.col("bound") == F.col("_hits")) & (F.col("newest") >= F.col("_published"))
+    rest = bounds.filter(F.col("_place") > FIRST_BLOCKS).join(last, "query_id", "left").filter(open_)
+    found = select.top_per_key(first.drop("rank").unionByName(postings.score(rest, limit)), ["query_id"], order, limit)
+    scored = found.withColumn("score", F.round(F.col("hits") / F.col("tokens"), 4))
+    return scored.join(chunks.select("chunk_id", "published_at"), "chunk_id").drop("published")
 
 
 def retrieval_log(queries: DataFrame, found: DataFrame, now: int, purpose: str) -> DataFrame:
@@ -137,14 +234,15 @@ def retrieval_log(queries: DataFrame, found: DataFrame, now: int, purpose: str)
         "query_id", "query", F.lit(now).alias("ts"), F.lit(purpose).alias("purpose"), picked.alias("selected_chunk_ids"))
 
 
-def context_blocks(found: DataFrame, title: str = "RAG CONTEXT", chars: int = 900) -> DataFrame:
-    """Rendered context per query; ``found`` carries rank, source_type, source, title, text."""
+def context_blocks(queries: DataFrame, found: DataFrame, title: str = "RAG CONTEXT", chars: int = 900) -> DataFrame:
+    """Rendered context of every query; ``found`` carries rank, source_type, source, title, text. A query without hits is told so."""
     line = F.concat(
         F.col("rank").cast("string"), F.lit(". source_type="), "source_type", F.lit(" source="), "source", F.lit(" published_at="),
         F.coalesce(F.col("published_at").cast("string"), F.lit("unknown")), F.lit(" score="), F.col("score").cast("string"),
         F.lit("\n   title="), "title", F.lit("\n   text="), F.substring("text", 1, chars))
-    blocks = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("_l"))
-    return blocks.select("query_id", F.concat(F.lit(f"[{title}]\n"), F.array_join(F.transform("_l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("block"))
+    hits = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))).alias("_l"))
+    body = F.when(F.col("_l").isNull(), NOTHING_FOUND).otherwise(F.concat(F.lit(f"{NOTICE}\n"), F.array_join(F.transform("_l", lambda x: x["line"]), "\n")))
+    return queries.select("query_id").join(hits, "query_id", "left").select("query_id", F.concat(F.lit(f"[{title}]\n"), body, F.lit("\n")).alias("block"))
 
 
 def screen_hits(hits: DataFrame, corpus: str, chars: int = 1600) -> DataFrame:

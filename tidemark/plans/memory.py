@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import schemas
 from tidemark.functions.text import pick_enum
-from tidemark.operators import asof
 from tidemark.operators import chunks as C
+from tidemark.operators import ranges
+from tidemark.session import materialize
 
 WINDOW = 7200
-SOURCE_ROWS = 64
 EPISODES = 8
-MAX_REPEAT = 999
 # Allowed categories, everything else becomes UNKNOWN.
 PROPOSED = ("BUY", "SELL", "HOLD", "SKIPPED")
 FINAL = ("BUY", "SELL", "HOLD")
@@ -80,30 +79,82 @@ def episodes(logs: DataFrame, snapshot: str = "snapshot") -> DataFrame:
     return rows.withColumn("signature", signature)
 
 
-def decision_memory(points: DataFrame, logs: DataFrame, *, keys: Sequence[str] = ("account",), id_col: str = "decision_id",
-                    window: int = WINDOW, limit: int = EPISODES, width: int = 600) -> DataFrame:
-    """Per decision point, the last runs of equal episodes before it.
+def run_index(rows: DataFrame, keys: Sequence[str], id_col: str, width: int) -> DataFrame:
+    """Rows in order of (ts, id) with ``pos`` (from 0), the number of their ``run`` of equal signatures, and ``prev_ts``.
+
+    Positions and run numbers are local ranks plus sums over the table of
+    chunks; the row before is looked up across chunks. No key passes one task.
+    """
+    order = ["ts", id_col]
+    known = C.with_chunk(rows.withColumn("_hash", F.xxhash64("signature")), "ts", width)
+    w = C.chunk_window(keys, order)
+    near = known.withColumns({"_near": F.lag(F.struct("_hash", "ts")).over(w), "_rank": F.row_number().over(w)})
+    lasts = known.groupBy(*keys, C.CHUNK).agg(F.count(F.lit(1)).alias("_n"), F.max_by(F.struct("_hash", "ts"), F.struct(*order)).alias("_last"))
+    before = C.carry(lasts, keys, {"_before": ("_n", "sum"), "_open": ("_last", "last")})
+    linked = near.join(before, [*keys, C.CHUNK]).withColumn("_prev", F.coalesce("_near", "_open"))
+    fresh = F.col("_prev").isNull() | (F.col("_prev._hash") != F.col("_hash"))
+    linked = linked.select(*rows.columns, C.CHUNK, (F.col("_before") + F.col("_rank") - 1).alias("pos"), F.col("_prev.ts").alias("prev_ts"), fresh.cast("bigint").alias("_new"))
+    starts = linked.groupBy(*keys, C.CHUNK).agg(F.sum("_new").alias("_n"))
+    earlier = C.carry(starts, keys, {"_earlier": ("_n", "sum")})
+    inside = F.sum("_new").over(C.chunk_window(keys, ["pos"]).rowsBetween(Window.unboundedPreceding, 0))
+    return (linked.withColumn("_inside", inside).join(earlier, [*keys, C.CHUNK])
+            .withColumn("run", F.col("_earlier") + F.col("_inside")).drop("_earlier", "_inside", "_new", C.CHUNK))
+
+
+def _joined_runs(found: Column) -> Column:
+    """Neighbouring runs of equal signatures as one: only the point's own row can have stood between them."""
+    def step(done, run):
+        last = F.element_at(done, -1)
+        both = F.struct(run["signature"].alias("signature"), (last["repeat_count"] + run["repeat_count"]).alias("repeat_count"), run["newest_ts"].alias("newest_ts"))
+        same = (F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["signature"] == run["signature"])
+        return F.when(same, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(both))).otherwise(F.concat(done, F.array(run)))
+    kind = "array<struct<signature:string,repeat_count:bigint,newest_ts:bigint>>"
+    bare = F.transform(found, lambda r: F.struct(r["signature"].alias("signature"), r["repeat_count"].alias("repeat_count"), r["newest_ts"].alias("newest_ts")))
+    return F.aggregate(bare, F.array().cast(kind), step)
+
+
+def decision_memory(points: DataFrame, logs: DataFrame, *, keys: Sequence[str] = ("account",), id_col: str = "decision_id", window: int = WINDOW,
+                    limit: int = EPISODES, width: int = 600, source_rows: int | None = None, max_repeat: int | None = None) -> DataFrame:
+    """Per decision point, the last ``limit`` runs of equal episodes before it.
 
     Adds ``episodes``: array of (signature, repeat_count, newest_ts), oldest
-    first. At most 64 source rows are looked at; the point's own row is left out.
+    first, over all rows of the window but the point's own; ``source_rows`` and
+    ``max_repeat`` bound the rows looked at and the count shown, where wanted.
+
+    Runs of an account are numbered once. A point finds the first and last
+    position of its window and reads the few last runs by number, cut at the
+    window; its rows are never packed, however many there are.
     """
-    rows = episodes(logs).select(*keys, "ts", id_col, "signature")
-    found = asof.trailing_context(points, rows, SOURCE_ROWS + 1, ["signature"], width, keys, order=(id_col,))
-    prior = F.filter("tail", lambda r: (r["ts"] >= F.col("ts") - window) & (r[id_col] != F.col(id_col)))
-    found = C.pin(found, "_src", asof.last_items(prior, SOURCE_ROWS))
-    n = F.size("_src")
-    sig = lambda i: F.get("_src", i - 1)["signature"]
-    # A run starts at the first row and wherever the signature changes.
-    starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (sig(i) != F.get("_src", i - 2)["signature"]))
-    found = C.pin(found, "_at", F.when(n > 0, asof.last_items(starts, limit)).otherwise(F.array().cast("array<int>")))
-    ends = F.transform("_at", lambda s, k: F.coalesce(F.get("_at", k + 1) - 1, n))
-    runs = F.zip_with("_at", ends, lambda s, e: F.struct(
-        sig(s).alias("signature"), F.least(F.lit(MAX_REPEAT), e - s + 1).alias("repeat_count"), F.get("_src", e - 1)["ts"].alias("newest_ts")))
-    return found.withColumn("episodes", runs).drop("tail", "_src", "_at")
+    names = points.columns
+    indexed = materialize(run_index(episodes(logs).select(*keys, "ts", id_col, "signature"), keys, id_col, width), "runs")
+    runs = indexed.groupBy(*keys, "run").agg(F.min("pos").alias("_start"), F.max("pos").alias("_end"), F.max("ts").alias("_newest"), F.min("signature").alias("signature"))
+    log = ranges.series(indexed, [id_col], width, keys)
+    placed = log.place(points, "ts", "_b").withColumn("_since", F.col("ts") - window - 1)
+    placed = log.place(placed, "_since", "_a").withColumn("_a", F.col("_a") + 1)
+    own = indexed.select(*keys, id_col, F.col("pos").alias("_own"), F.col("prev_ts").alias("_prev_ts"))
+    newest = indexed.select(*keys, F.col("pos").alias("_b"), F.col("run").alias("_last"), F.col("ts").alias("_b_ts"))
+    at = materialize(placed.join(own, [*keys, id_col], "left").join(newest, [*keys, "_b"], "left"), "points")
+    if source_rows is not None:
+        oldest = F.col("_b") - source_rows + 1
+        at = at.withColumn("_a", F.greatest(F.col("_a"), oldest - F.coalesce((F.col("_own") >= oldest).cast("bigint"), F.lit(0))))
+    # Without the own row a run may vanish and two may become one, so two more are read.
+    asked = at.filter("_a <= _b").withColumn("run", F.explode(F.sequence(F.greatest(F.col("_last") - limit - 1, F.lit(1)), F.col("_last"))))
+    start, end = F.greatest("_start", "_a"), F.least("_end", "_b")
+    mine = F.coalesce(F.col("_own").between(start, end), F.lit(False))
+    newest_ts = F.when(mine & (F.col("_own") == end), F.col("_prev_ts")).when(F.col("_end") > F.col("_b"), F.col("_b_ts")).otherwise(F.col("_newest"))
+    cut = (asked.join(runs, [*keys, "run"]).withColumn("_rows", end - start + 1 - mine.cast("bigint")).filter("_rows > 0")
+           .groupBy(*keys, id_col, "ts").agg(F.array_sort(F.collect_list(F.struct("run", "signature", F.col("_rows").alias("repeat_count"), newest_ts.alias("newest_ts")))).alias("_runs")))
+    merged = C.pin(cut, "_merged", _joined_runs(F.col("_runs")))
+    kept = F.slice("_merged", F.greatest(F.size("_merged") - limit, F.lit(0)) + 1, F.lit(limit))
+    if max_repeat is not None:
+        kept = F.transform(kept, lambda r: r.withField("repeat_count", F.least(F.lit(max_repeat).cast("bigint"), r["repeat_count"])))
+    done = merged.select(*keys, id_col, "ts", kept.alias("episodes"))
+    none = F.array().cast(done.schema["episodes"].dataType)
+    return points.join(done, [*keys, id_col, "ts"], "left").select(*names, F.coalesce("episodes", none).alias("episodes"))
 
 
 def compact_runs(rows: DataFrame, keys: Sequence[str], order: str, signature: str, width: int = 100_000,
-                 limit: int | None = None) -> DataFrame:
+                 limit: int | None = None, max_repeat: int | None = None) -> DataFrame:
     """Runs of equal neighbours as (keys, run, signature, repeat_count, first, last).
 
     Works over any length of history: neighbours are compared across chunks and
@@ -113,8 +164,8 @@ def compact_runs(rows: DataFrame, keys: Sequence[str], order: str, signature: st
     fresh = F.col(f"prev_{order}").isNull() | ~F.col(signature).eqNullSafe(F.col(f"prev_{signature}"))
     marked = linked.withColumn("_new", fresh.cast("bigint"))
     numbered = C.running_sum(marked, keys, order, "_new", width, "run")
-    runs = numbered.groupBy(*keys, "run", signature).agg(
-        F.least(F.count(F.lit(1)), F.lit(MAX_REPEAT)).alias("repeat_count"), F.min(order).alias("first"), F.max(order).alias("last"))
+    count = F.count(F.lit(1)) if max_repeat is None else F.least(F.count(F.lit(1)), F.lit(max_repeat))
+    runs = numbered.groupBy(*keys, "run", signature).agg(count.alias("repeat_count"), F.min(order).alias("first"), F.max(order).alias("last"))
     if limit is None:
         return runs
     newest = runs.groupBy(*keys).agg(F.max("run").alias("_max"))

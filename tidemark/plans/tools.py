@@ -16,15 +16,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators import asof
+from tidemark.operators import asof, ranges
 from tidemark.operators import chunks as C
 from tidemark.registry import Registry
+from tidemark.session import materialize
 
 RETURN_BAND = 0.15
 SPREAD_BAND = 0.02
-# Tails are built per size class, so short requests do not carry long arrays; the last class is the longest tool's.
-SIZES = (61, 241)
 MOST_WINDOWS = 4
+#: Fast and slow span of the trend averages, bars back to which the slow one is compared.
+FAST, SLOW, SLOPE_BARS = 9, 21, 5
+TREND_WINDOWS = (5, 15, 30, 60, 240)
+BAR_COLUMNS = ("high", "low", "close", "volume")
 
 
 @dataclass(frozen=True)
@@ -33,14 +36,16 @@ class Tool:
 
     ``choices`` lists the allowed values of ``parameter``: ``lookback``, one of
     them, or ``windows``, up to four different ones. The tool reads that many
-    bars and ``before`` more. ``facts`` gives its columns from the bars (oldest
-    first) and the parameter, among them ``state``; where ``fold`` is set, it is
-    computed once and ``facts`` gets its result instead of the bars.
+    bars and ``before`` more. ``facts`` gives its columns, among them ``state``.
+
+    With ``spans`` (an array of structs of first and last bar, counted back from
+    the newest one, from the parameter), ``facts`` gets the range summary of the
+    newest bar and one for each span. Without, it gets the bars themselves, oldest first.
     """
 
     choices: tuple[int, ...]
     facts: Callable[[Column, Column], Mapping[str, Column]]
-    fold: Callable[[Column, Column], Column] | None = None
+    spans: Callable[[Column], Column] | None = None
     parameter: str = "lookback"
     before: int = 0
 
@@ -94,33 +99,75 @@ def plan_errors(requests: DataFrame, plan: str = "plan_id") -> DataFrame:
     return per_plan.filter((F.col("requests") > 3) | (F.col("tools") < F.col("requests")))
 
 
-def _closes(rows: Column, n: Column | int) -> Column:
-    return F.transform(asof.last_items(rows, n), lambda b: b["close"])
+def _average_spans() -> tuple[int, ...]:
+    return tuple(sorted({min(span, w) for w in TREND_WINDOWS for span in (FAST, SLOW)}))
+
+
+def _lift(bar: Column) -> Column:
+    """Marks compare as structs: the highest close (then the earliest), the lowest close, the deepest fall (then the earliest)."""
+    zero, mark = F.lit(0.0), F.struct(bar["ts"].alias("ts"), bar["close"].alias("close"))
+    return F.struct(
+        F.lit(1).cast("bigint").alias("n"), bar["close"].alias("first"), bar["close"].alias("last"), bar["volume"].alias("first_volume"),
+        bar["high"].alias("high"), bar["low"].alias("low"), bar["volume"].alias("mean"), zero.alias("m2"), zero.alias("flow"), zero.alias("down"),
+        F.struct(bar["close"].alias("close"), (-bar["ts"]).alias("ago")).alias("top"), F.struct(bar["close"].alias("close"), bar["ts"].alias("ts")).alias("bottom"),
+        F.struct(zero.alias("fall"), mark.alias("trough"), mark.alias("peak")).alias("worst"),
+        *[(bar["close"] * (2.0 / (span + 1))).alias(f"ema{span}") for span in _average_spans()])
+
+
+def _merge(a: Column, b: Column) -> Column:
+    """Summary of two neighbouring stretches of bars, the earlier one first."""
+    n = a["n"] + b["n"]
+    gap = b["mean"] - a["mean"]
+    move = F.coalesce(F.signum(b["first"] - a["last"]) * b["first_volume"], F.lit(0.0))
+    loss = F.least(b["first"] / a["last"] - 1, F.lit(0.0))
+    # The deepest fall lies in one part, or leads from the top of the first to the bottom of the second.
+    across = F.struct(((b["bottom"]["close"] / a["top"]["close"] - 1) * 100).alias("fall"),
+                      F.struct(b["bottom"]["ts"].alias("ts"), b["bottom"]["close"].alias("close")).alias("trough"),
+                      F.struct((-a["top"]["ago"]).alias("ts"), a["top"]["close"].alias("close")).alias("peak"))
+    return F.struct(
+        n.alias("n"), a["first"].alias("first"), b["last"].alias("last"), a["first_volume"].alias("first_volume"),
+        F.greatest(a["high"], b["high"]).alias("high"), F.least(a["low"], b["low"]).alias("low"),
+        (a["mean"] + gap * (b["n"] / n)).alias("mean"), (a["m2"] + b["m2"] + gap * gap * (a["n"] * b["n"] / n)).alias("m2"),
+        (a["flow"] + move + b["flow"]).alias("flow"), (a["down"] + loss * loss + b["down"]).alias("down"),
+        F.greatest(a["top"], b["top"]).alias("top"), F.least(a["bottom"], b["bottom"]).alias("bottom"), F.least(a["worst"], across, b["worst"]).alias("worst"),
+        *[(a[f"ema{s}"] * F.pow(F.lit(1 - 2.0 / (s + 1)), b["n"]) + b[f"ema{s}"]).alias(f"ema{s}") for s in _average_spans()])
+
+
+#: What a stretch of bars is known by: extremes, mean and spread of volume, signed flow, falls, and averages as linear maps.
+BAR_SUMMARY = ranges.Summary(_lift, _merge)
+
+
+def _back(first: Column, last: Column) -> Column:
+    return F.struct(first.cast("bigint").alias("first"), last.cast("bigint").alias("last"))
+
 
+def _ema(s: Column, span: Column) -> Column:
+    """Average over a stretch that starts from its first close."""
+    pick = lambda value: F.coalesce(*[F.when(span == k, value(k)) for k in _average_spans()])
+    return pick(lambda k: s["first"] * F.pow(F.lit(1 - 2.0 / (k + 1)), s["n"]) + s[f"ema{k}"])
 
-def _ema(values: Column, span: Column) -> Column:
-    alpha = F.lit(2.0) / (span + F.lit(1.0))
-    return F.aggregate(F.slice(values, 2, F.greatest(F.size(values), F.lit(1))), F.get(values, F.lit(0)),
-                       lambda a, x: a + (x - a) * alpha)
 
+def trend_spans(windows: Column) -> Column:
+    """Each window, and each window without its newest bars."""
+    less = lambda w: F.least(F.lit(SLOPE_BARS), w - 1)
+    return F.flatten(F.transform(windows, lambda w: F.array(_back(w - 1, F.lit(0)), _back(w - 1, less(w)))))
 
-def trend(rows: Column, windows: Column) -> Column:
-    """Array of per-window facts: return, EMA spread, slow-EMA slope, direction."""
-    def one(w):
-        closes = _closes(rows, w)
-        latest, first = F.try_element_at(closes, F.lit(-1)), F.get(closes, F.lit(0))
-        slow_span = F.least(F.lit(21), w)
-        slow = _ema(closes, slow_span)
-        bars = F.least(F.lit(5), F.size(closes) - 1)
-        before = _ema(F.slice(closes, 1, F.size(closes) - bars), slow_span)
-        ret = _unrounded_zero((F.try_divide(latest, first) - 1) * 100)
-        spread = _unrounded_zero((F.try_divide(_ema(closes, F.least(F.lit(9), w)), slow) - 1) * 100)
-        slope = F.when(bars > 0, _unrounded_zero(F.try_divide((slow - before) * 100, latest) / bars)).otherwise(0.0)
+
+def trend(found: Column, windows: Column) -> dict[str, Column]:
+    """Per window return, EMA spread, slow-EMA slope and direction; the majority is the state."""
+    def one(w, i):
+        whole, before = F.get(found, 2 * i + 1), F.get(found, 2 * i + 2)
+        slow_span, bars = F.least(F.lit(SLOW), w), F.least(F.lit(SLOPE_BARS), w - 1)
+        slow, latest = _ema(whole, slow_span), whole["last"]
+        ret = _unrounded_zero((F.try_divide(latest, whole["first"]) - 1) * 100)
+        spread = _unrounded_zero((F.try_divide(_ema(whole, F.least(F.lit(FAST), w)), slow) - 1) * 100)
+        slope = F.when(bars > 0, _unrounded_zero(F.try_divide((slow - _ema(before, slow_span)) * 100, latest) / bars)).otherwise(0.0)
         way = (F.when((ret >= RETURN_BAND) & (spread >= SPREAD_BAND), "BULLISH")
                .when((ret <= -RETURN_BAND) & (spread <= -SPREAD_BAND), "BEARISH").otherwise("MIXED"))
         return F.struct(w.alias("window"), ret.alias("return_pct"), spread.alias("ema_spread_pct"),
                         slope.alias("slope_pct_per_bar"), way.alias("trend"))
-    return F.transform(windows, one)
+    details = F.transform(windows, one)
+    return {"windows_detail": details, "state": alignment(details)}
 
 
 def alignment(details: Column) -> Column:
@@ -129,11 +176,13 @@ def alignment(details: Column) -> Column:
     return F.when(votes("BULLISH") > half, "BULLISH").when(votes("BEARISH") > half, "BEARISH").otherwise("MIXED")
 
 
-def donchian(rows: Column, n: Column) -> dict[str, Column]:
-    prior = F.slice(rows, F.size(rows) - n, n)
-    upper = F.array_max(F.transform(prior, lambda b: b["high"]))
-    lower = F.array_min(F.transform(prior, lambda b: b["low"]))
-    close = F.try_element_at(rows, F.lit(-1))["close"]
+def prior_span(n: Column) -> Column:
+    return F.array(_back(n, F.lit(1)))
+
+
+def donchian(found: Column, n: Column) -> dict[str, Column]:
+    prior, close = F.get(found, F.lit(1)), F.get(found, F.lit(0))["last"]
+    upper, lower = prior["high"], prior["low"]
     return {
         "prior_upper": upper, "prior_lower": lower,
         "channel_position": F.when(upper > lower, F.try_divide(close - lower, upper - lower)).otherwise(0.5),
@@ -143,122 +192,98 @@ def donchian(rows: Column, n: Column) -> dict[str, Column]:
     }
 
 
-def drawdown_fold(rows: Column, n: Column) -> Column:
-    """One pass over the sample: running top, deepest fall with its peak, squared losses."""
-    sample = asof.last_items(rows, n)
-    head = F.get(sample, F.lit(0))
-    mark = lambda b, name: F.struct(b["ts"].alias("ts"), b["close"].alias("close")).alias(name)
-    seed = F.struct(mark(head, "top"), F.lit(0.0).alias("worst"), mark(head, "peak"), mark(head, "trough"),
-                    head["close"].alias("last"), F.lit(0.0).alias("down"))
-
-    def step(s, b):
-        here = F.struct(b["ts"].alias("ts"), b["close"].alias("close"))
-        top = F.when(b["close"] > s["top"]["close"], here).otherwise(s["top"])
-        fall = (b["close"] / F.greatest(b["close"], s["top"]["close"]) - 1) * 100
-        deeper = fall < s["worst"]
-        down = F.least(b["close"] / s["last"] - 1, F.lit(0.0))
-        return F.struct(top.alias("top"), F.least(fall, s["worst"]).alias("worst"),
-                        F.when(deeper, top).otherwise(s["peak"]).alias("peak"),
-                        F.when(deeper, here).otherwise(s["trough"]).alias("trough"),
-                        b["close"].alias("last"), (s["down"] + down * down).alias("down"))
-
-    return F.aggregate(sample, seed, step)
+def sample_span(n: Column) -> Column:
+    return F.array(_back(n - 1, F.lit(0)))
 
 
-def drawdown(s: Column, n: Column) -> dict[str, Column]:
-    worst = s["worst"]
+def drawdown(found: Column, n: Column) -> dict[str, Column]:
+    s = F.get(found, F.lit(1))
+    worst = s["worst"]["fall"]
     return {
         "current_drawdown_pct": (s["last"] / s["top"]["close"] - 1) * 100, "max_drawdown_pct": worst,
         "downside_semideviation_pct": F.sqrt(s["down"] / F.greatest(n - 1, F.lit(1))) * 100,
-        "peak_ts": s["peak"]["ts"], "trough_ts": s["trough"]["ts"],
-        "peak_price": s["peak"]["close"], "trough_price": s["trough"]["close"],
+        "peak_ts": s["worst"]["peak"]["ts"], "trough_ts": s["worst"]["trough"]["ts"],
+        "peak_price": s["worst"]["peak"]["close"], "trough_price": s["worst"]["trough"]["close"],
         "state": F.when(worst <= -7, "SEVERE").when(worst <= -3, "ELEVATED").when(worst <= -1, "WATCH").otherwise("NORMAL"),
     }
 
 
-def volume_fold(rows: Column, n: Column) -> Column:
-    """Sum, sum of squares around the first value, and signed flow of the prior window."""
-    prior = F.slice(rows, F.size(rows) - n, n)
-    base = F.get(prior, F.lit(0))["volume"]
-    seed = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q"), F.lit(None).cast("double").alias("c"), F.lit(0.0).alias("flow"))
-
-    def step(a, b):
-        d = b["volume"] - base
-        move = F.coalesce(F.signum(b["close"] - a["c"]) * b["volume"], F.lit(0.0))
-        return F.struct((a["s"] + d).alias("s"), (a["q"] + d * d).alias("q"), b["close"].alias("c"), (a["flow"] + move).alias("flow"))
-
-    done = F.aggregate(prior, seed, step)
-    return F.struct(done.alias("a"), base.alias("base"), F.try_element_at(rows, F.lit(-1))["volume"].alias("now"))
-
-
-def volume(f: Column, n: Column) -> dict[str, Column]:
-    mean = f["base"] + f["a"]["s"] / n
-    spread = F.sqrt(F.greatest(f["a"]["q"] / n - F.pow(f["a"]["s"] / n, 2), F.lit(0.0)))
+def volume(found: Column, n: Column) -> dict[str, Column]:
+    prior, now = F.get(found, F.lit(1)), F.get(found, F.lit(0))["first_volume"]
+    mean, spread = prior["mean"], F.sqrt(prior["m2"] / n)
     # A flat window has no spread beyond rounding.
-    z = F.when(spread > 1e-9 * F.greatest(F.abs(mean), F.lit(1e-9)), F.try_divide(f["now"] - mean, spread)).otherwise(0.0)
+    z = F.when(spread > 1e-9 * F.greatest(F.abs(mean), F.lit(1e-9)), F.try_divide(now - mean, spread)).otherwise(0.0)
     return {
-        "current_volume": f["now"], "mean_volume": mean, "volume_z_score": z,
-        "obv_slope_per_bar": f["a"]["flow"] / F.greatest(n - 1, F.lit(1)),
+        "current_volume": now, "mean_volume": mean, "volume_z_score": z,
+        "obv_slope_per_bar": prior["flow"] / F.greatest(n - 1, F.lit(1)),
         "state": F.when(z >= 2, "HIGH_VOLUME").when(z <= -1, "LOW_VOLUME").otherwise("NEUTRAL"),
     }
 
 
 #: The tools every plan may ask for. Choices are fixed values.
 TOOLS = Registry(
-    multi_timeframe_trend=Tool((5, 15, 30, 60, 240), lambda found, _: {"windows_detail": found, "state": alignment(found)},
-                               fold=trend, parameter="windows"),
-    donchian_breakout=Tool((20, 55), donchian, before=1),
-    drawdown_profile=Tool((60, 240, 1440), drawdown, fold=drawdown_fold),
-    volume_confirmation=Tool((20, 60, 240), volume, fold=volume_fold, before=1),
+    multi_timeframe_trend=Tool(TREND_WINDOWS, trend, trend_spans, parameter="windows"),
+    donchian_breakout=Tool((20, 55), donchian, prior_span, before=1),
+    drawdown_profile=Tool((60, 240, 1440), drawdown, sample_span),
+    volume_confirmation=Tool((20, 60, 240), volume, prior_span, before=1),
 )
 
 
 def run_tools(requests: DataFrame, bars: DataFrame, width: int, tools: Mapping[str, Tool] | None = None) -> DataFrame:
     """One result row per request: status, error code, state and facts per tool (``TOOLS`` by default).
 
-    Equal questions about the same newest bar are answered once and joined back.
+    Bars are read once and written as a series. Equal questions about the same
+    newest bar are answered once and joined back.
     """
     known = TOOLS if tools is None else tools
     marked = requests.withColumn("error_code", request_error(known))
     good = marked.filter(F.col("error_code").isNull())
     # Only a tool's own parameter is part of its question.
     by_windows = F.col("tool").isin(*[n for n, t in known.items() if t.parameter == "windows"])
-    placed = asof.at_last_bar(good, bars, width).withColumns({
+    bar_series = ranges.series(bars, BAR_COLUMNS, width)
+    placed = materialize(bar_series.place(good).withColumns({
         "_windows": F.when(by_windows, F.array_join(F.col("windows").cast("array<string>"), ",")).otherwise(""),
-        "_lookback": F.when(by_windows, F.lit(0)).otherwise(F.col("lookback"))})
-    ask = ["asset", "bar_ts", "tool", "_windows", "_lookback"]
-    distinct = placed.groupBy(*ask).agg(F.first("windows").alias("windows")).select(
-        "asset", F.col("bar_ts").alias("ts"), "tool", "_windows", "_lookback", "windows", F.col("_lookback").alias("lookback"))
-    facts = answers(distinct.filter("ts IS NOT NULL"), bars, width, known).drop("windows", "lookback").withColumnRenamed("ts", "bar_ts")
-    done = placed.join(facts, ask, "left").drop("_windows", "_lookback", "bar_ts")
+        "_lookback": F.when(by_windows, F.lit(0)).otherwise(F.col("lookback"))}), "placed")
+    ask = ["asset", "pos", "tool", "_windows", "_lookback"]
+    distinct = placed.groupBy(*ask).agg(F.first("windows").alias("windows")).select("*", F.col("_lookback").alias("lookback"))
+    distinct = distinct.withColumn("windows", F.when(F.col("_windows") != "", F.col("windows")))
+    facts = answers(distinct, bar_series, known).drop("windows", "lookback")
+    done = placed.join(facts, ask, "left").drop("_windows", "_lookback", "pos")
     done = done.withColumn("status", F.coalesce("status", F.lit("INSUFFICIENT_DATA")))
     failed = marked.filter(F.col("error_code").isNotNull()).withColumn("status", F.lit("ERROR"))
     return done.unionByName(failed, allowMissingColumns=True)
 
 
-def answers(questions: DataFrame, bars: DataFrame, width: int, tools: Mapping[str, Tool] | None = None) -> DataFrame:
-    """Facts per distinct question (asset, ts, tool, windows, lookback)."""
+def answers(questions: DataFrame, bars: ranges.Series, tools: Mapping[str, Tool] | None = None) -> DataFrame:
+    """Facts per distinct question (asset, pos, tool, windows, lookback) that enough bars lie before."""
     known = TOOLS if tools is None else tools
-    good = questions.withColumn("_need", _per_tool(known, Tool.needs))
-    longest = max(t.longest for t in known.values())
-    rows, low = None, 0
-    for size in [*[n for n in SIZES if n < longest], longest]:
-        part = good.filter((F.col("_need") > low) & (F.col("_need") <= size))
-        tail = asof.trailing_context(part, bars, size, ["high", "low", "close", "volume"], width)
-        rows = tail if rows is None else rows.unionByName(tail)
-        low = size
-    enough = F.size("tail") >= F.col("_need")
-    rows = rows.withColumn("status", F.when(enough, "OK").otherwise("INSUFFICIENT_DATA"))
+    ready = questions.withColumn("_need", _per_tool(known, Tool.needs)).filter(F.col("pos") + 1 >= F.col("_need")).drop("_need")
+    merged = {name: tool for name, tool in known.items() if tool.spans is not None}
+    packed = {name: tool for name, tool in known.items() if tool.spans is None}
+    out = None
+    if merged:
+        table = ranges.blocks(bars, BAR_SUMMARY)
+        spans = F.concat(F.array(_back(F.lit(0), F.lit(0))), _per_tool(merged, lambda t: t.spans(F.col(t.parameter))))
+        places = F.transform(spans, lambda s: F.struct((F.col("pos") - s["first"]).alias("first"), (F.col("pos") - s["last"]).alias("last")))
+        asked = ready.filter(F.col("tool").isin(*merged))
+        out = _with_facts(ranges.ask(asked, places, table, BAR_SUMMARY, out="_source"), merged)
+    if packed:
+        rows = bars.rows().select(*bars.keys, F.col("pos").alias("ts"), F.struct("row.*").alias("row"))
+        tails = asof.trailing_context(ready.filter(F.col("tool").isin(*packed)), rows, max(t.longest for t in packed.values()), ["row"], bars.width, bars.keys, at="pos", out="_tail")
+        needed = _per_tool(packed, Tool.needs).cast("int")
+        tails = C.pin(tails, "_source", F.transform(asof.last_items(F.col("_tail"), needed), lambda r: r["row"])).drop("_tail")
+        own = _with_facts(tails, packed)
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out.withColumn("status", F.lit("OK"))
+
+
+def _with_facts(found: DataFrame, tools: Mapping[str, Tool]) -> DataFrame:
     columns: dict[str, list[Column]] = {}
-    for place, (name, tool) in enumerate(known.items()):
-        asked, source = enough & (F.col("tool") == name), F.col("tail")
-        if tool.fold is not None:
-            rows = C.pin(rows, f"_fold{place}", F.when(asked, tool.fold(source, F.col(tool.parameter))))
-            source = F.col(f"_fold{place}")
-        for fact, value in tool.facts(source, F.col(tool.parameter)).items():
-            columns.setdefault(fact, []).append(F.when(asked, value))
-    done = C.pin(rows, "_facts", F.struct(*[F.coalesce(*values).alias(fact) for fact, values in columns.items()]))
-    return done.select("*", "_facts.*").drop("tail", "_need", "_facts", *[f"_fold{k}" for k in range(len(known))])
+    for name, tool in tools.items():
+        for fact, value in tool.facts(F.col("_source"), F.col(tool.parameter)).items():
+            columns.setdefault(fact, []).append(F.when(F.col("tool") == name, value))
+    done = C.pin(found, "_facts", F.struct(*[F.coalesce(*values).alias(fact) for fact, values in columns.items()]))
+    return done.select("*", "_facts.*").drop("_source", "_facts")
 
 
 def drawdown_events(results: DataFrame) -> DataFrame:
