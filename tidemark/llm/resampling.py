@@ -17,7 +17,7 @@ from tidemark.session import materialize
 BUCKETS, SMOOTH = 1 << 14, 1.0
 #: Most labelled documents that the target model is fitted on, chosen by a hash of their id: 8 bytes each are broadcast.
 TARGET_ROWS = 50_000
-#: Bytes hashed at once.
+#: Bytes hashed at once; longer texts are cut between words, without changing a count.
 CHUNK = 1 << 20
 
 #: Odd multipliers of the hashes: any odd numbers do.
@@ -35,8 +35,11 @@ def ngram_buckets(raw: np.ndarray, ends_at: np.ndarray | None = None) -> np.ndar
     """Buckets of the 3-byte grams, words and pairs of words of some bytes.
 
     A word's hash is a difference of running sums, so no word is looped over.
-    Words keep their case and signs; digits count alike. Texts that lie side by
-    side end at ``ends_at`` (the last one too): no n-gram crosses an end.
+    Words keep their case and signs. Two choices are made for both models alike:
+    digits share one code, since numbers are too many to be learned one by one,
+    and a word said twice running is one event whatever the word, since its
+    buckets would otherwise be as many as the words. Texts that lie side by side
+    end at ``ends_at`` (the last one too): no n-gram crosses an end.
     """
     codes = raw.astype(np.uint64)
     codes[(raw >= 48) & (raw <= 57)] = 48
@@ -67,11 +70,36 @@ def ngram_buckets(raw: np.ndarray, ends_at: np.ndarray | None = None) -> np.ndar
     return (every >> np.uint64(40)).astype(np.int64) % BUCKETS
 
 
+def long_parts(text: bytes) -> Iterator[tuple[np.ndarray, int]]:
+    """``(bytes, sign)``: the counts of these parts, added and taken off, are those of the whole text.
+
+    A text is cut at starts of words, every part but the first begins with the
+    word before its cut, and that word (with its blanks) is taken off once. So
+    words, pairs and byte grams at a cut count once, wherever it falls. A word
+    is never cut, however long.
+    """
+    raw = np.frombuffer(text, np.uint8)
+    heads, start, cut = np.zeros(0, np.int64), 0, 0
+    if len(raw) > CHUNK:
+        blank = (raw == 32) | (raw >= 9) & (raw <= 13)
+        heads = np.flatnonzero(blank[:-1] & ~blank[1:]) + 1
+    while len(raw) - start > CHUNK:
+        k = int(np.searchsorted(heads, max(start + CHUNK, cut + 1)))
+        if k >= len(heads):
+            break
+        cut = int(heads[k])
+        yield raw[start:cut], 1
+        # The last word before the cut: where the text starts, if there is none.
+        start = int(heads[k - 1]) if k else 0
+        yield raw[start:cut], -1
+    yield raw[start:], 1
+
+
 def gram_counts(text: bytes) -> np.ndarray:
-    """Counts of a whole text; n-grams do not cross the borders of very long parts."""
+    """Counts of a whole text, a part at a time if it is very long."""
     out = np.zeros(BUCKETS, np.int64)
-    for start in range(0, len(text), CHUNK):
-        out += np.bincount(ngram_buckets(np.frombuffer(text, np.uint8, min(CHUNK, len(text) - start), start)), minlength=BUCKETS)
+    for part, sign in long_parts(text):
+        out += sign * np.bincount(ngram_buckets(part), minlength=BUCKETS)
     return out
 
 
@@ -126,6 +154,8 @@ def largest(rows: DataFrame, key: str, order: str, k: int, bins: int = 1024) ->
 
     The border is narrowed by histograms of at most ``bins`` counts; only the rows
     of the last bin are sorted. ``rows`` is read once a round, so it should be written.
+    Many rows of one key are told apart by a hash of ``order``; rows that share
+    that too (repeated ids) are alike, and as many as are due are counted off.
     """
     low, high, n = rows.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
     if k <= 0 or n == 0:
@@ -147,18 +177,27 @@ def largest(rows: DataFrame, key: str, order: str, k: int, bins: int = 1024) ->
         if stuck:
             break
     border = rows.filter((F.col(key) >= low) & (F.col(key) <= high))
-    # Rows that share the border value are told apart by a hash of their order column, in parts if there are many.
-    nth = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(key), order)) if inside <= 4096 else None
-    if nth is None:
+    if inside <= 4096:
+        nth = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc(key), order))
+        chosen = border.withColumn("chosen", nth <= k - above)
+    elif key != "_tie":
         tied = materialize(border.withColumn("_tie", unit(F.col(order))), "ties")
-        return (rows.filter(F.col(key) > high).withColumn("chosen", F.lit(True))
-                .unionByName(largest(tied, "_tie", order, k - above).drop("_tie"))
-                .unionByName(rows.filter(F.col(key) < low).withColumn("chosen", F.lit(False))))
-    return (rows.filter(F.col(key) > high).withColumn("chosen", F.lit(True))
-            .unionByName(border.withColumn("chosen", nth <= k - above))
+        chosen = largest(tied, "_tie", order, k - above, bins).drop("_tie")
+    else:
+        chosen = counted_off(border, k - above)
+    return (rows.filter(F.col(key) > high).withColumn("chosen", F.lit(True)).unionByName(chosen)
             .unionByName(rows.filter(F.col(key) < low).withColumn("chosen", F.lit(False))))
 
 
+def counted_off(rows: DataFrame, k: int) -> DataFrame:
+    """Adds ``chosen``: true for any ``k`` rows, by the counts of parts, so that no task sees more than a part."""
+    parts = materialize(rows.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()), "parts")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    nth = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy("_at"))
+    return parts.join(starts, "_part").withColumn("chosen", nth <= k).drop("_part", "_at", "_before")
+
+
 def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, id_col: str = "doc_id", text_col: str = "text",
              label_col: str = "quality", target_rows: int = TARGET_ROWS) -> DataFrame:
     """doc_id, log_weight, weight_per_gram, key and kept of every document.
@@ -186,9 +225,9 @@ def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, id_
         totals, sizes = [], []
         for item in texts:
             total = size = 0
-            for start in range(0, len(item), CHUNK):
-                found = ngram_buckets(np.frombuffer(item, np.uint8, min(CHUNK, len(item) - start), start))
-                total, size = total + float(ratios[found].sum()), size + len(found)
+            for part, sign in long_parts(item):
+                found = ngram_buckets(part)
+                total, size = total + sign * float(ratios[found].sum()), size + sign * len(found)
             totals.append(total)
             sizes.append(size)
         return pd.DataFrame({"w": np.array(totals, float), "n": np.array(sizes, np.int64)})
