@@ -129,19 +129,27 @@ def _url_sql() -> str:
         cases = " ".join(f"WHEN (host = {_lit(h)} OR ends_with(host, {_lit('.' + h)})) AND starts_with(path, {_lit(p)}) THEN {_lit(value(v, h + p))}" for v, h, p in rules)
         return f"CASE {cases} END"
 
-    quote = "[\"'']?([^\"''\\s>]+)"
+    def value(pattern):
+        return " || ".join(f"regexp_extract(t, {_lit(pattern)}, {k})" for k in (1, 2, 3))
+
+    U = urlfilter
+    parts = "string_split(bp0, '/')"
+    dots = f"list_reduce(list_prepend([]::VARCHAR[], list_transform({parts}, lambda x: [x])), lambda acc, x: CASE x[1] WHEN '.' THEN acc WHEN '..' THEN acc[1:greatest(len(acc) - 1, least(len(acc), 1))] ELSE acc || x END)"
     return f"""
 WITH RECURSIVE p AS (SELECT page_id, url, html, {host('url')} AS host, {path('url')} AS path FROM pages),
-tags AS (SELECT url, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<(?:link|meta)\\b[^>]*>')) AS t FROM p),
-found AS (
-  SELECT url, CASE WHEN regexp_matches(t, '(?i)^<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b') THEN regexp_extract(t, '(?i)\\bhref\\s*=\\s*{quote}', 1)
-                   WHEN regexp_matches(t, '(?i)^<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b') THEN regexp_extract(t, '(?i)\\burl\\s*=\\s*{quote}', 1) ELSE '' END AS target FROM tags),
+tags AS (SELECT url, unnest(regexp_extract_all(regexp_replace(coalesce(html, ''), {_lit(U.HIDDEN)}, '', 'g'), {_lit(U.TAGS)})) AS t FROM p),
+said AS (
+  SELECT url, CASE WHEN regexp_matches(t, {_lit(U.CANONICAL)}) THEN {value(U.HREF)}
+                   WHEN regexp_matches(t, {_lit(U.REFRESH)}) THEN regexp_extract({value(U.CONTENT)}, {_lit(U.MOVED)}, 1) ELSE '' END AS u FROM tags),
+found AS (SELECT url, trim(replace(u, '&amp;', '&')) AS target FROM said),
 full_ AS (
-  SELECT url, CASE WHEN contains(target, '://') THEN target WHEN starts_with(target, '//') THEN 'http:' || target
+  SELECT url, CASE WHEN regexp_matches(target, {_lit(U.WEB)}) THEN target WHEN regexp_matches(target, {_lit(U.SCHEME)}) THEN NULL WHEN starts_with(target, '//') THEN 'http:' || target
+                   WHEN regexp_matches(target, '^[?#]') THEN 'http://' || {host('url')} || {path('url')}
                    WHEN starts_with(target, '/') THEN 'http://' || {host('url')} || target
                    ELSE 'http://' || {host('url')} || CASE WHEN regexp_extract({path('url')}, '(?s)^(.*/)', 1) = '' THEN '/' ELSE regexp_extract({path('url')}, '(?s)^(.*/)', 1) END || target END AS target
   FROM found WHERE target <> ''),
-links AS (SELECT {host('url')} AS ah, {path('url')} AS ap, {host('target')} AS bh, {path('target')} AS bp FROM full_),
+raw AS (SELECT {host('url')} AS ah, {path('url')} AS ap, {host('target')} AS bh, {path('target')} AS bp0 FROM full_ WHERE target IS NOT NULL),
+links AS (SELECT ah, ap, bh, CASE WHEN contains(bp0, '/.') THEN array_to_string({dots}, '/') || CASE WHEN {parts}[-1] IN ('.', '..') THEN '/' ELSE '' END ELSE bp0 END AS bp FROM raw),
 real AS (SELECT * FROM links WHERE ah <> '' AND bh <> '' AND (ah, ap) <> (bh, bp)),
 both_ AS (SELECT ah, ap, bh, bp FROM real UNION SELECT bh, bp, ah, ap FROM real),
 reach AS (SELECT ah, ap, ah AS host, ap AS path FROM both_ UNION SELECT r.ah, r.ap, b.bh, b.bp FROM reach r JOIN both_ b ON b.ah = r.host AND b.ap = r.path),

@@ -41,23 +41,55 @@ def rule_place(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return F.coalesce(*tests) if tests else F.lit(None).cast("int")
 
 
+#: What hides tags, the tags themselves, and their attributes; a value stands in double, single or no quotes.
+HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b.*?</(script|style)\s*>"
+TAGS = r"(?i)<(?:link|meta)\b[^>]*>"
+CANONICAL = (r"""(?i)^<link\b[^>]*\srel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical[\s/>])""")
+REFRESH = r"""(?i)^<meta\b[^>]*\shttp-equiv\s*=\s*["']?refresh["'\s/>]"""
+HREF = r"""(?i)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+CONTENT = r"""(?i)\scontent\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+MOVED = r"""(?i)\burl\s*=\s*["']?([^"']*)"""
+WEB, SCHEME = r"(?i)^https?://", r"^[A-Za-z][A-Za-z0-9+.\-]*:"
+
+
+def _value(tag: Column, pattern: str) -> Column:
+    return F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])
+
+
 def targets_of(html: Column) -> Column:
-    """Where a page says it really is: ``href`` of canonical links and the address of refresh redirects."""
-    tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))
-    canonical = F.filter(tags, lambda t: t.rlike(r"(?i)^<link\b[^>]*\brel\s*=\s*[\"']?canonical\b"))
-    refresh = F.filter(tags, lambda t: t.rlike(r"(?i)^<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b"))
-    links = F.transform(canonical, lambda t: F.regexp_extract(t, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    moves = F.transform(refresh, lambda t: F.regexp_extract(t, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    return F.filter(F.concat(links, moves), lambda u: u != "")
+    """Where a page says it really is: ``href`` of links whose ``rel`` names canonical, and the address of refresh redirects.
+
+    Comments, scripts and styles are left out first; ``&amp;`` is decoded and outer blanks go.
+    """
+    tags = F.regexp_extract_all(F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, ""), F.lit(TAGS), F.lit(0))
+    links = F.transform(F.filter(tags, lambda t: t.rlike(CANONICAL)), lambda t: _value(t, HREF))
+    moves = F.transform(F.filter(tags, lambda t: t.rlike(REFRESH)), lambda t: F.regexp_extract(_value(t, CONTENT), MOVED, 1))
+    found = F.transform(F.concat(links, moves), lambda u: F.trim(F.replace(u, F.lit("&amp;"), F.lit("&"))))
+    return F.filter(found, lambda u: u != "")
+
+
+def without_dots(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments; none leads above the root."""
+    parts = F.split(path, "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda done, x: F.when(x == ".", done).when(
+        x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.least(F.size(done), F.lit(1))))).otherwise(F.concat(done, F.array(x))))
+    last = F.element_at(parts, -1)
+    ended = F.concat(F.array_join(kept, "/"), F.when(last.isin(".", "..") , "/").otherwise(""))
+    return F.when(F.contains(path, F.lit("/.")), ended).otherwise(path)
 
 
 def absolute(target: Column, url: Column) -> Column:
-    """A target as the page at ``url`` means it: with a host of its own, from the host's root, or beside the page."""
+    """A target as the page at ``url`` means it, after the rules for relative references.
+
+    Web addresses stand for themselves, other schemes (mail, scripts) are no
+    addresses and give null. An empty path (only a query or fragment) keeps the
+    path of the page; others start at the host's root or beside the page.
+    """
     host, path = host_of(url), path_of(url)
     folder = F.regexp_extract(path, r"(?s)^(.*/)", 1)
     base = F.concat(F.lit("http://"), host)
-    return (F.when(target.contains("://"), target).when(target.startswith("//"), F.concat(F.lit("http:"), target))
-            .when(target.startswith("/"), F.concat(base, target))
+    return (F.when(target.rlike(WEB), target).when(target.rlike(SCHEME), F.lit(None)).when(target.startswith("//"), F.concat(F.lit("http:"), target))
+            .when(target.rlike("^[?#]") | (target == ""), F.concat(base, path)).when(target.startswith("/"), F.concat(base, target))
             .otherwise(F.concat(base, F.when(folder == "", "/").otherwise(folder), target)))
 
 
@@ -88,7 +120,9 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, redirects: DataFrame
     inherited = F.lit(None).cast("string")
     if said:
         every = said[0] if len(said) == 1 else said[0].unionByName(said[1])
-        edges = every.select(address(F.col("url")).alias("a"), address(F.col("target")).alias("b")).filter("a.host <> '' and b.host <> '' and a <> b")
+        # A target's dots are resolved; a page's own address stays as it is, which its row is found by.
+        place = F.struct(host_of(F.col("target")).alias("host"), without_dots(path_of(F.col("target"))).alias("path"))
+        edges = every.filter("target is not null").select(address(F.col("url")).alias("a"), place.alias("b")).filter("a.host <> '' and b.host <> '' and a <> b")
         parts = components(edges, "a", "b").select(F.col("node.host").alias("host"), F.col("node.path").alias("path"), "label")
         ruled = parts.withColumn("_rule", longest)
         kind = F.get(F.array(*[F.lit(r[0]) for r in rules]), F.col("_rule"))
