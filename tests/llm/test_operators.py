@@ -239,6 +239,30 @@ def test_mix_comes_near_its_targets(spark):
     assert all(copies[i] * by[i]["size"] == by[i]["taken"] for i in by)
 
 
+def test_mix_takes_the_same_rows_as_its_report(spark):
+    """Null and repeated ids, some with equal texts: report and mix agree row for row, however rows are dealt."""
+    data = [(None, f"n {'w ' * (i % 9)}", f"s{i % 2}") for i in range(40)] + [(None, "same words", "s0")] * 30 + [(5, "a b c", "s1")] * 6 + [(5, f"x {'y ' * i}", "s1") for i in range(20)]
+    docs = spark.createDataFrame([(*d, "c") for d in data], "doc_id long, text string, source string, size string")
+    report = Counter()
+    for r in rows(mixing.mix_documents(docs.repartition(3))):
+        if r["size"]:
+            report[(r["doc_id"], r["size"])] += r["taken"] // r["size"]
+    for parts in (1, 6):
+        mixed = Counter((r["doc_id"], len(r["text"].split())) for r in rows(mixing.take_mix(docs.repartition(parts))))
+        assert mixed == +report
+
+
+def test_mix_prefers_long_documents(spark, monkeypatch):
+    """Inclusion odds go with size: in the sampled part, long documents are taken more often; borders are found in several rounds too."""
+    docs = spark.createDataFrame([(i, "w " * (10 if i % 2 else 100), "s") for i in range(4000)], "doc_id long, text string, source string")
+    out = rows(mixing.mix_documents(docs, share=0.5))
+    share = {size: np.mean([r["taken"] > 0 for r in out if r["size"] == size]) for size in (10, 100)}
+    assert share[10] < 0.25 < 0.4 < share[100] and abs(sum(r["taken"] for r in out) - out[0]["target"]) <= 50
+    monkeypatch.setattr(mixing, "RANGES", 3)
+    monkeypatch.setattr(mixing, "BORDER_ROWS", 5)
+    assert Counter(map(tuple, mixing.mix_documents(docs, share=0.5).collect())) == Counter(tuple(r.values()) for r in out)
+
+
 def test_largest_is_exact(spark):
     values = [float(i % 50) for i in range(12_000)] + [1e9]
     frame = common.materialize(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, key double"))

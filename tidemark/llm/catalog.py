@@ -163,23 +163,24 @@ JOIN p USING (page_id, host, path) LEFT JOIN inherited i ON i.host = r.host AND
 def _mix_sql() -> str:
     weights = ", ".join(str(w) for w in mixing.WEIGHTS)
     return f"""
-WITH d AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS uid, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size FROM documents),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, list_extract([{weights}], CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1 AS INT))::DOUBLE AS w
+WITH d AS (SELECT doc_id, coalesce('=' || doc_id, '') || '|' || md5(coalesce(text, '')) || '|' || row_number() OVER (PARTITION BY doc_id, text, source) AS uid, source,
+             CAST(len(regexp_extract_all(coalesce(text, ''), '{WORD}')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS rows_, list_extract([{weights}], CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} + 1 AS INT))::DOUBLE AS w
       FROM d GROUP BY source),
 c AS (SELECT *, {float(mixing.MOST_COPIES)} * source_size AS cap, row_number() OVER (ORDER BY {float(mixing.MOST_COPIES)} * source_size / w, source NULLS LAST) AS n FROM s),
 r AS (SELECT *, ({mixing.SHARE}::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
                / (sum(w) OVER (ORDER BY n ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS rate FROM c),
 l AS (SELECT rate FROM r WHERE cap > rate * w ORDER BY n LIMIT 1),
-t AS (SELECT source, source_size, least(cap, (SELECT rate FROM l) * w) AS target FROM c),
+t AS (SELECT source, source_size, rows_, least(cap, (SELECT rate FROM l) * w) AS target FROM c),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS due FROM t),
-q AS (SELECT *, floor(due) AS whole, due - floor(due) AS odds, greatest(target - floor(due) * source_size, 0.0) AS need FROM p),
-u AS (SELECT d.*, q.source_size, q.target, q.whole, q.odds, q.need, (CAST('0x' || substr(md5(uid), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
+q AS (SELECT *, floor(due) AS whole, due - floor(due) AS rest, greatest(target - floor(due) * source_size, 0.0) AS need FROM p),
+u AS (SELECT d.*, q.source_size, q.target, q.whole, q.need, q.rest / (1 - q.rest) * (d.size * q.rows_ / nullif(q.source_size, 0)::DOUBLE) AS odds, (CAST('0x' || substr(md5(uid), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
       FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
-k AS (SELECT *, CASE WHEN odds > 0 THEN ((u / (1 - u)) / (odds / (1 - odds))) / (1 + (u / (1 - u)) / (odds / (1 - odds))) END AS rank_ FROM u),
-o AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank_, uid, size ROWS UNBOUNDED PRECEDING) AS upto FROM k),
+k AS (SELECT *, CASE WHEN odds > 0 THEN ((u / (1 - u)) / odds) / (1 + (u / (1 - u)) / odds) END AS rank_ FROM u),
+o AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY rank_, uid ROWS UNBOUNDED PRECEDING) AS upto FROM k),
 g AS (SELECT *, rank_ IS NOT NULL AND upto <= need AS taken_, need - coalesce(max(CASE WHEN rank_ IS NOT NULL AND upto <= need THEN upto END) OVER (PARTITION BY source), 0) AS gap FROM o),
-f AS (SELECT source, arg_min(doc_id, (abs(size - gap), rank_, uid, size)) AS closing FROM g WHERE rank_ IS NOT NULL AND NOT taken_ AND abs(size - gap) < gap GROUP BY source)
-SELECT g.doc_id, g.size, g.source_size, g.target, CAST(g.size * (g.whole + CASE WHEN g.taken_ OR coalesce(f.closing = g.doc_id, FALSE) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+f AS (SELECT source, arg_min(uid, (abs(size - gap), rank_, uid)) AS closing FROM g WHERE rank_ IS NOT NULL AND NOT taken_ AND abs(size - gap) < gap GROUP BY source)
+SELECT g.doc_id, g.size, g.source_size, g.target, CAST(g.size * (g.whole + CASE WHEN g.taken_ OR coalesce(f.closing = g.uid, FALSE) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM g LEFT JOIN f ON g.source IS NOT DISTINCT FROM f.source
 """
 

@@ -12,20 +12,20 @@ from tidemark.session import materialize
 
 #: Weights that sources take in turn, words of the mix for each word of the input, and most copies of a document.
 WEIGHTS, SHARE, MOST_COPIES = (3.0, 1.0, 2.0), 1.5, 2
-#: Ranges of sampling ranks; only one range of a source is ever sorted together.
-RANGES = 4096
+#: Ranges that the ranks of a source are cut into at a time, and rows of the last range that are sorted together.
+RANGES, BORDER_ROWS = 4096, 4096
 
 SOURCE = ["_no_source", "_source"]
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST_COPIES) -> DataFrame:
-    """``(_no_source, _source, source_size, target)`` for every source of a table of sources and sizes.
+    """``(_no_source, _source, source_size, rows, target)`` for every source of a table of sources and sizes.
 
     The source at place i by code point (null last) has weight ``weights[i % len]``.
     A target stops at ``most`` times its source's size; what is over is shared
     anew by weight until no target is above. Only two sums travel to the driver in each round.
     """
-    totals = sizes.groupBy(*SOURCE).agg(F.sum("size").alias("source_size"))
+    totals = sizes.groupBy(*SOURCE).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
     # Places by ranges of names: no task holds all sources, however many there are.
     spread = materialize(totals.repartitionByRange(*SOURCE).withColumn("_part", F.spark_partition_id()), "sources")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -33,7 +33,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
     place = F.col("_start") + F.row_number().over(Window.partitionBy("_part").orderBy(*SOURCE)) - 1
     turn = F.get(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(place, F.lit(len(weights))).cast("int"))
     placed = materialize(spread.join(starts, "_part").select(
-        *SOURCE, "source_size", turn.alias("_weight"), (F.lit(float(most)) * F.col("source_size")).alias("_cap")), "sources")
+        *SOURCE, "source_size", "rows", turn.alias("_weight"), (F.lit(float(most)) * F.col("source_size")).alias("_cap")), "sources")
     whole, weight = placed.agg(F.sum("source_size"), F.sum("_weight")).first()
     total, rate, capped = share * (whole or 0), 0.0, -1
     held, left = 0.0, weight or 0.0
@@ -45,67 +45,99 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share:
         if n == capped:
             break
         capped = n
-    return placed.select(*SOURCE, "source_size", F.least("_cap", F.lit(rate) * F.col("_weight")).alias("target"))
+    return placed.select(*SOURCE, "source_size", "rows", F.least("_cap", F.lit(rate) * F.col("_weight")).alias("target"))
 
 
 def _rank(odds: Column, key: Column) -> Column:
     """Pareto rank: random odds divided by inclusion odds, brought to the range from 0 to 1 without changing the order."""
     u = unit(key)
-    ratio = (u / (1 - u)) / (odds / (1 - odds))
-    return F.when((odds > 0) & (odds < 1), ratio / (1 + ratio)).when(odds >= 1, 0.0)
+    ratio = (u / (1 - u)) / odds
+    return F.when(odds > 0, ratio / (1 + ratio))
+
+
+def _borders(ranked: DataFrame, plan: DataFrame) -> DataFrame:
+    """``(_no_source, _source, _low, _high, _before)``: ranks between which a source reaches what it needs, and the words before.
+
+    Histograms of sums narrow the ranks of all sources at once, until few rows
+    are left between. Sources that their ranks never fill have no border.
+    """
+    zone = plan.select(*SOURCE, "_need", F.lit(0.0).alias("_low"), F.lit(1.0).alias("_high"), F.lit(0).cast("long").alias("_before"))
+    seen = None
+    while True:
+        inside = ranked.drop("_need").join(zone, SOURCE).filter(F.col("_q").between(F.col("_low"), F.col("_high")))
+        place = F.coalesce(F.least(F.floor(F.try_divide(F.col("_q") - F.col("_low"), F.col("_high") - F.col("_low")) * RANGES), F.lit(RANGES - 1)), F.lit(0)).cast("int")
+        sums = inside.groupBy(*SOURCE, "_need", "_before", place.alias("_place")).agg(
+            F.sum("size").alias("_words"), F.count(F.lit(1)).alias("_rows"), F.min("_q").alias("_low"), F.max("_q").alias("_high"))
+        earlier = Window.partitionBy(*SOURCE).orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)
+        sums = sums.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_words").over(earlier), F.lit(0)))
+        zone = materialize(sums.filter((F.col("_before") <= F.col("_need")) & (F.col("_before") + F.col("_words") > F.col("_need")))
+                           .select(*SOURCE, "_need", "_low", "_high", "_before", "_rows"), "borders")
+        wide = zone.filter((F.col("_rows") > BORDER_ROWS) & (F.col("_low") < F.col("_high"))).agg(F.count(F.lit(1)), F.sum("_rows")).first()
+        if not wide[0] or tuple(wide) == seen:
+            return zone.select(*SOURCE, "_low", "_high", "_before")
+        seen, zone = tuple(wide), zone.drop("_rows")
 
 
 def sample(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """Adds ``copies`` to rows of ``(_no_source, _source, _uid, size)``.
+    """Adds ``copies`` to rows of ``(_no_source, _source, _uid, size)``; ``_uid`` tells all rows apart.
 
-    A document is due target / source_size copies. Its whole copies are certain;
-    the rest is its inclusion probability. Documents are ranked by random odds
-    over inclusion odds, and taken in that order while the words still missing
+    A document is due target / source_size copies in the mean. Whole copies are
+    certain. For the rest its inclusion odds are those of the remaining share,
+    times its size over the mean size of its source: long documents hold more
+    of the words that are due. Documents are ranked by random odds over
+    inclusion odds, and taken in that order while the words still missing
     allow it; of the others the one that comes nearest to the last gap, if any
     does, closes it. So a source misses its target by less than the size of a
-    small document, and every document of a source is as likely as its odds say.
+    small document.
 
-    Ranges of ranks are summed first. Only the range in which a source reaches
-    its target is sorted, so a source of any size is spread over all tasks.
+    Only the rows around the place where a source reaches its target are
+    sorted, however many it has (``_borders``).
     """
     plan = targets.withColumn("_due", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
-    plan = plan.withColumn("_whole", F.floor("_due")).withColumn("_odds", F.col("_due") - F.col("_whole"))
+    plan = plan.withColumn("_whole", F.floor("_due")).withColumn("_share", F.col("_due") - F.col("_whole"))
     plan = plan.withColumn("_need", F.greatest(F.col("target") - F.col("_whole") * F.col("source_size"), F.lit(0.0)))
-    ranked = rows.join(plan, SOURCE).withColumn("_q", _rank(F.col("_odds"), F.col("_uid")))
-    ranked = ranked.withColumn("_range", F.least(F.floor(F.col("_q") * RANGES), F.lit(RANGES - 1)).cast("int"))
-    ranked = materialize(ranked, "ranked")
-    sums = ranked.filter("_range is not null").groupBy(*SOURCE, "_range").agg(F.sum("size").alias("_words"), F.max("_need").alias("_need"))
-    before = Window.partitionBy(*SOURCE).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("_before", F.coalesce(F.sum("_words").over(before), F.lit(0)))
-    edge = materialize(sums.filter((F.col("_before") <= F.col("_need")) & (F.col("_before") + F.col("_words") > F.col("_need")))
-                       .select(*SOURCE, F.col("_range").alias("_edge"), "_before"), "edges")
-    # A source whose ranks never reach its target (rounding) takes them all: it has no edge.
-    placed = ranked.join(edge, SOURCE, "left")
-    near = placed.filter("_range = _edge")
-    order = Window.partitionBy(*SOURCE).orderBy("_q", "_uid", "size")
+    odds = F.col("_share") / (1 - F.col("_share")) * (F.col("size") * F.col("rows") / F.nullif(F.col("source_size"), F.lit(0)))
+    ranked = materialize(rows.join(plan, SOURCE).withColumn("_q", _rank(odds, F.col("_uid"))), "ranked")
+    placed = ranked.join(_borders(ranked, plan), SOURCE, "left")
+    near = placed.filter("_q between _low and _high")
+    order = Window.partitionBy(*SOURCE).orderBy("_q", "_uid")
     near = materialize(near.withColumn("_upto", F.col("_before") + F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-                       .withColumn("_in", F.col("_upto") <= F.col("_need")).withColumn("_nth", F.row_number().over(order)), "near")
+                       .withColumn("_in", F.col("_upto") <= F.col("_need")), "near")
     gap = near.groupBy(*SOURCE).agg((F.max("_need") - F.coalesce(F.max(F.when(F.col("_in"), F.col("_upto"))), F.max("_before"))).alias("_gap"))
-    later = (placed.filter("_range > _edge").select(*SOURCE, "_q", "_uid", "size", F.lit(0).alias("_nth"))
-             .unionByName(near.filter("not _in").select(*SOURCE, "_q", "_uid", "size", "_nth")))
+    later = placed.filter("_q > _high").select(*SOURCE, "_q", "_uid", "size").unionByName(near.filter("not _in").select(*SOURCE, "_q", "_uid", "size"))
     miss = F.abs(F.col("size") - F.col("_gap"))
     closing = (later.join(gap, SOURCE).filter(miss < F.col("_gap")).groupBy(*SOURCE)
-               .agg(F.min(F.struct(miss.alias("m"), "_q", "_uid", "size", "_nth")).alias("_close")))
+               .agg(F.min(F.struct(miss.alias("m"), "_q", "_uid")).alias("_close")))
     closing = materialize(closing, "closing")
-    columns = [*rows.columns, "source_size", "target", "_whole", "_q", "_nth"]
-    rest = (placed.filter("_edge is null or _range is null or _range <> _edge")
-            .withColumn("_in", F.coalesce(F.col("_edge").isNull() & F.col("_range").isNotNull() | (F.col("_range") < F.col("_edge")), F.lit(False)))
-            .withColumn("_nth", F.lit(0)).select(*columns, "_in"))
+    columns = [*rows.columns, "source_size", "target", "_whole"]
+    # A source whose ranks never reach its target (rounding) has no border and takes them all.
+    rest = (placed.filter("_low is null or _q is null or _q < _low or _q > _high")
+            .withColumn("_in", F.coalesce(F.col("_q").isNotNull() & (F.col("_low").isNull() | (F.col("_q") < F.col("_low"))), F.lit(False))).select(*columns, "_in"))
     every = rest.unionByName(near.select(*columns, "_in")).join(closing, SOURCE, "left")
-    # Repeated ids share a rank, so the closing document is told by its place as well.
-    close = F.coalesce((F.col("_uid") == F.col("_close._uid")) & (F.col("size") == F.col("_close.size")) & (F.col("_nth") == F.col("_close._nth")) & ~F.col("_in"), F.lit(False))
-    return every.withColumn("copies", (F.col("_whole") + F.when(F.col("_in") | close, 1).otherwise(0)).cast("long")).drop("_whole", "_q", "_nth", "_in", "_close")
+    close = F.coalesce((F.col("_uid") == F.col("_close._uid")) & ~F.col("_in"), F.lit(False))
+    return every.withColumn("copies", (F.col("_whole") + F.when(F.col("_in") | close, 1).otherwise(0)).cast("long")).drop("_whole", "_in", "_close")
+
+
+#: What tells documents apart while their texts stay behind: id (null apart from every id), text and source.
+HANDLE = ["_rid", "_fp", *SOURCE]
+
+
+def _handled(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    source, known = F.col(source_col).cast("string"), F.col(id_col).cast("string")
+    return docs.withColumns({"_rid": F.coalesce(F.concat(F.lit("="), known), F.lit("")), "_fp": F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")),
+                             "_no_source": source.isNull(), "_source": F.coalesce(source, F.lit(""))})
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    source = F.col(source_col).cast("string")
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("_uid"),
-                       source.isNull().alias("_no_source"), F.coalesce(source, F.lit("")).alias("_source"), word_count(F.col(text_col)).alias("size"))
+    """doc_id, handle, size and ``_uid`` of every row. Rows that are alike are numbered by counts of parts, so no task holds them all."""
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"), F.col(source_col).alias("_of"))
+    slim = _handled(slim, "doc_id", "_text", "_of").select("doc_id", *HANDLE, word_count(F.col("_text")).alias("size"))
+    slim = materialize(slim.withColumn("_part", F.spark_partition_id()), "rows")
+    counts = slim.groupBy("doc_id", *HANDLE, "size", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(*HANDLE).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = counts.withColumn("_first", before).withColumn("_j", F.explode(F.sequence(F.col("_first") + 1, F.col("_first") + F.col("_n"))))
+    uid = F.concat_ws("|", "_rid", "_fp", F.col("_j").cast("string"))
+    return materialize(numbered.select("doc_id", *HANDLE, "size", uid.alias("_uid")), "sizes")
 
 
 def mix_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES,
@@ -113,25 +145,28 @@ def mix_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: fl
     """doc_id, size, source_size, target and taken (words, repeats counted) of every document.
 
     Size is the number of words; null and blank texts have none and take none.
-    Ranks come from the ids, so reruns agree; ids should be unique, rows that
-    repeat one share its rank. Other columns, whatever their names, are not read.
+    Ranks come from id, text and, for rows that are alike in both, a number, so
+    reruns agree and every row is a document of its own, null and repeated ids
+    included. Other columns, whatever their names, are not read.
     """
-    sized = materialize(_sized(docs, id_col, text_col, source_col), "sizes")
+    sized = _sized(docs, id_col, text_col, source_col)
     out = sample(sized, source_targets(sized, weights, share, most))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def take_mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: int = MOST_COPIES,
              id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: every document as often as it is taken, with its columns as they were.
+    """The mix itself: every document as often as ``mix_documents`` takes it, with its columns as they were.
 
-    Rows that repeat an id count as one document here: the mix works on their words together.
+    Of rows that are alike in id, text and source one stands for all, as often as they are taken together.
     """
-    sized = materialize(_sized(docs, id_col, text_col, source_col).groupBy("_uid", "_no_source", "_source").agg(F.sum("size").alias("size")), "sizes")
-    copies = materialize(sample(sized, source_targets(sized, weights, share, most)).select("_uid", *SOURCE, "copies").filter("copies > 0"), "copies")
+    sized = _sized(docs, id_col, text_col, source_col)
+    taken = sample(sized, source_targets(sized, weights, share, most))
+    copies = materialize(taken.groupBy(*HANDLE).agg(F.sum("copies").alias("copies"), (F.count(F.lit(1)) > 1).alias("_many")).filter("copies > 0"), "copies")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    source = F.col(f"_row.{source_col}").cast("string")
-    packed = packed.withColumns({"_uid": F.coalesce(F.col(f"_row.{id_col}").cast("string"), F.lit("")), "_no_source": source.isNull(),
-                                 "_source": F.coalesce(source, F.lit(""))})
-    taken = packed.join(copies, ["_uid", *SOURCE]).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return taken.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
+    found = _handled(packed, f"_row.{id_col}", f"_row.{text_col}", f"_row.{source_col}").join(copies, HANDLE)
+    if not copies.filter("_many").isEmpty():
+        alike = found.filter("_many").groupBy(*HANDLE, "copies").agg(F.first("_row").alias("_row"))
+        found = found.filter("not _many").select("_row", "copies").unionByName(alike.select("_row", "copies"))
+    repeated = found.select("_row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("_copy"))
+    return repeated.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
