@@ -69,7 +69,8 @@ def op9_line_first_quality(spark, sf_dir):
 
 @query
 def op10_site_line_dedup(spark, sf_dir):
-    return sitelines.drop_site_lines(_table(spark, sf_dir, "pages"))
+    """Lines that a site repeats on many of its pages, those that rotate included."""
+    return sitelines.drop_site_lines(_table(spark, sf_dir, "pages"), sitelines.LOOSE_RATIO, least_seen=sitelines.LOOSE_SEEN)
 
 
 def with_repeats(docs: DataFrame) -> DataFrame:
@@ -222,7 +223,7 @@ def _site_sql() -> str:
 WITH p AS (SELECT page_id, {host} AS host, list_filter(list_transform(string_split({text}, chr(10)), lambda x: trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'))), lambda x: x <> '') AS lines FROM pages),
 totals AS (SELECT host, count(*) AS pages FROM p GROUP BY host),
 seen AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p) GROUP BY host, line),
-lists AS (SELECT host, list(line) AS common FROM seen JOIN totals USING (host) WHERE pages >= {sitelines.LEAST_PAGES} AND n > {sitelines.RATIO}::DOUBLE * pages GROUP BY host),
+lists AS (SELECT host, list(line) AS common FROM seen JOIN totals USING (host) WHERE pages >= {sitelines.LEAST_PAGES} AND n >= {sitelines.LOOSE_SEEN} AND n > {sitelines.LOOSE_RATIO}::DOUBLE * pages GROUP BY host),
 k AS (SELECT page_id, host, lines, list_filter(lines, lambda x: NOT coalesce(list_contains(common, x), FALSE)) AS kept FROM p LEFT JOIN lists USING (host))
 SELECT page_id, host, CAST(len(lines) AS BIGINT) AS lines, CAST(len(lines) - len(kept) AS BIGINT) AS dropped_lines, array_to_string(kept, chr(10)) AS text FROM k
 """
