@@ -21,7 +21,7 @@ from tidemark.session import materialize
 
 #: Words of a shingle, per cent of the union that two sets share at least.
 SHINGLE_WORDS, PERCENT = 5, 80
-#: Bytes of texts whose words are numbered together.
+#: Bytes of texts whose words are hashed together.
 GROUP_BYTES = 1 << 20
 #: Share of all shingles (those of the smallest hashes) that are counted first; sets up to SMALL are counted whole.
 SAMPLE, SMALL = 0.3, 100
@@ -49,6 +49,11 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _distinct(values: np.ndarray) -> np.ndarray:
+    ordered = np.sort(values)
+    return ordered[np.append(True, ordered[1:] != ordered[:-1])]
+
+
 def shingle_sets(texts: list[bytes | None], size: int = SHINGLE_WORDS) -> Iterator[np.ndarray]:
     """Sorted 64-bit hashes of the distinct shingles of each text.
 
@@ -57,21 +62,22 @@ def shingle_sets(texts: list[bytes | None], size: int = SHINGLE_WORDS) -> Iterat
     """
     for a, b in _groups([len(t or b"") for t in texts]):
         words = [(t or b"").lower().split() for t in texts[a:b]]
-        flat = np.empty(sum(map(len, words)), object)
-        flat[:] = list(chain.from_iterable(words))
-        codes, known = pd.factorize(flat)
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in known), np.uint64, len(known))[codes]
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), np.uint64, sum(map(len, words)))
+        # Shingles of the whole stretch at once; those that cross texts are not taken.
+        rows = max(len(hashes) - size + 1, 0)
+        whole = np.full(rows, size, np.uint64)
+        for i in range(size):
+            whole = _mix(whole + hashes[i:i + rows])
         end = 0
         for w in words:
             begin, end = end, end + len(w)
-            k = min(size, len(w))
-            if not k:
-                yield np.zeros(0, np.int64)
+            if len(w) >= size:
+                yield _distinct(whole[begin:end - size + 1].view(np.int64))
                 continue
-            h = np.full(len(w) - k + 1, k, np.uint64)
-            for i in range(k):
-                h = _mix(h + hashes[begin + i:end - k + 1 + i])
-            yield np.unique(h.view(np.int64))
+            h = np.full(min(len(w), 1), len(w), np.uint64)
+            for i in range(len(w)):
+                h = _mix(h + hashes[begin + i])
+            yield h.view(np.int64)
 
 
 def _groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
