@@ -1,8 +1,11 @@
 """Streaming operators over staged files, compared with their batch twins."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import clock
 from tidemark.plans import reports
 from tidemark.streaming import bars, feeds, maturity, state
 
@@ -95,17 +98,42 @@ def test_maturity_join_emits_matches_and_gaps(spark, tmp_path):
     assert got[2] == ("data_gap", None)
 
 
-def test_cooldown_state(spark, tmp_path):
+def shuffled(rows, parts, seed, slack):
+    """Batches in which a row comes up to ``slack`` seconds after its time, out of order."""
+    rng = random.Random(seed)
+    late = sorted(rows, key=lambda r: r[-1] + rng.randrange(slack))
+    return [late[k * len(late) // parts:(k + 1) * len(late) // parts] for k in range(parts)]
+
+
+def test_cooldown_state_in_any_order(spark, tmp_path):
+    """Arrivals out of order over six batches give what one ordered pass gives; the earlier proposal runs though it comes later."""
     schema = "account bigint, action string, decision_id bigint, ts bigint"
-    feed = stage(spark, tmp_path / "in", [[(1, "BUY", 1, T0), (1, "BUY", 2, T0 + 900), (1, "SELL", 3, T0 + 5)], [(1, "BUY", 4, T0 + 901), (2, "BUY", 5, T0 + 902)]], schema)
-    run(sink(state.cooldown(feed), tmp_path))
-    got = {r.decision_id: r.in_cooldown for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == {1: False, 2: True, 3: False, 4: False, 5: False}
-
-
-def test_daily_drawdown_state(spark, tmp_path):
-    schema = "asset string, id bigint, ts bigint, equity double"
-    feed = stage(spark, tmp_path / "in", [[("A", 1, T0, 100.0), ("A", 2, T0 + 60, 90.0)], [("A", 3, T0 + 120, 80.0), ("A", 4, T0 + 86400, 50.0)]], schema)
-    run(sink(state.daily_drawdown(feed), tmp_path))
-    got = {r.id: r.daily_drawdown_pct for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert got == pytest.approx({1: 0.0, 2: 10.0, 3: 20.0, 4: 0.0})
+    rng = random.Random(4)
+    rows = [(rng.randrange(3), rng.choice(["BUY", "SELL"]), i, T0 + rng.randrange(20_000)) for i in range(300)]
+    rows += [(9, "BUY", 1000, T0 + 1000), (9, "BUY", 1001, T0 + 500)]
+    batches = [b + ([rows[-2]] if k == 0 else [rows[-1]] if k == 1 else []) for k, b in enumerate(shuffled(rows[:-2], 6, 5, 500))]
+    end = [(99, "BUY", 9000, T0 + 90_000)]
+    feed = stage(spark, tmp_path / "in", [*batches, end, [(99, "BUY", 9001, T0 + 90_001)]], schema)
+    run(sink(state.cooldown(feed, 900, "10 hours"), tmp_path))
+    got = {r.decision_id: r.in_cooldown for r in spark.read.parquet(str(tmp_path / "out")).collect() if r.decision_id < 9000}
+    want, last = {}, {}
+    for account, action, i, ts in sorted(rows, key=lambda r: (r[3], r[2])):
+        want[i] = (account, action) in last and ts <= last[(account, action)] + 900
+        if not want[i]:
+            last[(account, action)] = ts
+    assert got == want and got[1001] is False and got[1000] is True
+
+
+def test_daily_drawdown_state_in_any_order(spark, tmp_path):
+    schema = "asset string, id bigint, equity double, ts bigint"
+    rng = random.Random(6)
+    rows = [(rng.choice("AB"), i, 50.0 + rng.randrange(100), T0 + rng.randrange(3 * 86400)) for i in range(200)]
+    feed = stage(spark, tmp_path / "in", [*shuffled(rows, 5, 7, 7200), [("Z", 9000, 1.0, T0 + 9 * 86400)], [("Z", 9001, 1.0, T0 + 9 * 86400 + 1)]], schema)
+    run(sink(state.daily_drawdown(feed, delay="4 hours"), tmp_path))
+    got = {r.id: (r.reference_equity, r.daily_drawdown_pct) for r in spark.read.parquet(str(tmp_path / "out")).collect() if r.id < 9000}
+    days = {r.id: r.day for r in spark.createDataFrame(rows, schema).withColumn("day", clock.local_day_start(F.col("ts"), clock.DEFAULT_ZONE)).collect()}
+    first, want = {}, {}
+    for asset, i, equity, ts in sorted(rows, key=lambda r: (r[3], r[1])):
+        ref = first.setdefault((asset, days[i]), equity)
+        want[i] = (ref, pytest.approx(max(0.0, (ref - equity) / ref * 100)))
+    assert got == want

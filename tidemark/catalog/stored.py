@@ -263,16 +263,17 @@ def r08(spark, sf):
     return rounded(out, ["decision_id", "maturity", "future_ts"], ["future_price"])
 
 
+# Rows are judged once the watermark has passed them.
 @query("R09_cooldown_state", W(f"{DECISIONS}, {greedy_sql('decisions', ['account', 'proposed_action'], 86401)}",
     """SELECT c.account, c.proposed_action AS action, c.decision_id, t.ts IS NULL OR c.decision_id <> min(c.decision_id) OVER (PARTITION BY c.account, c.proposed_action, c.ts) AS in_cooldown
-    FROM decisions c LEFT JOIN taken t USING (account, proposed_action, ts)""", True))
+    FROM decisions c LEFT JOIN taken t USING (account, proposed_action, ts) WHERE c.ts < (SELECT max(ts) - 600 FROM decisions)""", True))
 def r09(spark, sf):
     d = decisions(spark, sf).select("account", F.col("proposed_action").alias("action"), "decision_id", "ts")
     return streamed(state.cooldown(stream(d, "proposals"), 86400), "cooldown").select("account", "action", "decision_id", "in_cooldown")
 
 
 @query("R10_daily_equity_state", W(BARS, f"""SELECT asset, ts, day_start, {R('ref', 'reference_equity', 4)}, {R('greatest(0, (ref - close) / ref * 100)', 'daily_drawdown_pct', 4)} FROM (
-    SELECT *, (ts - 10800) // 86400 * 86400 + 10800 AS day_start, first_value(close) OVER (PARTITION BY asset, (ts - 10800) // 86400 ORDER BY ts) AS ref FROM bars)"""))
+    SELECT *, (ts - 10800) // 86400 * 86400 + 10800 AS day_start, first_value(close) OVER (PARTITION BY asset, (ts - 10800) // 86400 ORDER BY ts) AS ref FROM bars) WHERE ts < (SELECT max(ts) - 3600 FROM bars)"""))
 def r10(spark, sf):
     b = bars(spark, sf).select("asset", F.col("ts").alias("id"), "ts", F.col("close").alias("equity"))
     return rounded(streamed(state.daily_drawdown(stream(b, "equity")), "equity-state"), ["asset", "ts", "day_start"], ["reference_equity", "daily_drawdown_pct"], 4)

@@ -16,54 +16,78 @@ COOLDOWN_OUT = "account bigint, action string, decision_id bigint, ts bigint, in
 EQUITY_OUT = "asset string, day_start bigint, id bigint, ts bigint, reference_equity double, daily_drawdown_pct double"
 
 
+def _settled(buffered: pd.DataFrame, state: GroupState) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Rows that no later arrival can come before (older than the watermark, in order), and the rest.
+
+    Rows behind the watermark never reach the state, so what is settled is final
+    however the rows were dealt to batches.
+    """
+    done = buffered["ts"] * 1000 < state.getCurrentWatermarkMs()
+    return buffered[done], buffered[~done]
+
+
+def _wait(state: GroupState, *times_ms: int) -> None:
+    """Calls the group again once the watermark has passed the first of these times."""
+    state.setTimeoutTimestamp(max(min(times_ms), state.getCurrentWatermarkMs() + 1))
+
+
 def cooldown(proposals: DataFrame, seconds: int = 900, delay: str = "10 minutes") -> DataFrame:
     """Mark proposals within the cooldown of the last executed one per (account, action).
 
-    State is one timestamp and expires once the watermark has passed its cooldown.
+    Proposals wait until the watermark has passed them and are then judged in
+    order of (ts, decision_id), so the answer does not depend on the batches they
+    came in. State is the last executed time and the waiting rows; it ends once
+    the watermark has passed the cooldown.
     """
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["ts", "decision_id"])
-        times = rows["ts"].to_numpy()
-        last = state.get[0] if state.exists else None
-        blocked = np.ones(len(times), bool)
+        last, times, ids = state.get if state.exists else (None, [], [])
+        waiting = pd.DataFrame({"ts": list(times), "decision_id": list(ids)}, dtype="int64")
+        rows, rest = _settled(pd.concat([waiting, *[b[["ts", "decision_id"]] for b in batches]]).sort_values(["ts", "decision_id"]), state)
+        at_ms = rows["ts"].to_numpy()
+        blocked = np.ones(len(at_ms), bool)
         # From one executed proposal to the next one past its cooldown.
-        at = 0 if last is None else int(np.searchsorted(times, last + seconds, "right"))
-        while at < len(times):
-            blocked[at], last = False, int(times[at])
-            at = int(np.searchsorted(times, last + seconds, "right"))
-        state.update((last,))
-        state.setTimeoutTimestamp(max((last + seconds) * 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        at = 0 if last is None else int(np.searchsorted(at_ms, last + seconds, "right"))
+        while at < len(at_ms):
+            blocked[at], last = False, int(at_ms[at])
+            at = int(np.searchsorted(at_ms, last + seconds, "right"))
+        if len(rest):
+            state.update((last, rest["ts"].tolist(), rest["decision_id"].tolist()))
+            _wait(state, int(rest["ts"].iloc[0]) * 1000)
+        elif last is not None and (last + seconds) * 1000 >= state.getCurrentWatermarkMs():
+            state.update((last, [], []))
+            _wait(state, (last + seconds) * 1000 + 1)
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame({"account": key[0], "action": key[1], "decision_id": rows["decision_id"], "ts": rows["ts"], "in_cooldown": blocked})
 
     timed = proposals.withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", delay)
     return timed.groupBy("account", "action").applyInPandasWithState(
-        step, COOLDOWN_OUT, "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+        step, COOLDOWN_OUT, "last bigint, times array<bigint>, ids array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def daily_drawdown(snapshots: DataFrame, zone: str = clock.DEFAULT_ZONE, delay: str = "1 hour") -> DataFrame:
-    """Drawdown against the first snapshot of the local day, state kept for two days.
+    """Drawdown against the first snapshot of the local day.
 
-    ``snapshots``: asset, id, ts, equity.
+    ``snapshots``: asset, id, ts, equity. Rows wait until the watermark has
+    passed them, so the first one of a day is known whenever it arrived. State
+    is that row and the waiting ones, until the day and the delay are over.
     """
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        reference, times, ids, values = state.get if state.exists else (None, [], [], [])
+        waiting = pd.DataFrame({"ts": np.array(times, "int64"), "id": np.array(ids, "int64"), "equity": np.array(values, "float64")})
+        rows, rest = _settled(pd.concat([waiting, *[b[["ts", "id", "equity"]] for b in batches]]).sort_values(["ts", "id"]), state)
+        if reference is None and len(rows):
+            reference = float(rows["equity"].iloc[0])
+        over = (int(key[1]) + 2 * 86400) * 1000
+        if len(rest) or over > state.getCurrentWatermarkMs():
+            state.update((reference, rest["ts"].tolist(), rest["id"].tolist(), rest["equity"].tolist()))
+            _wait(state, over, *(rest["ts"].head(1) * 1000).tolist())
+        elif state.exists:
             state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
-        first = state.get if state.exists else None
-        head = (int(rows["ts"].iloc[0]), int(rows["id"].iloc[0]), float(rows["equity"].iloc[0]))
-        # A late row may be the true first of its day.
-        if first is None or head[:2] < tuple(first[:2]):
-            first = head
-        state.update(tuple(first))
-        state.setTimeoutTimestamp(max((int(key[1]) + 2 * 86400) * 1000, state.getCurrentWatermarkMs() + 1))
-        drop = ((first[2] - rows["equity"]) / first[2] * 100).clip(lower=0.0)
-        yield pd.DataFrame({"asset": key[0], "day_start": key[1], "id": rows["id"], "ts": rows["ts"], "reference_equity": first[2], "daily_drawdown_pct": drop})
+        drop = ((reference - rows["equity"]) / reference * 100).clip(lower=0.0) if len(rows) else rows["equity"]
+        yield pd.DataFrame({"asset": key[0], "day_start": key[1], "id": rows["id"], "ts": rows["ts"], "reference_equity": reference, "daily_drawdown_pct": drop})
 
     timed = (snapshots.withColumn("day_start", clock.local_day_start(F.col("ts"), zone)).withColumn("event_time", F.timestamp_seconds("ts"))
              .withWatermark("event_time", delay))
     return timed.groupBy("asset", "day_start").applyInPandasWithState(
-        step, EQUITY_OUT, "ts bigint, id bigint, equity double", "append", GroupStateTimeout.EventTimeTimeout)
+        step, EQUITY_OUT, "reference double, times array<bigint>, ids array<bigint>, equities array<double>", "append", GroupStateTimeout.EventTimeTimeout)
