@@ -210,11 +210,54 @@ def test_copy_counts(spark):
     assert sinks.copy_columns(a.withColumn("q", F.lit(1)), ["q", "zz"]).columns == ["q"]
 
 
+def test_a_failed_publication_leaves_the_version_before(spark, tmp_path):
+    path = str(tmp_path / "t")
+    good = spark.range(5)
+    sinks.publish_table(good, path)
+    held = sinks.read_published(spark, path)
+    broken = good.select(F.when(F.col("id") == 4, F.raise_error(F.lit("stop")).cast("bigint")).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="stop"):
+        sinks.publish_table(broken, path)
+    assert sinks.read_published(spark, path).count() == 5
+    sinks.publish_table(spark.range(7), path, keep=3)
+    assert sinks.read_published(spark, path).count() == 7 and held.count() == 5
+    for n in (8, 9):
+        sinks.publish_table(spark.range(n), path, keep=1)
+    assert sinks.read_published(spark, path).count() == 9 and len(sinks.versions(spark, path)) == 1
+
+
+def opened_files(df):
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().get("numFiles").get().value() for i in range(leaves.size()))
+
+
+def test_chunk_files_are_opened_by_window(spark, tmp_path):
+    names = schemas.CANDLE_CSV.names
+    rows = [(T0 + 60 * i, "x", 1.0, 2.0, 0.5, 1.5, 3.0, a, "1m", "s") for i in range(100) for a in "AB"]
+    path = str(tmp_path / "c")
+    n = sinks.write_chunks(spark.createDataFrame(rows, schemas.CANDLE_CSV).select(*names), path, 600)
+    assert n == len(list((tmp_path / "c").glob("*_*.csv"))) and opened_files(files.candle_chunks(spark, path)) == n
+    some = files.candle_chunks(spark, path, T0 + 700, T0 + 1300)
+    first, last = (T0 + 700) // 600, (T0 + 1300) // 600
+    assert opened_files(some) == last - first + 1 and {r.ts for r in some.collect()} == {t for t in range(T0, T0 + 6000, 60) if T0 + 700 <= t <= T0 + 1300}
+
+
+def test_insert_reads_the_partitions_of_its_keys(spark, tmp_path):
+    path, frame = str(tmp_path / "k"), lambda keys: spark.createDataFrame([(f"k{k}", k) for k in keys], "k string, i int")
+    assert sinks.insert_absent(frame(range(500)), path, "k", ["i"]) == 500
+    stored = spark.read.parquet(path)
+    asked = frame([3, 4]).withColumn(sinks.KEY_PART, F.pmod(F.xxhash64("k"), F.lit(sinks.KEY_PARTS)).cast("int"))
+    held = stored.filter(F.col(sinks.KEY_PART).isin([r[0] for r in asked.select(sinks.KEY_PART).distinct().collect()])).select("k")
+    assert opened_files(held) <= 2 and sinks.keys_of(stored, "k", asked).filter("k in ('k3', 'k4')").count() == 2
+    assert sinks.insert_absent(frame([3, 4, 900]), path, "k", ["i"]) == 1 and spark.read.parquet(path).count() == 501
+
+
 def test_label_tables_are_published_whole(spark, tmp_path):
     labels = spark.createDataFrame([("A", T0, 15, 2), ("A", T0, 60, -1)], "asset string, ts bigint, horizon int, label int")
     for _ in range(2):
         sinks.write_labels(labels, str(tmp_path / "l"), "abc")
-    got = spark.read.parquet(str(tmp_path / "l")).filter("horizon = 60").collect()
+    got = sinks.read_published(spark, str(tmp_path / "l")).filter("horizon = 60").collect()
     assert [(r.label, r.source_fingerprint) for r in got] == [(-1, "abc")]
     sinks.write_table(labels.withColumn("asset", F.lit('x,"y"')), str(tmp_path / "c"), "csv")
     back = spark.read.option("header", True).option("escape", '"').csv(str(tmp_path / "c")).collect()

@@ -70,6 +70,33 @@ def s01_quarantine(spark, sf):
     return good.groupBy("asset").agg(F.count(F.lit(1)).alias("kept")).join(refused, "asset")
 
 
+def _chunk_files(spark, sf):
+    """One CSV a day, named by the seconds it holds."""
+    path = folder(spark, "chunks")
+    made = bars(spark, sf).select(
+        F.col("ts").alias("timestamp"), F.timestamp_seconds("ts").cast("string").alias("datetime_utc"), *PRICES,
+        F.col("asset").alias("symbol"), F.lit("1h").alias("resolution"), F.lit("events").alias("source"))
+    sinks.write_chunks(made.select(*schemas.CANDLE_CSV.names), path, 86400)
+    return path
+
+
+CHUNK_ROWS = f"""SELECT asset, ts, {RS(PRICES)}, day || '_' || (day + 86399) || '.csv' AS file, day AS window_start, day + 86399 AS window_end
+  FROM (SELECT *, ts // 86400 * 86400 AS day FROM bars)"""
+
+
+@query("S02_chunk_files", W(BARS, CHUNK_ROWS))
+def s02(spark, sf):
+    rows = files.candle_chunks(spark, _chunk_files(spark, sf))
+    return rounded(rows, ["asset", "ts", "file", "window_start", "window_end"], PRICES)
+
+
+@query("S03_chunk_file_window", W(BARS, f"{CHUNK_ROWS} WHERE ts BETWEEN 1704500000 AND 1705300000"))
+def s03_files(spark, sf):
+    """Only files whose name overlaps the window are opened."""
+    rows = files.candle_chunks(spark, _chunk_files(spark, sf), 1704500000, 1705300000)
+    return rounded(rows, ["asset", "ts", "file", "window_start", "window_end"], PRICES)
+
+
 #: One text file a nation, with its customers.
 NATIONS = """nt AS (SELECT n.n_name AS nation, '# ' || n.n_name || chr(10) || string_agg(c.c_name, chr(10) ORDER BY c.c_custkey) || chr(10) AS body
   FROM nation n JOIN customer c ON c.c_nationkey = n.n_nationkey GROUP BY 1)"""
@@ -119,7 +146,7 @@ def s08(spark, sf):
 def s17(spark, sf):
     path = folder(spark, "barriers")
     sinks.write_labels(QUERIES["M06_first_touch_barriers"](spark, sf), path, "events-1h")
-    return spark.read.parquet(path)
+    return sinks.read_published(spark, path)
 
 
 def _archives(made, path, by=()):
@@ -158,10 +185,10 @@ def s07(spark, sf):
 @query("S13_published_table", W(BARS, BAR_ROWS))
 def s13(spark, sf):
     path = folder(spark, "published")
-    # The second write replaces the first as a whole.
-    sinks.write_table(bars(spark, sf).filter("ts % 7200 = 0"), path, partition_by=["asset"])
-    sinks.write_table(bars(spark, sf), path, partition_by=["asset"])
-    return rounded(spark.read.parquet(path), ["asset", "ts"], PRICES)
+    # The second version replaces the first as a whole.
+    sinks.publish_table(bars(spark, sf).filter("ts % 7200 = 0"), path, partition_by=["asset"])
+    sinks.publish_table(bars(spark, sf), path, partition_by=["asset"])
+    return rounded(sinks.read_published(spark, path), ["asset", "ts"], PRICES)
 
 
 @query("S18_table_copy_counts", """SELECT * FROM (SELECT 'customer' AS "table", count(*) AS left_rows, count(*) FILTER (WHERE c_custkey % 10 <> 0) AS right_rows FROM customer
