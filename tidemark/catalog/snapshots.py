@@ -353,8 +353,10 @@ def f23(spark, sf):
     return memory.episodes(logs(spark, sf)).select("decision_id", F.array_join("tags", ",").alias("tags"))
 
 
-#: What an episode is known by, as the twin writes it; unreadable snapshots leave most of it out.
-EPISODE_SQL = """concat_ws('|', proposed_action, conviction, risk_action, rsi_status, macd_status, CASE WHEN bad THEN 'true' ELSE ns END, CASE WHEN bad THEN '' ELSE '1000.5' END, '["' || replace(tags, ',', '","') || '"]')"""
+#: The signature of an episode as JSON; unreadable snapshots leave most of it out.
+EPISODE_SQL = """'{"proposed_action":"' || proposed_action || '","conviction":' || conviction || ',"risk_action":"' || risk_action || CASE WHEN bad THEN '"' ELSE '","price":1000.5,"rsi":50.0' END
+    || ',"rsi_status":"' || rsi_status || '","macd_status":"' || macd_status || CASE WHEN bad THEN '","ema_status":"UNKNOWN","market_stale":true,"news_stale":true'
+    ELSE '","ema_status":"BULLISH","market_stale":false,"news_stale":' || ns || ',"exposure_pct":10.0' END || ',"tags":["' || replace(tags, ',', '","') || '"]}'"""
 
 
 def memory_sql(source_rows: int | None) -> str:
@@ -373,9 +375,7 @@ def _memory(spark, sf, **bounds):
     l = logs(spark, sf)
     out = memory.decision_memory(l.select("decision_id", "account", "ts"), l, **bounds)
     reps = F.transform("episodes", lambda e: e["repeat_count"])
-    field = lambda e, name: F.coalesce(F.get_json_object(e["signature"], f"$.{name}"), F.lit(""))
-    sign = F.transform("episodes", lambda e: F.concat(F.concat_ws("|", *[field(e, n) for n in (
-        "proposed_action", "conviction", "risk_action", "rsi_status", "macd_status", "news_stale", "price", "tags")]), F.lit("@"), e["newest_ts"].cast("string")))
+    sign = F.transform("episodes", lambda e: F.concat(e["signature"], F.lit("@"), e["newest_ts"].cast("string")))
     return out.select("decision_id", F.size("episodes").cast("bigint").alias("episodes"), F.aggregate(reps, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("source_rows"),
                       F.array_join(reps.cast("array<string>"), ",").alias("repeats"), F.array_max(F.transform("episodes", lambda e: e["newest_ts"])).alias("newest_ts"),
                       F.md5(F.array_join(sign, ",")).alias("signatures"))

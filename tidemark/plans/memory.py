@@ -126,7 +126,9 @@ def decision_memory(points: DataFrame, logs: DataFrame, *, keys: Sequence[str] =
     window; its rows are never packed, however many there are.
     """
     names = points.columns
-    indexed = materialize(run_index(episodes(logs).select(*keys, "ts", id_col, "signature"), keys, id_col, width), "runs")
+    # Snapshots are decoded once, before the index reads their signatures several times.
+    signed = materialize(episodes(logs).select(*keys, "ts", id_col, "signature"), "episodes")
+    indexed = materialize(run_index(signed, keys, id_col, width), "runs")
     runs = indexed.groupBy(*keys, "run").agg(F.min("pos").alias("_start"), F.max("pos").alias("_end"), F.max("ts").alias("_newest"), F.min("signature").alias("signature"))
     log = ranges.series(indexed, [id_col], width, keys)
     placed = log.place(points, "ts", "_b").withColumn("_since", F.col("ts") - window - 1)
