@@ -41,6 +41,7 @@ class Tool:
     With ``spans`` (an array of structs of first and last bar, counted back from
     the newest one, from the parameter), ``facts`` gets the range summary of the
     newest bar and one for each span. Without, it gets the bars themselves, oldest first.
+    ``state`` gives the state from the facts, where ``facts`` does not.
     """
 
     choices: tuple[int, ...]
@@ -48,6 +49,7 @@ class Tool:
     spans: Callable[[Column], Column] | None = None
     parameter: str = "lookback"
     before: int = 0
+    state: Callable[[Mapping[str, Column]], Column] | None = None
 
     def __post_init__(self):
         if not self.choices or min(self.choices) <= 0 or self.before < 0:
@@ -76,8 +78,8 @@ class Tool:
 
 
 def _unrounded_zero(value: Column) -> Column:
-    bad = value.isNull() | F.isnan(value) | (F.abs(value) == F.lit(float("inf")))
-    return F.when(bad, F.lit(0.0)).otherwise(value)
+    # Null, NaN and infinite values are not below infinity.
+    return F.when(F.abs(value) < F.lit(float("inf")), value).otherwise(F.lit(0.0))
 
 
 def _per_tool(tools: Mapping[str, Tool], value: Callable[[Tool], Column]) -> Column:
@@ -154,20 +156,25 @@ def trend_spans(windows: Column) -> Column:
 
 
 def trend(found: Column, windows: Column) -> dict[str, Column]:
-    """Per window return, EMA spread, slow-EMA slope and direction; the majority is the state."""
-    def one(w, i):
+    """Per window return, EMA spread, slow-EMA slope and direction."""
+    # Three steps over the windows, so that no expression is written out several times.
+    def averages(w, i):
         whole, before = F.get(found, 2 * i + 1), F.get(found, 2 * i + 2)
-        slow_span, bars = F.least(F.lit(SLOW), w), F.least(F.lit(SLOPE_BARS), w - 1)
-        slow, latest = _ema(whole, slow_span), whole["last"]
-        ret = _unrounded_zero((F.try_divide(latest, whole["first"]) - 1) * 100)
-        spread = _unrounded_zero((F.try_divide(_ema(whole, F.least(F.lit(FAST), w)), slow) - 1) * 100)
-        slope = F.when(bars > 0, _unrounded_zero(F.try_divide((slow - _ema(before, slow_span)) * 100, latest) / bars)).otherwise(0.0)
-        way = (F.when((ret >= RETURN_BAND) & (spread >= SPREAD_BAND), "BULLISH")
-               .when((ret <= -RETURN_BAND) & (spread <= -SPREAD_BAND), "BEARISH").otherwise("MIXED"))
-        return F.struct(w.alias("window"), ret.alias("return_pct"), spread.alias("ema_spread_pct"),
-                        slope.alias("slope_pct_per_bar"), way.alias("trend"))
-    details = F.transform(windows, one)
-    return {"windows_detail": details, "state": alignment(details)}
+        slow_span = F.least(F.lit(SLOW), w)
+        return F.struct(w.alias("window"), F.least(F.lit(SLOPE_BARS), w - 1).alias("bars"), whole["first"].alias("first"), whole["last"].alias("last"),
+                        _ema(whole, F.least(F.lit(FAST), w)).alias("fast"), _ema(whole, slow_span).alias("slow"), _ema(before, slow_span).alias("before"))
+
+    def rates(x):
+        slope = F.when(x["bars"] > 0, _unrounded_zero(F.try_divide((x["slow"] - x["before"]) * 100, x["last"]) / x["bars"])).otherwise(0.0)
+        return F.struct(x["window"].alias("window"), _unrounded_zero((F.try_divide(x["last"], x["first"]) - 1) * 100).alias("return_pct"),
+                        _unrounded_zero((F.try_divide(x["fast"], x["slow"]) - 1) * 100).alias("ema_spread_pct"), slope.alias("slope_pct_per_bar"))
+
+    def directed(x):
+        way = (F.when((x["return_pct"] >= RETURN_BAND) & (x["ema_spread_pct"] >= SPREAD_BAND), "BULLISH")
+               .when((x["return_pct"] <= -RETURN_BAND) & (x["ema_spread_pct"] <= -SPREAD_BAND), "BEARISH").otherwise("MIXED"))
+        return F.struct(*[x[n].alias(n) for n in ("window", "return_pct", "ema_spread_pct", "slope_pct_per_bar")], way.alias("trend"))
+    details = F.transform(F.transform(F.transform(windows, averages), rates), directed)
+    return {"windows_detail": details}
 
 
 def alignment(details: Column) -> Column:
@@ -222,7 +229,7 @@ def volume(found: Column, n: Column) -> dict[str, Column]:
 
 #: The tools every plan may ask for. Choices are fixed values.
 TOOLS = Registry(
-    multi_timeframe_trend=Tool(TREND_WINDOWS, trend, trend_spans, parameter="windows"),
+    multi_timeframe_trend=Tool(TREND_WINDOWS, trend, trend_spans, parameter="windows", state=lambda facts: alignment(facts["windows_detail"])),
     donchian_breakout=Tool((20, 55), donchian, prior_span, before=1),
     drawdown_profile=Tool((60, 240, 1440), drawdown, sample_span),
     volume_confirmation=Tool((20, 60, 240), volume, prior_span, before=1),
@@ -278,11 +285,16 @@ def answers(questions: DataFrame, bars: ranges.Series, tools: Mapping[str, Tool]
 
 
 def _with_facts(found: DataFrame, tools: Mapping[str, Tool]) -> DataFrame:
+    """Facts of each row's tool; a fact is computed once, then its state is read from it."""
     columns: dict[str, list[Column]] = {}
     for name, tool in tools.items():
         for fact, value in tool.facts(F.col("_source"), F.col(tool.parameter)).items():
             columns.setdefault(fact, []).append(F.when(F.col("tool") == name, value))
     done = C.pin(found, "_facts", F.struct(*[F.coalesce(*values).alias(fact) for fact, values in columns.items()]))
+    said = [F.when(F.col("tool") == name, tool.state({f: F.col(f"_facts.{f}") for f in columns})) for name, tool in tools.items() if tool.state]
+    if said:
+        known = [F.col("_facts.state")] if "state" in columns else []
+        done = done.withColumn("_facts", F.col("_facts").withField("state", F.coalesce(*said, *known)))
     return done.select("*", "_facts.*").drop("_source", "_facts")
 
 
