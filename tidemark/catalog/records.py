@@ -12,7 +12,7 @@ from tidemark.catalog.fixtures import BARS, DECISIONS, LEDGER, LEXICON, NEWS, TF
 from tidemark.catalog.snapshots import FLAGGED, FOLD, FOLD_ASCII, LEX_SQL, LOGS, logs
 from tidemark.functions import clock, text
 from tidemark.operators import asof, chunks, quality, select
-from tidemark.plans import documents, ledger as L, memory, reports
+from tidemark.plans import documents, ledger as L, memory, outcomes, reports
 from tidemark.session import shared_folder
 from tidemark.sources import files, sinks
 
@@ -184,9 +184,7 @@ def a13(spark, sf):
 
 @query("P06_audit_predicates", W(LOGS, "SELECT decision_id, risk_action FROM logs WHERE risk_action IN ('BUY', 'SELL') AND decision_id >= 100 AND ts BETWEEN 1704200000 AND 1706000000 AND snapshot IS NOT NULL"))
 def p06(spark, sf):
-    c = F.col
-    return logs(spark, sf).filter(c("risk_action").isin("BUY", "SELL") & (c("decision_id") >= 100) & c("ts").between(1704200000, 1706000000)
-                                  & c("snapshot").isNotNull()).select("decision_id", "risk_action")
+    return reports.audit_rows(logs(spark, sf), first_id=100, start=1704200000, end=1706000000).select("decision_id", "risk_action")
 
 
 CHUNKS = f"{NEWS}, ch AS (SELECT n.news_id AS chunk_id, CASE n.news_id % 3 WHEN 0 THEN 'risk_rule' WHEN 1 THEN 'study_note' ELSE 'news_summary' END AS source_type, n.source, CASE WHEN n.news_id % 4 <> 0 THEN n.ts END AS published_at, n.ts - 500 AS created_at, d.text FROM news n JOIN documents d ON d.doc_id = n.news_id)"
@@ -508,10 +506,11 @@ def f01(spark, sf):
     return e.select("event_id", clock.epoch_from_raw(raw).alias("seconds"))
 
 
-@query("F02_grid_realignment", """SELECT event_type AS asset, count(*) AS rows, count(*) FILTER (m <> s) AS realigned_rows, CAST(coalesce(max(abs(m - s)), 0) AS BIGINT) AS maximum_realign_seconds
-    FROM (SELECT event_type, s, CASE WHEN s % 60 = 0 THEN s WHEN least(s % 60, 60 - s % 60) <= 20 THEN s + 60 - s % 60 END AS m FROM (SELECT event_type, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events)) WHERE m IS NOT NULL GROUP BY 1""")
+@query("F02_grid_realignment", """SELECT event_type AS asset, count(m) AS rows, count(*) FILTER (m <> s) AS realigned_rows, count(*) FILTER (m IS NULL) AS refused_rows, CAST(coalesce(max(abs(m - s)), 0) AS BIGINT) AS maximum_realign_seconds
+    FROM (SELECT event_type, s, CASE WHEN s % 60 = 0 THEN s WHEN least(s % 60, 60 - s % 60) <= 20 THEN s + 60 - s % 60 END AS m FROM (SELECT event_type, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events)) GROUP BY 1""")
 def f02(spark, sf):
-    e = events(spark, sf).select(F.col("event_type").alias("asset"), "t", clock.realign(F.col("t"), 60, 20).alias("m")).filter("m IS NOT NULL")
+    """All rows: on the grid, moved to it, or refused."""
+    e = events(spark, sf).select(F.col("event_type").alias("asset"), "t", clock.realign(F.col("t"), 60, 20).alias("m"))
     return files.realign_stats(e, "t", "m", ["asset"])
 
 
@@ -624,7 +623,7 @@ def t02(spark, sf):
 
 @query("T01_ordered_limit", W(DECISIONS, "SELECT decision_id, ts FROM decisions ORDER BY ts DESC, decision_id DESC LIMIT 64"))
 def t01(spark, sf):
-    return decisions(spark, sf).select("decision_id", "ts").orderBy(F.desc("ts"), F.desc("decision_id")).limit(64)
+    return select.first_rows(decisions(spark, sf).select("decision_id", "ts"), [F.desc("ts"), F.desc("decision_id")], 64)
 
 
 @query("T12_recent_logs", W(DECISIONS, "SELECT account, decision_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY account ORDER BY decision_id DESC) AS rank FROM decisions) WHERE rank <= 12"))
@@ -634,7 +633,7 @@ def t12(spark, sf):
 
 @query("T11_next_id", W(DECISIONS, "SELECT coalesce(max(decision_id), 0) + 1 AS next_id FROM decisions"))
 def t11(spark, sf):
-    return decisions(spark, sf).agg((F.coalesce(F.max("decision_id"), F.lit(0)) + 1).alias("next_id"))
+    return select.next_id(decisions(spark, sf), "decision_id")
 
 
 EXEC = f"""{DECISIONS}, xl AS (SELECT decision_id AS id, account, risk_action AS action, CASE WHEN decision_id % 4 <> 0 THEN value * 0.003 END AS fee, CASE WHEN decision_id % 5 <> 0 THEN value - 50 END AS realized_pnl,
@@ -709,11 +708,22 @@ def m29(spark, sf):
     return reports.verdict(fresh.unionByName(capital), ["account"])
 
 
-@query("M20_multi_role_summary", W(DECISIONS, "SELECT 'decision' AS role, proposed_action AS output, count(*) AS n FROM decisions GROUP BY 2 UNION ALL SELECT 'risk', risk_action, count(*) FROM decisions GROUP BY 2"))
-def m20(spark, sf):
-    from tidemark.plans.outcomes import multi_role_summary
+ROLES = f"""{DECISIONS}, cl AS (SELECT 'decision' AS role, proposed_action AS output, value AS latency_ms, decision_id % 50 = 0 AS error FROM decisions
+  UNION ALL SELECT 'risk', risk_action, value * 2, decision_id % 70 = 0 FROM decisions), ok AS (SELECT role, list_sort(list(latency_ms)) AS v FROM cl WHERE NOT error GROUP BY 1)"""
+
+
+def _roles(spark, sf):
     d = decisions(spark, sf)
-    call = lambda role, c: d.select(F.lit(role).alias("role"), F.col(c).alias("output"), F.col("value").alias("latency_ms"), F.lit(False).alias("error"))
-    return multi_role_summary(call("decision", "proposed_action").unionByName(call("risk", "risk_action")))[1]
+    call = lambda role, c, ms, every: d.select(F.lit(role).alias("role"), F.col(c).alias("output"), ms.alias("latency_ms"), (F.col("decision_id") % every == 0).alias("error"))
+    return outcomes.multi_role_summary(call("decision", "proposed_action", F.col("value"), 50).unionByName(call("risk", "risk_action", F.col("value") * 2, 70)))
+
+
+@query("M20_multi_role_summary", W(ROLES, "SELECT role, output, count(*) AS n FROM cl GROUP BY 1, 2"))
+def m20(spark, sf):
+    return _roles(spark, sf)[1]
 
 
+@query("M20_role_latency", W(ROLES, f"""SELECT role, (SELECT count(*) FROM cl WHERE error AND cl.role = ok.role) AS errors, {R('list_avg(v)', 'mean')},
+    {R('v[CAST(round_even((len(v) - 1) * 0.5, 0) AS BIGINT) + 1]', 'p50')}, {R('v[CAST(round_even((len(v) - 1) * 0.95, 0) AS BIGINT) + 1]', 'p95')} FROM ok"""))
+def m20_latency(spark, sf):
+    return rounded(_roles(spark, sf)[0], ["role", "errors"], ["mean", "p50", "p95"])

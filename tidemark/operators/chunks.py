@@ -126,41 +126,43 @@ def segment_ids(df: DataFrame, keys: Sequence[str], ts: str, is_start, width: in
     return joined.drop("_local", "_before", "_open", "_seen", "_start", CHUNK, OWN)
 
 
+#: Accuracy of the sketch that brackets a rank: its error is one part in so many rows.
+SKETCH = 10_000
+
+
 def exact_order_values(df: DataFrame, keys: Sequence[str], value: str, fractions: Sequence[float],
                        rank: str = "linear") -> DataFrame:
-    """Exact quantiles per key from counts of distinct values.
+    """Exact quantiles per key: a sketch brackets each rank, then counts find it.
 
     ``linear`` interpolates between the two neighbouring ranks; ``nearest``
-    takes rank ``round((n-1)*q)`` with ties to even. Values are counted first
-    (map-side), then ranked inside narrow value buckets whose offsets come from
-    a table of a few thousand rows, so no task sorts a whole group.
+    takes rank ``round((n-1)*q)`` with ties to even. A mergeable sketch gives two
+    values that the wanted rank surely lies between, a few parts in ten thousand
+    of the rows apart. Rows below are counted, and only distinct values between
+    the two are ordered, so a group is spread over all tasks whether its values
+    are wide or close together.
     """
+    if not keys:
+        return exact_order_values(df.withColumn("_all", F.lit(0)), ["_all"], value, fractions, rank).drop("_all")
     v = F.col(value)
-    counts = (df.filter(v.isNotNull()).groupBy(*keys, v.alias("_v"))
-              .agg(F.count(F.lit(1)).alias("_n")))
-    # Buckets are about one per cent wide, monotone in the value, a few thousand at most.
-    counts = counts.withColumn(CHUNK, (F.signum("_v") * F.floor(
-        F.log1p(F.abs("_v") * F.lit(1e6)) * F.lit(64.0))).cast("bigint"))
-    totals = counts.groupBy(*keys, CHUNK).agg(F.sum("_n").alias("_t"))
-    whole = Window.partitionBy(*keys)
-    order = whole.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        *keys, CHUNK,
-        F.coalesce(F.sum("_t").over(order), F.lit(0)).alias("_before"),
-        F.sum("_t").over(whole).alias("_total"))
-    inside = chunk_window(keys, ["_v"]).rowsBetween(Window.unboundedPreceding, -1)
-    placed = (counts.withColumn("_low", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-              .join(offsets, [*keys, CHUNK])
-              .withColumn("_low", F.col("_low") + F.col("_before")))
-    asked = F.array(*[F.lit(float(q)) for q in fractions])
-    exploded = placed.withColumn("fraction", F.explode(asked))
+    rows = df.filter(v.isNotNull()).select(*keys, v.alias("_v"))
+    wide = 3.0 / SKETCH
+    asked = [min(max(float(q) + s * wide, 0.0), 1.0) for q in fractions for s in (-1, 1)]
+    sketch = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total"), F.percentile_approx("_v", asked, SKETCH).alias("_ends"))
+    low = lambda i: F.get("_ends", F.lit(2 * i))
+    high = lambda i: F.get("_ends", F.lit(2 * i + 1))
+    counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    known = counts.join(sketch, list(keys))
+    below = known.groupBy(*keys).agg(F.array(*[F.coalesce(F.sum(F.when(F.col("_v") < low(i), F.col("_n"))), F.lit(0)) for i in range(len(fractions))]).alias("_below"))
+    lanes = F.array(*[F.when(F.col("_v").between(low(i), high(i)), F.struct(F.lit(i).alias("_lane"), F.lit(float(q)).alias("fraction"))) for i, q in enumerate(fractions)])
+    near = known.withColumn("_hit", F.explode(F.filter(lanes, lambda x: x.isNotNull()))).select(*keys, "_v", "_n", "_total", "_hit.*")
+    near = near.join(below, list(keys))
+    inside = Window.partitionBy(*keys, "fraction").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = near.withColumn("_low", F.get("_below", F.col("_lane")) + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
     spot = (F.col("_total") - 1) * F.col("fraction")
-    if rank == "nearest":
-        wanted = F.bround(spot, 0)
-        hit = exploded.filter((wanted >= F.col("_low")) & (wanted < F.col("_low") + F.col("_n")))
-        return hit.groupBy(*keys, "fraction").agg(F.max("_v").alias("quantile"))
     holds = lambda r: (r >= F.col("_low")) & (r < F.col("_low") + F.col("_n"))
-    picked = exploded.filter(holds(F.floor(spot)) | holds(F.ceil(spot)))
+    if rank == "nearest":
+        return placed.filter(holds(F.bround(spot, 0))).groupBy(*keys, "fraction").agg(F.max("_v").alias("quantile"))
+    picked = placed.filter(holds(F.floor(spot)) | holds(F.ceil(spot)))
     lo = F.max(F.when(holds(F.floor(spot)), F.col("_v")))
     hi = F.max(F.when(holds(F.ceil(spot)), F.col("_v")))
     share = F.max(spot - F.floor(spot))
@@ -217,8 +219,9 @@ def rows_at_positions(df: DataFrame, keys: Sequence[str], ts: str, positions: Co
     before = whole.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     placed = counts.select(*keys, CHUNK, "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
                            F.sum("_n").over(whole).alias("_n_total"))
-    wanted = placed.withColumn("position", F.explode(positions)).filter(
-        (F.col("position") >= F.col("_before")) & (F.col("position") < F.col("_before") + F.col("_n")))
+    # Positions of other chunks go before rows are made of them.
+    mine = F.filter(positions, lambda p: (p >= F.col("_before")) & (p < F.col("_before") + F.col("_n")))
+    wanted = placed.withColumn("position", F.explode(mine))
     inside = rows.join(wanted.groupBy(*keys, CHUNK).agg(F.collect_set(
         F.struct(F.col("position"), (F.col("position") - F.col("_before")).alias("at"))).alias("_wanted")), [*keys, CHUNK])
     ranked = inside.withColumn("_at", F.row_number().over(chunk_window(keys, [ts])) - 1)

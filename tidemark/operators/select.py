@@ -127,5 +127,15 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence, n: int, ran
     return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= n)
 
 
+def first_rows(df: DataFrame, order: Sequence, n: int) -> DataFrame:
+    """The first ``n`` rows of all; each task keeps its own first, so no full sort is made."""
+    return df.orderBy(*order).limit(n)
+
+
+def next_id(df: DataFrame, id_col: str, out: str = "next_id") -> DataFrame:
+    """One more than the greatest id, 1 for an empty table."""
+    return df.agg((F.coalesce(F.max(id_col), F.lit(0)) + 1).alias(out))
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     return C.dedupe_last(df, keys, order)

@@ -82,39 +82,50 @@ def _spread_order(regime: str) -> list:
     return [vol, move] if regime == "SIDEWAYS" else [move, vol]
 
 
+def _places(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Adds ``_place`` (from 0) in ``order`` and the rows ``_n`` of each key, from counts of narrow ranges of the first column."""
+    size = F.floor(F.log1p(F.abs(order[0]) * F.lit(1e6)) * F.lit(64.0))
+    rows = df.withColumn(C.CHUNK, (F.signum(order[0]) * size).cast("bigint"))
+    counts = rows.groupBy(*keys, C.CHUNK).agg(F.count(F.lit(1)).alias("_rows"))
+    whole = Window.partitionBy(*keys)
+    before = counts.select(*keys, C.CHUNK, F.sum("_rows").over(whole).alias("_n"),
+                           F.coalesce(F.sum("_rows").over(whole.orderBy(C.CHUNK).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    local = rows.withColumn("_local", F.row_number().over(C.chunk_window(keys, order)))
+    return local.join(before, [*keys, C.CHUNK]).withColumn("_place", F.col("_before") + F.col("_local") - 1).drop("_before", "_local", C.CHUNK)
+
+
 def select_windows(windows: DataFrame, per_regime: int, *, window: int, stride: int, strategy: str = "extreme",
                    high_volatility: bool = False) -> DataFrame:
     """Greedy non-overlapping picks across regimes, one shared set of used windows.
 
     A pick blocks at most ``2*window/stride + 1`` candidates, so the k-th pick of
     a list is among its first ``(all picks) * blocked + k`` entries. Only these
-    bounded list heads reach the per-asset fold, and the result is exact.
+    bounded list heads reach the per-asset fold, and the result is exact. Heads
+    are cut before rows are shuffled; places in bands come from counts of value
+    ranges, so no task ranks a whole regime.
     """
     if per_regime <= 0 or strategy not in ("extreme", "stratified"):
         raise ValueError("per_regime must be positive and the strategy known")
     head = 4 * per_regime * (2 * -(-window // stride) + 1) + per_regime
     lanes = windows.filter(F.col("label").isin(*REGIMES)).withColumn("regime", F.col("label"))
     sort = _by_regime(2, _strength if strategy == "extreme" else _spread_order)
-    w = Window.partitionBy("asset", "regime").orderBy(*sort, "start_ts")
-    ranked = lanes.withColumn("rank", F.row_number().over(w) - 1)
-    lists = [ranked.filter(F.col("rank") < head).withColumn("lane", F.lit(per_regime))]
+    top = lambda df, keys, order: select.top_per_key(df, keys, order, head).withColumn("rank", F.col("rank") - 1).withColumn("lane", F.lit(per_regime))
+    lists = [top(lanes, ["asset", "regime"], [*sort, F.col("start_ts")])]
     if strategy == "stratified":
         # Bands of equal share, each searched from its middle outwards.
-        n = F.count(F.lit(1)).over(Window.partitionBy("asset", "regime"))
+        counted = _places(lanes, ["asset", "regime"], [*sort, F.col("start_ts")])
         k = F.lit(per_regime)
-        counted = ranked.withColumn("_n", n)
-        band = F.floor(((F.col("rank") + 1) * k - 1) / F.col("_n")).cast("bigint")
+        band = F.floor(((F.col("_place") + 1) * k - 1) / F.col("_n")).cast("bigint")
         counted = counted.withColumn("lane", band.cast("int"))
         start = F.floor(F.col("lane") * F.col("_n") / k)
-        size = F.floor((F.col("lane") + 1) * F.col("_n") / k) - start
-        at = F.col("rank") - start
-        inside = Window.partitionBy("asset", "regime", "lane").orderBy(F.abs(at - (size - 1) / 2), at)
-        bands = counted.withColumn("rank", F.row_number().over(inside) - 1).filter(F.col("rank") < head)
+        middle = (F.floor((F.col("lane") + 1) * F.col("_n") / k) - start - 1) / 2
+        away = F.col("_place") - start - middle
+        # The nearest to the middle is first, of two equally near ones the earlier.
+        bands = counted.withColumn("rank", F.when(away < 0, -2 * away - 1).otherwise(2 * away).cast("int")).filter(F.col("rank") < head)
         lists.append(bands.select(*lists[0].columns))
     if high_volatility:
-        w = Window.partitionBy("asset").orderBy(*_strength("HIGH_VOLATILITY"), "start_ts")
-        wild = windows.withColumn("regime", F.lit("HIGH_VOLATILITY")).withColumn("rank", F.row_number().over(w) - 1)
-        lists.append(wild.filter(F.col("rank") < head).withColumn("lane", F.lit(per_regime)).select(*lists[0].columns))
+        wild = windows.withColumn("regime", F.lit("HIGH_VOLATILITY"))
+        lists.append(top(wild, ["asset"], [*_strength("HIGH_VOLATILITY"), F.col("start_ts")]).select(*lists[0].columns))
     candidates = lists[0]
     for extra in lists[1:]:
         candidates = candidates.unionByName(extra)
@@ -190,9 +201,10 @@ def stratified_samples(bars: DataFrame, samples: int, *, spacing: int = 32, tren
     sizes = mixed.groupBy("asset").agg(F.count(F.lit(1)).alias("_size"))
     filler = ranked_mixed.join(sizes, "asset")
     at, size, k = F.col("_r") - 1, F.col("_size"), F.least("_want", "_size")
-    # A row is taken when one of the k evenly spread positions falls on it.
-    spots = F.transform(F.sequence(F.lit(0).cast("bigint"), F.greatest(k - 1, F.lit(0)).cast("bigint")),
-                        lambda i: F.when(i == k - 1, F.when(k == 1, F.lit(0)).otherwise(size - 1))
-                        .otherwise(F.floor(i * ((size - 1) / F.nullif(k - 1, F.lit(0)).cast("double")))))
-    filler = filler.filter((k > 0) & F.array_contains(F.transform(spots, lambda x: x.cast("bigint")), at))
+    # Place i of k lies at floor(i * (n-1)/(k-1)), the last one at n-1: only two i can fall on a row.
+    step = (size - 1) / F.nullif(k - 1, F.lit(0)).cast("double")
+    near = F.floor(F.try_divide(at, step)).cast("bigint")
+    falls = lambda i: (i >= 0) & (i < k - 1) & (F.floor(i * step) == at)
+    taken = F.when(k == 1, at == 0).otherwise((at == size - 1) | F.coalesce(falls(near) | falls(near + 1) | falls(near - 1), F.lit(False)))
+    filler = filler.filter((k > 0) & taken)
     return chosen.unionByName(filler.select(*chosen.columns))

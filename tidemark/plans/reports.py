@@ -170,3 +170,14 @@ def run_audit(events: DataFrame, key: str = "run_id") -> DataFrame:
 def reason_buckets(logs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return logs.groupBy(*keys, text.reason_class(F.col("reason"), F.col("llm_reasoning")).alias("bucket")).agg(
         F.count(F.lit(1)).alias("n"))
+
+
+def audit_rows(logs: DataFrame, actions: Sequence[str] = ("BUY", "SELL"), first_id: int | None = None, start: int | None = None, end: int | None = None,
+               id_col: str = "decision_id", action: str = "risk_action", snapshot: str = "snapshot") -> DataFrame:
+    """Audited rows of the given actions that carry a snapshot, from an id on and inside a time range, where these are given."""
+    rows = logs.filter(F.col(action).isin(*actions) & F.col(snapshot).isNotNull())
+    if first_id is not None:
+        rows = rows.filter(F.col(id_col) >= first_id)
+    if start is not None:
+        rows = rows.filter(F.col("ts") >= start)
+    return rows if end is None else rows.filter(F.col("ts") <= end)

@@ -112,11 +112,18 @@ def archive_csv(spark: SparkSession, path: str | Sequence[str], asset: str | Non
 
 
 def realign_stats(rows: DataFrame, source: str, moved: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Rows that stand on the grid or were moved to it, and those that are too far off and must be refused (a null ``moved``)."""
     shift = F.col(moved) - F.col(source)
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.count_if(shift != 0).alias("realigned_rows"),
+    return rows.groupBy(*keys).agg(F.count(moved).alias("rows"), F.count_if(shift != 0).alias("realigned_rows"), F.count_if(F.col(moved).isNull()).alias("refused_rows"),
                                    F.coalesce(F.max(F.abs(shift)), F.lit(0)).cast("bigint").alias("maximum_realign_seconds"))
 
 
+def on_grid(rows: DataFrame, ts: str, step: int = 60, max_offset: int = 30) -> DataFrame:
+    """Rows with ``ts`` moved up to the grid; a row farther off than ``max_offset`` fails the job."""
+    refused = F.raise_error(F.concat(F.lit("timestamp outside the grid: "), F.col(ts).cast("string"))).cast("bigint")
+    return rows.withColumn(ts, F.when(F.col(ts).isNotNull(), F.coalesce(clock.realign(F.col(ts), step, max_offset), refused)))
+
+
 def file_hashes(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Name, size and sha-256 of every file, hashed where it is read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
