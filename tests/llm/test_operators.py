@@ -7,10 +7,12 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.harness import compare, connect
@@ -127,6 +129,25 @@ def test_golay_keys_meet(value, a, b):
     assert keys[0] & keys[1] and keys[0] & keys[2] and max(map(len, keys)) <= 18
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 2**64 - 1), st.integers(0, 63), st.integers(0, 63))
+def test_golay_words_meet_inside_a_shared_key(value, a, b):
+    x = np.array([value, value ^ 1 << a ^ 1 << b, value ^ 0b10101 << 7], np.uint64).view(np.int64)
+    met = [{(int(k), int(w)) for k in keys for w in simhash.meeting_words(x[i:i + 1], np.array([k]))[0]} for i, keys in enumerate(simhash.golay_keys(x))]
+    assert met[0] & met[1] and not met[0] & met[2] and max(map(len, met)) <= 131
+
+
+def test_simhash_links_come_from_the_keys(spark, monkeypatch):
+    """A key that is left out takes its links with it: keys on the lowest segment alone find only pairs that agree there."""
+    base = 0x0123456789ABCDEF
+    frame = common.materialize(spark.createDataFrame([(base,), (base ^ 3 << 30,), (base ^ 1 ^ 1 << 30,)], "fp long"))
+    assert {frozenset(r) for r in simhash.links(frame).collect()} == {frozenset((base, base ^ 3 << 30)), frozenset((base, base ^ 1 ^ 1 << 30))}
+    every = simhash.golay_keys
+    only = F.pandas_udf(lambda prints: pd.Series([k[k >> 34 == 0] for k in every(prints.to_numpy(np.int64))]), "array<long>")
+    monkeypatch.setattr(simhash, "_keys", only)
+    assert {frozenset(r) for r in simhash.links(frame).collect()} == {frozenset((base, base ^ 3 << 30))}
+
+
 def test_exact(spark, odd, none):
     for block in (4096, 900):
         out, given_ = rows(exactdedup.exact_groups(odd, block_chars=block)), rows(odd)

@@ -1,4 +1,4 @@
-"""Near duplicates: SimHash fingerprints blocked by Golay-code keys."""
+"""Near duplicates: SimHash fingerprints that meet in Golay-code keys and are verified there."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -109,25 +109,51 @@ def _keys(prints: pd.Series) -> pd.Series:
     return pd.Series(golay_keys(prints.to_numpy(np.int64)))
 
 
-def meeting_words(print_col: str) -> Column:
-    """A fingerprint and its 64 one-bit neighbours: two fingerprints share one exactly if they differ in at most two bits."""
-    flips = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col(print_col).bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i)))
-    return F.concat(F.array(print_col), flips)
+def meeting_words(prints: np.ndarray, keys: np.ndarray) -> list[np.ndarray]:
+    """For each fingerprint and one of its keys: the words at most one bit away that lead to this key.
+
+    A word is the fingerprint with one bit of the two open segments flipped, or
+    none; its key is that of its next segment's code word. Fingerprints of a key
+    that share a word differ in at most two bits, and two that differ in at most
+    two bits share a word, and with it the key the word leads to.
+    """
+    shifts = [sum(SEGMENTS[:k]) for k in range(len(SEGMENTS))]
+    values, kinds, indices = prints.view(np.uint64), keys >> 34, keys & (1 << GOLAY_BITS - CHECK_BITS) - 1
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(prints)
+    for k in range(len(SEGMENTS)):
+        rows = np.flatnonzero(kinds == k)
+        near, far = (k + 1) % len(SEGMENTS), (k + 2) % len(SEGMENTS)
+        segment = (values[rows] >> np.uint64(shifts[near]) & np.uint64((1 << SEGMENTS[near]) - 1)).astype(np.int64)
+        flips = np.array([0, *(1 << i for i in range(SEGMENTS[near]))], np.int64)
+        leads = codewords(segment[:, None] ^ flips[None, :]) == indices[rows][:, None]
+        # A flip in the other open segment leaves the next one, and so the key, as it is.
+        leads = np.concatenate([leads, np.repeat(leads[:, :1], SEGMENTS[far], axis=1)], axis=1)
+        bits = [0, *(1 << shifts[near] + i for i in range(SEGMENTS[near])), *(1 << shifts[far] + i for i in range(SEGMENTS[far]))]
+        words = (values[rows][:, None] ^ np.array(bits, np.uint64)[None, :]).view(np.int64)
+        for row, word, held in zip(rows, words, leads):
+            out[row] = word[held]
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _words(prints: pd.Series, keys: pd.Series) -> pd.Series:
+    return pd.Series(meeting_words(prints.to_numpy(np.int64), keys.to_numpy(np.int64)))
 
 
 def links(prints: DataFrame) -> DataFrame:
     """``(fp, hub)`` links that connect what the two-bit rule connects; ``prints`` holds distinct fingerprints as ``fp``.
 
-    Keys that several fingerprints share make candidates. A candidate is
-    verified by the words at most one bit away: candidates that share such a
-    word differ in at most two bits. At most 65 fingerprints share a word, so a
-    group of near copies of any size costs 65 rows a member, never its pairs.
+    Fingerprints meet in the keys they share, and are verified there: a member of
+    a shared key goes on with the words that lead to this key, and those that
+    share key and word differ in at most two bits. All keys of a fingerprint
+    together have 131 words at most, and at most 65 fingerprints share one, so a
+    group of near copies of any size costs rows a member, never its pairs.
     """
     keyed = materialize(prints.select("fp", F.explode(_keys("fp")).alias("key")), "keys")
     shared = materialize(keyed.groupBy("key").agg(F.min("fp").alias("_a"), F.max("fp").alias("_b")).filter("_a <> _b").select("key"), "shared")
-    candidates = keyed.join(shared, "key", "left_semi").select("fp").distinct()
-    met = candidates.select("fp", F.explode(meeting_words("fp")).alias("word"))
-    return (met.withColumn("hub", F.min("fp").over(Window.partitionBy("word")))
+    members = keyed.join(shared, "key", "left_semi")
+    met = members.select("key", "fp", F.explode(_words("fp", "key")).alias("word"))
+    return (met.withColumn("hub", F.min("fp").over(Window.partitionBy("key", "word")))
             .filter("fp <> hub").select("fp", "hub").distinct())
 
 
