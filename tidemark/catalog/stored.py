@@ -6,6 +6,7 @@ Files go to the shared folder; streams read all of them at once and end.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -157,12 +158,13 @@ def _archives(made, path, by=()):
     made.withColumns(blank).select(*schemas.ARCHIVE_CSV.names, *by).write.partitionBy(*by).csv(path)
 
 
-@query("S05_archive_scan", W(BARS, f"SELECT asset, ts, {RS(PRICES)} FROM bars WHERE asset = 'purchase'"))
+@query("S05_archive_scan", W(BARS, BAR_ROWS))
 def s05(spark, sf):
+    """One archive folder a market, each scanned under its own name."""
     path = folder(spark, "archive")
-    _archives(bars(spark, sf).filter("asset = 'purchase'"), path)
-    rows, _ = files.archive_csv(spark, path, "purchase")
-    return rounded(rows, ["asset", "ts"], PRICES)
+    _archives(bars(spark, sf), path, ["asset"])
+    scans = [files.archive_csv(spark, f"{path}/asset={name}", name)[0] for name in ("click", "error", "purchase", "signup", "view")]
+    return rounded(reduce(DataFrame.unionByName, scans), ["asset", "ts"], PRICES)
 
 
 @query("S05_archive_scan_all", W(BARS, BAR_ROWS))
