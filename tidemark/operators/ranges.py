@@ -60,6 +60,17 @@ class Series:
         return found.withColumn(out, F.coalesce("_earlier", F.lit(0)) + upto - 1).drop("_earlier", "_times", C.CHUNK)
 
 
+    def tail(self, left: DataFrame, n: int, out: str = "tail") -> DataFrame:
+        """Adds the last ``n`` rows up to ``pos`` (which exists), oldest first. Rows are packed by position, ``n`` to a block, next to the block before."""
+        block = F.floor(F.col("pos") / n)
+        packed = (self.rows().withColumn("_block", F.explode(F.array(block, block + 1))).groupBy(*self.keys, "_block")
+                  .agg(F.array_sort(F.collect_list("row")).alias("_rows")))
+        base = F.greatest(F.col("_block") - 1, F.lit(0)) * n
+        first = F.greatest(F.col("pos") - n + 1, F.lit(0))
+        joined = left.withColumn("_block", block).join(packed, [*self.keys, "_block"])
+        return C.pin(joined, out, F.slice("_rows", (first - base + 1).cast("int"), (F.col("pos") - first + 1).cast("int"))).drop("_rows", "_block")
+
+
 def series(rows: DataFrame, cols: Sequence[str], width: int, keys: Sequence[str] = ("asset",), ts: str = "ts") -> Series:
     """Writes ``rows`` packed by time chunk; their source is read once, whatever is asked later."""
     entry = F.struct(F.col(ts).alias("ts"), *[c for c in cols if c != ts])

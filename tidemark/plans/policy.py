@@ -61,8 +61,8 @@ def evaluate_baselines(rows: DataFrame, baselines: Mapping[str, Callable[[], Col
     long = materialize(long, "signals")
     by = [*keys, "baseline"]
     done = with_executions(long, by, "direction", horizon_minutes * 60)
-    done = done.withColumn("net_return_pct", F.when(
-        F.col("executed"), F.col("direction") * F.col("_ret") - round_trip_cost_pct).otherwise(0.0))
+    done = materialize(done.withColumn("net_return_pct", F.when(
+        F.col("executed"), F.col("direction") * F.col("_ret") - round_trip_cost_pct).otherwise(0.0)), "executions")
     classed = metrics.classification(long, by, "actual", "predicted")
     hit = F.col("executed") & (F.col("actual") == F.col("predicted"))
     count = lambda c: F.count_if(c)
@@ -98,8 +98,8 @@ def _policy_metrics(done: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def _trade(rows: DataFrame, by: Sequence[str], spacing: int, cost: float) -> DataFrame:
     done = with_executions(materialize(rows, "signals"), by, "signal", spacing)
-    return done.withColumn("net_return_pct", F.when(
-        F.col("executed"), F.col("signal") * F.col("ret") - cost).otherwise(0.0))
+    return materialize(done.withColumn("net_return_pct", F.when(
+        F.col("executed"), F.col("signal") * F.col("ret") - cost).otherwise(0.0)), "executions")
 
 
 def evaluate_policy(scores: DataFrame, configs: Sequence[tuple[float, float]], horizon_minutes: int, cost: float,

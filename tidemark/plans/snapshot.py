@@ -1,7 +1,7 @@
 """Snapshots for many decision points: technical state, news risk, health, exposure.
 
-The 50 bars and the newest headlines before each decision come from
-``trailing_context`` as bounded arrays; everything else is column arithmetic on
+The 50 bars and the newest headlines before each decision come as bounded
+arrays, by position in their series; everything else is column arithmetic on
 those arrays. Headlines are scanned once each, before they meet decisions.
 """
 
@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text
-from tidemark.operators import asof
+from tidemark.operators import asof, ranges
 from tidemark.operators import chunks as C
+from tidemark.session import materialize
 
 BARS = 50
 LEAST_BARS = 30
@@ -151,13 +152,15 @@ def technical_states(decisions: DataFrame, bars: DataFrame, width: int) -> DataF
     """Decisions with the technical columns of their newest bar.
 
     The state belongs to the bar, so it is computed once per bar that some
-    decision falls on, however many decisions share it.
+    decision falls on, however many decisions share it. Bars are read once and
+    written as a series, which gives positions and tails.
     """
-    placed = asof.at_last_bar(decisions, bars, width, out="latest_bar_ts")
-    anchors = placed.select("asset", F.col("latest_bar_ts").alias("ts")).filter("ts IS NOT NULL").distinct()
-    tail = asof.trailing_context(anchors, bars, BARS, ["open", "high", "low", "close", "volume"], width)
+    known = ranges.series(bars, ["open", "high", "low", "close", "volume"], width)
+    placed = materialize(known.place(decisions), "placed")
+    anchors = placed.select("asset", "pos").filter("pos >= 0").distinct()
+    tail = known.tail(anchors, BARS).withColumn("ts", F.element_at("tail", -1)["ts"])
     states = technical(tail).drop("latest_bar_ts").withColumnRenamed("ts", "latest_bar_ts")
-    out = placed.join(states, ["asset", "latest_bar_ts"], "left")
+    out = placed.join(states, ["asset", "pos"], "left").drop("pos")
     return out.withColumn("n_bars", F.coalesce("n_bars", F.lit(0)))
 
 
@@ -168,8 +171,9 @@ def build_snapshots(decisions: DataFrame, bars: DataFrame, news: DataFrame, *, w
 
     ``decisions`` needs asset, ts and the balances ``cash`` and ``holding``.
     """
-    state = technical_states(decisions, bars, width)
-    with_news = recent_news(state, scanned_news(news, lexicon), width=news_width)
+    # Both sides of the lookup are read several times: headlines are scanned and states folded once.
+    state = materialize(technical_states(decisions, bars, width), "states")
+    with_news = recent_news(state, materialize(scanned_news(news, lexicon), "news"), width=news_width)
     latest = F.array_max(F.transform("news", lambda x: x["ts"]))
     rows = with_news.withColumns(data_health(F.col("latest_bar_ts"), latest, F.col("ts"), market_stale, news_stale))
     rows = rows.withColumns(news_risk(F.col("news"))).drop("news")
