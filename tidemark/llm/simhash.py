@@ -174,7 +174,13 @@ def components_of(rows: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every row; other columns, whatever their names, are not read."""
+    """doc_id, fingerprint (16 hex digits) and component_id of every row.
+
+    Null, empty and blank texts have fingerprint zero and link like any other.
+    Repeated rows stay, each with the same component; null ids do not count for
+    it, a component without any id has a null one. Other columns, whatever their
+    names, are not read.
+    """
     rows = materialize(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col).cast("binary")).alias("fp")), "prints")
     return components_of(rows).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
