@@ -98,6 +98,20 @@ def test_maturity_join_emits_matches_and_gaps(spark, tmp_path):
     assert got[2] == ("data_gap", None)
 
 
+def test_maturity_join_cuts_an_asset_into_stretches(spark, tmp_path):
+    """One asset is many keys, and a pair on either side of a stretch's edge still meets once."""
+    rng = random.Random(8)
+    asked = [(i, "A", T0 + rng.randrange(40_000)) for i in range(400)]
+    given = [candle(T0 + rng.randrange(45_000), float(i)) for i in range(300)]
+    d = stage(spark, tmp_path / "d", [asked], "decision_id bigint, asset string, ts bigint")
+    c = stage(spark, tmp_path / "c", [given], CANDLE)
+    run(sink(maturity.maturity_join(d, c, 5, 97, "100 hours"), tmp_path))
+    got = sorted((r.decision_id, r.future_ts, r.future_price) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == sorted((i, g[1], g[5]) for i, _, ts in asked for g in given if ts + 300 <= g[1] <= ts + 397)
+    kept = spark.read.format("statestore").option("joinSide", "left").load(str(tmp_path / "cp"))
+    assert kept.select("partition_id").distinct().count() > 1
+
+
 def shuffled(rows, parts, seed, slack):
     """Batches in which a row comes up to ``slack`` seconds after its time, out of order."""
     rng = random.Random(seed)

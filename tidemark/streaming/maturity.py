@@ -12,14 +12,21 @@ def maturity_join(decisions: DataFrame, candles: DataFrame, horizon_minutes: int
     Both sides carry a watermark, so state is bounded; a decision whose interval
     has passed without a candle comes out with nulls (a data gap). Several
     candles may match: ``first_matches`` keeps the earliest.
+
+    Both sides meet in stretches of time as long as the tolerance, so an asset is
+    many keys: a decision stands in the stretch of its target, a candle in its
+    own and the one before, and a pair meets in exactly one of them.
     """
+    stretch = max(tolerance, 1)
     target = F.col("ts") + horizon_minutes * 60
-    d = decisions.withColumn("target_ts", target).withColumn("target_time", F.timestamp_seconds("target_ts")).withWatermark("target_time", delay)
+    d = decisions.withColumn("target_ts", target).withColumn("target_time", F.timestamp_seconds("target_ts")).withWatermark("target_time", delay).withColumn("_stretch", F.floor(F.col("target_ts") / stretch))
     c = candles.select(F.col("asset").alias("c_asset"), F.col("ts").alias("future_ts"), F.col("close").alias("future_price"),
                        F.timestamp_seconds("ts").alias("candle_time")).withWatermark("candle_time", delay)
-    near = (F.col("asset") == F.col("c_asset")) & (F.col("candle_time") >= F.col("target_time")) & (
+    own = F.floor(F.col("future_ts") / stretch)
+    c = c.withColumn("_c_stretch", F.explode(F.array(own - 1, own)))
+    near = (F.col("asset") == F.col("c_asset")) & (F.col("_stretch") == F.col("_c_stretch")) & (F.col("candle_time") >= F.col("target_time")) & (
         F.col("candle_time") <= F.col("target_time") + F.expr(f"INTERVAL {tolerance} SECONDS"))
-    return d.join(c, near, "left_outer").drop("c_asset", "candle_time", "target_time")
+    return d.join(c, near, "left_outer").drop("c_asset", "candle_time", "target_time", "_stretch", "_c_stretch")
 
 
 def first_matches(joined: DataFrame, id_col: str = "decision_id") -> DataFrame:
