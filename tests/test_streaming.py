@@ -138,6 +138,25 @@ def test_cooldown_state_in_any_order(spark, tmp_path):
     assert got == want and got[1001] is False and got[1000] is True
 
 
+def test_cooldown_state_of_many_accounts(spark, tmp_path):
+    """Accounts share groups of state, and keys without a value are keys of their own; whole numbers stay exact."""
+    big = 2 ** 60 + 1
+    rng = random.Random(9)
+    rows = [(rng.choice([None, big, big + 1, *range(300)]), rng.choice(["BUY", None]), big + i, T0 + rng.randrange(9000)) for i in range(3000)]
+    feed = stage(spark, tmp_path / "in", [rows, [(1, "BUY", 1, T0 + 90_000)], [(1, "BUY", 2, T0 + 90_001)]], "account bigint, action string, decision_id bigint, ts bigint")
+    timed = sink(state.cooldown(feed, 900, slots=16), tmp_path).trigger(availableNow=True).start()
+    assert timed.awaitTermination(120)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in timed.recentProgress) <= 16
+    got = {r.decision_id: (r.account, r.action, r.in_cooldown) for r in spark.read.parquet(str(tmp_path / "out")).collect() if r.decision_id >= big}
+    want, last = {}, {}
+    for account, action, i, ts in sorted(rows, key=lambda r: (r[3], r[2])):
+        blocked = (account, action) in last and ts <= last[account, action] + 900
+        want[i] = (account, action, blocked)
+        if not blocked:
+            last[account, action] = ts
+    assert got == want
+
+
 def test_daily_drawdown_state_in_any_order(spark, tmp_path):
     schema = "asset string, id bigint, equity double, ts bigint"
     rng = random.Random(6)

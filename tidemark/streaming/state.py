@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +14,11 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidemark.functions import clock
 
 COOLDOWN_OUT = "account bigint, action string, decision_id bigint, ts bigint, in_cooldown boolean"
+#: Executed times by (account, action), then the waiting rows.
+COOLDOWN_STATE = ("done_accounts array<string>, done_actions array<string>, executed array<bigint>, "
+                  "accounts array<string>, actions array<string>, times array<bigint>, ids array<bigint>")
+#: Groups that the state of all accounts is dealt to.
+SLOTS = 4096
 EQUITY_OUT = "asset string, day_start bigint, id bigint, ts bigint, reference_equity double, daily_drawdown_pct double"
 
 
@@ -31,38 +37,52 @@ def _wait(state: GroupState, *times_ms: int) -> None:
     state.setTimeoutTimestamp(max(min(times_ms), state.getCurrentWatermarkMs() + 1))
 
 
-def cooldown(proposals: DataFrame, seconds: int = 900, delay: str = "10 minutes") -> DataFrame:
+def cooldown(proposals: DataFrame, seconds: int = 900, delay: str = "10 minutes", slots: int = SLOTS) -> DataFrame:
     """Mark proposals within the cooldown of the last executed one per (account, action).
 
     Proposals wait until the watermark has passed them and are then judged in
     order of (ts, decision_id), so the answer does not depend on the batches they
-    came in. State is the last executed time and the waiting rows; it ends once
-    the watermark has passed the cooldown.
+    came in; one without a time is never judged. State is the last executed time
+    and the waiting rows of each (account, action); it ends once the watermark has
+    passed the cooldown. ``slots`` groups by hash hold the state, each of many
+    accounts, since calling a group costs far more than judging a row.
     """
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, times, ids = state.get if state.exists else (None, [], [])
-        waiting = pd.DataFrame({"ts": list(times), "decision_id": list(ids)}, dtype="int64")
-        rows, rest = _settled(pd.concat([waiting, *[b[["ts", "decision_id"]] for b in batches]]).sort_values(["ts", "decision_id"]), state)
-        at_ms = rows["ts"].to_numpy()
-        blocked = np.ones(len(at_ms), bool)
-        # From one executed proposal to the next one past its cooldown.
-        at = 0 if last is None else int(np.searchsorted(at_ms, last + seconds, "right"))
-        while at < len(at_ms):
-            blocked[at], last = False, int(at_ms[at])
-            at = int(np.searchsorted(at_ms, last + seconds, "right"))
-        if len(rest):
-            state.update((last, rest["ts"].tolist(), rest["decision_id"].tolist()))
-            _wait(state, int(rest["ts"].iloc[0]) * 1000)
-        elif last is not None and (last + seconds) * 1000 >= state.getCurrentWatermarkMs():
-            state.update((last, [], []))
-            _wait(state, (last + seconds) * 1000 + 1)
+        *marks, accounts, actions, times, ids = state.get if state.exists else ([],) * 7
+        executed = {(account, action): ts for account, action, ts in zip(*marks)}
+        rows = [*zip(accounts, actions, times, ids)]
+        for b in batches:
+            rows += zip(b["account"], b["action"], b["ts"].tolist(), [None if i is None else int(i) for i in b["id"]])
+        rows.sort(key=lambda r: (r[2], r[3] is None, r[3] or 0))
+        passed = state.getCurrentWatermarkMs()
+        done = bisect_left(rows, passed, key=lambda r: r[2] * 1000)
+        blocked = []
+        for account, action, ts, _ in rows[:done]:
+            last = executed.get((account, action))
+            blocked.append(last is not None and ts <= last + seconds)
+            if not blocked[-1]:
+                executed[account, action] = ts
+        rest = rows[done:]
+        waiting = {r[:2] for r in rest}
+        kept = [(*k, ts) for k, ts in executed.items() if k in waiting or (ts + seconds) * 1000 >= passed]
+        if kept or rest:
+            columns = lambda table, n: [list(c) for c in zip(*table)] or [[] for _ in range(n)]
+            state.update((*columns(kept, 3), *columns(rest, 4)))
+            _wait(state, *[r[2] * 1000 for r in rest[:1]], *[(ts + seconds) * 1000 + 1 for _, _, ts in kept])
         elif state.exists:
             state.remove()
-        yield pd.DataFrame({"account": key[0], "action": key[1], "decision_id": rows["decision_id"], "ts": rows["ts"], "in_cooldown": blocked})
-
-    timed = proposals.withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", delay)
-    return timed.groupBy("account", "action").applyInPandasWithState(
-        step, COOLDOWN_OUT, "last bigint, times array<bigint>, ids array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+        if not done:
+            return
+        judged = pd.DataFrame(rows[:done], columns=["account", "action", "ts", "decision_id"], dtype=object)
+        yield judged.astype({"ts": "int64"}).assign(decision_id=judged["decision_id"].astype("Int64"), in_cooldown=np.array(blocked, bool))
+
+    # Ids and accounts travel as text: a null among whole numbers would make pandas round them.
+    timed = proposals.filter(F.col("ts").isNotNull()).withColumn("event_time", F.timestamp_seconds("ts")).withWatermark("event_time", delay)
+    slotted = timed.select(F.pmod(F.xxhash64("account", "action"), F.lit(slots)).alias("slot"), F.col("account").cast("string").alias("account"), "action", "ts",
+                           F.col("decision_id").cast("string").alias("id"), "event_time")
+    judged = slotted.groupBy("slot").applyInPandasWithState(step, COOLDOWN_OUT.replace("account bigint", "account string"), COOLDOWN_STATE, "append",
+                                                           GroupStateTimeout.EventTimeTimeout)
+    return judged.withColumn("account", F.col("account").cast("bigint"))
 
 
 def daily_drawdown(snapshots: DataFrame, zone: str = clock.DEFAULT_ZONE, delay: str = "1 hour") -> DataFrame:
