@@ -153,6 +153,22 @@ def test_reports_stay_bounded(spark, monkeypatch):
     assert problem is None and n > 0 and max(sizes) <= e
 
 
+def test_reports_share_files(spark, monkeypatch, tmp_path):
+    """Very many accounts make many reports, not many files."""
+    e = spark.range(600).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id") * 9000 + T0).cast("timestamp_ntz").alias("ts"), (F.col("id") * 7 % 500).alias("user_id"),
+                                F.element_at(F.array(F.lit("view"), F.lit("error"), F.lit("purchase")), (F.col("id") % 3 + 1).cast("int")).alias("event_type"),
+                                (F.col("id") % 11).cast("double").alias("value"), F.concat(F.lit('{"k": '), F.col("id") % 100, F.lit("}")).alias("props"))
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    read = []
+    monkeypatch.setattr(files, "campaign_reports", lambda s, paths, f=files.campaign_reports: read.append(paths[0]) or f(s, paths))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    problem, n = compare(entry_point.queries()["S08_campaign_reports"](spark, str(tmp_path)), con, entry_point.oracle_sql()["S08_campaign_reports"])
+    reports = spark.read.schema(files.REPORT).option("multiLine", True).json(read[0])
+    assert problem is None and n > 1000
+    assert reports.count() > 500 and len(set(reports.inputFiles())) <= 4
+
+
 def test_feed_items(spark, tmp_path):
     (tmp_path / "f.xml").write_text(
         '<rss xmlns:dc="http://purl.org/dc/elements/1.1/"><channel>'

@@ -22,6 +22,8 @@ from tidemark.streaming import bars as windows
 from tidemark.streaming import feeds, maturity, state
 
 PRICES = ["open", "high", "low", "close", "volume"]
+#: Result rows of a file of reports.
+REPORT_ROWS = 8192
 BAR_ROWS = f"SELECT asset, ts, {RS(PRICES)} FROM bars"
 
 
@@ -135,10 +137,14 @@ def s08(spark, sf):
     state = F.when(F.col("account") % 16 == 3, "RUNNING").otherwise("COMPLETED")
     # A report holds one account over 30 days: more accounts or a longer time make more reports, not larger ones.
     page = F.concat_ws("-", "account", F.floor(F.col("ts") / (30 * 86400)))
-    made = decisions(spark, sf).groupBy(F.concat_ws("-", "variant", F.col("account") % 16).alias("campaign_id"), state.alias("status"), "asset", page.alias("page")).agg(
+    d = decisions(spark, sf)
+    made = d.groupBy(F.concat_ws("-", "variant", F.col("account") % 16).alias("campaign_id"), state.alias("status"), "asset", page.alias("page")).agg(
         F.collect_list(row).alias("results")).withColumn("config", F.struct("asset", lit("live").alias("news_mode")))
-    made.select(F.to_json(F.struct("campaign_id", "status", "config", "results")).alias("value"), F.col("campaign_id").alias("campaign"), F.col("asset").alias("market"), "page") \
-        .write.partitionBy("campaign", "market", "page").text(path)
+    # A file holds an array of reports, about REPORT_ROWS result rows: files grow in number with the decisions, not with the accounts.
+    parts = -(-d.count() // REPORT_ROWS) or 1
+    part = F.pmod(F.xxhash64("campaign_id", "status", "asset", "page"), lit(parts))
+    filed = made.groupBy(part.alias("part")).agg(F.collect_list(F.struct("campaign_id", "status", "config", "results")).alias("reports"))
+    filed.select(F.to_json("reports").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     out = files.report_horizons(files.campaign_reports(spark, [path, path]))
     return rounded(out, ["campaign_id", "mode", "asset", "timestamp", "risk_action", "horizon_min", "maturity", "risk_status"], ["edge_pct"], 3)
 
