@@ -169,6 +169,19 @@ def test_reports_share_files(spark, monkeypatch, tmp_path):
     assert reports.count() > 500 and len(set(reports.inputFiles())) <= 4
 
 
+def test_chunks_leave_in_bounded_batches(spark, monkeypatch):
+    """Many short texts go to the splitter together; pieces keep their order and id, whatever its type."""
+    import pyarrow as pa
+    monkeypatch.setattr(documents, "PIECES", 3)
+    bodies = ["a b", None, "  ", "x" * 5000, "é\x1fü \r\n z"]
+    ids = [2 ** 60 + 1, None, 3, 4, 2 ** 60 + 2]
+    made = [*documents._pieces(iter([pa.record_batch({"id": pa.array(ids), "body": pa.array(bodies)})]))]
+    want = [(i, n, p) for i, body in zip(ids, bodies) for n, p in enumerate(documents.split_text(body or ""))]
+    assert [tuple(r.values()) for b in made for r in b.to_pylist()] == want and max(b.num_rows for b in made) == 3
+    got = documents.chunk_documents(spark.createDataFrame([*zip(ids, bodies)], "k bigint, body string"), "k", "body")
+    assert sorted(tuple(r)[:3] for r in got.collect()) == sorted(want)
+
+
 def test_feed_items(spark, tmp_path):
     (tmp_path / "f.xml").write_text(
         '<rss xmlns:dc="http://purl.org/dc/elements/1.1/"><channel>'

@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,8 @@ from tidemark.session import materialize
 CHUNK_CHARS = 1400
 OVERLAP = 160
 SCAN = 80
+#: Pieces of texts in an Arrow batch.
+PIECES = 4096
 #: Chunks of a block, queries scored at once in it, and blocks a query looks at before its bound is known.
 BLOCK_CHUNKS = 256
 QUERY_SLAB = 512
@@ -66,18 +69,34 @@ def split_text(body: str, size: int = CHUNK_CHARS, overlap: int = OVERLAP, scan:
     return [piece for a, b in spans if (piece := clean[a:b].strip())]
 
 
-@F.udtf(returnType="chunk_index int, text string", useArrow=True)
-class TextPieces:
-    """Table function: the pieces of one text, one by one."""
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, chunk_index, text) of the pieces of (id, body) rows, ``PIECES`` at a time."""
+    for batch in batches:
+        ids, bodies = batch.columns
+        found: list[tuple[int, int, str]] = []
+        for row, body in enumerate(bodies):
+            for piece in enumerate(split_text(body.as_py() or "")):
+                found.append((row, *piece))
+                if len(found) == PIECES:
+                    yield _batch(ids, bodies.type, found)
+                    found = []
+        if found:
+            yield _batch(ids, bodies.type, found)
 
-    def eval(self, body: str) -> Iterator[tuple[int, str]]:
-        yield from enumerate(split_text(body or ""))
+
+def _batch(ids: pa.Array, text_type: pa.DataType, found: list[tuple[int, int, str]]) -> pa.RecordBatch:
+    rows, numbers, texts = zip(*found)
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(numbers, pa.int32()), pa.array(texts, text_type)], ["id", "chunk_index", "text"])
 
 
 def chunk_documents(documents: DataFrame, id_col: str = "doc_id", body: str = "text") -> DataFrame:
-    """One row per chunk: id, chunk_index, text, token_estimate. Parallel over documents; no row holds all pieces of one."""
-    rows = documents.select(F.col(id_col).alias("_id"), F.col(body).alias("_body"))
-    pieces = rows.lateralJoin(TextPieces(F.col("_body").outer())).select(F.col("_id").alias(id_col), "chunk_index", "text")
+    """One row per chunk: id, chunk_index, text, token_estimate. Parallel over documents; no row holds all pieces of one.
+
+    Texts go to the splitter in Arrow batches: short ones are many, and a call for each would cost more than its work.
+    """
+    rows = documents.select(F.col(id_col).alias("id"), F.col(body).cast("string").alias("body"))
+    schema = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("chunk_index", T.IntegerType()), T.StructField("text", T.StringType())])
+    pieces = rows.mapInArrow(_pieces, schema).withColumnRenamed("id", id_col)
     return pieces.withColumn("token_estimate", text.token_estimate(F.col("text")))
 
 
