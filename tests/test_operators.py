@@ -12,7 +12,7 @@ import __spark_entry__ as entry_point
 from tests.harness import SF_DIR, compare, connect
 from tidemark import schemas
 from tidemark.operators import asof, chunks, select
-from tidemark.plans import documents, ledger
+from tidemark.plans import documents, ledger, memory
 from tidemark.sources import files, sinks
 
 T0 = 1_800_000_000
@@ -182,6 +182,25 @@ def test_chunks_leave_in_bounded_batches(spark, monkeypatch):
     assert sorted(tuple(r)[:3] for r in got.collect()) == sorted(want)
 
 
+def test_memory_reads_one_row_of_runs(spark):
+    """A point finds its runs packed in one row; no row for each point and run is made."""
+    rng = random.Random(12)
+    action = lambda: rng.choice(["BUY", "SELL"])
+    rows = [(rng.randrange(2), i, T0 + rng.randrange(9000), action(), action(), 50.0, None) for i in range(300)]
+    logs = spark.createDataFrame(rows, "account int, decision_id bigint, ts bigint, proposed_action string, risk_action string, conviction double, snapshot string")
+    out = memory.decision_memory(logs.select("account", "decision_id", "ts"), logs, window=1800, limit=3)
+    assert "explode(sequence" not in out._jdf.queryExecution().toString()
+    got = {r.decision_id: [(e.repeat_count, e.newest_ts) for e in r.episodes] for r in out.collect()}
+    want = {}
+    for account, i, ts, *_ in rows:
+        runs = []
+        for r in sorted((r for r in rows if r[0] == account and r[1] != i and ts - 1800 <= r[2] <= ts), key=lambda r: (r[2], r[1])):
+            same = runs and runs[-1][0] == r[3:5]
+            runs = [*runs[:-1], (r[3:5], runs[-1][1] + 1, r[2])] if same else [*runs, (r[3:5], 1, r[2])]
+        want[i] = [(n, newest) for _, n, newest in runs[-3:]]
+    assert got == want
+
+
 def test_feed_items(spark, tmp_path):
     (tmp_path / "f.xml").write_text(
         '<rss xmlns:dc="http://purl.org/dc/elements/1.1/"><channel>'

@@ -133,26 +133,44 @@ def decision_memory(points: DataFrame, logs: DataFrame, *, keys: Sequence[str] =
     log = ranges.series(indexed, [id_col], width, keys)
     placed = log.place(points, "ts", "_b").withColumn("_since", F.col("ts") - window - 1)
     placed = log.place(placed, "_since", "_a").withColumn("_a", F.col("_a") + 1)
-    own = indexed.select(*keys, id_col, F.col("pos").alias("_own"), F.col("prev_ts").alias("_prev_ts"))
+    # Points of one id and time are one question; rows of one id are all its own rows.
+    asked = placed.groupBy(*keys, id_col, "ts").agg(F.collect_list(F.struct(*names)).alias("_points"), F.first("_a").alias("_a"), F.first("_b").alias("_b"))
+    own = indexed.groupBy(*keys, id_col).agg(F.collect_list(F.struct(F.col("pos").alias("own"), "prev_ts")).alias("_owns"))
     newest = indexed.select(*keys, F.col("pos").alias("_b"), F.col("run").alias("_last"), F.col("ts").alias("_b_ts"))
-    at = materialize(placed.join(own, [*keys, id_col], "left").join(newest, [*keys, "_b"], "left"), "points")
-    if source_rows is not None:
-        oldest = F.col("_b") - source_rows + 1
-        at = at.withColumn("_a", F.greatest(F.col("_a"), oldest - F.coalesce((F.col("_own") >= oldest).cast("bigint"), F.lit(0))))
-    # Without the own row a run may vanish and two may become one, so two more are read.
-    asked = at.filter("_a <= _b").withColumn("run", F.explode(F.sequence(F.greatest(F.col("_last") - limit - 1, F.lit(1)), F.col("_last"))))
-    start, end = F.greatest("_start", "_a"), F.least("_end", "_b")
-    mine = F.coalesce(F.col("_own").between(start, end), F.lit(False))
-    newest_ts = F.when(mine & (F.col("_own") == end), F.col("_prev_ts")).when(F.col("_end") > F.col("_b"), F.col("_b_ts")).otherwise(F.col("_newest"))
-    cut = (asked.join(runs, [*keys, "run"]).withColumn("_rows", end - start + 1 - mine.cast("bigint")).filter("_rows > 0")
-           .groupBy(*keys, id_col, "ts").agg(F.array_sort(F.collect_list(F.struct("run", "signature", F.col("_rows").alias("repeat_count"), newest_ts.alias("newest_ts")))).alias("_runs")))
+    at = materialize(asked.join(own, [*keys, id_col], "left").join(newest, [*keys, "_b"], "left"), "points")
+    # Without the own row a run may vanish and two may become one, so two more are read. Runs are packed by number, so many
+    # to a block, next to the block before: a point reads one row, and its runs are never shuffled.
+    span = limit + 2
+    block = F.floor(F.col("run") / span)
+    packed = (runs.withColumn("_block", F.explode(F.array(block, block + 1))).groupBy(*keys, "_block")
+              .agg(F.collect_list(F.struct("run", "_start", "_end", "_newest", "signature")).alias("_packed")))
+    met = at.withColumn("_block", F.floor(F.col("_last") / span)).join(packed, [*keys, "_block"], "left")
+    near = F.filter("_packed", lambda r: r["run"].between(F.col("_last") - span + 1, F.col("_last")))
+    mine = F.coalesce("_owns", F.array(F.lit(None).cast("struct<own:bigint,prev_ts:bigint>")))
+    each = F.flatten(F.transform(F.sequence(F.lit(1), F.size("_points")), lambda _: F.transform(mine, lambda o: _cut_runs(F.col("_near"), o, source_rows))))
+    cut = C.pin(C.pin(met, "_near", near), "_runs", F.array_sort(F.flatten(each)))
     merged = C.pin(cut, "_merged", _joined_runs(F.col("_runs")))
     kept = F.slice("_merged", F.greatest(F.size("_merged") - limit, F.lit(0)) + 1, F.lit(limit))
     if max_repeat is not None:
         kept = F.transform(kept, lambda r: r.withField("repeat_count", F.least(F.lit(max_repeat).cast("bigint"), r["repeat_count"])))
-    done = merged.select(*keys, id_col, "ts", kept.alias("episodes"))
-    none = F.array().cast(done.schema["episodes"].dataType)
-    return points.join(done, [*keys, id_col, "ts"], "left").select(*names, F.coalesce("episodes", none).alias("episodes"))
+    none = F.array().cast(merged.schema["_merged"].dataType)
+    known = F.when(F.col(id_col).isNotNull(), kept)
+    return merged.select(F.explode("_points").alias("_p"), F.coalesce(known, none).alias("episodes")).select(*[F.col(f"_p.{n}").alias(n) for n in names], "episodes")
+
+
+def _cut_runs(near: Column, mine: Column, source_rows: int | None) -> Column:
+    """The runs that reach into a point's window ``_a`` to ``_b``, cut there and without its own row."""
+    a, b, own = F.col("_a"), F.col("_b"), mine["own"]
+    if source_rows is not None:
+        oldest = b - source_rows + 1
+        a = F.greatest(a, oldest - F.coalesce((own >= oldest).cast("bigint"), F.lit(0)))
+
+    def cut(r: Column) -> Column:
+        start, end = F.greatest(r["_start"], a), F.least(r["_end"], b)
+        held = F.coalesce(own.between(start, end), F.lit(False))
+        newest = F.when(held & (own == end), mine["prev_ts"]).when(r["_end"] > b, F.col("_b_ts")).otherwise(r["_newest"])
+        return F.struct(r["run"].alias("run"), r["signature"].alias("signature"), (end - start + 1 - held.cast("bigint")).alias("repeat_count"), newest.alias("newest_ts"))
+    return F.filter(F.transform(near, cut), lambda r: (r["repeat_count"] > 0) & (a <= b))
 
 
 def compact_runs(rows: DataFrame, keys: Sequence[str], order: str, signature: str, width: int = 100_000,
