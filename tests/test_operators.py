@@ -182,6 +182,17 @@ def test_chunks_leave_in_bounded_batches(spark, monkeypatch):
     assert sorted(tuple(r)[:3] for r in got.collect()) == sorted(want)
 
 
+def test_words_of_texts_are_cut_once(spark, monkeypatch):
+    """The words that hold a token are written first, so few of them meet the chunks without a shuffle of all words."""
+    plans = {}
+    monkeypatch.setattr(documents, "materialize", lambda df, name, f=documents.materialize: plans.update({name: df._jdf.queryExecution().toString()}) or f(df, name))
+    queries = spark.createDataFrame([(1, "alpha beta"), (2, "gamma")], "query_id int, query string")
+    chunks_ = spark.createDataFrame([(1, "alphabet soup"), (2, "Gamma, beta and alpha"), (3, None), (4, "none of them")], "chunk_id bigint, text string")
+    got = sorted(tuple(r) for r in documents.query_chunk_hits(queries, chunks_).collect())
+    assert got == [(1, 1, 1, 2, 0.5), (1, 2, 2, 2, 1.0), (2, 2, 1, 1, 1.0)]
+    assert [n for n, p in plans.items() if "regexp_extract_all" in p and "chunk_id" in p] == ["words"] and "BroadcastHashJoin" in plans["found"]
+
+
 def test_memory_reads_one_row_of_runs(spark):
     """A point finds its runs packed in one row; no row for each point and run is made."""
     rng = random.Random(12)

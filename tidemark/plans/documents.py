@@ -143,8 +143,11 @@ class Postings:
         tokens = materialize(asked.select("query_id", F.size("_t").alias("tokens"), F.explode("_t").alias("token")), "tokens")
         vocabulary = materialize(tokens.select("token").distinct().withColumn("tid", F.monotonically_increasing_id()), "vocabulary")
         published = F.col("published_at") if "published_at" in chunks.columns else F.lit(None)
-        words = chunks.select("chunk_id", F.coalesce(published.cast("bigint"), F.lit(0).cast("bigint")).alias("published"), F.explode(text.words_of(F.col("text"))).alias("word"))
-        table = words_holding(words.select("word").distinct(), vocabulary.select("token")).join(vocabulary, "token")
+        # Texts are cut into words once. The words that hold a token are written before they meet the chunks, so that their
+        # size is known: mostly they are few, and then the words of a chunk stay in its task.
+        listed = materialize(chunks.select("chunk_id", F.coalesce(published.cast("bigint"), F.lit(0).cast("bigint")).alias("published"), text.words_of(F.col("text")).alias("words")), "words")
+        words = listed.select("chunk_id", "published", F.explode("words").alias("word"))
+        table = materialize(words_holding(words.select("word").distinct(), vocabulary.select("token")).join(vocabulary, "token"), "holding")
         found = words.join(table, "word").groupBy("chunk_id", "published").agg(F.collect_set("tid").alias("tids"))
         found = materialize(found.withColumn("impact", F.floor(F.log2(F.size("tids"))).cast("int")), "found")
         sizes = found.groupBy("impact").agg(F.ceil(F.count(F.lit(1)) / BLOCK_CHUNKS).alias("_parts"))
