@@ -80,7 +80,7 @@ def p04(spark, sf):
       FROM decisions d LEFT JOIN news n ON n.ts BETWEEN d.ts - 86400 AND d.ts + 300) WHERE rn <= 5 GROUP BY 1"""))
 def p05(spark, sf):
     from tidemark.plans.snapshot import recent_news
-    out = recent_news(decisions(spark, sf), news(spark, sf))
+    out = recent_news(decisions(spark, sf), news(spark, sf).select("news_id", "ts"))
     items = F.col("news")
     return out.select("decision_id", F.size(items).cast("bigint").alias("n"), F.array_max(F.transform(items, lambda x: x["news_id"])).alias("newest"),
                       F.array_min(F.transform(items, lambda x: x["ts"])).alias("oldest_ts"))

@@ -90,8 +90,7 @@ nr AS (SELECT d.decision_id, d.ts, coalesce(news_count, 0) AS news_count, coales
 
 @query("F09_news_risk", W(f"{DECISIONS}, {NEWS_X}, {RECENT}", "SELECT decision_id, news_count, red_flag, untrusted, risk_level, terms FROM nr"))
 def f09(spark, sf):
-    found = snapshot.recent_news(decisions(spark, sf), snapshot.scanned_news(news(spark, sf), LEXICON))
-    out = found.withColumns(snapshot.news_risk(F.col("news")))
+    out = snapshot.news_states(decisions(spark, sf).select("decision_id", "ts"), snapshot.scanned_news(news(spark, sf), LEXICON))
     return out.select("decision_id", F.col("news_count").cast("bigint").alias("news_count"), "red_flag", "untrusted", "risk_level",
                       F.array_join("matched_terms", ",").alias("terms"))
 
@@ -102,14 +101,14 @@ def f09(spark, sf):
     FROM (SELECT d.*, nr.latest_news FROM decisions d JOIN nr USING (decision_id)) d ASOF LEFT JOIN bars b ON b.asset = d.asset AND d.ts >= b.ts"""))
 def f10(spark, sf):
     tail = asof.trailing_context(decisions(spark, sf), bars(spark, sf), 1, ["close"], WIDTH // 4)
-    found = snapshot.recent_news(tail, snapshot.scanned_news(news(spark, sf), LEXICON))
-    latest = F.array_max(F.transform("news", lambda n: n["ts"]))
-    health = snapshot.data_health(F.try_element_at("tail", F.lit(-1))["ts"], latest, F.col("ts"), market_stale=3000)
+    known = tail.select("decision_id", "ts", F.try_element_at("tail", F.lit(-1))["ts"].alias("bar_ts"))
+    found = snapshot.news_states(known, snapshot.scanned_news(news(spark, sf), LEXICON))
+    health = snapshot.data_health(F.col("bar_ts"), F.col("latest_news"), F.col("ts"), market_stale=3000)
     return found.withColumns(health).select("decision_id", "kline_age", "market_stale", "news_age", "news_stale")
 
 
 def _snapshots(spark, sf):
-    d = decisions(spark, sf).withColumn("cash", F.lit(5000.0)).withColumn("holding", (F.col("account") % 7).cast("double"))
+    d = decisions(spark, sf).select("decision_id", "asset", "ts", F.lit(5000.0).alias("cash"), (F.col("account") % 7).cast("double").alias("holding"))
     return snapshot.build_snapshots(d, bars(spark, sf), news(spark, sf), width=WIDTH // 4, lexicon=LEXICON, market_stale=3000)
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,6 +23,14 @@ NEWS_PATTERNS = (
     r"\b(retorne|return|responda|respond) (apenas |only )?(buy|sell|hold)\b",
     r"\b(fin(j|ja)|end) (as )?(instrucoes|instructions)\b",
 )
+#: Words of which every match of a pattern holds one; texts without them are not searched.
+HINTS = {
+    NEWS_PATTERNS[0]: ("instruction",),
+    NEWS_PATTERNS[1]: ("instruction",),
+    NEWS_PATTERNS[2]: ("system prompt", "developer message"),
+    NEWS_PATTERNS[3]: ("return", "retorne", "respond"),
+    NEWS_PATTERNS[4]: ("instrucoes", "instructions"),
+}
 CHUNK_PATTERNS = (
     r"(?s)\bignore\b.{0,80}\b(previous|prior|all|as)\b.{0,80}\b(instruction|instructions|instru)",
     r"(?s)\b(disregard|override)\b.{0,80}\b(instruction|instructions|system|policy)",
@@ -44,7 +54,10 @@ GENERIC_HOLD = (
 )
 
 def _unmarked(value: str) -> str:
-    return "".join(ch for ch in unicodedata.normalize("NFKD", value) if not unicodedata.combining(ch))
+    out = unicodedata.normalize("NFKD", value)
+    for mark in filter(unicodedata.combining, set(out)):
+        out = out.replace(mark, "")
+    return out
 
 
 @F.pandas_udf(T.StringType())
@@ -83,7 +96,8 @@ def matched_patterns(folded: Column, patterns=NEWS_PATTERNS) -> Column:
 def looks_like_instruction(folded: Column, patterns=NEWS_PATTERNS) -> Column:
     found = F.lit(False)
     for p in patterns:
-        found = found | folded.rlike(p)
+        hints = [folded.contains(word) for word in HINTS.get(p, ())]
+        found = found | (reduce(or_, hints) & folded.rlike(p) if hints else folded.rlike(p))
     return found
 
 

@@ -50,12 +50,13 @@ class Series:
         """Adds the position of the newest row at or before ``at``; -1 where there is none."""
         asked = C.with_chunk(left, at, self.width)
         # Chunks without rows take part with a count of none, so that each asked chunk knows what lies before it.
-        counts = (self.packed.select(*self.keys, C.CHUNK, F.size("_rows").alias("_n"))
+        counts = (self.packed.select(*self.keys, C.CHUNK, F.size("_rows.ts").alias("_n"))
                   .unionByName(asked.select(*self.keys, C.CHUNK).distinct().withColumn("_n", F.lit(0)))
                   .groupBy(*self.keys, C.CHUNK).agg(F.sum("_n").alias("_n")))
         before = C.carry(counts, self.keys, {"_earlier": ("_n", "sum")})
-        times = self.packed.select(*self.keys, C.CHUNK, F.transform("_rows", lambda r: r["ts"]).alias("_times"))
-        found = asked.join(before, [*self.keys, C.CHUNK], "left").join(times, [*self.keys, C.CHUNK], "left")
+        times = self.packed.select(*self.keys, C.CHUNK, F.col("_rows.ts").alias("_times"))
+        # The chunks meet first, so rows go through one join.
+        found = asked.join(before.join(times, [*self.keys, C.CHUNK], "left"), [*self.keys, C.CHUNK], "left")
         upto = F.coalesce(F.size(F.filter("_times", lambda t: t <= F.col(at))), F.lit(0))
         return found.withColumn(out, F.coalesce("_earlier", F.lit(0)) + upto - 1).drop("_earlier", "_times", C.CHUNK)
 
@@ -75,7 +76,7 @@ def series(rows: DataFrame, cols: Sequence[str], width: int, keys: Sequence[str]
     """Writes ``rows`` packed by time chunk; their source is read once, whatever is asked later."""
     entry = F.struct(F.col(ts).alias("ts"), *[c for c in cols if c != ts])
     packed = materialize(C.with_chunk(rows, ts, width).groupBy(*keys, C.CHUNK).agg(F.array_sort(F.collect_list(entry)).alias("_rows")), "series")
-    before = C.carry(packed.select(*keys, C.CHUNK, F.size("_rows").alias("_n")), keys, {"_before": ("_n", "sum")})
+    before = C.carry(packed.select(*keys, C.CHUNK, F.size("_rows.ts").alias("_n")), keys, {"_before": ("_n", "sum")})
     return Series(packed.join(before, [*keys, C.CHUNK]), tuple(keys), width)
 
 

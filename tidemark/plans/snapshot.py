@@ -2,7 +2,9 @@
 
 The 50 bars and the newest headlines before each decision come as bounded
 arrays, by position in their series; everything else is column arithmetic on
-those arrays. Headlines are scanned once each, before they meet decisions.
+those arrays. Headlines are scanned once each, before they meet decisions. What
+they say is folded once for each run of headlines some decision sees, so no
+decision carries texts that are not asked for.
 """
 
 from __future__ import annotations
@@ -29,10 +31,11 @@ NEWS_STALE = 21600
 
 def scanned_news(news: DataFrame, lexicon: Sequence[str] = text.NEGATIVE_TERMS) -> DataFrame:
     """Headlines with matched terms, instruction flag and redacted text."""
-    folded = text.fold_text(F.col("headline"))
-    return news.select("news_id", "ts", "source", text.redact(F.col("headline"), folded).alias("headline"),
-                       text.negative_terms(folded, lexicon).alias("terms"),
-                       text.looks_like_instruction(folded).alias("flagged"))
+    folded = C.pin(news, "_folded", text.fold_text(F.col("headline")))
+    rows = C.pin(folded, "flagged", text.looks_like_instruction(F.col("_folded")))
+    shown = F.when(F.col("flagged"), F.lit(text.REDACTED)).otherwise(F.col("headline"))
+    return rows.select("news_id", "ts", "source", shown.alias("headline"),
+                       text.negative_terms(F.col("_folded"), lexicon).alias("terms"), "flagged")
 
 
 def recent_news(decisions: DataFrame, news: DataFrame, limit: int = NEWS_LIMIT, window: int = NEWS_WINDOW,
@@ -58,6 +61,33 @@ def news_risk(items: Column) -> dict[str, Column]:
     }
 
 
+def news_states(decisions: DataFrame, news: DataFrame, limit: int = NEWS_LIMIT, window: int = NEWS_WINDOW,
+                tolerance: int = NEWS_TOLERANCE, width: int = 3600) -> DataFrame:
+    """Decisions with the risk columns of their newest headlines of the last day, and ``latest_news``.
+
+    ``news`` is scanned. The newest headline a decision sees and how many of the
+    last ones are still fresh decide its risk. Risks are folded once for each
+    such headline and number, as arrays by number; a decision joins the arrays
+    it reads and takes one entry of them. Headlines come capped per instant and
+    written as a series, which gives positions and tails.
+    """
+    kept = asof.cap_per_instant(news.filter("ts IS NOT NULL"), (), "ts", ("news_id",), limit)
+    heads = ranges.series(kept, ["news_id", *[c for c in news.columns if c not in ("ts", "news_id")]], width, keys=())
+    placed = heads.place(decisions.withColumn("_at", F.col("ts") + F.lit(tolerance)), "_at", "_head").drop("_at")
+    placed = materialize(placed, "heads")
+    tail = heads.tail(placed.select(F.col("_head").alias("pos")).filter("pos >= 0").distinct(), limit, "_items")
+    size = F.size("_items")
+    newest = lambda k: F.slice("_items", size - k + 1, k)
+    facts = lambda items: news_risk(items) | {"latest_news": F.array_max(F.transform(items, lambda n: n["ts"]))}
+    none = F.array().cast(tail.schema["_items"].dataType)
+    by_number = lambda name: F.transform(F.sequence(F.lit(0), size), lambda k: facts(newest(k))[name]).alias(f"_{name}")
+    states = tail.select(F.col("pos").alias("_head"), F.col("_items.ts").alias("_times"), *[by_number(name) for name in facts(none)])
+    fresh = F.size(F.filter("_times", lambda t: t >= F.col("ts") - F.lit(window)))
+    rows = C.pin(placed.join(states, "_head", "left"), "_fresh", F.when(F.col("_head") >= 0, fresh))
+    out = {name: F.when(F.col("_fresh").isNull(), empty).otherwise(F.get(f"_{name}", F.col("_fresh"))) for name, empty in facts(none).items()}
+    return rows.select(*decisions.columns, *[v.alias(name) for name, v in out.items()])
+
+
 def data_health(latest_bar: Column, latest_news: Column, now: Column, market_stale: int = MARKET_STALE,
                 news_stale: int = NEWS_STALE, tolerance: int = FUTURE_TOLERANCE) -> dict[str, Column]:
     """Ages clamped at zero and stale flags; no data counts as stale."""
@@ -148,6 +178,18 @@ def technical(tail: DataFrame, bars: str = "tail") -> DataFrame:
     return rows.drop(*[x for x in rows.columns if x.startswith("_")], bars)
 
 
+def bar_states(placed: DataFrame, known: ranges.Series) -> DataFrame:
+    """Technical columns of the bars that some row of ``placed`` falls on, by asset and ``pos``."""
+    anchors = placed.select("asset", "pos").filter("pos >= 0").distinct()
+    tail = known.tail(anchors, BARS).withColumn("ts", F.element_at("tail", -1)["ts"])
+    return technical(tail).drop("latest_bar_ts").withColumnRenamed("ts", "latest_bar_ts")
+
+
+def with_bar_states(placed: DataFrame, states: DataFrame) -> DataFrame:
+    out = placed.join(states, ["asset", "pos"], "left").drop("pos")
+    return out.withColumn("n_bars", F.coalesce("n_bars", F.lit(0)))
+
+
 def technical_states(decisions: DataFrame, bars: DataFrame, width: int) -> DataFrame:
     """Decisions with the technical columns of their newest bar.
 
@@ -157,11 +199,7 @@ def technical_states(decisions: DataFrame, bars: DataFrame, width: int) -> DataF
     """
     known = ranges.series(bars, ["open", "high", "low", "close", "volume"], width)
     placed = materialize(known.place(decisions), "placed")
-    anchors = placed.select("asset", "pos").filter("pos >= 0").distinct()
-    tail = known.tail(anchors, BARS).withColumn("ts", F.element_at("tail", -1)["ts"])
-    states = technical(tail).drop("latest_bar_ts").withColumnRenamed("ts", "latest_bar_ts")
-    out = placed.join(states, ["asset", "pos"], "left").drop("pos")
-    return out.withColumn("n_bars", F.coalesce("n_bars", F.lit(0)))
+    return with_bar_states(placed, bar_states(placed, known))
 
 
 def build_snapshots(decisions: DataFrame, bars: DataFrame, news: DataFrame, *, width: int, initial_equity: float = 10000.0,
@@ -171,12 +209,13 @@ def build_snapshots(decisions: DataFrame, bars: DataFrame, news: DataFrame, *, w
 
     ``decisions`` needs asset, ts and the balances ``cash`` and ``holding``.
     """
-    # Both sides of the lookup are read several times: headlines are scanned and states folded once.
-    state = materialize(technical_states(decisions, bars, width), "states")
-    with_news = recent_news(state, materialize(scanned_news(news, lexicon), "news"), width=news_width)
-    latest = F.array_max(F.transform("news", lambda x: x["ts"]))
-    rows = with_news.withColumns(data_health(F.col("latest_bar_ts"), latest, F.col("ts"), market_stale, news_stale))
-    rows = rows.withColumns(news_risk(F.col("news"))).drop("news")
+    # Decisions find their place in both series before they meet any state.
+    known = ranges.series(bars, ["open", "high", "low", "close", "volume"], width)
+    placed = materialize(known.place(decisions), "placed")
+    with_news = news_states(placed, scanned_news(news, lexicon), width=news_width)
+    rows = with_bar_states(with_news, bar_states(placed, known))
+    health = data_health(F.col("latest_bar_ts"), F.col("latest_news"), F.col("ts"), market_stale, news_stale)
+    rows = rows.withColumns(health).drop("latest_news")
     held = F.col("holding") * F.col("price")
     equity = F.col("cash") + held
     return (rows.withColumn("equity", equity)
