@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_point
 from tests.harness import SF_DIR, compare, connect
 from tidemark import schemas
-from tidemark.operators import asof, chunks, select
+from tidemark.operators import asof, chunks, ranges, select
 from tidemark.plans import documents, ledger, memory
 from tidemark.sources import files, sinks
 
@@ -212,6 +212,26 @@ def test_memory_reads_one_row_of_runs(spark):
     assert got == want
 
 
+def test_decision_memory_without_broadcasts(spark):
+    """Large logs meet by shuffle alone: places in a series keep their partitions, and the answers are the same."""
+    rows = [(i % 5, i, T0 + 7 * i, "BUY" if i % 3 else "SELL", "BUY" if i % 7 else "SELL", 50.0, None) for i in range(600)]
+    logs = spark.createDataFrame(rows, "account int, decision_id bigint, ts bigint, proposed_action string, risk_action string, conviction double, snapshot string")
+    def answers():
+        out = memory.decision_memory(logs.select("account", "decision_id", "ts"), logs, window=1800, limit=3, source_rows=5)
+        return {r.decision_id: [(e.repeat_count, e.newest_ts) for e in r.episodes] for r in out.collect()}
+    known = answers()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = answers()
+        twice = ranges.series(logs, [], 600, ("account",))
+        placed = twice.place(twice.place(logs.select("account", "ts"), "ts", "a"), "ts", "b").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == known and any(known.values())
+    assert sorted((r.ts, r.a, r.b) for r in placed) == [(T0 + 7 * i, i // 5, i // 5) for i in range(600)]
+
+
 def test_feed_items(spark, tmp_path):
     (tmp_path / "f.xml").write_text(
         '<rss xmlns:dc="http://purl.org/dc/elements/1.1/"><channel>'
