@@ -212,12 +212,13 @@ def test_memory_reads_one_row_of_runs(spark):
     assert got == want
 
 
-def test_decision_memory_without_broadcasts(spark):
+@pytest.mark.parametrize("source_rows", [None, 5])
+def test_decision_memory_without_broadcasts(spark, source_rows):
     """Large logs meet by shuffle alone: places in a series keep their partitions, and the answers are the same."""
     rows = [(i % 5, i, T0 + 7 * i, "BUY" if i % 3 else "SELL", "BUY" if i % 7 else "SELL", 50.0, None) for i in range(600)]
     logs = spark.createDataFrame(rows, "account int, decision_id bigint, ts bigint, proposed_action string, risk_action string, conviction double, snapshot string")
     def answers():
-        out = memory.decision_memory(logs.select("account", "decision_id", "ts"), logs, window=1800, limit=3, source_rows=5)
+        out = memory.decision_memory(logs.select("account", "decision_id", "ts"), logs, window=1800, limit=3, source_rows=source_rows)
         return {r.decision_id: [(e.repeat_count, e.newest_ts) for e in r.episodes] for r in out.collect()}
     known = answers()
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
