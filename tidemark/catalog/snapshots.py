@@ -107,9 +107,9 @@ def f10(spark, sf):
     return found.withColumns(health).select("decision_id", "kline_age", "market_stale", "news_age", "news_stale")
 
 
-def _snapshots(spark, sf):
+def _snapshots(spark, sf, shown=None):
     d = decisions(spark, sf).select("decision_id", "asset", "ts", F.lit(5000.0).alias("cash"), (F.col("account") % 7).cast("double").alias("holding"))
-    return snapshot.build_snapshots(d, bars(spark, sf), news(spark, sf), width=WIDTH // 4, lexicon=LEXICON, market_stale=3000)
+    return snapshot.build_snapshots(d, bars(spark, sf), news(spark, sf), width=WIDTH // 4, lexicon=LEXICON, market_stale=3000, shown=shown)
 
 
 SNAP = f"""{TECH}, {NEWS_X}, {RECENT}, sn AS (
@@ -130,7 +130,7 @@ def m21(spark, sf):
 @query("P10_compact_snapshot", W(SNAP, f"SELECT decision_id, rsi_status, macd_status, risk_level, terms, market_stale, {R('price', digits=4)} FROM sn WHERE status = 'OK'", True))
 def p10(spark, sf):
     # Written as JSON text and read back through the tolerant decoder.
-    out = snapshot.compact_json(_snapshots(spark, sf).filter("status = 'OK'"))
+    out = snapshot.compact_json(_snapshots(spark, sf, snapshot.SHOWN).filter("status = 'OK'"))
     back = memory.decoded(out.select("decision_id", "snapshot"))
     level = F.get_json_object("snapshot", "$.news_risk.risk_level")
     terms = F.array_join(F.from_json(F.get_json_object("snapshot", "$.news_risk.matched_terms"), "array<string>"), ",")

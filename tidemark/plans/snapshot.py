@@ -27,6 +27,8 @@ NEWS_TOLERANCE = 300
 FUTURE_TOLERANCE = 30
 MARKET_STALE = 1200
 NEWS_STALE = 21600
+#: Characters of a headline in a compact snapshot.
+SHOWN = 240
 
 
 def scanned_news(news: DataFrame, lexicon: Sequence[str] = text.NEGATIVE_TERMS) -> DataFrame:
@@ -61,31 +63,62 @@ def news_risk(items: Column) -> dict[str, Column]:
     }
 
 
-def news_states(decisions: DataFrame, news: DataFrame, limit: int = NEWS_LIMIT, window: int = NEWS_WINDOW,
-                tolerance: int = NEWS_TOLERANCE, width: int = 3600) -> DataFrame:
-    """Decisions with the risk columns of their newest headlines of the last day, and ``latest_news``.
+def _news_facts(items: Column) -> dict[str, Column]:
+    return news_risk(items) | {"latest_news": F.array_max(F.transform(items, lambda n: n["ts"]))}
 
-    ``news`` is scanned. The newest headline a decision sees and how many of the
-    last ones are still fresh decide its risk. Risks are folded once for each
-    such headline and number, as arrays by number; a decision joins the arrays
-    it reads and takes one entry of them. Headlines come capped per instant and
-    written as a series, which gives positions and tails.
-    """
+
+def headline_series(news: DataFrame, limit: int = NEWS_LIMIT, width: int = 3600) -> ranges.Series:
+    """Scanned headlines, capped per instant and written as a series, which gives positions and tails."""
     kept = asof.cap_per_instant(news.filter("ts IS NOT NULL"), (), "ts", ("news_id",), limit)
-    heads = ranges.series(kept, ["news_id", *[c for c in news.columns if c not in ("ts", "news_id")]], width, keys=())
+    return ranges.series(kept, ["news_id", *[c for c in news.columns if c not in ("ts", "news_id")]], width, keys=())
+
+
+def place_heads(decisions: DataFrame, heads: ranges.Series, tolerance: int = NEWS_TOLERANCE) -> DataFrame:
+    """Decisions with ``_head``, the position of the newest headline they see; written."""
     placed = heads.place(decisions.withColumn("_at", F.col("ts") + F.lit(tolerance)), "_at", "_head").drop("_at")
-    placed = materialize(placed, "heads")
+    return materialize(placed, "heads")
+
+
+def head_states(placed: DataFrame, heads: ranges.Series, limit: int = NEWS_LIMIT, shown: int | None = None) -> DataFrame:
+    """Times and risk columns of the last headlines up to each ``_head`` of ``placed``.
+
+    Risks are arrays by the number of headlines that count. Texts are held once,
+    newest first, since fewer headlines are the first of them; only the first
+    ``shown`` characters of each where that is all a caller shows.
+    """
     tail = heads.tail(placed.select(F.col("_head").alias("pos")).filter("pos >= 0").distinct(), limit, "_items")
     size = F.size("_items")
     newest = lambda k: F.slice("_items", size - k + 1, k)
-    facts = lambda items: news_risk(items) | {"latest_news": F.array_max(F.transform(items, lambda n: n["ts"]))}
-    none = F.array().cast(tail.schema["_items"].dataType)
-    by_number = lambda name: F.transform(F.sequence(F.lit(0), size), lambda k: facts(newest(k))[name]).alias(f"_{name}")
-    states = tail.select(F.col("pos").alias("_head"), F.col("_items.ts").alias("_times"), *[by_number(name) for name in facts(none)])
+    by_number = lambda name: F.transform(F.sequence(F.lit(0), size), lambda k: _news_facts(newest(k))[name]).alias(f"_{name}")
+    texts = _news_facts(F.col("_items"))["headlines"]
+    if shown is not None:
+        texts = F.transform(texts, lambda h: F.substring(h, 1, shown))
+    return tail.select(F.col("pos").alias("_head"), F.col("_items.ts").alias("_times"), texts.alias("_headlines"),
+                       *[by_number(name) for name in _news_facts(F.col("_items")) if name != "headlines"])
+
+
+def with_head_states(placed: DataFrame, heads: ranges.Series, states: DataFrame, window: int = NEWS_WINDOW) -> DataFrame:
+    """Rows with the risk columns of their fresh headlines for ``_head``. Nothing is shuffled by it afterwards if it is joined last."""
     fresh = F.size(F.filter("_times", lambda t: t >= F.col("ts") - F.lit(window)))
     rows = C.pin(placed.join(states, "_head", "left"), "_fresh", F.when(F.col("_head") >= 0, fresh))
-    out = {name: F.when(F.col("_fresh").isNull(), empty).otherwise(F.get(f"_{name}", F.col("_fresh"))) for name, empty in facts(none).items()}
-    return rows.select(*decisions.columns, *[v.alias(name) for name, v in out.items()])
+    seen = lambda name: F.slice("_headlines", F.lit(1), F.col("_fresh")) if name == "headlines" else F.get(f"_{name}", F.col("_fresh"))
+    none = F.array().cast(heads.packed.schema["_rows"].dataType)
+    out = {name: F.when(F.col("_fresh").isNull(), empty).otherwise(seen(name)) for name, empty in _news_facts(none).items()}
+    return rows.select(*[c for c in placed.columns if c != "_head"], *[v.alias(name) for name, v in out.items()])
+
+
+def news_states(decisions: DataFrame, news: DataFrame, limit: int = NEWS_LIMIT, window: int = NEWS_WINDOW,
+                tolerance: int = NEWS_TOLERANCE, width: int = 3600) -> DataFrame:
+    """Decisions with the risk columns of their newest headlines of the last day, and ``latest_news``.
+
+    ``news`` is scanned. The newest headline a decision sees and how many of the
+    last ones are still fresh decide its risk. Risks are folded once for each
+    such headline and number, as arrays by number; a decision joins the arrays
+    it reads and takes one entry of them.
+    """
+    heads = headline_series(news, limit, width)
+    placed = place_heads(decisions, heads, tolerance)
+    return with_head_states(placed, heads, head_states(placed, heads, limit), window)
 
 
 def data_health(latest_bar: Column, latest_news: Column, now: Column, market_stale: int = MARKET_STALE,
@@ -204,16 +237,20 @@ def technical_states(decisions: DataFrame, bars: DataFrame, width: int) -> DataF
 
 def build_snapshots(decisions: DataFrame, bars: DataFrame, news: DataFrame, *, width: int, initial_equity: float = 10000.0,
                     lexicon: Sequence[str] = text.NEGATIVE_TERMS, market_stale: int = MARKET_STALE,
-                    news_stale: int = NEWS_STALE, news_width: int = 3600) -> DataFrame:
+                    news_stale: int = NEWS_STALE, news_width: int = 3600, shown: int | None = None) -> DataFrame:
     """Snapshot columns per decision; ``status`` is ERROR below 30 bars.
 
     ``decisions`` needs asset, ts and the balances ``cash`` and ``holding``.
+    ``headlines`` are whole texts; all of a text is scanned, also where a caller
+    shows the first ``shown`` characters only.
     """
-    # Decisions find their place in both series before they meet any state.
+    # Decisions find their place in both series before they meet any state. Texts are met last, so that no decision takes them
+    # through a shuffle.
     known = ranges.series(bars, ["open", "high", "low", "close", "volume"], width)
-    placed = materialize(known.place(decisions), "placed")
-    with_news = news_states(placed, scanned_news(news, lexicon), width=news_width)
-    rows = with_bar_states(with_news, bar_states(placed, known))
+    heads = headline_series(scanned_news(news, lexicon), width=news_width)
+    placed = place_heads(materialize(known.place(decisions), "placed"), heads)
+    rows = with_bar_states(placed, bar_states(placed, known))
+    rows = with_head_states(rows, heads, head_states(placed, heads, shown=shown))
     health = data_health(F.col("latest_bar_ts"), F.col("latest_news"), F.col("ts"), market_stale, news_stale)
     rows = rows.withColumns(health).drop("latest_news")
     held = F.col("holding") * F.col("price")
@@ -228,7 +265,7 @@ def build_snapshots(decisions: DataFrame, bars: DataFrame, news: DataFrame, *, w
 def compact_json(rows: DataFrame, out: str = "snapshot") -> DataFrame:
     """Compact audit snapshot of a decision as JSON text."""
     c = F.col
-    news = F.transform(F.slice("headlines", 1, 5), lambda h: F.struct(F.substring(h, 1, 240).alias("headline")))
+    news = F.transform(F.slice("headlines", 1, 5), lambda h: F.struct(F.substring(h, 1, SHOWN).alias("headline")))
     body = F.struct(
         F.lit(1).alias("schema_version"),
         F.struct(c("price").alias("current_price"), c("rsi").alias("rsi_value"), "rsi_status", c("macd").alias("macd_histogram"),
